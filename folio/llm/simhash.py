@@ -119,6 +119,7 @@ def links(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for n, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.v")
     groups = keyed.groupBy("n", "v").agg(F.count("*").alias("size"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("every")).where("size > 1")
+    groups = written(groups, "groups")  # joined as a table, so that a key of many rows can be split
     members = written(keyed.join(groups, ["n", "v"]).withColumn("varying", F.col("some").bitwiseXOR(F.col("every"))).drop("some", "every"), "members")
     small, large = members.where(F.col("size") <= PAIRED_GROUP), members.where(F.col("size") > PAIRED_GROUP)
     other = small.select("n", "v", F.col("fp").alias("b"))
@@ -166,7 +167,7 @@ def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     found = components(links(classes.select("fp")))
     known = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = known.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "c").select(F.col("fp").alias("f"), "component_id")
+    known = written(known.join(least, "c").select(F.col("fp").alias("f"), "component_id"), "known")
     return fps.join(known, fps["fp"] == F.col("f")).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -240,6 +241,7 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, dist
     segments = F.flatten(F.transform("fps", lambda x: F.array(*[F.shiftright(x, 21 * s).bitwiseAND(F.lit((1 << 21) - 1)) for s in range(LONG_SEGMENTS)])))
     keyed = fps.select("id", F.posexplode(segments).alias("n", "v"))
     groups = keyed.groupBy("n", "v").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+    groups = written(groups, "groups")
     dealt = keyed.join(groups, ["n", "v"]).withColumn("part", F.pmod(F.xxhash64("id", "n"), F.ceil(F.col("size") / PART)))
     dealt = dealt.select("n", "v", "part", "id", "first")
     parts = dealt.groupBy("n", "v", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # a few times PART at most

@@ -95,6 +95,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def in_other_documents(rows: DataFrame) -> DataFrame:
     """(doc_id, at) of the rows (doc_id, h, at) whose h another document has too."""
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
+    shared = written(shared, "shared")  # joined as a table, so that a hash of many rows can be split
     return rows.join(shared, "h", "left_semi").select("doc_id", "at")
 
 

@@ -7,11 +7,13 @@ and written in that order, so that the statistics are narrow; tokens are made af
 while writing, so that only texts are moved.
 
 Tokenizing splits at ASCII white space first and remembers the ids of words: the vocabulary's own
-splitting never joins text across white space, so that this changes no id.
+splitting never joins text across white space and ignores case, so that this changes no id.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,35 +28,92 @@ from .common import arrow_schema, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1_000, 16 << 20, 0.01
-#: Words remembered by a task before it starts afresh.
-REMEMBERED = 200_000
+#: Words remembered in either generation by a Python worker, and those that one library call encodes.
+REMEMBERED, TOGETHER = 400_000, 128
+
+# A full stop or comma between a letter or digit and white space is a piece of its own in any case.
+_MARK = re.compile(rb"[.,](?=[\x20\x09-\x0D]|\Z)(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+# Words of small letters alone (a-z, ß-ÿ) are one piece to the vocabulary; its last token alone ends a word.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordTokenizer:
-    """Ids (little-endian unsigned 32-bit) of whole texts, equal to the tokenizers library's own."""
+    """Ids (little-endian unsigned 32-bit) of whole texts, equal to the tokenizers library's own.
+
+    New words go to the library together: words of letters joined by spaces, whose ids are parted after
+    each token that ends a word, others joined by a special token. Of remembered words the generation
+    last used stays.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        special = self.inner.get_added_tokens_decoder()
+        self.parting, self.specials = max(special), tuple(t.content.encode() for t in special.values())
+        self.parting_text = special[self.parting].content
+        vocabulary = self.inner.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def pieces(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if any(x in raw for x in self.specials):
+            return raw.split()
+        low = raw.lower()
+        return (_MARK.sub(rb" \g<0>", low) if not any(x in low for x in self.specials) else raw).split()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo : lo + TOGETHER]
+            ids = self._ids(b" ".join(some).decode())
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            self._keep(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
+        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+        for lo in range(0, len(rest), TOGETHER):
+            some = rest[lo : lo + TOGETHER]
+            ids = self._ids(self.parting_text.join(w.decode() for w in some))
+            ends = np.flatnonzero(ids == self.parting).tolist()
+            if len(ends) == len(some) - 1:
+                self._keep(some, ids, [0, *(e + 1 for e in ends)], [*ends, len(ids)])
+            else:  # a special token among the words
+                self.known |= {w: self._ids(w.decode()).tobytes() for w in some}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known |= {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts, ends, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+        split = [self.pieces(t) for t in texts]
+        words = {w for ws in split for w in ws}
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 1024):
-            some = new[lo : lo + 1024]
-            for w, e in zip(some, self.inner.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        missing = [w for w in words if w not in known]
+        again = {w: x for w in missing if (x := self.older.get(w)) is not None}
+        new = [w for w in missing if w not in again]
+        if len(known) + len(missing) > REMEMBERED:
+            again |= {w: known[w] for w in words if w in known}
+        self._learn(new)
+        self.known |= again
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+
+
+_OPEN: dict[str, WordTokenizer] = {}
+
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return [w.decode() for w in text.encode().split()]
+def open_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, which Spark uses for many tasks."""
+    if path not in _OPEN:
+        _OPEN[path] = WordTokenizer(path)
+    return _OPEN[path]
 
 
 def default_vocabulary() -> str:
@@ -76,7 +135,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     schema = arrow_schema(ddl)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, nth, start = WordTokenizer(path), TaskContext.get().partitionId(), 0, 0
+        tokenizer, part, nth, start = open_tokenizer(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -33,6 +33,9 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 LEAST_REVISIT = 100
 #: Records in one archive, and index lines in one reading task's block.
 ARCHIVE_RECORDS, BLOCK_RECORDS = 50_000, 500
+#: Archives whose directories one task parses, and records that one task fetches, on average. Rows of
+#: the index are small and their records are not, so the number of tasks is set here, not by bytes.
+TASK_ARCHIVES, TASK_RECORDS = 4, 4_000
 #: Ranges of one block that lie closer than this are fetched by one read of at most READ_BYTES.
 READ_BYTES = 8 << 20
 
@@ -170,7 +173,8 @@ def read_index(manifest: DataFrame) -> DataFrame:
                 some = lines[n : n + BLOCK_RECORDS]
                 yield pd.DataFrame({"uri": uri, "block": n // BLOCK_RECORDS, "offset": [data_at + x["offset"] for x in some], "length": [x["length"] for x in some]})
 
-    return manifest.select("uri").repartition("uri").mapInPandas(scan, "uri string, block long, offset long, length long")
+    tasks = -(-manifest.count() // TASK_ARCHIVES) or 1
+    return manifest.select("uri").repartition(tasks, "uri").mapInPandas(scan, "uri string, block long, offset long, length long")
 
 
 def parse_record(packed: bytes) -> dict:
@@ -212,7 +216,8 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         found = pd.DataFrame([parse_record(raw[o - base : o - base + n]) for o, n in some], columns=columns)
                         yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    index = read_index(manifest).repartition("uri", "block").sortWithinPartitions("uri", "offset")
+    tasks = -(-(manifest.agg(F.sum("records")).first()[0] or 0) // TASK_RECORDS) or 1
+    index = read_index(manifest).repartition(tasks, "uri", "block").sortWithinPartitions("uri", "offset")
     return index.mapInPandas(fetch, ddl)
 
 
@@ -237,6 +242,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     large = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "copied")  # joined as a table, so that a digest of many pages can be split
     revisits = large.join(first, "digest").where("page_id is distinct from refers_to and refers_to is not null").distinct()
     revisits = revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
     found = pages.join(revisits, pages["page_id"].eqNullSafe(F.col("p")) & (pages["digest"] == F.col("d")), "left")
