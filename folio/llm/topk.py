@@ -56,9 +56,10 @@ class SortedLists:
             to = min(n, depth + step)
             heads = self.lists[depth:to]
             shown = np.where(up, heads, self.lists[n - to : n - depth][::-1]) if dims else np.arange(depth, to)[:, None]
-            new = np.unique(shown[:, used] if len(used) else shown)
-            new = new[~seen[new]]
-            seen[new] = True
+            reached = np.zeros(n, bool)
+            reached[shown[:, used] if len(used) else shown] = True
+            new = np.flatnonzero(reached & ~seen)
+            seen |= reached
             if len(new):
                 score = self.scores(new, query)
                 if len(new) > k:
