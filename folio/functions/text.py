@@ -71,7 +71,7 @@ def compact_number(n: Column) -> Column:
     """999, 1.2K, 3M, 4.5B: one decimal at most, half away from zero."""
     out = F.when(F.abs(n) < 1000, F.round(n, 1))
     steps = ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T"))
-    clean = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0\z", "")
+    clean = lambda x: F.when(x.isNotNull(), F.regexp_replace(F.format_string("%.1f", x), r"\.0\z", ""))
     text = clean(out.cast("double"))
     for k, (unit, name) in enumerate(steps):
         # what rounds up to 1000 of a unit is 1 of the next

@@ -180,13 +180,13 @@ def description_fallback(spark, sf_dir):
     return docs.select("doc_id", text.first_truthy(F.col("description"), F.col("lang")).alias("description"))
 
 
-_QUERY = "river market water"
+_QUERY = "elle reen onst"
 _TOKEN_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 
 @_query(f"""with t as (select doc_id, unnest({_TOKEN_SQL}) as token from documents),
   d as (select doc_id, count(*) as length from t group by doc_id), s as (select count(*) as n, avg(length) as mean from d),
-  p as (select doc_id, token, count(*) as tf from t where token in ('river', 'market', 'water') group by 1, 2),
+  p as (select doc_id, token, count(*) as tf from t where token in ('elle', 'reen', 'onst') group by 1, 2),
   f as (select token, count(*) as df from p group by token)
   select p.doc_id as doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score
   from p join f using (token) join d using (doc_id), s group by 1""")

@@ -20,7 +20,7 @@ _ITEM = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^,\[\]\s](?:[^,\[\]]*[^,\[\]\s])?
 def _raw(front: Column, key: str) -> Column:
     """The value of a top-level key with its continuation lines; null without the key."""
     pattern = rf"(?m)^{key}:[ \t]*(.*(?:\n(?:[ \t]+.*|-[ \t]+.*))*)$"
-    return F.when(front.rlike(pattern), F.trim(F.regexp_extract(front, pattern, 1)))
+    return F.when(front.rlike(pattern), F.regexp_replace(F.regexp_extract(front, pattern, 1), r"^\s+|\s+\z", ""))
 
 
 def scalar(raw: Column) -> Column:

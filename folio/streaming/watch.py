@@ -10,7 +10,7 @@ from folio.sources.markdown import parsed, relative_name
 
 def watch_posts(spark: SparkSession, path: str) -> DataFrame:
     """A stream of posts, a row for each new file; a file that is written anew under its name is not read again."""
-    files = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    files = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return parsed(files.select(relative_name(path).alias("name"), "value"))
 
 
