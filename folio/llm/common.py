@@ -52,6 +52,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in re.findall(r"(\w+) ([\w<>]+)", ddl)])
 
 
+def freeing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives back what Arrow's pool keeps when a task ends: workers stay for later tasks with what they hold."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict], ddl: str, rows: int = 512) -> DataFrame:
     """mapInArrow with a function from columns (lists) to columns, at most `rows` input rows at once."""
     schema = arrow_schema(ddl)
@@ -62,7 +72,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict], ddl: str
                 out = work(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(freeing(run), ddl)
 
 
 def word_count(text: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, shared_dir
+from .common import arrow_schema, freeing, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1_000, 16 << 20, 0.01
@@ -45,7 +45,8 @@ class WordTokenizer:
     last used stays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
@@ -67,7 +68,7 @@ class WordTokenizer:
         return (_MARK.sub(rb" \g<0>", low) if not any(x in low for x in self.specials) else raw).split()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.known, self.older = {}, self.known
         plain = [w for w in words if _LETTERS.fullmatch(w)]
         for lo in range(0, len(plain), TOGETHER):
@@ -99,21 +100,22 @@ class WordTokenizer:
         missing = [w for w in words if w not in known]
         again = {w: x for w in missing if (x := self.older.get(w)) is not None}
         new = [w for w in missing if w not in again]
-        if len(known) + len(missing) > REMEMBERED:
+        if len(known) + len(missing) > self.remembered:
             again |= {w: known[w] for w in words if w in known}
         self._learn(new)
         self.known |= again
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
-_OPEN: dict[str, WordTokenizer] = {}
+_OPEN: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def open_tokenizer(path: str) -> WordTokenizer:
+def open_tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
     """One per Python worker, which Spark uses for many tasks."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    key = (path, remembered)
+    if key not in _OPEN:
+        _OPEN[key] = WordTokenizer(path, remembered)
+    return _OPEN[key]
 
 
 def default_vocabulary() -> str:
@@ -122,7 +124,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
     """Writes docs (doc_id, text) as ORC: doc_id, part, nth, start, ids.
 
     part: the task's number, ascending with doc_id; nth and start: documents and ids before it in the
@@ -135,7 +137,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     schema = arrow_schema(ddl)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, nth, start = open_tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        tokenizer, part, nth, start = open_tokenizer(path, remembered), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -152,7 +154,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     sorted_docs = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     (
-        sorted_docs.mapInArrow(encode, ddl)
+        sorted_docs.mapInArrow(freeing(encode), ddl)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(ROW_STRIDE))
@@ -182,19 +184,20 @@ def token_table(spark: SparkSession, folder: str) -> DataFrame:
                 names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_tokens(spark, folder).select("doc_id", "part", "start", "ids").mapInArrow(digest, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, folder).select("doc_id", "part", "start", "ids").mapInArrow(freeing(digest), "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     sizes = read_tokens(spark, folder).groupBy("part").agg(F.max(F.col("start") + F.size("ids")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     return rows.join(offsets, F.col("part") == F.col("p")).select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Writes every whole text of docs as ORC in the shared folder and returns token_table() of the files.
 
     Null and empty texts have the end id alone. Repeated rows are documents each. An empty table gives
     an empty result. Other columns are left out. vocabulary: a tokenizers file that each executor can open.
+    remembered: words whose ids a worker keeps at hand, twice over; it sets memory and speed, never results.
     """
     folder = shared_dir(docs.sparkSession, "tokens")
-    write_tokens(docs, folder, vocabulary)
+    write_tokens(docs, folder, vocabulary, remembered=remembered)
     return token_table(docs.sparkSession, folder)
