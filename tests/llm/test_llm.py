@@ -205,7 +205,7 @@ def test_top_k_with_ties_and_bad_rows(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 has only 6 toxic held-out labels, too few for a figure (AUC 0.79 there)
     scored = llm.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
     pos, neg = ([r["score"] for r in scored if r["toxic"] == t] for t in (1, 0))
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
