@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts' word pattern [^\x20\x09-\x0D]+ has it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1_024
 
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
@@ -52,14 +55,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in re.findall(r"(\w+) ([\w<>]+)", ddl)])
 
 
-def freeing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A batch function that gives back what Arrow's pool keeps when a task ends: workers stay for later tasks with what they hold."""
+def map_arrow(df: DataFrame, work: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows, giving back what Arrow's pool keeps when a task ends.
+
+    Texts of a batch are in the JVM's and the worker's memory at once, and workers stay for later tasks with
+    what they hold. The limit is the session's setting, which is lowered if it is larger.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
 
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
         pa.default_memory_pool().release_unused()
 
-    return run
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict], ddl: str, rows: int = 512) -> DataFrame:
@@ -72,7 +82,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict], ddl: str
                 out = work(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(freeing(run), ddl)
+    return map_arrow(df, run, ddl)
 
 
 def word_count(text: Column) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, map_batches
+from .common import map_arrow, map_batches
 
 #: Masks of span 13 and 9 ones; together they bear a substitution at any place of a 13-word window.
 SEEDS = ("1101100111011", "1110111001101", "1011011110011")
@@ -173,4 +173,4 @@ def _clean(docs: DataFrame, names: list[str], index) -> DataFrame:
                 part = batch.slice(lo, 512)
                 yield part.filter(pa.array([not made[0].overlaps(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(freeing(keep), docs.schema)
+    return map_arrow(docs, keep, docs.schema)

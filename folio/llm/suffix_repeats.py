@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_batches, written
+from .common import arrow_schema, map_arrow, map_batches, written
 
 #: Words in a repeat, in the part compared first, and in a minimiser's own hash.
 LEAST, SEED_WORDS = 50, 10
@@ -141,7 +141,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 cols = (np.concatenate(ids), np.concatenate(hashes).view(np.int64), np.concatenate(starts).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    longer = docs.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(extend, "doc_id long, h long, at int")
+    longer = map_arrow(docs.join(places, "doc_id").select("doc_id", "text", "at"), extend, "doc_id long, h long, at int")
     proven = in_other_documents(written(longer, "extended"))
 
     def merge(rows: dict) -> dict:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, freeing, shared_dir
+from .common import arrow_schema, map_arrow, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1_000, 16 << 20, 0.01
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     sorted_docs = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     (
-        sorted_docs.mapInArrow(freeing(encode), ddl)
+        map_arrow(sorted_docs, encode, ddl)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(ROW_STRIDE))
@@ -184,7 +184,7 @@ def token_table(spark: SparkSession, folder: str) -> DataFrame:
                 names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_tokens(spark, folder).select("doc_id", "part", "start", "ids").mapInArrow(freeing(digest), "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(read_tokens(spark, folder).select("doc_id", "part", "start", "ids"), digest, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     sizes = read_tokens(spark, folder).groupBy("part").agg(F.max(F.col("start") + F.size("ids")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freeing, written
+from .common import map_arrow, written
 
 #: Labelled rows of either class that fitting takes at most, those of least hash.
 SAMPLE = {1: 4_000, 0: 8_000}
@@ -109,7 +109,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
                 found = pa.array([dense_features(t, weights) for t in part.column(at).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, FEATURE_COLUMN])
 
-    return docs.mapInArrow(freeing(work), T.StructType([*docs.schema.fields, T.StructField(FEATURE_COLUMN, T.ArrayType(T.DoubleType()))]))
+    return map_arrow(docs, work, T.StructType([*docs.schema.fields, T.StructField(FEATURE_COLUMN, T.ArrayType(T.DoubleType()))]))
 
 
 def fold(doc_id: Column) -> Column:
