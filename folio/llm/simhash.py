@@ -223,8 +223,24 @@ def _long_chain(a: Column, b: Column, distance: int, length: int = 4) -> Column:
     return F.exists(F.sequence(F.lit(1), F.lit(LONG_WORDS)), holds)
 
 
-def similar_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 100, ids: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, jaccard), a < b, of rows of docs (id, text) whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
+def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) whose whole texts have that similarity."""
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    involved = written(docs.select("id", "text").join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    both = pairs.join(involved.toDF("a", "ta"), "a").join(involved.toDF("b", "tb"), "b")
+
+    def work(rows: dict) -> dict:
+        found = []
+        for a, b in zip(rows["ta"], rows["tb"], strict=True):
+            x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
+            found.append(len(x & y) / max(1, len(x | y)))
+        return {"a": rows["a"], "b": rows["b"], "jaccard": found}
+
+    return map_batches(both, work, "a long, b long, jaccard double", 64).where(F.col("jaccard") >= similarity)
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 100, ids: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, jaccard), a < b, of rows of docs (id, text) whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more: they connect what all such candidates connect.
 
     Candidates share a 21-bit segment of the long fingerprint: with words replaced here and there up to
     similarity 0.8, a bit differs with probability of about 0.1, so that the 30 segments miss a pair in
@@ -232,8 +248,9 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, dist
     bits), and each is then decided on the whole texts. ids (id): the rows to compare, else all. Groups
     that share a key are dealt by hash into parts of about PART rows, other parts for each key; a part's
     pairs and the link of each row to the group's least row are candidates, so that work grows with the
-    group's size. In large groups a pair may be seen only through third rows: the links keep its group
-    together. Null ids take no part, an id that repeats counts once.
+    group's size. Each row's pair with its least partner in a part is decided first, then the pairs whose
+    rows these links leave apart: a large group of copies takes about one pair of texts for each row.
+    Null ids take no part, an id that repeats counts once.
     """
     fps = long_fingerprints(docs, "id", "text").where(F.col("id").isNotNull())
     fps = fps.join(ids, "id", "left_semi") if ids is not None else fps
@@ -247,22 +264,16 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, dist
     parts = dealt.groupBy("n", "v", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # a few times PART at most
     inner = parts.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
     stars = dealt.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    pairs = inner.union(stars).distinct()
+    pairs = inner.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))).groupBy("a", "b").agg(F.bool_and("star").alias("star"))
     left, right = fps.toDF("a", "fa"), fps.toDF("b", "fb")
     near = pairs.join(left, "a").join(right, "b").where(_long_chain(F.col("fa"), F.col("fb"), distance)).where(_long_distance(F.col("fa"), F.col("fb")) <= distance)
-    near = written(near.select("a", "b"), "near")
-    involved = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-    involved = written(docs.select("id", "text").join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    both = near.join(involved.toDF("a", "ta"), "a").join(involved.toDF("b", "tb"), "b")
-
-    def work(rows: dict) -> dict:
-        found = []
-        for a, b in zip(rows["ta"], rows["tb"], strict=True):
-            x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
-            found.append(len(x & y) / max(1, len(x | y)))
-        return {"a": rows["a"], "b": rows["b"], "jaccard": found}
-
-    return map_batches(both, work, "a long, b long, jaccard double", 64).where(F.col("jaccard") >= similarity)
+    near = written(near.select("a", "b", "star"), "near")
+    first = written(near.where("not star").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    linked = written(_decided(docs, first, similarity, width), "linked")
+    known = written(components(linked, "linked"), "known")
+    rest = near.join(first, ["a", "b"], "left_anti").join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
+    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    return linked.union(_decided(docs, rest, similarity, width))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -272,13 +283,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     """(id, keep) of docs (id, text): the least id of each group of copies is kept.
 
     Texts that are equal once white space and the case of A-Z are set aside are copies (null is empty);
-    others are linked by similar_pairs(). Null ids are left out; an id that repeats counts once.
+    others are linked by similar_links(). Null ids are left out; an id that repeats counts once.
     """
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
     same = written(docs.where(F.col("id").isNotNull()).select("id", F.md5(words).alias("m")), "same")
     classes = written(same.groupBy("m").agg(F.min("id").alias("rep")), "classes")
-    pairs = similar_pairs(docs, similarity, width, ids=classes.select(F.col("rep").alias("id")).distinct())
-    dropped = components(pairs.select("a", "b"), "near").where("node <> component").select(F.col("node").alias("rep"))
+    links = similar_links(docs, similarity, width, ids=classes.select(F.col("rep").alias("id")).distinct())
+    dropped = components(links, "near").where("node <> component").select(F.col("node").alias("rep"))
     kept = classes.join(dropped, "rep", "left_anti").select(F.col("rep").alias("id"), F.lit(True).alias("keep")).distinct()
     return same.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce("keep", F.lit(False)).alias("keep"))
 
