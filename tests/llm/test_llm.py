@@ -156,6 +156,24 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 7, 8] and kept.columns == docs(spark, texts).columns
 
 
+def test_large_groups_of_near_copies_keep_their_least_row(spark):
+    texts = []
+    for g in range(3):
+        base = words(300, 40 + g)
+        for n in range(40):
+            at = random.Random(1000 * g + n).sample(range(300), 2)
+            texts.append(" ".join(f"x{n}" if i in at else w for i, w in enumerate(base)))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if x == high else x for x in group]
+    kept = simhash.without_copies(docs(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({x + 1 for x in group}) == [1, 41, 81]
+
+
 def test_decontamination(spark):
     item = words(40, 20)
     changed = [w if n % 9 else "other" for n, w in enumerate(item)]
