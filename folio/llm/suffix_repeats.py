@@ -4,27 +4,33 @@ Of a document's suffixes (each begins at a word) only those at minimiser positio
 any SLIDE neighbouring positions, the one whose 10 words hash least. The choice depends on content
 alone, so copies of a passage retain the same places in it.
 
-Retained suffixes are ordered by the hash of their first CORE words, which makes those that begin
-alike neighbours; one whose neighbours all come from its own document is done. Each of the others is
-extended to the left, word by word, up to SLIDE - 1 words, and these longer suffixes are compared by
-their first LEAST words in the same way: equal neighbours from another document prove a repeat of
+Retained suffixes are sorted by the hash of their first CORE words over ranges of the whole table,
+ties by document, and each document's entry is compared with the entries next to it: an equal
+neighbour is another document's suffix that begins alike. Suffixes without one are done. Each of the
+others is extended to the left, word by word, up to SLIDE - 1 words, and these longer suffixes are
+sorted and compared by their first LEAST words in the same way: equal neighbours prove a repeat of
 LEAST words. Between the ends of a run of retained suffixes the repeats are joined, and the run's two
 ends are extended in full, so that the spans end where the match does.
 
 Any passage of LEAST words that two documents share is found: it has SLIDE positions from which CORE
-words lie within it, and one of them is retained in both. Comparing neighbours is done per hash with
-map-side combination, so that a passage in a third of all documents is no single task's work.
+words lie within it, and one of them is retained in both. Ranges are cut by hash and document, so that
+a passage in a third of all documents is spread over tasks; where a cut parts neighbours, the ends of
+the ranges (two entries for each) are compared afterwards. The order among unequal suffixes is of no
+use here, so that hashes stand in for their words and no text is shuffled for sorting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_schema, map_arrow, map_batches, written
 
@@ -92,11 +98,56 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return map_batches(docs, work, "doc_id long, h long, at int", 256)
 
 
+#: Marks of a sorted range's first and last entries.
+FIRST, LAST = 1, 2
+_COMPARED = "doc_id long, h long, at int, part int, near boolean, edge int"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range sorted by h and doc_id: the entries with an equal neighbour (near), and its first and last entries (edge).
+
+    An entry is all rows of one h and document; its neighbours are the entries before and after it.
+    """
+    schema, part = arrow_schema(_COMPARED), TaskContext.get().partitionId()
+
+    def rows(columns: list, near: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        kept = np.flatnonzero(near | (edge > 0))
+        found = [*(c[kept] for c in columns), np.full(len(kept), part), near[kept], edge[kept]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
+
+    held, near, edge = [], False, FIRST  # the entry that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        doc, h, _ = held[-1]
+        if doc[-1] == held[0][0][0] and h[-1] == held[0][1][0]:
+            continue
+        doc, h, at = map(np.concatenate, zip(*held, strict=True))
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(h) != 0) | (np.diff(doc) != 0)) + 1])
+        alike = h[starts[1:]] == h[starts[:-1]]
+        nears = np.append(alike, False) | np.append(near, alike)
+        sizes, last = np.diff(starts), starts[-1]
+        edges = np.zeros(last, np.int32)
+        edges[: sizes[0]] = edge
+        yield rows([doc[:last], h[:last], at[:last]], np.repeat(nears[:-1], sizes), edges)
+        held, near, edge = [[doc[last:], h[last:], at[last:]]], bool(nears[-1]), 0
+    if held:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        n = len(columns[0])
+        yield rows(columns, np.full(n, near), np.full(n, edge | LAST, np.int32))
+
+
 def in_other_documents(rows: DataFrame) -> DataFrame:
-    """(doc_id, at) of the rows (doc_id, h, at) whose h another document has too."""
-    shared = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
-    shared = written(shared, "shared")  # joined as a table, so that a hash of many rows can be split
-    return rows.join(shared, "h", "left_semi").select("doc_id", "at")
+    """(doc_id, at) of the rows (doc_id, h, at) whose h another document has too, by sorting and comparing neighbours."""
+    order = ["h", "doc_id"]
+    ranges = rows.select("doc_id", "h", "at").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(map_arrow(ranges, _compared, _COMPARED), "neighbours")
+    edges = found.where("edge > 0")
+    end = lambda mark: F.min(F.when(F.col("edge").bitwiseAND(F.lit(mark)) != 0, F.col("h")))
+    ends = edges.groupBy("part").agg(end(FIRST).alias("h"), end(LAST).alias("last"))
+    parted = ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).where("h = before").select("h").distinct()
+    return found.where("near").select("doc_id", "at").union(edges.where("not near").join(parted, "h", "left_semi").select("doc_id", "at"))
 
 
 def _runs(at: np.ndarray, gap: int) -> list[np.ndarray]:
