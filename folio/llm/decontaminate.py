@@ -6,19 +6,21 @@ looked up for every position of every document, and each hit's alignment is then
 directions, word by word with substitutions, before it counts.
 
 The benchmark goes to the tasks in blocks of bounded size (BLOCK_WORDS), one pass over the documents
-for each; documents are never shuffled.
+for each; documents are never shuffled. One block at a time is at the driver: a pass is written before
+the next block comes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches
+from .common import map_arrow, map_batches, written
 
 #: Masks of span 13 and 9 ones; together they bear a substitution at any place of a 13-word window.
 SEEDS = ("1101100111011", "1110111001101", "1011011110011")
@@ -116,14 +118,15 @@ def follow(doc: np.ndarray, item: np.ndarray, p: int, q: int, span: int) -> tupl
     return p - left + start, p - left + end, int(same[start:end].sum())
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of BLOCK_WORDS words; an item is never split. Each comes to the driver by itself."""
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The benchmark in blocks of about block_words words, each fetched when asked for, and whether it is the last; an item is never split."""
     sized = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = int(sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\w+"))), F.lit(0))).first()[0]) // BLOCK_WORDS + 1
-    return [[tuple(r) for r in sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()] for k in range(n)]
+    n = int(sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\w+"))), F.lit(0))).first()[0]) // block_words + 1
+    for k in range(n):
+        yield [tuple(r) for r in sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], k == n - 1
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, doc_word, item_word, length, matched.
 
     An overlap is an alignment without gaps of `length` words, at least LEAST_SHARE of them equal and at
@@ -135,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) i", "text t")
     ddl = "doc_id long, item_id long, doc_word int, item_word int, length int, matched int"
 
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
+    def scan(block: list[tuple[int, str]], last: bool) -> DataFrame:
         index = spark.sparkContext.broadcast(block)
         made: list[BenchmarkIndex] = []
 
@@ -144,19 +147,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = [(i, *o) for i, t in zip(batch["i"], batch["t"], strict=True) for o in made[0].overlaps(t)]
             return dict(zip(("doc_id", "item_id", "doc_word", "item_word", "length", "matched"), map(list, zip(*found, strict=True)) if found else [[]] * 6, strict=True))
 
-        return map_batches(rows, work, ddl)
+        found = map_batches(rows, work, ddl)
+        return found if last else written(found, "leaks")
 
-    return reduce(DataFrame.union, map(scan, _blocks(benchmark)))
+    return reduce(DataFrame.union, (scan(*b) for b in _blocks(benchmark, block_words)))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs whose text overlaps with no benchmark item, in the columns of docs; rows with a null doc_id are judged too."""
     spark = docs.sparkSession
     names = docs.columns
     out = docs
-    for block in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(block)
-        out = _clean(out, names, index)
+    for block, last in _blocks(benchmark, block_words):
+        out = _clean(out, names, spark.sparkContext.broadcast(block))
+        out = out if last else written(out, "clean")
     return out
 
 

@@ -128,6 +128,26 @@ def test_suffix_repeats(spark):
     assert found == wanted == {1: "40:100", 2: "10:70"} and suffix_repeats.repeats(docs(spark, texts).where("false")).count() == 0
 
 
+def test_sorted_neighbours_across_cut_ranges(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(40), r.randrange(6) if n % 3 else r.randrange(10**6), n) for n in range(1500)] + [(99, 77, n) for n in range(1300)]
+    seen = {}
+    for doc, h, _ in rows:
+        seen.setdefault(h, set()).add(doc)
+    df = spark.createDataFrame(rows, "doc_id long, h long, at int")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found = sorted(map(tuple, suffix_repeats.in_other_documents(df).collect()))
+            assert found == sorted((d, at) for d, h, at in rows if len(seen[h]) > 1)
+            assert suffix_repeats.in_other_documents(df.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def slow_fingerprint(text):
     w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     h = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in ([w[i : i + 3] for i in range(len(w) - 2)] or ([w] if w else []))]
@@ -182,6 +202,10 @@ def test_decontamination(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
     assert found == {(1, 1), (2, 1)} and sorted(r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), bench).collect()) == [3, 4, 5, 6]
     assert decontaminate.leaks(docs(spark, texts), bench.where("false")).count() == 0
+    more = bench.union(spark.createDataFrame([(9, " ".join(words(100, 24)[:30]))], bench.schema))
+    by_blocks = decontaminate.leaks(docs(spark, texts), more, block_words=20)
+    assert {(r["doc_id"], r["item_id"]) for r in by_blocks.collect()} == {(1, 1), (2, 1), (3, 9)}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), more, block_words=20).collect()) == [4, 5, 6]
 
 
 def test_preference_pairs(spark):
