@@ -9,8 +9,8 @@ ties by document, and each document's entry is compared with the entries next to
 neighbour is another document's suffix that begins alike. Suffixes without one are done. Each of the
 others is extended to the left, word by word, up to SLIDE - 1 words, and these longer suffixes are
 sorted and compared by their first LEAST words in the same way: equal neighbours prove a repeat of
-LEAST words. Between the ends of a run of retained suffixes the repeats are joined, and the run's two
-ends are extended in full, so that the spans end where the match does.
+LEAST words. Every one of them is extended in full, inside a run too: a document copied whole is one run,
+and a third that quotes its middle begins and ends inside it.
 
 Any passage of LEAST words that two documents share is found: it has SLIDE positions from which CORE
 words lie within it, and one of them is retained in both. Ranges are cut by hash and document, so that
@@ -155,12 +155,11 @@ def _runs(at: np.ndarray, gap: int) -> list[np.ndarray]:
 
 
 def extended_starts(at: np.ndarray, n_words: int) -> np.ndarray:
-    """Where to compare LEAST words: at every retained suffix, and at all left extensions at a run's two ends."""
-    starts = [at]
-    for run in _runs(at, SLIDE):
-        for end in (run[0], run[-1]):
-            starts.append(np.arange(end - SLIDE + 1, end + 1))
-    found = np.unique(np.concatenate(starts))
+    """Where to compare LEAST words: at every retained suffix and all its left extensions.
+
+    A window counts if both documents list it, and what is one run's end in one of them may lie inside a run of the other.
+    """
+    found = np.unique(at[:, None] - np.arange(SLIDE))
     return found[(found >= 0) & (found + LEAST <= n_words)]
 
 

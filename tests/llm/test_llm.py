@@ -128,6 +128,32 @@ def test_suffix_repeats(spark):
     assert found == wanted == {1: "40:100", 2: "10:70"} and suffix_repeats.repeats(docs(spark, texts).where("false")).count() == 0
 
 
+def test_quotes_from_the_middle_of_a_copied_text(spark):
+    base = words(2500, 31)
+    texts = [" ".join(base), " ".join(base)]
+    for n in range(20):
+        size, at = 50 + n, 100 + 115 * n
+        texts.append(" ".join([f"l{n}x{i}" for i in range(45)] + base[at : at + size] + [f"r{n}x{i}" for i in range(45)]))
+    edges = words(260, 32)  # matches with different documents that overlap
+    texts += [" ".join(edges), " ".join(edges[:130] + words(80, 33)), " ".join(words(80, 34) + edges[75:]), " ".join(words(70, 35) + edges[70:125] + words(70, 36))]
+    found = {r["doc_id"]: r["spans"] for r in suffix_repeats.repeats(docs(spark, texts)).collect()}
+    seen = {}
+    for n, t in enumerate(texts, 1):
+        w = t.split()
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), set()).add(n)
+    wanted = {}
+    for n, t in enumerate(texts, 1):
+        w, spans = t.split(), []
+        for i in (i for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1):
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + 50
+            else:
+                spans.append([i, i + 50])
+        wanted[n] = ",".join(f"{b}:{e}" for b, e in spans)
+    assert found == wanted and [wanted[n + 3] for n in range(20)] == [f"45:{95 + n}" for n in range(20)]
+
+
 def test_sorted_neighbours_across_cut_ranges(spark):
     r = random.Random(3)
     rows = [(r.randrange(40), r.randrange(6) if n % 3 else r.randrange(10**6), n) for n in range(1500)] + [(99, 77, n) for n in range(1300)]
