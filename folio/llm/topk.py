@@ -79,8 +79,7 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, vector_block: i
 
     Candidates: every row of the same length with another vec_id. All are given if there are fewer than
     k. Rows with a null id, a null vector, or null or non-finite components take no part; rows that
-    repeat an id are candidates (and queries) as often, equal (query_id, vec_id, score) rows are ranked
-    once. Scores are exact as long as they fit into 64 bits. An empty table gives an empty result.
+    repeat an id are candidates (and queries) as often, each with a rank of its own, as in ORACLE. Scores are exact as long as they fit into 64 bits. An empty table gives an empty result.
     """
     rows = scaled(vectors).withColumn("dim", F.size("x"))
     count = max(1, rows.count())
@@ -102,7 +101,7 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, vector_block: i
     keys = ["dim", "q", "b"]
     found = lists.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

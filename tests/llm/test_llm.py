@@ -272,6 +272,19 @@ def test_top_k_with_ties_and_bad_rows(spark):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
+def test_top_k_ranks_rows_that_repeat_an_id_as_the_sql_does(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(1, 90)] + [(200, [1.0, 1.0, 1.0, 1.0])] * 6 + [(50, [0.5] * 4), (50, [0.5] * 4), (0, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    wanted = con.execute(f"select {', '.join(columns)} from ({topk.ORACLE})").fetchall()
+    assert sorted(map(tuple, topk.top_k(df, vector_block=16, query_block=2).select(*columns).collect())) == sorted(wanted)
+    assert {r[2] for r in wanted if r[0] == 0} == {200} and len(wanted) == 15
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"  # sf0.01 has only 6 toxic held-out labels, too few for a figure (AUC 0.79 there)
     scored = llm.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
