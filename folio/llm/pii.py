@@ -89,18 +89,23 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 _WORDS = "|".join(SPELLED)
 _GLYPH = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + r"！-～٠-٩۰-۹०-९⁰-₉①-⑨]|[\U0001d7ce-\U0001d7ff]")
+_DOT = r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}"
+_BARE_DOT = r"[ \t]{1,3}dot[ \t]{1,3}"
+_HOST = r"[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,9}"
+_DIGITS = rf"(?:{_WORDS}|[0-9]{{1,19}})(?![^\W_])"
 _RULES = re.compile(
     rf"(?P<at>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:at|@)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
-    rf"|(?P<dot>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:dot|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
+    rf"|(?P<dot>{_DOT})"
     # bare words only in the frame "name at host dot domain"
-    rf"|(?P<bare>(?<=[a-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}[a-z0-9-]{{1,63}}(?:[ \t]{{1,3}}dot[ \t]{{1,3}}[a-z0-9-]{{1,63}})+(?![a-z0-9]))"
-    rf"|(?P<spelled>(?<![^\W_])(?:plus[ \t-]{{1,3}})?(?:{_WORDS})(?:[ \t-]{{1,3}}(?:{_WORDS})(?![^\W_])){{3,}})"
-    rf"|(?P<glyph>{_GLYPH.pattern})",
+    rf"|(?P<bare>(?<=[a-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}{_HOST}(?:(?:{_BARE_DOT}|{_DOT}){_HOST})+(?![a-z0-9]))"
+    # spelled digits, also beside numerals; _enough() decides
+    rf"|(?P<spelled>(?<![^\W_])(?:plus[ \t-]{{1,3}})?(?:[0-9]{{1,19}}[ \t-]{{1,3}}){{0,9}}(?:{_WORDS})(?![^\W_])(?:[ \t-]{{1,3}}{_DIGITS})*)",
     re.IGNORECASE,
 )
-_SPELLED_PART = re.compile(rf"plus|{_WORDS}", re.IGNORECASE)
-_BARE_PART = re.compile(r"[ \t]+(at|dot)[ \t]+", re.IGNORECASE)
-_MARKS = ("[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "[.", "(.", " dot ", *SPELLED)
+# what follows a rewritten or plain @
+_HOST_RULES = re.compile(rf"(?<=[a-z0-9._%+-]@){_HOST}(?:{_BARE_DOT}{_HOST})+(?![a-z0-9])", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"plus|{_WORDS}|[0-9]+", re.IGNORECASE)
+_AT_OR_DOT = re.compile(rf"(?P<at>[ \t]{{1,3}}at[ \t]{{1,3}})|{_BARE_DOT}|{_DOT}", re.IGNORECASE)
 
 
 def _plain(c: str) -> str:
@@ -113,66 +118,109 @@ def _plain(c: str) -> str:
     return str(n) if (n := unicodedata.digit(c, None)) is not None else c
 
 
-def rewrite(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
-    """The text without disguises and its pieces, or None if it has none.
+def _enough(parts: list[str], plus: bool) -> bool:
+    """Whether a run of spelled digits and numerals is taken for a number: four spelled ones, or fewer in one as long as a phone's or card's."""
+    spelled = sum(p in SPELLED for p in parts)
+    return spelled >= 4 or sum(1 if p in SPELLED else len(p) for p in parts if p != "plus") >= (9 if plus else 12)
+
+
+class _Rewritten:
+    """A text in the making and its pieces.
 
     A piece (at, start, end): from position `at` of the result on, the source's [start, end). Pieces of
     equal length on both sides are copies; others stand for one character each.
     """
-    if not _GLYPH.search(text):
-        low = text.lower()
-        if not any(mark in low for mark in _MARKS):
-            return None
-    out, pieces, size, done = [], [], 0, 0
 
-    def put(new: str, start: int, end: int) -> None:
-        nonlocal size
+    def __init__(self, text: str):
+        self.source_text, self.out, self.pieces, self.size, self.done = text, [], [], 0, 0
+
+    def put(self, new: str, start: int, end: int) -> None:
+        """`new` for the source's [start, end); what lies before is copied."""
+        if self.done < start:
+            copied, self.done = self.done, start
+            self.put(self.source_text[copied:start], copied, start)
+        self.done = end
         if new:
-            out.append(new)
-            pieces.append((size, start, end))
-            size += len(new)
+            self.out.append(new)
+            self.pieces.append((self.size, start, end))
+            self.size += len(new)
+
+    def finished(self) -> str | None:
+        """The result; None if nothing was rewritten."""
+        if not self.done:
+            return None
+        self.put("", len(self.source_text), len(self.source_text))
+        self.text, self.starts = "".join(self.out), [p[0] for p in self.pieces]
+        return self.text
+
+    def source(self, position: int) -> tuple[int, int]:
+        at, start, end = self.pieces[i := bisect_right(self.starts, position) - 1]
+        length = (self.starts[i + 1] if i + 1 < len(self.starts) else self.size) - at
+        return (start + position - at, start + position - at + 1) if length == end - start else (start, end)
 
+
+def _glyphs(text: str, new: _Rewritten) -> None:
+    for m in _GLYPH.finditer(text):
+        new.put(_plain(m[0]), *m.span())
+
+
+def _words(text: str, new: _Rewritten) -> None:
     for m in _RULES.finditer(text):
-        put(text[done : m.start()], done, m.start())
-        kind, done = m.lastgroup, m.end()
-        if kind == "at":
-            put("@", *m.span())
-        elif kind == "dot":
-            put(".", *m.span())
-        elif kind == "glyph":
-            put(_plain(m[0]), *m.span())
-        elif kind == "spelled":
-            for p in _SPELLED_PART.finditer(text, *m.span()):
-                put(SPELLED.get(p[0].lower(), "+"), *p.span())
+        kind = m.lastgroup
+        if kind == "spelled":
+            found = [(p[0].lower(), p.span()) for p in _SPELLED_PART.finditer(text, *m.span())]
+            parts = [p for p, _ in found]
+            if not _enough(parts, parts[0] == "plus" or text[m.start() - 1 : m.start()] == "+"):
+                continue
+            before = None
+            for p, (start, end) in found:
+                if before is not None and (p.isdigit() or before[0].isdigit()) and before[0] != "plus":
+                    new.put(" ", before[1], start)
+                elif before is not None:
+                    new.put("", before[1], start)
+                if p.isdigit():
+                    new.put(text[start:end], start, end)
+                else:
+                    new.put(SPELLED.get(p, "+"), start, end)
+                before = p, end
+        elif kind == "bare":
+            for p in _AT_OR_DOT.finditer(text, *m.span()):
+                new.put("@" if p["at"] else ".", *p.span())
         else:
-            at = m.start()
-            for p in _BARE_PART.finditer(text, *m.span()):
-                put(text[at : p.start()], at, p.start())
-                put("@" if p[1].lower() == "at" else ".", *p.span())
-                at = p.end()
-            put(text[at : m.end()], at, m.end())
-    if not pieces or not done:
-        return None
-    put(text[done:], done, len(text))
-    return "".join(out), pieces
+            new.put("@" if kind == "at" else ".", *m.span())
+
+
+def _hosts(text: str, new: _Rewritten) -> None:
+    for m in _HOST_RULES.finditer(text) if "@" in text else ():
+        for p in _AT_OR_DOT.finditer(text, *m.span()):
+            new.put(".", *p.span())
+
+
+def rewrite(text: str) -> list[_Rewritten]:
+    """The text without disguises, step by step: each rule sees what those before have made of it. Empty if it has none."""
+    steps = []
+    for rule in (_glyphs, _words, _hosts):
+        rule(text, new := _Rewritten(text))
+        if (plain := new.finished()) is not None:
+            text = plain
+            steps.append(new)
+    return steps
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
     """Base spans and those found behind disguises, by start, then kind."""
     base = base_spans(text) if base is None else base
-    changed = rewrite(text)
-    if changed is None:
+    steps = rewrite(text)
+    if not steps:
         return base
-    plain, pieces = changed
-    starts = [p[0] for p in pieces]
 
-    def source(position: int) -> tuple[int, int]:
-        at, start, end = pieces[i := bisect_right(starts, position) - 1]
-        length = (starts[i + 1] if i + 1 < len(starts) else len(plain)) - at
-        return (start + position - at, start + position - at + 1) if length == end - start else (start, end)
+    def source(start: int, end: int) -> tuple[int, int]:
+        for step in reversed(steps):
+            start, end = step.source(start)[0], step.source(end - 1)[1]
+        return start, end
 
-    added = [(source(s)[0], k, source(e - 1)[1]) for s, k, e in base_spans(plain)]
-    return sorted(base + [x for x in added if not any(x[1] == k and x[0] < e and s < x[2] for s, k, e in base)])
+    added = [(*source(s, e), k) for s, k, e in base_spans(steps[-1].text)]
+    return sorted(base + [(s, k, e) for s, e, k in added if not any(k == n and b < e and s < z for b, n, z in base)])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -110,6 +110,22 @@ def test_pii(spark):
     assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and all(pii.all_spans(t) == [] for t in ("we met at noon dot", "one two three"))
 
 
+@pytest.mark.parametrize("text", [
+    *[f"joe {o}{at}{c} mail {o}{dot}{c} de" for o, c in ("[]", "()", "{}", "<>") for at in ("at", "@", "  at\t", " @ ") for dot in ("dot", ".", "\tdot  ", " . ")],
+    "joe\tat\tmail\tdot\tde", "joe [at] mail dot org", "joe@mail dot org", "joe at mail [dot] org", "joe at m\u0430il dot org", "joe@eu dot mail dot org",
+    "plus four nine 30 1234567", "+four nine 30 1234567", "plus 49 three zero 1234567",
+])
+def test_each_disguise_alone(text):
+    for around in (text, f"x: {text}, y"):
+        found = pii.all_spans(around)
+        assert [around[s:e] for s, _, e in found] == [text] and found[0][1] == (3 if "1234567" in text else 0)
+
+
+def test_what_is_no_disguise():
+    for text in ("meet at noon", "two of 30 1234567", "look at mail.org", "room 4 at one", "dot . dot", "(. )", "at one 30"):
+        assert pii.all_spans(text) == [], text
+
+
 def test_suffix_repeats(spark):
     shared = words(70, 1)
     texts = [" ".join(words(40, 2) + shared + words(30, 3)), " ".join(words(10, 4) + shared[:60] + words(200, 5)), " ".join(words(300, 6)), None, "", " ".join(words(60, 7) * 2)]
