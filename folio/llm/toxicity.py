@@ -4,7 +4,8 @@ A lexicon is learned first: words and word beginnings that are far more common i
 dense features are densities of its entries, how near they stand to second-person words, and rates
 of capitals, punctuation and obfuscated words. Spark ML fits the trees on one part of the labelled
 rows and an isotonic curve from their probabilities to labels on another; both fit on bounded
-samples (SAMPLE), everything is scored.
+samples (SAMPLE), everything is scored. Where a class is sampled, its rows weigh as much as all its
+learnable labels, so that a score stands for the labels' own share of toxic rows at every size.
 """
 
 from __future__ import annotations
@@ -158,16 +159,22 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, toxic, text) of at most SAMPLE labelled rows with a fold that is not 0, each class's by least hash of the id.
+    """(fold, toxic, weight, text) of at most SAMPLE labelled rows with a fold that is not 0, each class's by least hash of the id.
+
+    weight: of the class's learnable labels, how many one sampled row stands for (1 where all are taken).
 
     A document with several labels is toxic if one says so; one whose rows repeat counts as often. Only
     the ids are sampled and sorted; texts are not shuffled while the sample is below the broadcast limit.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").withColumn("x", F.xxhash64("doc_id"))
+    known = written(known, "known")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = (max(1.0, counts.get(c, 0) / SAMPLE[c]) for c in (1, 0))
     some = [known.where(F.col("toxic") == c).orderBy("x", "doc_id").limit(n).select("doc_id", "toxic", "fold") for c, n in SAMPLE.items()]
     chosen = written(some[0].union(some[1]), "labels")
-    return written(docs.select("doc_id", "text").join(chosen, "doc_id").select("fold", "toxic", "text"), "sample")
+    weight = F.when(F.col("toxic") == 1, F.lit(bad)).otherwise(F.lit(good)).alias("weight")
+    return written(docs.select("doc_id", "text").join(chosen, "doc_id").select("fold", "toxic", weight, "text"), "sample")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -183,14 +190,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     featured = written(with_features(sample, model.lexicon).drop("text"), "features")
     vectors = featured.withColumn("__tox_vector", array_to_vector(FEATURE_COLUMN))
     trees = GBTClassifier(
-        featuresCol="__tox_vector", labelCol="toxic", predictionCol="__tox_class",
+        featuresCol="__tox_vector", labelCol="toxic", weightCol="weight", predictionCol="__tox_class",
         maxIter=15, maxDepth=3, stepSize=0.3, maxBins=32, seed=7, cacheNodeIds=False,
     )
     trees.setProbabilityCol("__tox_probability").setRawPredictionCol("__tox_margin")
     model.trees = trees.fit((vectors.where(F.col("fold") != CALIBRATION) if apart else vectors).coalesce(4))
     points = model._raw(featured.where(F.col("fold") == CALIBRATION) if apart else featured)
-    curve = IsotonicRegression(featuresCol="__tox_p", labelCol="toxic", predictionCol="__tox_score")
-    model.curve = curve.fit(points.select("__tox_p", F.col("toxic").cast("double").alias("toxic")))
+    curve = IsotonicRegression(featuresCol="__tox_p", labelCol="toxic", weightCol="weight", predictionCol="__tox_score")
+    model.curve = curve.fit(points.select("__tox_p", F.col("toxic").cast("double").alias("toxic"), "weight"))
     return model
 
 

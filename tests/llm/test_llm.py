@@ -311,6 +311,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert [r["score"] for r in blank] == [0.0] * 3 and all(r["predicted"] == 0 for r in blank)
 
 
+def test_scores_mean_the_same_when_classes_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 100, 0: 200})
+    n = 4000  # one in ten is toxic, and texts say nothing of it
+    df = docs(spark, [["some plain words", "other plain words here"][i // 10 % 2] for i in range(n)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1, n + 1)], "doc_id long, toxic int")
+    scores = [r["score"] for r in toxicity.score_documents(df, labels).collect()]
+    assert 0.05 < sum(scores) / n < 0.16 and max(scores) < 0.3
+
+
 def test_pipeline_runs_and_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "tokens"]
     rows = corpus_pipeline.run(spark, DATA)
