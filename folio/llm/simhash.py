@@ -14,6 +14,7 @@ points over the bits that vary in the group, and members of one point (65 at mos
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import repeat
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import map_batches, written
+from .suffix_repeats import window_hashes
 
 SEED = 42
 #: A key's group is expanded into pairs up to this size; beyond it, by common points.
@@ -173,54 +175,84 @@ def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 # --- near copies of whole texts at a Jaccard similarity --------------------------------------
 
-#: 64-bit words of the long fingerprint and 21-bit segments in each; every segment is a key.
-LONG_WORDS, LONG_SEGMENTS = 10, 3
-#: A key's group is dealt into parts of about this size, all pairs of a part are candidates.
-PART = 6
+#: Documents sampled for what is common, how many of them share a common shingle, and how many such shingles are held.
+SAMPLED, COMMON, COMMON_HELD = 5_000, 5, 100_000
+#: A key's group is dealt into blocks of about this size, and each block meets each.
+BLOCK = 256
 
 
-def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fps): LONG_WORDS 64-bit SimHashes over word pairs, from one XXH64 a word and mixing of their sums."""
-    rng = np.random.default_rng(SEED)
-    salts = rng.integers(1, 1 << 63, LONG_WORDS, dtype=np.uint64)
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The set of the hashes of shingles(), ascending, from one XXH64 a word."""
+    words = (text or "").encode().lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    return np.unique(window_hashes(h, min(width, len(h)))) if len(h) else h
 
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
-    def work(rows: dict) -> dict:
-        hashes = []
-        for t in rows["t"]:
-            words = (t or "").encode().lower().split()
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-            hashes.append(mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h)
-        full = [i for i, h in enumerate(hashes) if len(h)]
-        fps = np.zeros((len(hashes), LONG_WORDS), np.uint64)
-        if full:
-            starts = np.cumsum([0, *(len(hashes[i]) for i in full[:-1])])
-            flat = np.concatenate([hashes[i] for i in full])
-            for n, salt in enumerate(salts):
-                fps[full, n] = _majority(mixed(flat ^ salt), starts)
-        return {"id": rows["i"], "fps": list(fps.view(np.int64))}
-
-    return map_batches(docs.selectExpr(f"cast({id_col} as long) i", f"{text_col} t"), work, "id long, fps array<long>", 256)
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of a sample of docs (id, text) share, ascending, and in how many they are. Only an order comes of it."""
+    every = max(1, docs.count() // SAMPLED)
+    work = lambda rows: {"h": np.concatenate([shingle_hashes(t, width) for t in rows["text"]]).view(np.int64)}
+    hashed = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text"), work, "h long", 256)
+    found = hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMON_HELD).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def _long_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def prefix_keys(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(id, key, at, n): the first shingles of each set of n, in an order that has common ones last.
 
+    Sets of that similarity share ceil(similarity * n) shingles at least, so that one of the first
+    n - ceil(similarity * n) + 1 of either is among those of the other, in any order.
+    """
+    known, counts = common_shingles(docs, width)
 
-def _long_chain(a: Column, b: Column, distance: int, length: int = 4) -> Column:
-    """Around the ring of the long fingerprint's words: some chain keeps within l * distance / LONG_WORDS at l = 1..length."""
-    diffs = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    ring = F.concat(diffs, F.slice(diffs, 1, length - 1))
-
-    def holds(i: Column) -> Column:
-        sums = [F.aggregate(F.slice(ring, i, n), F.lit(0), lambda s, x: s + x) <= distance * n / LONG_WORDS for n in range(1, length + 1)]
-        return reduce(Column.__and__, sums)
+    def work(rows: dict) -> dict:
+        ids, keys, places, sizes = [], [], [], []
+        for i, t in zip(rows["id"], rows["text"], strict=True):
+            h = shingle_hashes(t, width)
+            if not len(h):
+                continue
+            rank = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, counts[at], 0)
+            first = h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+            ids.append(np.full(len(first), i, np.int64))
+            keys.append(first)
+            places.append(np.arange(len(first)))
+            sizes.append(np.full(len(first), len(h)))
+        if not ids:
+            return {"id": [], "key": [], "at": [], "n": []}
+        return {"id": np.concatenate(ids), "key": np.concatenate(keys).view(np.int64), "at": np.concatenate(places).astype(np.int32), "n": np.concatenate(sizes).astype(np.int32)}
+
+    return map_batches(docs.select("id", "text"), work, "id long, key long, at int, n int", 256)
+
+
+def _cross_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of rows (key, id, at, n, c, size) that share a key, are of different components c, and may be that similar by their sizes and the key's places."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    dealt = live.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    row = F.struct("id", "c", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block")
+    met = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(row).alias("rows"))
+    met = met.select("x", "y", *[F.col("rows")[f].alias(f) for f in ("id", "c", "n", "at", "block")])
 
-    return F.exists(F.sequence(F.lit(1), F.lit(LONG_WORDS)), holds)
+    def work(rows: dict) -> dict:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y, *columns in zip(*(rows[f] for f in ("x", "y", "id", "c", "n", "at", "block")), strict=True):
+            i, c, n, at, block = (np.array(v, np.int64) for v in columns)
+            least, rest = np.minimum, n - at - 1
+            fits = (i[:, None] < i) & (c[:, None] != c) & (least(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9)
+            shared = least(at[:, None], at) + 1 + least(rest[:, None], rest)
+            fits &= shared >= similarity / (1 + similarity) * (n[:, None] + n) - 1e-9
+            if x < y:
+                fits &= block[:, None] != block
+            p, q = np.nonzero(fits)
+            a.append(i[p])
+            b.append(i[q])
+        return {"a": np.concatenate(a), "b": np.concatenate(b)}
+
+    return map_batches(met, work, "a long, b long", 64).distinct()
 
 
 def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -239,40 +271,28 @@ def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -
     return map_batches(both, work, "a long, b long, jaccard double", 64).where(F.col("jaccard") >= similarity)
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 100, ids: DataFrame | None = None) -> DataFrame:
-    """Links (a, b, jaccard), a < b, of rows of docs (id, text) whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more: they connect what all such candidates connect.
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, ids: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, jaccard), a < b, of rows of docs (id, text) whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more: they connect all such rows.
 
-    Candidates share a 21-bit segment of the long fingerprint: with words replaced here and there up to
-    similarity 0.8, a bit differs with probability of about 0.1, so that the 30 segments miss a pair in
-    about 2 of 100 cases. They pass the pigeonring test and then the Hamming test (`distance` of 640
-    bits), and each is then decided on the whole texts. ids (id): the rows to compare, else all. Groups
-    that share a key are dealt by hash into parts of about PART rows, other parts for each key; a part's
-    pairs and the link of each row to the group's least row are candidates, so that work grows with the
-    group's size. Each row's pair with its least partner in a part is decided first, then the pairs whose
-    rows these links leave apart: a large group of copies takes about one pair of texts for each row.
-    Null ids take no part, an id that repeats counts once.
+    Rows of that similarity share a key of prefix_keys(), whatever the edits between them, and every pair
+    that shares a key is either connected by other links, excluded by an upper bound of its similarity, or
+    decided on the whole texts. Each row's pair with the least row of a group is decided first, so that a
+    large group of copies takes about one pair of texts for each row; then those that these links leave
+    apart. Those are many where a large group's rows share a key and are not similar: work then grows with
+    the square of the group. ids (id): the rows to compare, else all. Null ids take no part, an id that
+    repeats counts once.
     """
-    fps = long_fingerprints(docs, "id", "text").where(F.col("id").isNotNull())
-    fps = fps.join(ids, "id", "left_semi") if ids is not None else fps
-    fps = written(fps.dropDuplicates(["id"]), "long")
-    segments = F.flatten(F.transform("fps", lambda x: F.array(*[F.shiftright(x, 21 * s).bitwiseAND(F.lit((1 << 21) - 1)) for s in range(LONG_SEGMENTS)])))
-    keyed = fps.select("id", F.posexplode(segments).alias("n", "v"))
-    groups = keyed.groupBy("n", "v").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-    groups = written(groups, "groups")
-    dealt = keyed.join(groups, ["n", "v"]).withColumn("part", F.pmod(F.xxhash64("id", "n"), F.ceil(F.col("size") / PART)))
-    dealt = dealt.select("n", "v", "part", "id", "first")
-    parts = dealt.groupBy("n", "v", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # a few times PART at most
-    inner = parts.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-    stars = dealt.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    pairs = inner.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))).groupBy("a", "b").agg(F.bool_and("star").alias("star"))
-    left, right = fps.toDF("a", "fa"), fps.toDF("b", "fb")
-    near = pairs.join(left, "a").join(right, "b").where(_long_chain(F.col("fa"), F.col("fb"), distance)).where(_long_distance(F.col("fa"), F.col("fb")) <= distance)
-    near = written(near.select("a", "b", "star"), "near")
-    first = written(near.where("not star").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    docs = docs.where(F.col("id").isNotNull())
+    keyed = written(prefix_keys(docs.join(ids, "id", "left_semi") if ids is not None else docs, similarity, width), "keyed")
+    groups = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    members = written(keyed.join(written(groups, "groups"), "key"), "members")
+    first = written(members.where("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b")), "first")
     linked = written(_decided(docs, first, similarity, width), "linked")
-    known = written(components(linked, "linked"), "known")
-    rest = near.join(first, ["a", "b"], "left_anti").join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
-    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    known = written(components(linked, "linked"), "known").toDF("id", "component")
+    live = written(members.join(known, "id", "left").select("key", "id", "at", "n", F.coalesce("component", "id").alias("c")), "live")
+    apart = live.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    rest = _cross_pairs(live.join(written(apart.select("key", "size"), "apart"), "key"), similarity)
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
     return linked.union(_decided(docs, rest, similarity, width))
 
 

@@ -236,6 +236,28 @@ def test_large_groups_of_near_copies_keep_their_least_row(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({x + 1 for x in group}) == [1, 41, 81]
 
 
+def kept_by_brute_force(texts):
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if x == high else x for x in group]
+    return sorted({x + 1 for x in group})
+
+
+def test_tails_blocks_and_scattered_edits_at_the_limit(spark):
+    texts = []
+    for n in range(60):
+        base = words(200, 500 + n)
+        cut, other = n % 20 + 20, [f"e{n}x{i}" for i in range(60)]
+        texts += [" ".join(base), " ".join(base + other[:cut]), " ".join(base[:50] + other[: cut // 2] + base[50 + cut // 2 :])]
+        texts.append(" ".join(f"s{n}" if i % (60 - cut) == 7 else w for i, w in enumerate(base)))
+    texts += [" ".join(words(8, 77) * 3), " ".join(words(8, 77) * 9)]  # equal sets
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs(spark, texts)).collect()) == kept_by_brute_force(texts)
+
+
 def test_decontamination(spark):
     item = words(40, 20)
     changed = [w if n % 9 else "other" for n, w in enumerate(item)]
