@@ -258,6 +258,18 @@ def test_tails_blocks_and_scattered_edits_at_the_limit(spark):
     assert sorted(r["doc_id"] for r in simhash.without_copies(docs(spark, texts)).collect()) == kept_by_brute_force(texts)
 
 
+def test_sparse_chains_within_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    base = words(200, 90)
+    texts = [" ".join(base[:75] + words(65, 600 + n) + base[75:]) for n in range(150)]  # share most words, none similar enough
+    for n in range(0, 30, 3):  # each is like the one before only
+        middle = words(65, 600 + n)
+        for k in (1, 2, 3):
+            texts.append(" ".join(base[:75] + [f"c{n}x{i}" if i < 12 * k else w for i, w in enumerate(middle)] + base[75:]))
+    random.Random(4).shuffle(texts)
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs(spark, texts)).collect()) == kept_by_brute_force(texts) and len(kept_by_brute_force(texts)) < len(texts) - 20
+
+
 def test_decontamination(spark):
     item = words(40, 20)
     changed = [w if n % 9 else "other" for n, w in enumerate(item)]
