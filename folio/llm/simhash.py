@@ -1,36 +1,37 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-Fingerprints of equal value are one class from the start. Of two fingerprints that differ in at most
-t of the bits of m ring-ordered segments, some chain of consecutive segments has, at each of its
-lengths l, at most l * t / m differing bits in all (the pigeonring principle). With t = 2 and m = 3
-the chain's first segment is equal and the first two differ in at most one bit, so that one half of
-the second is equal too: six keys of 32 bits find every pair. Candidates must pass the whole chain
-test before the full Hamming distance is taken.
-
-A key that many fingerprints share (a cluster of near copies) is not expanded into pairs: two members
-at distance 2 or less have a common point at distance 1 or less of both, so each member lists its
-points over the bits that vary in the group, and members of one point (65 at most) link to the least.
+A fingerprint's bits are m ring-ordered segments. If two fingerprints differ in at most t bits, some
+chain of consecutive segments has, at each of its lengths l, at most l * t / m differing bits in all
+(the pigeonring principle). Pairs that share a key are put to that test before the full Hamming
+distance is taken, whatever the number of rows that share the key: rows are dealt into blocks, each
+block meets each, and a task compares two blocks in memory.
+
+Two uses. `link_components` links 64-bit fingerprints at 2 or fewer differing bits; keys are a segment
+with parts of the next one, which the principle itself gives, so that no pair is missed.
+`near_duplicates` finds whole texts whose shingle sets have a Jaccard similarity of 0.8 or more; there a
+segment is too seldom equal to be a key, so that keys are the least shingle hashes of a text, a pair's
+512-bit fingerprints are tested, and what is left is decided on the texts.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, written
+from .common import arrow_schema, map_arrow, map_batches, written
 from .suffix_repeats import window_hashes
 
 SEED = 42
-#: A key's group is expanded into pairs up to this size; beyond it, by common points.
-PAIRED_GROUP = 16
+#: Rows in a block of a key's group.
+BLOCK = 1024
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -79,60 +80,85 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return map_batches(docs.selectExpr(f"cast({id_col} as long) i", f"{text_col} t"), work, f"{id_col} long, fp long", 256)
 
 
-# --- links at distance 2 or less -------------------------------------------------------------
+# --- pigeonring ------------------------------------------------------------------------------
 
-#: The ring's segments as (lowest bit, width), and each one's halves.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-
-
-def _mask(low: int, width: int) -> int:
-    m = ((1 << width) - 1) << low
-    return m - (1 << 64) if m >= 1 << 63 else m
 
+def chain_holds(parts: np.ndarray, distance: int) -> np.ndarray:
+    """parts (pairs, m): differing bits by segment. Whether some chain stays within the proportional budget at each length below m."""
+    m = parts.shape[1]
+    total, alive = np.zeros_like(parts), np.ones(parts.shape, bool)
+    for length in range(1, m):
+        total += np.roll(parts, 1 - length, axis=1)
+        alive &= m * total <= length * distance
+    return alive.any(axis=1)
 
-def _halves(low: int, width: int) -> tuple[int, int]:
-    return _mask(low, width // 2), _mask(low + width // 2, width - width // 2)
 
+def alike(a: np.ndarray, b: np.ndarray, distance: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): which rows of a and b (words of fingerprints) are within that distance.
 
-def ring_keys() -> list[int]:
-    """Key masks: a chain's first segment with one half of its second."""
-    return [_mask(*SEGMENTS[i]) | h for i in range(3) for h in _halves(*SEGMENTS[(i + 1) % 3])]
-
-
-def _bits(x: Column) -> Column:
-    return F.bit_count(x)
+    masks (m, words): the segments in ring order. Pairs without a segment within its own budget go
+    first, then those without a chain; the others' whole distance is taken.
+    """
+    m, rows = len(masks), max(1, (1 << 17) // max(1, len(b)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo in range(0, len(a), rows):
+        diff = a[lo : lo + rows, None, :] ^ b[None, :, :]
+        parts = np.stack([np.bitwise_count(diff[:, :, used] & mask[used]).sum(2, dtype=np.int16) for mask in masks for used in [np.flatnonzero(mask)]], 2)
+        i, j = np.nonzero(m * parts.min(2) <= distance)
+        parts = parts[i, j]
+        kept = np.flatnonzero(chain_holds(parts, distance))
+        kept = kept[parts[kept].sum(1) <= distance]
+        found.append((i[kept] + lo, j[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (i, j) of n rows suffice to connect what all of them connect."""
+    root, kept = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if (x := find(x)) != (y := find(y)):
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def pairs_within_groups(members: DataFrame, keys: list[str], distance: int, masks: np.ndarray, forest: bool = False) -> DataFrame:
+    """(a, b), a < b, distinct: ids of rows of one group within that distance and of different c.
+
+    members: keys, id, c, fp (binary, little-endian words), size (rows of the group). Groups are dealt into
+    blocks of about BLOCK rows, and each block meets each, in tasks of their own: rows of a group are sent
+    size / BLOCK times. forest: of a task's pairs, those that connect what all of them connect.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = dealt.groupBy(*keys, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("id", "c", "block", "fp")).alias("r"))
+    met = met.select("x", "y", *[F.col("r")[f].alias(f) for f in ("id", "c", "block", "fp")])
+    words = masks.shape[1]
 
+    def work(rows: dict) -> dict:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y, i, c, block, fp in zip(*(rows[f] for f in ("x", "y", "id", "c", "block", "fp")), strict=True):
+            i, c, block = (np.array(v, np.int64) for v in (i, c, block))
+            fp = np.frombuffer(b"".join(fp), "<u8").reshape(-1, words)
+            own, met_by = (np.flatnonzero(block == x), np.flatnonzero(block == y)) if x < y else (np.arange(len(i)),) * 2
+            p, q = alike(fp[own], fp[met_by], distance, masks)
+            p, q = own[p], met_by[q]
+            kept = (c[p] != c[q]) & ((i[p] < i[q]) | (x < y))
+            p, q = p[kept], q[kept]
+            if forest:
+                kept = _forest(p, q, len(i))
+                p, q = p[kept], q[kept]
+            a.append(np.minimum(i[p], i[q]))
+            b.append(np.maximum(i[p], i[q]))
+        return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
-def chain_holds(a: Column, b: Column, distance: int = 2) -> Column:
-    """Some chain of segments stays within the proportional budgets at each of its lengths."""
-    diff = a.bitwiseXOR(b)
-    m = len(SEGMENTS)
-    parts = [_bits(diff.bitwiseAND(F.lit(_mask(*s)))) for s in SEGMENTS]
-    chains = []
-    for i in range(m):
-        sums = [sum((parts[(i + j) % m] for j in range(1, n)), parts[i]) for n in range(1, m + 1)]
-        chains.append(reduce(Column.__and__, [s <= distance * n // m for n, s in enumerate(sums, 1)]))
-    return reduce(Column.__or__, chains)
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) over the distinct values `fp` that connect all pairs at Hamming distance 2 or less."""
-    masks = ring_keys()
-    keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for n, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.v")
-    groups = keyed.groupBy("n", "v").agg(F.count("*").alias("size"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("every")).where("size > 1")
-    groups = written(groups, "groups")  # joined as a table, so that a key of many rows can be split
-    members = written(keyed.join(groups, ["n", "v"]).withColumn("varying", F.col("some").bitwiseXOR(F.col("every"))).drop("some", "every"), "members")
-    small, large = members.where(F.col("size") <= PAIRED_GROUP), members.where(F.col("size") > PAIRED_GROUP)
-    other = small.select("n", "v", F.col("fp").alias("b"))
-    pairs = small.select("n", "v", F.col("fp").alias("a")).join(other, ["n", "v"]).where("a < b")
-    pairs = pairs.where(chain_holds(F.col("a"), F.col("b"))).where(_bits(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
-    ones = F.array(*[F.lit(_mask(i, 1)) for i in range(64)])
-    points = F.concat(F.array(F.col("fp")), F.transform(F.filter(ones, lambda x: x.bitwiseAND(F.col("varying")) != 0), lambda x: x.bitwiseXOR(F.col("fp"))))
-    near = large.select("n", "v", "fp", F.explode(points).alias("point"))
-    least = near.groupBy("n", "v", "point").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 fingerprints at most
-    stars = least.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
-    return pairs.unionByName(stars).distinct()
+    return map_batches(met, work, "a long, b long", 64).where("a < b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -157,6 +183,56 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = new
 
 
+# --- fingerprints at distance 2 or less ------------------------------------------------------
+
+DISTANCE = 2
+#: The ring's segments of a 64-bit fingerprint as (lowest bit, width).
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Rows of one key, on average, that keys are chosen for.
+GROUP = 4
+
+
+def _mask(low: int, width: int) -> int:
+    return ((1 << width) - 1) << low
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def ring_keys(count: int = 0) -> list[int]:
+    """Key masks that bring every pair at distance 2 together.
+
+    A chain's first segment is equal and the first two differ in one bit at most, so that all parts of the
+    second but one are equal too: a key is a segment with the next one less a part. The number of parts
+    is the least by which `count` fingerprints have GROUP rows of a key on average, if they are spread evenly.
+    """
+    bits = lambda parts: 43 - math.ceil(21 / parts)
+    parts = next((p for p in range(2, 21) if count >> bits(p) <= GROUP), 21)
+    out = []
+    for i, first in enumerate(SEGMENTS):
+        low, width = SEGMENTS[(i + 1) % 3]
+        cuts = [low + width * k // parts for k in range(parts + 1)]
+        out += [_mask(*first) | (_mask(low, width) & ~_mask(s, e - s)) for s, e in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) over the distinct values `fp` that connect all pairs at Hamming distance 2 or less."""
+    masks = ring_keys(fps.count())
+    keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for n, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.v")
+    groups = written(keyed.groupBy("n", "v").agg(F.count("*").alias("size")).where("size > 1"), "groups")  # joined as a table, so that a key of many rows can be split
+    members = keyed.join(groups, ["n", "v"]).select("n", "v", "size", F.col("fp").alias("id"), F.col("fp").alias("c"), _little_endian("fp").alias("fp"))
+    return pairs_within_groups(members, ["n", "v"], DISTANCE, np.array([[_mask(*s)] for s in SEGMENTS], np.uint64), forest=True)
+
+
+def _little_endian(name: str):
+    """A long column's eight bytes, the lowest first."""
+    hexed = F.lpad(F.hex(name), 16, "0")
+    return F.unhex(F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)]))
+
+
 def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, fingerprint (16 hex digits) and component_id, the least id it reaches by links.
 
@@ -175,10 +251,14 @@ def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 # --- near copies of whole texts at a Jaccard similarity --------------------------------------
 
-#: Documents sampled for what is common, how many of them share a common shingle, and how many such shingles are held.
-SAMPLED, COMMON, COMMON_HELD = 5_000, 5, 100_000
-#: A key's group is dealt into blocks of about this size, and each block meets each.
-BLOCK = 256
+#: 64-bit words of a long fingerprint, each a segment of the ring.
+WORDS = 8
+#: Standard deviations by which the distance allowed exceeds the mean at the least similarity: about one pair in a million is above.
+DEVIATIONS = 4.75
+#: The chance that two texts of the least similarity share no key.
+MISSED = 1e-9
+#: Least hashes of each text that are counted; those of more than LATE_FROM texts come last among keys, LATE_HELD of them at most.
+COUNTED, LATE_FROM, LATE_HELD = 32, 32, 100_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -188,71 +268,86 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(width, len(h)))) if len(h) else h
 
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several of a sample of docs (id, text) share, ascending, and in how many they are. Only an order comes of it."""
-    every = max(1, docs.count() // SAMPLED)
-    work = lambda rows: {"h": np.concatenate([shingle_hashes(t, width) for t in rows["text"]]).view(np.int64)}
-    hashed = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text"), work, "h long", 256)
-    found = hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMON_HELD).collect()
-    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def allowed_distance(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Differing bits of long fingerprints up to which sets may be that similar.
+
+    A bit differs with probability angle / pi; the angle of sets of that Jaccard similarity is widest for
+    sets of equal size, whose cosine is 2 * similarity / (1 + similarity).
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
 
+def _words(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Long fingerprints (sets, WORDS) of the sets of hashes that begin at starts."""
+    out = np.empty((len(starts), WORDS), np.uint64)
+    for k in range(WORDS):
+        x = (h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = _majority(x ^ (x >> np.uint64(32)), starts)
+    return out
 
-def prefix_keys(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(id, key, at, n): the first shingles of each set of n, in an order that has common ones last.
 
-    Sets of that similarity share ceil(similarity * n) shingles at least, so that one of the first
-    n - ceil(similarity * n) + 1 of either is among those of the other, in any order.
+def late_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes that are among the COUNTED least of more than LATE_FROM texts of docs (text), ascending; the most frequent LATE_HELD.
+
+    They only set an order of keys. All texts count; the bound is on what reaches the driver.
     """
-    known, counts = common_shingles(docs, width)
+    work = lambda rows: {"h": np.concatenate([shingle_hashes(t, width)[:COUNTED] for t in rows["text"]]).view(np.int64)}
+    counts = map_batches(docs.select("text"), work, "h long", 256).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LATE_FROM)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(LATE_HELD).collect()], np.int64).view(np.uint64))
 
-    def work(rows: dict) -> dict:
-        ids, keys, places, sizes = [], [], [], []
-        for i, t in zip(rows["id"], rows["text"], strict=True):
-            h = shingle_hashes(t, width)
-            if not len(h):
-                continue
-            rank = np.zeros(len(h), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                rank = np.where(known[at] == h, counts[at], 0)
-            first = h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-            ids.append(np.full(len(first), i, np.int64))
-            keys.append(first)
-            places.append(np.arange(len(first)))
-            sizes.append(np.full(len(first), len(h)))
-        if not ids:
-            return {"id": [], "key": [], "at": [], "n": []}
-        return {"id": np.concatenate(ids), "key": np.concatenate(keys).view(np.int64), "at": np.concatenate(places).astype(np.int32), "n": np.concatenate(sizes).astype(np.int32)}
-
-    return map_batches(docs.select("id", "text"), work, "id long, key long, at int, n int", 256)
-
-
-def _cross_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of rows (key, id, at, n, c, size) that share a key, are of different components c, and may be that similar by their sizes and the key's places."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = live.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    row = F.struct("id", "c", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "block")
-    met = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(row).alias("rows"))
-    met = met.select("x", "y", *[F.col("rows")[f].alias(f) for f in ("id", "c", "n", "at", "block")])
+
+def key_count(n: int, late: int, similarity: float) -> int:
+    """How many of a set's n hashes, late ones last, are keys, so that similar sets share one.
+
+    Of the hashes of either set that are not late, at most a share (1 - similarity) * n / (n - late) is in
+    one set alone, and hashes stand in random order: that the first k are all such has at most that share's
+    k-th power as its chance. Where late ones leave too few, one of the first n - ceil(similarity * n) + 1 is
+    shared in any order.
+    """
+    certain = n - math.ceil(similarity * n - 1e-9) + 1
+    share = (1 - similarity) * n / (n - late) if late < n else 1.0
+    return certain if share >= 1 else min(certain, math.ceil(math.log(MISSED) / math.log(share)))
+
+
+def sketches(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(id, d0, d1, fp, keys) of each row of docs (id, text): a digest of its set of shingles, its long fingerprint, its keys. No words: no keys."""
+    late = late_shingles(docs, width)
+    ddl = "id long, d0 long, d1 long, fp binary, keys array<long>"
 
     def work(rows: dict) -> dict:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y, *columns in zip(*(rows[f] for f in ("x", "y", "id", "c", "n", "at", "block")), strict=True):
-            i, c, n, at, block = (np.array(v, np.int64) for v in columns)
-            least, rest = np.minimum, n - at - 1
-            fits = (i[:, None] < i) & (c[:, None] != c) & (least(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9)
-            shared = least(at[:, None], at) + 1 + least(rest[:, None], rest)
-            fits &= shared >= similarity / (1 + similarity) * (n[:, None] + n) - 1e-9
-            if x < y:
-                fits &= block[:, None] != block
-            p, q = np.nonzero(fits)
-            a.append(i[p])
-            b.append(i[q])
-        return {"a": np.concatenate(a), "b": np.concatenate(b)}
+        sets = [shingle_hashes(t, width) for t in rows["text"]]
+        digests = np.frombuffer(b"".join(xxhash.xxh128_digest(h.tobytes()) for h in sets), "<i8").reshape(-1, 2)
+        fps, full = np.zeros((len(sets), WORDS), np.uint64), [i for i, h in enumerate(sets) if len(h)]
+        if full:
+            fps[full] = _words(np.concatenate([sets[i] for i in full]), np.cumsum([0, *(len(sets[i]) for i in full[:-1])]))
+        keys = []
+        for h in sets:
+            later = np.isin(h, late, assume_unique=True) if len(late) else np.zeros(len(h), bool)
+            k = key_count(len(h), int(later.sum()), similarity) if len(h) else 0
+            keys.append(np.concatenate([h[~later], h[later]])[:k].view(np.int64))
+        return {"id": rows["id"], "d0": digests[:, 0], "d1": digests[:, 1], "fp": [x.tobytes() for x in fps], "keys": keys}
+
+    return map_batches(docs.select("id", "text"), work, ddl, 256)
+
+
+def _near_pivots(members: DataFrame, distance: int) -> DataFrame:
+    """(a, b), a < b, distinct: each member with the pivot of its key, a member chosen by hash, if within that distance."""
+    pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("x"), "id", "fp")).alias("p"))
+    pivots = written(pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.fp").alias("pivot_fp")), "pivots")
+    met = members.join(pivots, "key").where("id <> pivot").select("id", "pivot", "fp", "pivot_fp")
+    schema = arrow_schema("a long, b long")
 
-    return map_batches(met, work, "a long, b long", 64).distinct()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, p = (batch.column(k).to_numpy() for k in (0, 1))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, WORDS) for k in (2, 3))
+            parts = np.bitwise_count(x ^ y).astype(np.int16)
+            near = chain_holds(parts, distance) & (parts.sum(1) <= distance)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, p)[near]), pa.array(np.maximum(i, p)[near])], schema=schema)
+
+    return map_arrow(met, work, "a long, b long").distinct()
 
 
 def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -271,58 +366,55 @@ def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -
     return map_batches(both, work, "a long, b long, jaccard double", 64).where(F.col("jaccard") >= similarity)
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, ids: DataFrame | None = None) -> DataFrame:
-    """Links (a, b, jaccard), a < b, of rows of docs (id, text) whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more: they connect all such rows.
+def similar_links(docs: DataFrame, found: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """Links (a, b, jaccard), a < b, that connect all rows of docs (id, text) with keys in `found` (sketches()) and that Jaccard similarity.
 
-    Rows of that similarity share a key of prefix_keys(), whatever the edits between them, and every pair
-    that shares a key is either connected by other links, excluded by an upper bound of its similarity, or
-    decided on the whole texts. Each row's pair with the least row of a group is decided first, so that a
-    large group of copies takes about one pair of texts for each row; then those that these links leave
-    apart. Those are many where a large group's rows share a key and are not similar: work then grows with
-    the square of the group. ids (id): the rows to compare, else all. Null ids take no part, an id that
-    repeats counts once.
+    Two such rows share a key but for a chance of MISSED, and their fingerprints are within
+    allowed_distance() but for about one pair in a million at the least similarity itself, hardly any above.
+    Each row meets the pivots of its keys first, so that a large group of copies takes some pairs for each
+    row; rows of a key that these links leave apart then all meet each other, in blocks.
     """
-    docs = docs.where(F.col("id").isNotNull())
-    keyed = written(prefix_keys(docs.join(ids, "id", "left_semi") if ids is not None else docs, similarity, width), "keyed")
-    groups = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    members = written(keyed.join(written(groups, "groups"), "key"), "members")
-    first = written(members.where("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b")), "first")
+    distance = allowed_distance(similarity)
+    entries = found.select("id", F.explode("keys").alias("key"))
+    groups = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "groups")
+    slim = written(entries.join(groups, "key"), "slim")
+    members = written(slim.join(found.select("id", "fp"), "id"), "members")
+    first = written(_near_pivots(members, distance), "first")
     linked = written(_decided(docs, first, similarity, width), "linked")
     known = written(components(linked, "linked"), "known").toDF("id", "component")
-    live = written(members.join(known, "id", "left").select("key", "id", "at", "n", F.coalesce("component", "id").alias("c")), "live")
+    live = written(members.join(known, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("c")), "live")
     apart = live.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    rest = _cross_pairs(live.join(written(apart.select("key", "size"), "apart"), "key"), similarity)
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    apart = written(apart.select("key", "size"), "apart")
+    masks = np.diag(np.full(WORDS, ~np.uint64(0)))
+    rest = written(pairs_within_groups(live.join(apart, "key"), ["key"], distance, masks).join(first, ["a", "b"], "left_anti"), "rest")
     return linked.union(_decided(docs, rest, similarity, width))
 
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(id, keep) of docs (id, text): the least id of each group of copies is kept.
+    """(id) of docs (id, text) that go: all but the least id of each group of copies.
 
-    Texts that are equal once white space and the case of A-Z are set aside are copies (null is empty);
-    others are linked by similar_links(). Null ids are left out; an id that repeats counts once.
+    Texts with equal sets of shingles are copies (so are all texts without words, null among them); others
+    are linked by similar_links(). Null ids take no part; ids are not to repeat. An empty table gives an
+    empty result.
     """
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
-    same = written(docs.where(F.col("id").isNotNull()).select("id", F.md5(words).alias("m")), "same")
-    classes = written(same.groupBy("m").agg(F.min("id").alias("rep")), "classes")
-    links = similar_links(docs, similarity, width, ids=classes.select(F.col("rep").alias("id")).distinct())
-    dropped = components(links, "near").where("node <> component").select(F.col("node").alias("rep"))
-    kept = classes.join(dropped, "rep", "left_anti").select(F.col("rep").alias("id"), F.lit(True).alias("keep")).distinct()
-    return same.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce("keep", F.lit(False)).alias("keep"))
+    docs = docs.where("id is not null")
+    found = written(sketches(docs, similarity, width), "sketches")
+    classes = written(found.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("id"))
+    copies = found.select("id").join(reps, "id", "left_anti")
+    links = similar_links(docs, written(found.join(reps, "id", "left_semi"), "reps"), similarity, width)
+    return copies.union(components(links, "near").where("node <> component").select("node"))
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of copies, the one of least doc_id, in the columns of docs.
 
-    Of rows that repeat a doc_id that stays, one does, the one of least text. Rows with a null doc_id all stay.
+    Of rows that repeat a doc_id the one of least text counts, null last, and can stay. Rows with a null
+    doc_id all stay. Empty and null texts are copies of each other. An empty table gives an empty result.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    dropped = written(near_duplicates(ids, similarity, width).where("not keep").select(F.col("id").alias("doc_id")), "dropped")
-    again = written(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select(F.col("id").alias("doc_id")), "again")
-    once = docs.join(dropped, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    one = docs.join(again, "doc_id", "left_semi").join(dropped, "doc_id", "left_anti").withColumn("__nth", first).where("__nth = 1")
-    return once.select(*docs.columns).union(one.select(*docs.columns))
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    one = docs.join(again, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    once = docs.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)
+    dropped = near_duplicates(once.select(F.col("doc_id").cast("long").alias("id"), "text"), similarity, width)
+    return once.join(written(dropped.select(F.col("id").alias("doc_id")), "dropped"), "doc_id", "left_anti").select(*docs.columns)
