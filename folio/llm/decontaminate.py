@@ -1,180 +1,211 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is a fixed mask over consecutive words: hashes take the words at its ones and ignore those at
-its zeros, so that a hit survives a substituted word there. Hashes of all benchmark positions are
-looked up for every position of every document, and each hit's alignment is then followed in both
-directions, word by word with substitutions, before it counts.
+its zeros, so that a hit survives substituted words there. SEEDS is a family of which one mask at least
+hits in every overlap that counts, wherever its substitutions are.
 
-The benchmark goes to the tasks in blocks of bounded size (BLOCK_WORDS), one pass over the documents
-for each; documents are never shuffled. One block at a time is at the driver: a pass is written before
-the next block comes.
+Benchmark hashes are a table. Documents keep those of their hashes that a Bloom filter of it lets
+through, and these join it by hash; documents without one are done after one pass and never shuffled.
+Each pair of document and item that shares a hash is then compared along the diagonals of its hits.
+The filter has a fixed greatest size: a benchmark beyond it makes more rows to join, not other results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, written
+from .common import map_batches, written
 
-#: Masks of span 13 and 9 ones; together they bear a substitution at any place of a 13-word window.
-SEEDS = ("1101100111011", "1110111001101", "1011011110011")
-#: A verified overlap has so many equal words (the whole item if it is shorter), and this share of its length.
-LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: Words of benchmark text in one broadcast block: some 60 MB of hashes and postings.
-BLOCK_WORDS = 500_000
-#: Following an alignment ends where the score (1 a word, -2 a substitution) falls so far below its best.
-DROP = 6
+#: Masks that bear every pattern of substitutions of an overlap of LEAST_WORDS equal words and LEAST_SHARE.
+SEEDS = ("11010111", "101000100111", "111010010001")
+#: An overlap has so many equal words (the whole item if it is shorter), and this share of its length (4 of 5).
+LEAST_WORDS, LEAST_SHARE = 13, (4, 5)
+#: Bits of the Bloom filter for each benchmark hash, and its least and greatest size as a power of 2 (16 MB).
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 27
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 300_000
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """One hash for each window of the mask's span; ids: the words' numbers."""
-    n = len(ids) - len(mask) + 1
-    out = np.zeros(max(0, n), np.uint64)
-    if n > 0:
-        for at in (i for i, c in enumerate(mask) if c == "1"):
-            out = out * _ODD + ids[at : at + n]
-    return _mixed(out)
-
-
-class BenchmarkIndex:
-    """Postings of one block of benchmark items, looked up by seed hash."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        words = [(i, tokens(t)) for i, t in items]
-        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for _, ws in words for w in ws), 1)}
-        self.items = [(i, np.array([self.vocabulary[w] for w in ws], np.uint64)) for i, ws in words if ws]
-        rows: dict[str, list] = {}
-        for n, (_, ids) in enumerate(self.items):
-            # an item shorter than the span is taken whole
-            for mask in SEEDS if len(ids) >= len(SEEDS[0]) else ("1" * len(ids),):
-                h = seed_hashes(ids, mask)
-                rows.setdefault(mask, []).append((h, np.full(len(h), n), np.arange(len(h))))
-        self.tables = []
-        for mask, found in rows.items():
-            h, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            bits = max(10, int(len(h) * 16).bit_length())
-            seen = np.zeros(1 << bits, bool)
-            seen[h >> np.uint64(64 - bits)] = True
-            self.tables.append((mask, h[order], item[order], at[order], np.uint64(64 - bits), seen))
-
-    def overlaps(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, doc_word, item_word, length, matched) of verified overlaps, the longest for each item."""
-        get = self.vocabulary.get
-        words = tokens(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        best: dict[int, tuple] = {}
-        for mask, hashes, items, places, shift, seen in self.tables:
-            h = seed_hashes(ids, mask)
-            near = np.flatnonzero(seen[h >> shift])
-            if not len(near):
-                continue
-            low, high = (np.searchsorted(hashes, h[near], side) for side in ("left", "right"))
-            tried = {}  # alignment -> where its last followed overlap ends
-            for p, a, b in zip(near[high > low], low[high > low], high[high > low], strict=True):
-                for n, q in zip(items[a:b], places[a:b], strict=True):
-                    if p < tried.get((n, p - q), 0):
-                        continue
-                    item_id, item = self.items[n]
-                    start, end, matched = follow(ids, item, p, q, len(mask))
-                    tried[n, p - q] = end
-                    if matched >= min(LEAST_WORDS, len(item)) and matched >= LEAST_SHARE * (end - start):
-                        found = (matched, -start, item_id, start, start - (p - q), end - start)
-                        best[item_id] = max(best.get(item_id, found), found)
-        return [(i, int(s), int(q), int(n), int(m)) for m, _, i, s, q, n in best.values()]
-
-
-def follow(doc: np.ndarray, item: np.ndarray, p: int, q: int, span: int) -> tuple[int, int, int]:
-    """The overlap (start, end, matched words) around doc[p:p+span] against item[q:q+span], in document positions."""
-    left, right = int(min(p, q)), int(min(len(doc) - p, len(item) - q))
-    same = doc[p - left : p + right] == item[q - left : q + right]
-    score = np.where(same, 1, -2)
-
-    def reach(steps: np.ndarray) -> int:
-        total = np.cumsum(steps)
-        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > DROP)
-        total = total[: fallen[0]] if len(fallen) else total
-        return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
-
-    start, end = left - reach(score[:left][::-1]), left + span + reach(score[left + span :])
-    return p - left + start, p - left + end, int(same[start:end].sum())
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
-    """The benchmark in blocks of about block_words words, each fetched when asked for, and whether it is the last; an item is never split."""
-    sized = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = int(sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\w+"))), F.lit(0))).first()[0]) // block_words + 1
-    for k in range(n):
-        yield [tuple(r) for r in sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], k == n - 1
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and benchmark item that overlap: doc_id, item_id, doc_word, item_word, length, matched.
-
-    An overlap is an alignment without gaps of `length` words, at least LEAST_SHARE of them equal and at
-    least LEAST_WORDS (for shorter items: the whole item). Words are runs of \\\\w in lower case. Null and
-    empty texts or items overlap with nothing; rows that repeat a doc_id give rows each; items that
-    repeat an item_id count as one. An empty benchmark or table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = docs.selectExpr("cast(doc_id as long) i", "text t")
-    ddl = "doc_id long, item_id long, doc_word int, item_word int, length int, matched int"
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
-    def scan(block: list[tuple[int, str]], last: bool) -> DataFrame:
-        index = spark.sparkContext.broadcast(block)
-        made: list[BenchmarkIndex] = []
 
-        def work(batch: dict) -> dict:
-            made[:] = made or [BenchmarkIndex(index.value)]
-            found = [(i, *o) for i, t in zip(batch["i"], batch["t"], strict=True) for o in made[0].overlaps(t)]
-            return dict(zip(("doc_id", "item_id", "doc_word", "item_word", "length", "matched"), map(list, zip(*found, strict=True)) if found else [[]] * 6, strict=True))
+_KNOWN = _Hashes()
 
-        found = map_batches(rows, work, ddl)
-        return found if last else written(found, "leaks")
 
-    return reduce(DataFrame.union, (scan(*b) for b in _blocks(benchmark, block_words)))
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash for each word: runs of \\w in lower case."""
+    words = _WORD.findall((text or "").lower())
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs whose text overlaps with no benchmark item, in the columns of docs; rows with a null doc_id are judged too."""
-    spark = docs.sparkSession
-    names = docs.columns
-    out = docs
-    for block, last in _blocks(benchmark, block_words):
-        out = _clean(out, names, spark.sparkContext.broadcast(block))
-        out = out if last else written(out, "clean")
-    return out
+def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
+    """One hash for each window of the mask's span."""
+    n = len(words) - len(mask) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, int(mask, 2), np.uint64)
+    for at in (i for i, c in enumerate(mask) if c == "1"):
+        out = (out ^ (out >> np.uint64(29))) * _ODD + words[at : at + n]
+    out = (out ^ (out >> np.uint64(32))) * _ODD
+    return out ^ (out >> np.uint64(29))
+
+
+def masks_of(item_words: int) -> tuple[str, ...]:
+    """SEEDS, but an item shorter than LEAST_WORDS is taken whole."""
+    return SEEDS if item_words >= LEAST_WORDS else ("1" * item_words,) if item_words else ()
 
 
-def _clean(docs: DataFrame, names: list[str], index) -> DataFrame:
-    made: list[BenchmarkIndex] = []
-    at = names.index("text")
+def segments(same: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, equal words) of overlaps along a diagonal: the longest, of those the first, then again on either side of it.
 
-    def keep(batches):
-        import pyarrow as pa
+    same: whether its words are equal. An overlap begins and ends with equal words, has `least` of them,
+    and LEAST_SHARE of its length.
+    """
+    at, out = np.flatnonzero(same), []
+    of, per = LEAST_SHARE
+    open_runs = [(0, len(at))]
+    while open_runs:
+        lo, hi = open_runs.pop()
+        if hi - lo < least:
+            continue
+        m, nth = at[lo:hi], np.arange(hi - lo)
+        lowest = np.minimum.accumulate(per * nth - of * m)
+        first = np.searchsorted(-lowest, -(per * (nth + 1) - of * (m + 1)))  # the farthest start that each end may have
+        length = np.where(nth - first + 1 >= least, m - m[np.minimum(first, nth)] + 1, 0)
+        j = int(np.argmax(length))
+        if length[j]:
+            i = int(first[j])
+            out.append((int(m[i]), int(m[j]) + 1, j - i + 1))
+            open_runs += [(lo, lo + i), (lo + j + 1, hi)]
+    return sorted(out)
+
+
+def overlaps(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(doc_word, item_word, length, matched) of the places where two texts (word hashes) overlap.
+
+    Of overlaps that share words of the document, on different diagonals, the one with most equal words
+    is given, then the first in the document, then in the item.
+    """
+    found, least = [], min(LEAST_WORDS, len(item))
+    for d in _diagonals(doc, item):
+        p, q = max(d, 0), max(-d, 0)
+        n = min(len(doc) - p, len(item) - q)
+        found += [(-m, p + s, q + s, e - s) for s, e, m in segments(doc[p : p + n] == item[q : q + n], least)]
+    places, out = np.zeros(len(doc), bool), []
+    for m, p, q, n in sorted(found):
+        if not places[p : p + n].any():
+            places[p : p + n] = True
+            out.append((p, q, n, -m))
+    return sorted(out)
+
+
+def _diagonals(doc: np.ndarray, item: np.ndarray) -> list[int]:
+    """Differences of the positions in the document and in the item of equal seeds."""
+    out: set[int] = set()
+    for mask in masks_of(len(item)):
+        a, b = seed_hashes(doc, mask), seed_hashes(item, mask)
+        order = np.argsort(b, kind="stable")
+        low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+        for p in np.flatnonzero(high > low):
+            out.update((p - order[low[p] : high[p]]).tolist())
+    return sorted(out)
+
+
+# --- tables ----------------------------------------------------------------------------------
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, item_words, seeds, short): each item's word hashes, its distinct seed hashes, and its length if taken whole, else 0."""
+    rows = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as long) item_id", "text").distinct()
+
+    def work(batch: dict) -> dict:
+        words = [word_hashes(t) for t in batch["text"]]
+        seeds = [np.unique(np.concatenate([seed_hashes(w, m) for m in masks_of(len(w))])).view(np.int64) if len(w) else [] for w in words]
+        short = [len(w) if len(w) < LEAST_WORDS else 0 for w in words]
+        return {"item": batch["item"], "item_id": batch["item_id"], "item_words": [w.tobytes() for w in words], "seeds": seeds, "short": short}
+
+    ddl = "item long, item_id long, item_words binary, seeds array<long>, short int"
+    return written(map_batches(rows.withColumn("item", F.xxhash64("item_id", "text")), work, ddl, 256), "items")
+
+
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter (64-bit words, its size as a power of 2) of seeds (h): two bits a hash. It has at most 2 ** (FILTER_MOST - 6) words."""
+    n = seeds.count()
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * n).bit_length()))
+    slots = F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)))  # its highest and its lowest bits
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    found = seeds.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return table, bits
+
+
+def _passing(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    for shift, mask in ((64 - bits, (1 << bits) - 1), (0, (1 << bits) - 1)):
+        slot = (h >> np.uint64(shift)) & np.uint64(mask)
+        h = h[table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
+    return h
+
+
+def _overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, digest, item_id, doc_word, item_word, length, matched) of all rows of docs (doc_id, text); digest: the text's MD5."""
+    items = _items(benchmark)
+    seeds = written(items.select("item", F.explode("seeds").alias("h")), "seeds")
+    masks = (*SEEDS, *("1" * r["short"] for r in items.where("short > 0").select("short").distinct().collect()))  # of LEAST_WORDS - 1 lengths at most
+    table, bits = _filter(seeds.select("h").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text")
+
+    def scan(batch: dict) -> dict:
+        out: dict[str, list] = {c: [] for c in ("doc", "doc_id", "digest", "doc_words", "seeds")}
+        for doc, doc_id, digest, text in zip(batch["doc"], batch["doc_id"], batch["digest"], batch["text"], strict=True):
+            words = word_hashes(text)
+            hits = np.concatenate([_passing(seed_hashes(words, m), shared.value, bits) for m in masks])
+            if len(hits):
+                for c, v in zip(out, (doc, doc_id, digest, words.tobytes(), np.unique(hits).view(np.int64)), strict=True):
+                    out[c].append(v)
+        return out
+
+    scanned = written(map_batches(rows.where("text is not null"), scan, "doc long, doc_id long, digest string, doc_words binary, seeds array<long>"), "scanned")
+    met = scanned.select("doc", F.explode("seeds").alias("h")).join(seeds, "h").select("doc", "item").distinct()
+    both = met.join(scanned.drop("seeds"), "doc").join(items.select("item", "item_id", "item_words"), "item")
+
+    def verify(batch: dict) -> dict:
+        found = []
+        for doc_id, digest, item_id, a, b in zip(*(batch[c] for c in ("doc_id", "digest", "item_id", "doc_words", "item_words")), strict=True):
+            found += [(doc_id, digest, item_id, *o) for o in overlaps(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"))]
+        return dict(zip(("doc_id", "digest", "item_id", "doc_word", "item_word", "length", "matched"), map(list, zip(*found, strict=True)) if found else [[]] * 7, strict=True))
+
+    return map_batches(both, verify, "doc_id long, digest string, item_id long, doc_word int, item_word int, length int, matched int", 64)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each place where a document and a benchmark item overlap: doc_id, item_id, doc_word, item_word, length, matched.
+
+    An overlap is an alignment without gaps of `length` words that begins and ends with equal words, with
+    LEAST_SHARE of them equal and at least LEAST_WORDS (for shorter items: the whole item); see overlaps()
+    for places that touch. Words are runs of \\\\w in lower case. Null and empty texts or items overlap with
+    nothing; rows that repeat a doc_id give rows each, items that repeat an item_id with other texts too,
+    with the same text once. An empty benchmark or table gives an empty result. Other columns are left out.
+    A hash that many documents and many items have makes a row for each such pair to compare.
+    """
+    return _overlapping(docs, benchmark).drop("digest")
 
-        made[:] = made or [BenchmarkIndex(index.value)]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                yield part.filter(pa.array([not made[0].overlaps(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return map_arrow(docs, keep, docs.schema)
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text overlaps with no benchmark item, in the columns of docs; rows with a null doc_id are judged too."""
+    found = written(_overlapping(docs, benchmark).select(F.col("digest").alias("__digest")).distinct(), "leaks")
+    return docs.withColumn("__digest", F.md5("text")).join(found, "__digest", "left_anti").select(*docs.columns)

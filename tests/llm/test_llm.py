@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import io
+import itertools
 import os
 import random
 import re
@@ -278,10 +279,75 @@ def test_decontamination(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
     assert found == {(1, 1), (2, 1)} and sorted(r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), bench).collect()) == [3, 4, 5, 6]
     assert decontaminate.leaks(docs(spark, texts), bench.where("false")).count() == 0
-    more = bench.union(spark.createDataFrame([(9, " ".join(words(100, 24)[:30]))], bench.schema))
-    by_blocks = decontaminate.leaks(docs(spark, texts), more, block_words=20)
-    assert {(r["doc_id"], r["item_id"]) for r in by_blocks.collect()} == {(1, 1), (2, 1), (3, 9)}
-    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), more, block_words=20).collect()) == [4, 5, 6]
+    assert decontaminate.without_leaks(docs(spark, texts).where("false"), bench).count() == 0
+
+
+def overlaps_by_brute_force(doc, item):
+    """Every segment of every diagonal that begins and ends with equal words: the longest, the first of those, then on either side; then the places that do not touch."""
+    least, found = min(13, len(item)), []
+
+    def longest(same, at):
+        best = None
+        for s in range(len(same)):
+            for e in range(s + 1, len(same) + 1):
+                m = sum(same[s:e])
+                if same[s] and same[e - 1] and m >= least and 5 * m >= 4 * (e - s) and (best is None or e - s > best[1] - best[0]):
+                    best = (s, e, m)
+        if best:
+            s, e, m = best
+            longest(same[:s], at)
+            found.append((-m, at + s, at + e))
+            longest(same[e:], at + e)
+
+    rows = []
+    for d in range(-len(item) + 1, len(doc)):
+        p, q = max(d, 0), max(-d, 0)
+        same = [x == y for x, y in zip(doc[p:], item[q:], strict=False)]
+        found.clear()
+        if sum(same) >= least > 0:
+            longest(same, p)
+        rows += [(m, s, s - d, e - s) for m, s, e in found]
+    taken, out = set(), []
+    for m, p, q, n in sorted(rows):
+        if not taken & set(range(p, p + n)):
+            taken |= set(range(p, p + n))
+            out.append((p, q, n, -m))
+    return sorted(out)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(8)
+    items = [words(r.choice([3, 7, 12, 13, 14, 15, 16, 20, 26, 40]), 300 + n, 500) for n in range(24)] + [["Ответ", "на", "этот"] + words(15, 9, 500), words(2, 5, 3) * 12]
+    texts = []
+    for n in range(90):
+        text = words(r.randrange(5, 40), 900 + n, 500)
+        for _ in range(r.randrange(3)):
+            part = list(r.choice(items))
+            lo = r.randrange(max(1, len(part) - 12))
+            part = [f"sub{n}" if r.random() < r.choice([0, 0.1, 0.22]) else w for w in part[lo:]]
+            text += part + words(r.randrange(6), 2000 + n, 500)
+        texts.append(" ".join(text))
+    texts += [None, "", texts[3], texts[3].upper(), " ".join(words(2, 5, 3) * 20)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(0, " ".join(items[0])), (None, "a b c"), (99, ""), (98, None)], "item_id long, text string")
+    wanted = []
+    for n, t in enumerate(texts, 1):
+        doc = re.findall(r"\w+", (t or "").lower())
+        wanted += [(n, i, *o) for i, w in enumerate(items) for o in overlaps_by_brute_force(doc, [x.lower() for x in w])]
+    found = decontaminate.leaks(docs(spark, texts), bench).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted) and len({w[1] for w in wanted}) > 20
+    kept = [r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), bench).collect()]
+    assert sorted(kept) == sorted(set(range(1, len(texts) + 1)) - {w[0] for w in wanted})
+
+
+def test_a_mask_hits_wherever_substitutions_are():
+    r = random.Random(2)
+    for size in range(13, 41):
+        most = min(size - 13, size // 5)
+        patterns = itertools.combinations(range(1, size - 1), most)
+        for subs in patterns if size < 21 else (r.sample(range(1, size - 1), most) for _ in range(4000)):
+            same = np.ones(size, bool)
+            same[list(subs)] = False
+            assert any(all(same[s + i] for i, c in enumerate(m) if c == "1") for m in decontaminate.SEEDS for s in range(size - len(m) + 1)), (size, subs)
 
 
 def test_preference_pairs(spark):
