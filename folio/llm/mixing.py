@@ -64,11 +64,11 @@ def _same_source(a: DataFrame, b: DataFrame, *keys: str) -> Column:
 
 
 def _boundary(histogram: DataFrame, bucket: str, group: list[str]) -> DataFrame:
-    """Of each source's buckets, the first whose running sum exceeds the budget; before: the words ahead of it."""
+    """Of each source's buckets, the first whose running sum reaches the budget; before: the words ahead of it."""
     running = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     return (
         histogram.withColumn("upto", F.col("before") + F.sum("words").over(running))
-        .where(F.col("upto") > F.col("budget"))
+        .where(F.col("upto") >= F.col("budget"))
         .groupBy(*group, "budget")
         .agg(F.min_by(F.struct(F.col(bucket), (F.col("upto") - F.col("words")).alias("ahead")), bucket).alias("at"))
         .select(*group, "budget", F.col(f"at.{bucket}").alias(bucket), F.col("at.ahead").alias("before"))
@@ -139,7 +139,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     a source misses its target by at most half of the one document at the boundary (of all documents
     with that hash).
 
-    Null or empty texts have size 0 and take 0 words. A null source is a source of its own. Rows that
+    Null or empty texts have size 0 and take 0 words; beyond the last document that the budget reaches they
+    get no more copies than others, so that copies are never above max_epochs. A null source is a source of its own. Rows that
     repeat an id share a hash: they are taken together. An empty table gives an empty result. Other
     columns of docs play no part.
     """

@@ -59,6 +59,20 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert {r[0]: r[1] for r in mixing.mixed_documents(df).groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("sizes", [{"a": [0] * 30 + [5, 6, 7]}, {"a": [0] * 30 + [5, 6, 7], "b": [400] * 20, None: [0] * 9}, {"a": [0] * 9, "b": [0] * 4}, {"a": [10, 0] * 40, "b": [10, 0] * 40, "c": [30, 0, 0] * 9}])
+def test_mixing_with_empty_texts_agrees_with_the_sql(spark, tmp_path, sizes):
+    rows = [(n, " ".join(words(size, n)), s) for n, (s, size) in enumerate((s, x) for s, xs in sizes.items() for x in xs)]
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    columns = "doc_id, size, source_size, target, taken, copies"
+    wanted = con.execute(f"select {columns} from ({mixing.ORACLE})").fetchall()
+    found = mixing.mix(df)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and max(r[5] for r in wanted) <= 3
+    assert mixing.mixed_documents(df).count() == sum(r[5] for r in wanted)
+
+
 def test_warc_round_trip(spark):
     big = "<p>ü" + "x" * 200
     pages = spark.createDataFrame([(1, "http://a", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "tiny"), (6, "u", "tiny"), (None, "u", big)], "page_id long, url string, html string")
