@@ -29,5 +29,7 @@ class Site:
     author: str = ""
     toc_depth: int = TOC_DEPTH
     page_size: int = PAGE_SIZE
+    #: Paths that robots are to leave alone.
+    disallow: tuple[str, ...] = ()
     #: Names of presets (see operators.lookup.PRESETS) or links.
     nav: tuple[str | NavLink, ...] = field(default=("home", "archive", "about"))

@@ -46,6 +46,7 @@ def without_trailing_hash(text: Column) -> Column:
 
 def valid_xml(text: Column) -> Column:
     """Without the characters that XML does not allow."""
+    # Fixed value: the characters.
     return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFDD0-\\uFDEF\\uFFFE\\uFFFF]", "")
 
 
@@ -81,6 +82,7 @@ def compact_number(n: Column) -> Column:
 
 
 def without_emoji_codes(text: Column) -> Column:
+    # Fixed value: how a code looks.
     return F.regexp_replace(text, ":[a-zA-Z0-9_]+:", "")
 
 

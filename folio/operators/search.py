@@ -65,13 +65,14 @@ def search(index: Index, query: str, limit: int | None = None) -> DataFrame:
     hits = index.postings.where(F.col("token").isin(*wanted) if wanted else F.lit(False))
     per_token = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each word of the query
     n, mean = (lengths.select(c).scalar() for c in ("n", "mean"))
-    joined = hits.join(F.broadcast(per_token), "token").join(index.docs, "doc")
+    joined = hits.join(F.broadcast(per_token), "token").join(index.docs.select("doc", "length"), "doc")
     idf = F.log(F.lit(1) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"), F.first("url").alias("url"), F.first("title").alias("title"), F.first("content").alias("content"))
-    ranked = scored.orderBy(F.desc(F.round("score", 9)), "doc")
-    ranked = ranked if limit is None else ranked.limit(limit)
-    return ranked.select("doc", "url", "title", F.round("score", 6).alias("score"), marked_excerpt(F.col("content"), wanted).alias("excerpt"))
+    best = [F.desc(F.round("score", 9)), F.col("doc")]
+    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"))
+    ranked = scored if limit is None else scored.orderBy(*best).limit(limit)
+    shown = ranked.join(index.docs.drop("length"), "doc").orderBy(*best)  # texts come last, for what is shown
+    return shown.select("doc", "url", "title", F.round("score", 6).alias("score"), marked_excerpt(F.col("content"), wanted).alias("excerpt"))
 
 
 def marked_excerpt(content, wanted: list[str], length: int = EXCERPT_WORDS):

@@ -40,20 +40,19 @@ def positions(df: DataFrame, *order: Column, position: str = "position", total:
 
 
 def with_neighbours(df: DataFrame, order: list[Column], columns: dict[str, tuple[str, int]], default: str = "") -> DataFrame:
-    """df with columns of the row before or after in the order: {new: (column, -1 or 1)}; `default` at the ends.
+    """df with columns of the row before or after in the order: {new: (column, -1 or 1)}; `default` at the ends; a
+    neighbour's null stays null.
 
     Within a part by a window over the part. A part's first and last row look across its edge into a table
     with one row per part.
     """
     dealt = _dealt(df, order)
     within, across = Window.partitionBy("__part").orderBy("__place"), Window.orderBy("__p")
-    wanted = sorted({c for c, _ in columns.values()})
-    ends = dealt.groupBy(F.col("__part").alias("__p")).agg(
-        *[F.min_by(c, "__place").alias(f"first_{c}") for c in wanted], *[F.max_by(c, "__place").alias(f"last_{c}") for c in wanted]
-    )
-    edge = {n: F.lag(f"last_{c}", 1).over(across) if at < 0 else F.lead(f"first_{c}", 1).over(across) for n, (c, at) in columns.items()}
-    edges = ends.select("__p", *[x.alias(f"__edge_{n}") for n, x in edge.items()])
-    near = {n: F.lag(c, 1).over(within) if at < 0 else F.lead(c, 1).over(within) for n, (c, at) in columns.items()}
-    found = dealt.select("*", *[x.alias(f"__near_{n}") for n, x in near.items()]).join(edges, F.col("__part") == F.col("__p"))
-    filled = [F.coalesce(F.col(f"__near_{n}"), F.col(f"__edge_{n}"), F.lit(default)).alias(n) for n in columns]
+    row = F.struct(*sorted({c for c, _ in columns.values()}))  # a row that is there is never null, whatever its values
+    ends = dealt.groupBy(F.col("__part").alias("__p")).agg(F.min_by(row, "__place").alias("first"), F.max_by(row, "__place").alias("last"))
+    edges = ends.select("__p", F.lag("last", 1).over(across).alias("__over_before"), F.lead("first", 1).over(across).alias("__over_after"))
+    found = dealt.select("*", F.lag(row, 1).over(within).alias("__before"), F.lead(row, 1).over(within).alias("__after")).join(edges, F.col("__part") == F.col("__p"))
+    before, after = F.coalesce("__before", "__over_before"), F.coalesce("__after", "__over_after")
+    near = lambda at: before if at < 0 else after
+    filled = [F.when(near(at).isNull(), default).otherwise(near(at)[c]).alias(n) for n, (c, at) in columns.items()]
     return found.select(*[c for c in df.columns if c not in columns], *filled)

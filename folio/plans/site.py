@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.config import Site
-from folio.functions.urls import post_url
+from folio.functions.urls import post_url, url
 from folio.operators import archive, filters, listing, projections, search
 from folio.sources import sinks
 from folio.sources.parameters import archive_query
@@ -31,9 +31,9 @@ def home(posts: DataFrame, site: Site = Site(), prod: bool = True, steps: Iterab
     return paged.select(*projections.cards(paged, site.base).columns[:2], "page", "last_page", "position", "nextSlug", "prevSlug", "words", "minutes", "excerpt")
 
 
-def archive_of(posts: DataFrame, url: str = "", prod: bool = True, tz: str = "UTC") -> DataFrame:
+def archive_of(posts: DataFrame, address: str = "", prod: bool = True, tz: str = "UTC") -> DataFrame:
     """Years with their number of posts, of those that the URL's parameters leave."""
-    q = archive_query(url)
+    q = archive_query(address)
     return archive.years(filters.archive_filter(filters.published_only(posts, prod), list(q.tags), list(q.categories), q.uncategorized), tz)
 
 
@@ -41,7 +41,11 @@ def feed(posts: DataFrame, site: Site = Site(), prod: bool = True) -> DataFrame:
     return sinks.rss_items(filters.published_only(posts, prod), site)
 
 
-def search_index(posts: DataFrame, site: Site = Site(), prod: bool = True) -> search.Index:
-    """Of posts, with their titles; rendered pages can be indexed by build_index() after html_text()."""
+def search_index(posts: DataFrame, site: Site = Site(), prod: bool = True, pages: DataFrame | None = None) -> search.Index:
+    """Of posts, with their titles, and of pages (id, body), such as the about page, without; rendered pages can be indexed by build_index() after html_text()."""
     found = filters.published_only(posts, prod)
-    return search.build_index(found.select(F.col("slug").alias("doc"), post_url(F.col("slug"), site.base).alias("url"), "title", F.col("body").alias("content")))
+    texts = found.select(F.col("slug").alias("doc"), post_url(F.col("slug"), site.base).alias("url"), "title", F.col("body").alias("content"))
+    if pages is not None:
+        address = url(F.concat(F.lit("/"), F.col("id"), F.lit("/")), site.base)
+        texts = texts.unionByName(pages.select(F.col("id").alias("doc"), address.alias("url"), F.lit("").alias("title"), F.col("body").alias("content")))
+    return search.build_index(texts)

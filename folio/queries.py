@@ -5,53 +5,19 @@ The tables are no posts; orders, parts, documents, pages, conversations and labe
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio import site_queries  # noqa: F401 (registers its queries)
 from folio.config import Site
 from folio.functions import dates, text, urls
 from folio.functions.markdown import slugged
 from folio.operators import archive, filters, listing, lookup, playlist, projections, search, taxonomy, toc
 from folio.plans.storage import table
+from folio.registry import _POSTS, oracle_sql, order_posts, queries  # noqa: F401
+from folio.registry import query as _query
 from folio.sources import parameters, sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-_FOUND: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(sql: str | None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _FOUND[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _FOUND.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
-
-
-def order_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as posts: many share a date; the priority is the category and, split, the tags."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-        F.col("o_orderdate").cast("timestamp").alias("published"), (F.col("o_orderstatus") == "P").alias("draft"),
-        F.split("o_orderpriority", "-").alias("tags"), F.col("o_orderpriority").alias("category"),
-    )
-
-
-_POSTS = """with posts as (
-  select cast(o_orderkey as varchar) as slug, 'Order ' || cast(o_orderkey as varchar) as title, cast(o_orderdate as timestamp) as published,
-         o_orderstatus = 'P' as draft, string_split(o_orderpriority, '-') as tags, o_orderpriority as category from orders)
-"""
-
-
 @_query(_POSTS + "select slug from posts where draft is distinct from true")
 def posts_prod_filter(spark, sf_dir):
     return filters.published_only(order_posts(spark, sf_dir)).select("slug")
@@ -180,28 +146,31 @@ def description_fallback(spark, sf_dir):
     return docs.select("doc_id", text.first_truthy(F.col("description"), F.col("lang")).alias("description"))
 
 
-_QUERY = "elle reen onst"
-_TOKEN_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+_QUERY = "elle reen onst src1"
+_TOKENS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_HIT = f"list_has_any({_TOKENS('w')}, ['elle', 'reen', 'onst', 'src1'])"
 
 
-@_query(f"""with t as (select doc_id, unnest({_TOKEN_SQL}) as token from documents),
-  d as (select doc_id, count(*) as length from t group by doc_id), s as (select count(*) as n, avg(length) as mean from d),
-  p as (select doc_id, token, count(*) as tf from t where token in ('elle', 'reen', 'onst') group by 1, 2),
-  f as (select token, count(*) as df from p group by token)
-  select p.doc_id as doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score
-  from p join f using (token) join d using (doc_id), s group by 1""")
+@_query(f"""with raw as (select doc_id, unnest({_TOKENS('text')}) as token, 1 as weight from documents union all select doc_id, unnest({_TOKENS('source')}), 10 from documents),
+  t as (select doc_id, token, sum(weight) as tf from raw group by 1, 2), d as (select doc_id, sum(weight) as length from raw group by doc_id),
+  s as (select count(*) as n, avg(length) as mean from d), p as (select * from t where token in ('elle', 'reen', 'onst', 'src1')), f as (select token, count(*) as df from p group by token),
+  scored as (select p.doc_id as doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from p join f using (token) join d using (doc_id), s group by 1),
+  w as (select doc_id as doc, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as words from documents),
+  h as (select *, list_position(list_transform(words, lambda w: {_HIT}), true) as first_hit from w)
+  select doc, source as title, score, array_to_string(list_transform(words[greatest(1, coalesce(first_hit, 0) - 6):greatest(1, coalesce(first_hit, 0) - 6) + 19],
+    lambda w: case when {_HIT} then '<mark>' || w || '</mark>' else w end), ' ') as excerpt from scored join h using (doc)""")
 def search_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
-    return search.search(search.build_index(docs), _QUERY).select("doc", "score")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("").alias("url"), F.col("source").alias("title"), F.col("text").alias("content"))
+    return search.search(search.build_index(docs), _QUERY).select("doc", "title", "score", "excerpt")
 
 
 @_query(r"""with a as (select page_id, html from pages),
   t as (select page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) as title,
     regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis') as body from a)
-  select page_id, title, cast(length(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) as bigint) as n_chars from t""")
+  select page_id, title, trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) as text from t""")
 def html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), F.length(text.html_text(F.col("html"))).cast("long").alias("n_chars"))
+    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), text.html_text(F.col("html")).alias("text"))
 
 
 @_query("select p_partkey, '/archive/?tag=' || replace(url_encode(p_name), '+', '%20') as url from part")
@@ -251,16 +220,18 @@ def labels_of_posts(spark, sf_dir):
     )
 
 
-@_query("""select doc_id, coalesce(source, '') as description, '/posts/' || doc_id || '/' as link, length(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{7F}-\\x{9F}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]', '', 'g')) as n_content from documents""")
+@_query("""select doc_id, coalesce(source, '') as description, '/posts/' || doc_id || '/' as link, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{7F}-\\x{9F}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]', '', 'g') as content from documents""")
 def rss_items(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("slug"), F.col("doc_id").cast("string").alias("title"), F.lit(None).cast("timestamp").alias("published"),
         F.col("source").alias("description"), F.col("text").alias("body"),
     )
-    return sinks.rss_items(docs).select(F.col("title").cast("long").alias("doc_id"), "description", "link", F.length("content").cast("long").alias("n_content"))
+    return sinks.rss_items(docs).select(F.col("title").cast("long").alias("doc_id"), "description", "link", "content")
 
 
-@_query(None)
+@_query("""select cast(doc_id as varchar) as slug, cast(json_object('@context', 'https://schema.org', '@type', 'BlogPosting', 'headline', source, 'description', source,
+  'keywords', json_array(lang), 'author', json_object('@type', 'Person', 'name', '', 'url', 'https://example.org'), 'datePublished', '2025-01-01', 'inLanguage', coalesce(nullif(lang, ''), 'en')) as varchar) as json
+  from documents""")
 def jsonld(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("slug"), F.col("source").alias("title"), F.lit("2025-01-01").cast("timestamp").alias("published"),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.config import Site
-from folio.functions.dates import iso_date, rfc822
+from folio.functions.dates import iso_date, rfc822, today
 from folio.functions.text import first_truthy, language_tag, markdown_name, valid_xml
-from folio.functions.urls import page_url, post_url
-from folio.operators.listing import paginated, sorted_posts
+from folio.functions.urls import page_url, post_url, url
+from folio.operators.listing import newest_first, paginated, sorted_posts
 from folio.operators.search import Index
+from folio.plans.order import positions
+
+#: Fixed value: addresses that one sitemap file may have.
+SITEMAP_URLS = 50_000
 
 
 def rss_items(posts: DataFrame, site: Site = Site()) -> DataFrame:
@@ -21,10 +25,36 @@ def rss_items(posts: DataFrame, site: Site = Site()) -> DataFrame:
     )
 
 
-def write_rss(posts: DataFrame, path: str, site: Site = Site()) -> None:
-    """XML files of <item> elements in <channel>, in order of their names."""
-    items = rss_items(posts, site).select(*[valid_xml(F.col(c)).alias(c) for c in ("title", "pubDate", "description", "link", "content")])
-    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").mode("errorifexists").save(path)
+def _escaped(text: Column) -> Column:
+    out = valid_xml(F.coalesce(text, F.lit("")))
+    for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(plain), F.lit(mark))
+    return out
+
+
+def _element(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), _escaped(text), F.lit(f"</{name}>"))
+
+
+def write_rss(posts: DataFrame, path: str, site: Site = Site(), files: int = 1) -> None:
+    """An RSS 2.0 document in the folder `path`: the channel's title, link, description and language, and an item for each post, newest first.
+
+    files: part files that it is cut into; put together in order of their names they are the document.
+    """
+    item = F.concat(F.lit("<item>"), *[_element(c, F.col(c)) for c in ("title", "link")], F.lit('<guid isPermaLink="true">'), _escaped(F.col("link")), F.lit("</guid>"),
+                    *[_element(c, F.col(c)) for c in ("description", "pubDate")], _element("content:encoded", F.col("content")), F.lit("</item>"))
+    rows = posts.select("slug", "published", "title", "description", "body")
+    own = F.concat(F.lit(site.origin.rstrip("/")), post_url(F.col("slug"), site.base))
+    items = rows.select(F.lit(1).alias("part"), "slug", "published", "title", rfc822(F.col("published")).alias("pubDate"), "description", own.alias("link"), F.col("body").alias("content"))
+    home = F.concat(F.lit(site.origin.rstrip("/")), page_url(F.lit(1), site.base))
+    channel = (("title", F.lit(site.title)), ("link", home), ("description", F.lit(site.subtitle or site.title)), ("language", language_tag(F.lit(site.lang))))
+    # The document's version and the name space of an item's whole content.
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'), *[_element(n, v) for n, v in channel])
+    one = posts.sparkSession.range(1, numPartitions=1)
+    ends = [one.select(F.lit(n).alias("part"), F.lit("").alias("slug"), F.lit(None).cast("timestamp").alias("published"), x.alias("value")) for n, x in ((0, head), (2, F.lit("</channel></rss>")))]
+    lines = items.select("part", "slug", "published", item.alias("value")).unionByName(ends[0]).unionByName(ends[1])
+    order = ["part", *newest_first()]
+    lines.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value").write.mode("errorifexists").text(path)
 
 
 def json_ld(posts: DataFrame, site: Site = Site()) -> DataFrame:
@@ -43,21 +73,28 @@ def json_ld(posts: DataFrame, site: Site = Site()) -> DataFrame:
 
 
 def sitemap(posts: DataFrame, site: Site = Site()) -> DataFrame:
-    """(url) of the posts, the list's pages, the archive and the about page."""
+    """(url) of the posts, the list's pages, the archive and the about page. Posts are counted at once."""
     spark = posts.sparkSession
-    n = posts.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / site.page_size)).alias("n"))
-    pages = n.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("p")).select(page_url(F.col("p"), site.base).alias("url"))
+    n_pages = max(1, -(-posts.count() // site.page_size))
+    pages = spark.range(1, n_pages + 1).select(page_url(F.col("id"), site.base).alias("url"))
     fixed = spark.createDataFrame([("/archive/",), ("/about/",)], "p string").select(F.regexp_replace(F.concat(F.lit(f"/{site.base}/"), "p"), "/+", "/").alias("url"))
     own = posts.select(post_url(F.col("slug"), site.base).alias("url"))
     return own.unionByName(pages).unionByName(fixed).select(F.concat(F.lit(site.origin.rstrip("/")), "url").alias("url"))
 
 
-def write_sitemap(posts: DataFrame, path: str, site: Site = Site()) -> None:
-    sitemap(posts, site).withColumnRenamed("url", "loc").write.format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("errorifexists").save(path)
+def write_sitemap(posts: DataFrame, path: str, site: Site = Site(), most: int = SITEMAP_URLS) -> None:
+    """Files of `most` addresses or fewer below path/files, and an index of them in path/index."""
+    placed = positions(sitemap(posts, site), F.col("url"))
+    numbered = placed.select(F.col("url").alias("loc"), F.floor((F.col("position") - 1) / most).alias("file"))
+    numbered.repartition("file").write.partitionBy("file").format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("errorifexists").save(f"{path}/files")
+    found = posts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/files")
+    name = F.regexp_extract(F.col("path"), r"(files/file=\d+/[^/]+)\z", 1)
+    loc = F.concat(F.lit(site.origin.rstrip("/")), url(F.concat(F.lit("/sitemap/"), name), site.base))
+    found.select(loc.alias("loc")).write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("errorifexists").save(f"{path}/index")
 
 
 def robots(spark: SparkSession, site: Site = Site()) -> DataFrame:
-    lines = ["User-agent: *", "Disallow: /_astro/", "", f"Sitemap: {site.origin.rstrip('/')}/sitemap-index.xml"]
+    lines = ["User-agent: *", *([f"Disallow: {x}" for x in site.disallow] or ["Disallow:"]), "", f"Sitemap: {site.origin.rstrip('/')}/sitemap-index.xml"]
     return spark.createDataFrame([("\n".join(lines),)], "value string")
 
 
@@ -86,11 +123,18 @@ def write_index(index: Index, path: str) -> None:
 
 
 def new_post(spark: SparkSession, folder: str, name: str, day: str | None = None) -> str:
-    """Writes a post's empty front matter to folder/name.md and returns that path; fails if it is there. Folders are made."""
-    today = F.lit(day) if day else F.date_format(F.current_timestamp(), "yyyy-MM-dd")
-    fields = (("title: ", F.lit(name)), ("published: ", today), ("description: ''", None), ("image: ''", None), ("tags: []", None), ("category: ''", None), ("draft: false ", None), ("lang: ''", None))
-    lines = [F.concat(F.lit(k), v) if v is not None else F.lit(k) for k, v in fields]
-    front = spark.range(1).coalesce(1).select(F.concat_ws("\n", F.lit("---"), *lines, F.lit("---")).alias("value"), markdown_name(F.lit(name)).alias("name"))
-    path = f"{folder.rstrip('/')}/{front.select('name').first()[0]}"
-    front.select("value").write.mode("errorifexists").text(path)
+    """Writes a post's empty front matter to the file folder/name.md and returns that path; fails if it is there. Folders are made; Hadoop takes no colon in names."""
+    # The fields of a new post, in their order.
+    fields = ("title", "published", "description", "image", "tags", "category", "draft", "lang")
+    known = spark.range(1).select(markdown_name(F.lit(name)).alias("file"), (F.lit(day) if day else today()).alias("day")).first()
+    values = {"title": '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"', "published": known["day"], "tags": "[]", "draft": "false"}
+    text = "\n".join(["---", *(f"{k}: {values.get(k, chr(39) * 2)}" for k in fields), "---", ""])
+    path = f"{folder.rstrip('/')}/{known['file']}"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(file):
+        raise FileExistsError(path)
+    out = store.create(file, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
     return path

@@ -1,4 +1,5 @@
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from folio.operators import search
 from folio.plans import site
 from folio.schema import conform
 from folio.sources import repositories, sinks
+from folio.sources.markdown import read_posts
 from folio.streaming.watch import running_tag_counts, watch_posts
 
 SITE = Site(title="S", origin="https://example.org", author="Someone", page_size=1)
@@ -22,8 +24,13 @@ def test_feed(spark, tmp_path):
     items = site.feed(posts(spark), SITE).collect()
     assert [r["title"] for r in items] == ["New", "Old"] and items[1]["content"] == "body & <x>" and items[0]["link"] == "/posts/new/"
     sinks.write_rss(posts(spark), str(tmp_path / "rss"), SITE)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "rss").glob("part-*")))
-    assert text.count("<item>") == 2 and "body &amp; &lt;x>" in text
+    feed = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "rss").glob("part-*"))))
+    channel = feed.find("channel")
+    assert feed.tag == "rss" and feed.get("version") == "2.0" and [channel.findtext(x) for x in ("title", "link", "description", "language")] == ["S", "https://example.org/", "S", "en"]
+    found = [(x.findtext("title"), x.findtext("link"), x.findtext("{http://purl.org/rss/1.0/modules/content/}encoded")) for x in channel.findall("item")]
+    assert found == [("New", "https://example.org/posts/new/", "text ::x"), ("Old", "https://example.org/posts/old/", "body & <x>")]
+    sinks.write_rss(posts(spark), str(tmp_path / "cut"), SITE, files=3)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "cut").glob("part-*"))) == "".join(p.read_text() for p in sorted((tmp_path / "rss").glob("part-*")))
 
 
 def test_linked_data_sitemap_and_robots(spark, tmp_path):
@@ -48,9 +55,19 @@ def test_pages(spark, tmp_path):
 
 def test_new_post_fails_if_there(spark, tmp_path):
     path = sinks.new_post(spark, str(tmp_path), "some/thing", day="2025-01-01")
-    assert path.endswith("some/thing.md") and "published: 2025-01-01" in spark.read.text(path, wholetext=True).first()[0]
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    assert path.endswith("some/thing.md") and "published: 2025-01-01" in (tmp_path / "some" / "thing.md").read_text()
+    with pytest.raises(FileExistsError):
         sinks.new_post(spark, str(tmp_path), "some/thing")
+    sinks.new_post(spark, str(tmp_path), 'a "quoted" name.MDX')
+    sinks.new_post(spark, str(tmp_path), 'a "quoted" name')
+    found = {r["title"]: r for r in read_posts(spark, str(tmp_path)).collect()}  # *.md only
+    assert set(found) == {"some/thing", 'a "quoted" name'} and found["some/thing"]["tags"] == [] and found["some/thing"]["draft"] is False and str(found["some/thing"]["published"])[:10] == "2025-01-01"
+
+
+def test_the_index_has_pages_too(spark):
+    pages = spark.createDataFrame([("about", "who writes this")], "id string, body string")
+    found = search.search(site.search_index(posts(spark), SITE, pages=pages), "writes text").collect()
+    assert {(r["doc"], r["url"]) for r in found} == {("about", "/about/"), ("new", "/posts/new/")}
 
 
 def test_repository_cards(spark, tmp_path):

@@ -162,3 +162,11 @@ def test_playlist(spark):
     assert [(r["title"], r["src"]) for r in added] == [("Song", "blob:1"), ("noext", "blob:3")]
     assert playlist.shuffled_next(tracks, 0, seed=1).first()["idx"] == 1 and playlist.shuffled_next(tracks.where("idx = 0"), 0, seed=1).count() == 0
     assert [r[0] for r in spark.range(3).select(playlist.ring_index(F.col("id") - 1, F.lit(2))).collect()] == [1, 0, 1]
+
+
+def test_neighbours_of_null_values_stay_null(spark):
+    rows = [(n, None if n % 2 else f"t{n}") for n in range(200)]
+    df = spark.createDataFrame(rows, "n long, title string").repartition(7)
+    found = {r["n"]: (r["before"], r["after"]) for r in with_neighbours(df, [F.col("n").asc()], {"before": ("title", -1), "after": ("title", 1)}).collect()}
+    title = dict(rows)
+    assert found == {n: (title[n - 1] if n else "", title[n + 1] if n < 199 else "") for n in range(200)}
