@@ -91,6 +91,27 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     return _formatted(both.where("size(a) > 0 and size(b) > 0"))
 
 
+def echo_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs each conversation (chosen) with itself but for the last assistant turn, which repeats the first turn's text (rejected).
+
+    pair_id, chosen_id and rejected_id are the conversation's id; conversations without an assistant turn are
+    left out. Where that turn says so already, both completions are empty.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    own = ids.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("a"))
+    from_end = F.array_position(F.reverse(F.transform("a", lambda t: t["role"] == TRAINED)), True)
+    echo = lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(i == F.size("a") - F.col("e"), F.col("a")[0]["text"]).otherwise(t["text"]).alias("text"))
+    both = own.withColumn("e", from_end).where("e > 0").withColumn("b", F.transform("a", echo))
+    return _formatted(both.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), "a", "b"))
+
+
+def table_pairs(turns: DataFrame) -> DataFrame:
+    """neighbour_pairs() and echo_pairs() of one table, told apart by `kind`: prompts of no turns for the most part, and of several."""
+    neighbours, echoes = (f(turns).withColumn("kind", F.lit(k)) for f, k in ((neighbour_pairs, "neighbour"), (echo_pairs, "echo")))
+    return neighbours.unionByName(echoes)
+
+
 ORACLE = """
 with t as (
   select distinct conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
@@ -110,7 +131,25 @@ s as (select pair_id, side, prompt_turns,
         coalesce(string_agg(cast(off + length(role) + 5 as bigint) || ':' || cast(off + length(body) as bigint), ',' order by pos)
                  filter (where pos > prompt_turns and role = 'assistant'), '') as mask
       from o group by pair_id, side, prompt_turns)
-select ids.pair_id, ids.chosen_id, ids.rejected_id, cast(a.prompt_turns as integer) as prompt_turns, a.prompt,
+select 'neighbour' as kind, ids.pair_id, ids.chosen_id, ids.rejected_id, cast(a.prompt_turns as integer) as prompt_turns, a.prompt,
        a.completion as chosen, a.mask as chosen_mask, b.completion as rejected, b.mask as rejected_mask
 from ids join s a on ids.pair_id = a.pair_id and a.side = 0 join s b on ids.pair_id = b.pair_id and b.side = 1
+union all
+select 'echo', conv_id, conv_id, conv_id, cast(prompt_turns as integer),
+       coalesce(string_agg(body, '' order by pos) filter (where pos <= prompt_turns), ''),
+       coalesce(string_agg(body, '' order by pos) filter (where pos > prompt_turns), ''),
+       coalesce(string_agg(span, ',' order by pos) filter (where pos > prompt_turns and role = 'assistant'), ''),
+       coalesce(string_agg(echo, '' order by pos) filter (where pos > prompt_turns), ''),
+       coalesce(string_agg(echo_span, ',' order by pos) filter (where pos > prompt_turns and role = 'assistant'), '')
+from (select *, cast(off + length(role) + 5 as bigint) || ':' || cast(off + length(body) as bigint) as span,
+             cast(echo_off + length(role) + 5 as bigint) || ':' || cast(echo_off + length(echo) as bigint) as echo_span
+      from (select *, coalesce(sum(length(body)) over before, 0) as off, coalesce(sum(length(echo)) over before, 0) as echo_off
+            from (select *, case when changed then last - 1 else n_turns end as prompt_turns
+                  from (select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as body,
+                               '<|' || role || '|>' || chr(10) || case when pos = last then first_text else text end || '<|end|>' || chr(10) as echo,
+                               bool_or(pos = last and text <> first_text) over (partition by conv_id) as changed
+                        from (select *, max(case when role = 'assistant' then pos end) over (partition by conv_id) as last, count(*) over (partition by conv_id) as n_turns,
+                                     max(case when pos = 1 then text end) over (partition by conv_id) as first_text from n) where last is not null))
+            window before as (partition by conv_id, pos > prompt_turns order by pos rows between unbounded preceding and 1 preceding)))
+group by conv_id, prompt_turns
 """

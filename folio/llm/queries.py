@@ -36,7 +36,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.neighbour_pairs(table(spark, sf_dir, "conversations"))
+    return preference.table_pairs(table(spark, sf_dir, "conversations"))
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

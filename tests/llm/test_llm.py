@@ -374,6 +374,16 @@ def test_preference_pairs(spark):
         assert r["chosen"][s:e] == "good<|end|>\n"
 
 
+def test_echo_pairs(spark):
+    turns = [(2, 0, "system", "be kind"), (2, 1, "user", "hi"), (2, 2, "assistant", "good"), (2, 3, "user", "and?"), (2, 4, "assistant", "yes"), (2, 4, "assistant", "yes"), (2, 5, None, "x"), (3, 0, "assistant", "same"), (4, 0, "user", "alone"), (None, 0, "assistant", "?")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in turns], "conv_id long, turn long, role string, text string, a int, b int")
+    found = {r["pair_id"]: r for r in preference.echo_pairs(df).collect()}
+    assert set(found) == {2, 3} and found[2]["prompt_turns"] == 4 and found[2]["prompt"].endswith("<|user|>\nand?<|end|>\n")
+    assert found[2]["chosen"] == "<|assistant|>\nyes<|end|>\n<|unknown|>\nx<|end|>\n" and found[2]["rejected"] == "<|assistant|>\nbe kind<|end|>\n<|unknown|>\nx<|end|>\n"
+    assert (found[2]["chosen_mask"], found[2]["rejected_mask"]) == ("14:25", "14:29") and (found[3]["prompt_turns"], found[3]["chosen"], found[3]["rejected"]) == (1, "", "")
+    assert preference.table_pairs(df).count() == 3 and preference.table_pairs(df.where("false")).count() == 0
+
+
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
