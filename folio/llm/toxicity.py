@@ -2,9 +2,10 @@
 
 A lexicon is learned first: words and word beginnings that are far more common in toxic texts. The
 dense features are densities of its entries, how near they stand to second-person words, and rates
-of capitals, punctuation and obfuscated words. Spark ML fits the trees on one part of the labelled
-rows and an isotonic curve from their probabilities to labels on another; both fit on bounded
-samples (SAMPLE), everything is scored. Where a class is sampled, its rows weigh as much as all its
+of capitals, punctuation and obfuscated words. Spark ML fits the trees on the labelled rows, and an
+isotonic curve from probabilities to labels by cross-fitting: each half of the rows gets the
+probabilities of a lexicon and trees learned from the other half. All fit on a bounded sample (SAMPLE),
+everything is scored. Where a class is sampled, its rows weigh as much as all its
 learnable labels, so that a score stands for the labels' own share of toxic rows at every size.
 """
 
@@ -22,15 +23,16 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import map_arrow, written
 
 #: Labelled rows of either class that fitting takes at most, those of least hash.
 SAMPLE = {1: 4_000, 0: 8_000}
-#: Of crc32(doc_id) mod FOLDS: 0 is never learned from, CALIBRATION sets the curve, the others fit lexicon and trees.
-FOLDS, CALIBRATION = 5, 1
+#: Of crc32(doc_id) mod FOLDS: 0 is never learned from.
+FOLDS = 5
 #: A lexicon entry is in at least this share of the toxic texts (and in SUPPORT of them) and so many times likelier there.
-SUPPORT, SUPPORT_SHARE, LEAST_ODDS, ENTRIES = 4, 0.01, 8.0, 400
+SUPPORT, SUPPORT_SHARE, LEAST_ODDS = 4, 0.01, 8.0
 #: Lengths of word beginnings that may be entries.
 BEGINNINGS = (4, 5, 6)
 #: Words on either side in which a second-person word counts as near.
@@ -46,7 +48,8 @@ _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SHOUTED = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ]{2,}(?![^\W\d_])")
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~¡¿…–—]")
 _HIDDEN = re.compile(r"[^\W\d_][*@$!|0-9]{1,3}(?=[^\W\d_])")
-_EDGE = re.compile(r"\s")
+_SPACES = " \t\n\v\f\r"
+_EDGE = re.compile(f"[{_SPACES}]")
 
 FEATURES = (
     "log_hits", "hit_density", "weight_density", "greatest_weight", "log_distinct_hits", "near_share",
@@ -80,10 +83,10 @@ def dense_features(text: str | None, weights: _Weights) -> list[float]:
     for m in _HIDDEN.finditer(low):
         if m.start() < done:
             continue
-        start = max((low.rfind(c, max(0, m.start() - 40), m.start()) for c in " \n\t"), default=-1) + 1
-        start = max(start, m.start() - 40, 0)
-        end = _EDGE.search(low, m.end(), m.end() + 40)
-        done = end.start() if end else min(len(low), m.end() + 40)
+        # the whole run without white space around it; what lies before `done` has been looked at
+        start = max(done, *(low.rfind(c, done, m.start()) + 1 for c in _SPACES))
+        end = _EDGE.search(low, m.end())
+        done = end.start() if end else len(low)
         hidden += 1
         hidden_hits += [x for w in _WORD.findall(low[start:done].translate(LEET).replace("*", "")) if (x := weights[w])]
     all_weights = [w for _, w in hits] + hidden_hits
@@ -119,7 +122,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:
-    """entry -> log odds from sample (text, toxic); beginnings end in `*`. At most ENTRIES entries reach the driver."""
+    """entry -> log odds from sample (text, toxic); beginnings end in `*`.
+
+    Each entry is in SUPPORT_SHARE of the toxic texts at least, so that there are 100 times as many as such a
+    text has words and beginnings at most, whatever the sample's size.
+    """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
     words = F.filter(words, lambda w: F.length(w) >= 3)
     begins = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
@@ -131,74 +138,87 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     counts = sample.select("toxic", entries.alias("entry")).groupBy("entry").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
     odds = ((F.col("b") + 0.5) / (bad + 1)) / ((F.col("g") + 0.5) / (good + 1))
     found = counts.where((F.col("b") >= max(SUPPORT, SUPPORT_SHARE * bad)) & (odds >= LEAST_ODDS))
-    return {r["entry"]: r["w"] for r in found.select("entry", F.log(odds).alias("w"), "b").orderBy(F.desc("b"), "entry").limit(ENTRIES).collect()}
+    return {r["entry"]: r["w"] for r in found.select("entry", F.log(odds).alias("w")).orderBy("entry").collect()}
 
 
 @dataclass
-class ToxicityModel:
-    """score() of any table with a text column. Without labels of both classes: a constant score."""
+class Trees:
+    """A lexicon and trees learned with it; of labels of one kind only, no trees but their constant."""
 
     lexicon: dict[str, float]
     trees: GBTClassificationModel | None
-    curve: IsotonicRegressionModel | None
     constant: float
 
-    def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
-        """docs with a score of 0 to 1; only its text is an input."""
+    def probabilities(self, docs: DataFrame) -> DataFrame:
+        """docs with __tox_p; only its text is an input."""
         if self.trees is None:
-            return docs.withColumn(column, F.lit(self.constant))
-        raw = self._raw(with_features(docs, self.lexicon))
+            return docs.withColumn("__tox_p", F.lit(self.constant))
+        vectors = with_features(docs, self.lexicon).withColumn("__tox_vector", array_to_vector(FEATURE_COLUMN))
+        return self.trees.transform(vectors).withColumn("__tox_p", vector_to_array("__tox_probability")[1])
+
+
+@dataclass
+class ToxicityModel:
+    """score() of any table with a text column. Without labels of both kinds: a constant score."""
+
+    trees: Trees
+    curve: IsotonicRegressionModel | None
+
+    def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
+        """docs with a score of 0 to 1."""
+        raw = self.trees.probabilities(docs)
         if self.curve is None:
             return raw.withColumn(column, F.col("__tox_p")).select(*docs.columns, column)
         bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__tox_score")))
         return self.curve.transform(raw).withColumn(column, bounded).select(*docs.columns, column)
 
-    def _raw(self, featured: DataFrame) -> DataFrame:
-        vectors = featured.withColumn("__tox_vector", array_to_vector(FEATURE_COLUMN))
-        return self.trees.transform(vectors).withColumn("__tox_p", vector_to_array("__tox_probability")[1])
-
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, toxic, weight, text) of at most SAMPLE labelled rows with a fold that is not 0, each class's by least hash of the id.
+    """(half, toxic, weight, text) of at most SAMPLE labelled rows with a fold that is not 0, each class's by least hash of the id.
 
-    weight: of the class's learnable labels, how many one sampled row stands for (1 where all are taken).
+    half: 0 and 1 by turns in each class. weight: of the class's learnable labels, how many one sampled row
+    stands for (1 where all are taken).
 
     A document with several labels is toxic if one says so; one whose rows repeat counts as often. Only
     the ids are sampled and sorted; texts are not shuffled while the sample is below the broadcast limit.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").withColumn("x", F.xxhash64("doc_id"))
+    known = known.where(fold(F.col("doc_id")) != 0).withColumn("x", F.xxhash64("doc_id"))
     known = written(known, "known")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = (max(1.0, counts.get(c, 0) / SAMPLE[c]) for c in (1, 0))
-    some = [known.where(F.col("toxic") == c).orderBy("x", "doc_id").limit(n).select("doc_id", "toxic", "fold") for c, n in SAMPLE.items()]
-    chosen = written(some[0].union(some[1]), "labels")
+    some = [known.where(F.col("toxic") == c).orderBy("x", "doc_id").limit(n).select("doc_id", "toxic", "x") for c, n in SAMPLE.items()]
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("x", "doc_id"))  # SAMPLE rows at most
+    chosen = written(some[0].union(some[1]).withColumn("half", F.pmod(turn, F.lit(2))).drop("x"), "labels")
     weight = F.when(F.col("toxic") == 1, F.lit(bad)).otherwise(F.lit(good)).alias("weight")
-    return written(docs.select("doc_id", "text").join(chosen, "doc_id").select("fold", "toxic", weight, "text"), "sample")
+    return written(docs.select("doc_id", "text").join(chosen, "doc_id").select("half", "toxic", weight, "text"), "sample")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learns from labelled_sample(); see ToxicityModel for tables without labels of both classes."""
-    sample = labelled_sample(docs, labels)
-    sizes = {(r["c"], r["toxic"]): r["n"] for r in sample.groupBy((F.col("fold") == CALIBRATION).alias("c"), "toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = (sum(n for (_, t), n in sizes.items() if t == label) for label in (1, 0))
-    if not bad or not good:
-        return ToxicityModel({}, None, None, float(bad > 0))
-    apart = all(sizes.get((c, t), 0) >= 10 for c in (True, False) for t in (0, 1))  # else all rows fit both
-    fit = sample.where(F.col("fold") != CALIBRATION) if apart else sample
-    model = ToxicityModel(learned_lexicon(fit), None, None, bad / (bad + good))
-    featured = written(with_features(sample, model.lexicon).drop("text"), "features")
-    vectors = featured.withColumn("__tox_vector", array_to_vector(FEATURE_COLUMN))
+def fitted(sample: DataFrame) -> Trees:
+    """Lexicon and trees from sample (toxic, weight, text)."""
+    kinds = {r["toxic"] for r in sample.select("toxic").distinct().collect()}
+    if kinds != {0, 1}:
+        return Trees({}, None, float(1 in kinds))
+    lexicon = learned_lexicon(sample)
+    featured = written(with_features(sample, lexicon).drop("text"), "features")
     trees = GBTClassifier(
         featuresCol="__tox_vector", labelCol="toxic", weightCol="weight", predictionCol="__tox_class",
         maxIter=15, maxDepth=3, stepSize=0.3, maxBins=32, seed=7, cacheNodeIds=False,
     )
     trees.setProbabilityCol("__tox_probability").setRawPredictionCol("__tox_margin")
-    model.trees = trees.fit((vectors.where(F.col("fold") != CALIBRATION) if apart else vectors).coalesce(4))
-    points = model._raw(featured.where(F.col("fold") == CALIBRATION) if apart else featured)
+    return Trees(lexicon, trees.fit(featured.withColumn("__tox_vector", array_to_vector(FEATURE_COLUMN)).coalesce(4)), 0.0)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learns from labelled_sample(); see ToxicityModel for tables without labels of both kinds. The same steps at every number of labels."""
+    sample = labelled_sample(docs, labels)
+    whole = fitted(sample)
+    if whole.trees is None:
+        return ToxicityModel(whole, None)
+    by_half = [fitted(sample.where(F.col("half") != h)).probabilities(sample.where(F.col("half") == h)) for h in (0, 1)]
+    points = by_half[0].select("__tox_p", "toxic", "weight").union(by_half[1].select("__tox_p", "toxic", "weight"))
     curve = IsotonicRegression(featuresCol="__tox_p", labelCol="toxic", weightCol="weight", predictionCol="__tox_score")
-    model.curve = curve.fit(points.select("__tox_p", F.col("toxic").cast("double").alias("toxic"), "weight"))
-    return model
+    return ToxicityModel(whole, curve.fit(written(points.withColumn("toxic", F.col("toxic").cast("double")), "points")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -435,6 +435,51 @@ def test_toxicity_on_held_out_labels(spark):
     assert [r["score"] for r in blank] == [0.0] * 3 and all(r["predicted"] == 0 for r in blank)
 
 
+def features_by_brute_force(text, lexicon):
+    text = text or ""
+    low = text.lower()
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t).split()
+    weight = lambda w: max([lexicon.get(w, 0.0)] + [lexicon.get(w[:n] + "*", 0.0) for n in (4, 5, 6) if len(w) >= n])
+    words_, hidden, hidden_hits = letters(low), 0, []
+    for run in re.split("[ \t\n\v\f\r]+", low):
+        marks = [run[i:j] for i in range(1, len(run)) for j in range(i + 1, min(i + 4, len(run)))]
+        spans = [(i, j) for i in range(1, len(run)) for j in range(i + 1, min(i + 4, len(run))) if run[i - 1].isalpha() and run[j].isalpha() and all(c in "*@$!|0123456789" for c in run[i:j])]
+        if spans and marks:
+            hidden += 1
+            plain = run.translate(str.maketrans("013457@$!|", "oieastasii")).replace("*", "")
+            hidden_hits += [weight(w) for w in letters(plain) if weight(w)]
+    hits = [i for i, w in enumerate(words_) if weight(w)]
+    you = [i for i, w in enumerate(words_) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hits)
+    found = [weight(words_[i]) for i in hits] + hidden_hits
+    n, size = max(1, len(words_)), max(1, len(text))
+    capital = lambda c: "A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "Þ"
+    shouted = sum(len(w) > 1 and all(map(capital, w)) for w in letters(text))
+    marks = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿…–—" for c in text)
+    log = lambda x: float(np.log1p(x))
+    return [log(len(found)), len(found) / n, sum(found) / n, max(found, default=0.0), log(len({words_[i] for i in hits})), near / max(1, len(hits)), len(you) / n,
+            sum(map(capital, text)) / size, shouted / n, marks / size, text.count("!") / size, hidden / n, log(len(hidden_hits)), log(len(words_))]
+
+
+def test_toxic_features_against_brute_force():
+    lexicon = {"fool": 2.0, "foolis*": 3.0, "idio*": 2.5, "scum": 1.5, "naïf": 1.0}
+    long_run = "x" * 90 + "-f0ol-" + "y" * 90 + "/sc*um"
+    parts = ["You", "du", "FOOL", "foolish", "Idiots", "sc*um", "f00l", "1d1ot", "!!", "a.b", "Ünd", "vous", "naïf", "plain", "words", "here", "\n", "\t", "…", "¿", "A", "i!d!o!t", long_run, "3.5", "ÀÉÎ"]
+    r = random.Random(6)
+    for text in [None, "", " ", long_run, *(" ".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(300))]:
+        assert toxicity.dense_features(text, toxicity._Weights(lexicon)) == pytest.approx(features_by_brute_force(text, lexicon)), text
+
+
+def test_few_labels_take_the_same_steps(spark):
+    df = docs(spark, [f"you vile{n % 7} scum" if n % 4 == 0 else f"kind words {n}" for n in range(80)] + [None, ""] + ["you vile scum"] * 2)
+    for toxic in (1, 2, 6):
+        ids = [i for i in range(1, 81) if (i - 1) % 4 == 0][: 2 * toxic] + [i for i in range(1, 81) if (i - 1) % 4][:12]
+        rows = toxicity.score_documents(df, spark.createDataFrame([(i, int((i - 1) % 4 == 0), 0) for i in ids] + [(None, 1, 0), (3, None, 0)], "doc_id long, toxic int, text int")).collect()
+        assert len(rows) == 84 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+        assert len({r["score"] for r in rows[-2:]}) == 1
+    assert toxicity.without_toxic(df.where("false"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
+
+
 def test_scores_mean_the_same_when_classes_are_sampled(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", {1: 100, 0: 200})
     n = 4000  # one in ten is toxic, and texts say nothing of it
