@@ -16,7 +16,7 @@ segment is too seldom equal to be a key, so that keys are the least shingle hash
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -30,8 +30,8 @@ from .common import arrow_schema, map_arrow, map_batches, written
 from .suffix_repeats import window_hashes
 
 SEED = 42
-#: Rows in a block of a key's group.
-BLOCK = 1024
+#: Rows in a block of a group, or weight: a set of SET_WEIGHT hashes or fewer weighs as one row, a larger one in proportion.
+BLOCK, SET_WEIGHT = 1024, 512
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -128,39 +128,50 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def pairs_within_groups(members: DataFrame, keys: list[str], distance: int, masks: np.ndarray, forest: bool = False) -> DataFrame:
-    """(a, b), a < b, distinct: ids of rows of one group within that distance and of different c.
+def links_within_groups(members: DataFrame, keys: list[str], decide: Callable[[list[bytes], list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b), a < b, distinct: links between rows of one group and of different c, enough to connect all that `decide` links.
 
-    members: keys, id, c, fp (binary, little-endian words), size (rows of the group). Groups are dealt into
-    blocks of about BLOCK rows, and each block meets each, in tasks of their own: rows of a group are sent
-    size / BLOCK times. forest: of a task's pairs, those that connect what all of them connect.
+    members: keys, id, c, data, and weight (of a row; see BLOCK). decide gets the data of two lists of rows
+    and gives the positions of linked ones. A group is dealt into blocks, and each block meets each, in tasks
+    of their own; blocks of the group's heaviest c, whose rows need no links among themselves, meet only
+    those of the others. A task gives a spanning forest of its links.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = dealt.groupBy(*keys, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("id", "c", "block", "fp")).alias("r"))
-    met = met.select("x", "y", *[F.col("r")[f].alias(f) for f in ("id", "c", "block", "fp")])
-    words = masks.shape[1]
+    apart = members.groupBy(*keys, "c").agg(F.sum("weight").alias("w")).groupBy(*keys)
+    apart = apart.agg(F.sum("w").alias("all"), F.max(F.struct("w", "c")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    large = F.col("top.w") > BLOCK
+    sizes = apart.select(*keys, F.when(large, F.col("top.c")).alias("major"), F.ceil(F.when(large, F.col("top.w")).otherwise(0) / BLOCK).cast("long").alias("n_major"),
+                         F.ceil((F.col("all") - F.when(large, F.col("top.w")).otherwise(0)) / BLOCK).cast("long").alias("n_minor"))
+    dealt = members.join(written(sizes, "apart"), keys)
+    in_major = F.coalesce(F.col("c") == F.col("major"), F.lit(False))
+    block = F.when(in_major, F.pmod(F.xxhash64("id"), F.greatest(F.col("n_major"), F.lit(1)))).otherwise(F.col("n_major") + F.pmod(F.xxhash64("id"), F.greatest(F.col("n_minor"), F.lit(1))))
+    others = F.sequence(F.when(in_major, F.col("n_major")).otherwise(F.lit(0).cast("long")), F.col("n_major") + F.col("n_minor") - 1)
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others))
+    met = dealt.groupBy(*keys, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("id", "c", "block", "data")).alias("r"))
+    met = met.select("x", "y", *[F.col("r")[f].alias(f) for f in ("id", "c", "block", "data")])
 
     def work(rows: dict) -> dict:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y, i, c, block, fp in zip(*(rows[f] for f in ("x", "y", "id", "c", "block", "fp")), strict=True):
+        for x, y, i, c, block, data in zip(*(rows[f] for f in ("x", "y", "id", "c", "block", "data")), strict=True):
             i, c, block = (np.array(v, np.int64) for v in (i, c, block))
-            fp = np.frombuffer(b"".join(fp), "<u8").reshape(-1, words)
             own, met_by = (np.flatnonzero(block == x), np.flatnonzero(block == y)) if x < y else (np.arange(len(i)),) * 2
-            p, q = alike(fp[own], fp[met_by], distance, masks)
+            p, q = decide([data[k] for k in own], [data[k] for k in met_by])
             p, q = own[p], met_by[q]
             kept = (c[p] != c[q]) & ((i[p] < i[q]) | (x < y))
             p, q = p[kept], q[kept]
-            if forest:
-                kept = _forest(p, q, len(i))
-                p, q = p[kept], q[kept]
-            a.append(np.minimum(i[p], i[q]))
-            b.append(np.maximum(i[p], i[q]))
+            kept = _forest(p, q, len(i))
+            a.append(np.minimum(i[p], i[q])[kept])
+            b.append(np.maximum(i[p], i[q])[kept])
         return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
     return map_batches(met, work, "a long, b long", 64).where("a < b").distinct()
 
 
+def within(distance: int, masks: np.ndarray) -> Callable[[list[bytes], list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Links fingerprints (little-endian words) by alike()."""
+    words = lambda x: np.frombuffer(b"".join(x), "<u8").reshape(-1, masks.shape[1])
+    return lambda a, b: alike(words(a), words(b), distance, masks)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) reaches.
 
@@ -222,9 +233,9 @@ def links(fps: DataFrame) -> DataFrame:
     masks = ring_keys(fps.count())
     keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for n, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.v")
-    groups = written(keyed.groupBy("n", "v").agg(F.count("*").alias("size")).where("size > 1"), "groups")  # joined as a table, so that a key of many rows can be split
-    members = keyed.join(groups, ["n", "v"]).select("n", "v", "size", F.col("fp").alias("id"), F.col("fp").alias("c"), _little_endian("fp").alias("fp"))
-    return pairs_within_groups(members, ["n", "v"], DISTANCE, np.array([[_mask(*s)] for s in SEGMENTS], np.uint64), forest=True)
+    groups = written(keyed.groupBy("n", "v").agg(F.count("*").alias("size")).where("size > 1").select("n", "v"), "groups")  # joined as a table, so that a key of many rows can be split
+    members = keyed.join(groups, ["n", "v"]).select("n", "v", F.col("fp").alias("id"), F.col("fp").alias("c"), _little_endian("fp").alias("data"), F.lit(1.0).alias("weight"))
+    return links_within_groups(written(members, "members"), ["n", "v"], within(DISTANCE, np.array([[_mask(*s)] for s in SEGMENTS], np.uint64)))
 
 
 def _little_endian(name: str):
@@ -350,44 +361,82 @@ def _near_pivots(members: DataFrame, distance: int) -> DataFrame:
     return map_arrow(met, work, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("id", "text").join(written(ids, "involved"), "id")
+
+
 def _decided(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) whose whole texts have that similarity."""
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-    involved = written(docs.select("id", "text").join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    """(a, b) of the pairs (a, b) whose whole texts have that similarity."""
+    involved = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
     both = pairs.join(involved.toDF("a", "ta"), "a").join(involved.toDF("b", "tb"), "b")
 
     def work(rows: dict) -> dict:
-        found = []
+        alike = []
         for a, b in zip(rows["ta"], rows["tb"], strict=True):
             x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
-            found.append(len(x & y) / max(1, len(x | y)))
-        return {"a": rows["a"], "b": rows["b"], "jaccard": found}
+            alike.append(len(x & y) >= similarity * max(1, len(x | y)))
+        return {c: [v for v, kept in zip(rows[c], alike, strict=True) if kept] for c in ("a", "b")}
+
+    return map_batches(both, work, "a long, b long", 64)
+
+
+def similar_sets(similarity: float) -> Callable[[list[bytes], list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Links sets of hashes (ascending, as bytes) of that Jaccard similarity: an index of one side's hashes counts what each set of the other shares."""
+
+    def decide(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, "<u8") for x in b]
+        sizes = np.array([len(x) for x in sets])
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(b), dtype=np.int32), sizes)[order]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for n, x in enumerate(a):
+            own = np.frombuffer(x, "<u8")
+            low, high = (np.searchsorted(hashes, own, side) for side in ("left", "right"))
+            each = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+            shared = np.bincount(owner[at], minlength=len(b))
+            q = np.flatnonzero(shared >= similarity * np.maximum(1, len(own) + sizes - shared))
+            found.append((np.full(len(q), n), q))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return decide
+
+
+def _linked_in_families(docs: DataFrame, families: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b): links of that similarity between rows (id, family, c) of one family and of different c."""
+    ddl = "id long, family long, c long, data binary, weight double"
+
+    def work(rows: dict) -> dict:
+        sets = [shingle_hashes(t, width) for t in rows["text"]]
+        return {f: rows[f] for f in ("id", "family", "c")} | {"data": [h.tobytes() for h in sets], "weight": [max(1.0, len(h) / SET_WEIGHT) for h in sets]}
 
-    return map_batches(both, work, "a long, b long, jaccard double", 64).where(F.col("jaccard") >= similarity)
+    sets = written(map_batches(_texts(docs, families).select("id", "text", "family", "c"), work, ddl, 256), "sets")
+    return links_within_groups(sets, ["family"], similar_sets(similarity))
 
 
 def similar_links(docs: DataFrame, found: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """Links (a, b, jaccard), a < b, that connect all rows of docs (id, text) with keys in `found` (sketches()) and that Jaccard similarity.
+    """Links (a, b), a < b, that connect all rows of docs (id, text) with keys in `found` (sketches()) and that Jaccard similarity.
 
     Two such rows share a key but for a chance of MISSED, and their fingerprints are within
     allowed_distance() but for about one pair in a million at the least similarity itself, hardly any above.
-    Each row meets the pivots of its keys first, so that a large group of copies takes some pairs for each
-    row; rows of a key that these links leave apart then all meet each other, in blocks.
+    Each row meets the pivots of its keys first, so that a large group of copies takes some pairs of texts
+    for each row. Rows of a key that these links leave apart then all meet each other by their fingerprints;
+    those within the distance are a family, whose sets of shingles (64-bit hashes) meet in the same way.
+    Only a family of many rows that are neither copies nor far apart takes work in the square of its size.
     """
     distance = allowed_distance(similarity)
     entries = found.select("id", F.explode("keys").alias("key"))
     groups = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "groups")
     slim = written(entries.join(groups, "key"), "slim")
     members = written(slim.join(found.select("id", "fp"), "id"), "members")
-    first = written(_near_pivots(members, distance), "first")
-    linked = written(_decided(docs, first, similarity, width), "linked")
+    linked = written(_decided(docs, written(_near_pivots(members, distance), "first"), similarity, width), "linked")
     known = written(components(linked, "linked"), "known").toDF("id", "component")
-    live = written(members.join(known, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("c")), "live")
-    apart = live.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    apart = written(apart.select("key", "size"), "apart")
-    masks = np.diag(np.full(WORDS, ~np.uint64(0)))
-    rest = written(pairs_within_groups(live.join(apart, "key"), ["key"], distance, masks).join(first, ["a", "b"], "left_anti"), "rest")
-    return linked.union(_decided(docs, rest, similarity, width))
+    live = members.join(known, "id", "left").select("key", "id", F.col("fp").alias("data"), F.coalesce("component", "id").alias("c"), F.lit(1.0).alias("weight"))
+    near = links_within_groups(written(live, "live"), ["key"], within(distance, np.diag(np.full(WORDS, ~np.uint64(0)))))
+    families = written(components(near, "families"), "families").toDF("id", "family")
+    families = families.join(known, "id", "left").select("id", "family", F.coalesce("component", "id").alias("c"))
+    return linked.union(_linked_in_families(docs, families, similarity, width))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
