@@ -1,7 +1,8 @@
 """Personal data in whole texts, also behind disguises, at the source's own offsets.
 
 Base spans come from the text as it stands. Then a transducer rewrites disguises (look-alike
-letters and digits, spelled digits, "at" and "dot" in words or brackets) and records for each
+letters and digits, spelled digits, "at" and "dot" in words or brackets, in the four languages of the
+tables) and records for each
 rewritten character which source characters it stands for. The same finders run over the
 rewritten text, and what they find is mapped back and added where no base span of that kind is.
 """
@@ -84,28 +85,46 @@ LOOKALIKES = {
 }
 # Characters that show nothing.
 INVISIBLE = "­​‌‍⁠﻿"
-# Digits as words.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits as words, in English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for "+", "@" and "." in these languages.
+PLUS = ("plus", "más", "mas")
+AT = ("at", "ät", "klammeraffe", "arobase", "arrobase", "arroba")
+DOT = ("dot", "punkt", "point", "punto")
+# Letters written for digits.
+LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
 
-_WORDS = "|".join(SPELLED)
+_ALONE = r"(?<![^\W_])", r"(?![^\W_])"  # no letter or digit before, after
 _GLYPH = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + r"！-～٠-٩۰-۹०-९⁰-₉①-⑨]|[\U0001d7ce-\U0001d7ff]")
-_DOT = r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}"
-_BARE_DOT = r"[ \t]{1,3}dot[ \t]{1,3}"
-_HOST = r"[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,9}"
-_DIGITS = rf"(?:{_WORDS}|[0-9]{{1,19}})(?![^\W_])"
-_RULES = re.compile(
-    rf"(?P<at>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:at|@)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
-    rf"|(?P<dot>{_DOT})"
-    # bare words only in the frame "name at host dot domain"
-    rf"|(?P<bare>(?<=[a-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}{_HOST}(?:(?:{_BARE_DOT}|{_DOT}){_HOST})+(?![a-z0-9]))"
-    # spelled digits, also beside numerals; _enough() decides
-    rf"|(?P<spelled>(?<![^\W_])(?:plus[ \t-]{{1,3}})?(?:[0-9]{{1,19}}[ \t-]{{1,3}}){{0,9}}(?:{_WORDS})(?![^\W_])(?:[ \t-]{{1,3}}{_DIGITS})*)",
-    re.IGNORECASE,
-)
+_HOST = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*"
+_FRAMED = r"[\[({{<][ \t]*(?:{})[ \t]*[\])}}>]"
+_FRAMED_DOT = rf"[ \t]*{_FRAMED.format(_any(DOT) + r'|\.')}[ \t]*"
+_BARE_DOT = rf"[ \t]+{_any(DOT)}[ \t]+"
+# These rules see the text in lower case.
+# bare words only in the frame "name at host dot domain"
+_BARE = re.compile(rf"(?<=[ \t]){_any(AT)}[ \t]+{_HOST}(?:(?:{_BARE_DOT}|{_FRAMED_DOT}){_HOST})+(?![a-z0-9])")
+_BARE_AT = re.compile(rf"{_any(AT)}[ \t]+")
+_ANY_DOT = re.compile(rf"{_BARE_DOT}|{_FRAMED_DOT}")
+_FRAME = re.compile(rf"[\[({{<][ \t]*(?:(?P<at>{_any(AT)}|@)|{_any(DOT)}|\.)[ \t]*[\])}}>]")
 # what follows a rewritten or plain @
-_HOST_RULES = re.compile(rf"(?<=[a-z0-9._%+-]@){_HOST}(?:{_BARE_DOT}{_HOST})+(?![a-z0-9])", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"plus|{_WORDS}|[0-9]+", re.IGNORECASE)
-_AT_OR_DOT = re.compile(rf"(?P<at>[ \t]{{1,3}}at[ \t]{{1,3}})|{_BARE_DOT}|{_DOT}", re.IGNORECASE)
+_HOSTS = re.compile(rf"(?<=[a-z0-9._%+-]@){_HOST}(?:{_BARE_DOT}{_HOST})+(?![a-z0-9])")
+# whole runs of spelled digits and numerals; _enough() decides
+_SPELLED = re.compile(rf"{_ALONE[0]}(?=[{''.join(sorted({w[0] for w in SPELLED}))}]){_any(SPELLED)}{_ALONE[1]}")
+_DIGIT = rf"(?:{_any(SPELLED)}|[0-9]+){_ALONE[1]}"
+_RUN = re.compile(rf"{_ALONE[0]}(?:{_any(PLUS)}[ \t-]+)?{_DIGIT}(?:[ \t-]+{_DIGIT})*")
+_PART = re.compile(rf"{_any([*PLUS, *SPELLED])}|[0-9]+")
+# numbers with letters among their digits
+_MIXED = re.compile(r"(?<![A-Za-z0-9_])[0-9OoIl](?:[ .()-]{0,2}[0-9OoIl])+(?![A-Za-z0-9_])")
 
 
 def _plain(c: str) -> str:
@@ -121,7 +140,7 @@ def _plain(c: str) -> str:
 def _enough(parts: list[str], plus: bool) -> bool:
     """Whether a run of spelled digits and numerals is taken for a number: four spelled ones, or fewer in one as long as a phone's or card's."""
     spelled = sum(p in SPELLED for p in parts)
-    return spelled >= 4 or sum(1 if p in SPELLED else len(p) for p in parts if p != "plus") >= (9 if plus else 12)
+    return spelled >= 4 or spelled and sum(1 if p in SPELLED else len(p) for p in parts if p not in PLUS) >= (9 if plus else 12)
 
 
 class _Rewritten:
@@ -164,42 +183,80 @@ def _glyphs(text: str, new: _Rewritten) -> None:
         new.put(_plain(m[0]), *m.span())
 
 
-def _words(text: str, new: _Rewritten) -> None:
-    for m in _RULES.finditer(text):
-        kind = m.lastgroup
-        if kind == "spelled":
-            found = [(p[0].lower(), p.span()) for p in _SPELLED_PART.finditer(text, *m.span())]
-            parts = [p for p, _ in found]
-            if not _enough(parts, parts[0] == "plus" or text[m.start() - 1 : m.start()] == "+"):
-                continue
-            before = None
-            for p, (start, end) in found:
-                if before is not None and (p.isdigit() or before[0].isdigit()) and before[0] != "plus":
-                    new.put(" ", before[1], start)
-                elif before is not None:
-                    new.put("", before[1], start)
-                if p.isdigit():
-                    new.put(text[start:end], start, end)
-                else:
-                    new.put(SPELLED.get(p, "+"), start, end)
-                before = p, end
-        elif kind == "bare":
-            for p in _AT_OR_DOT.finditer(text, *m.span()):
-                new.put("@" if p["at"] else ".", *p.span())
-        else:
-            new.put("@" if kind == "at" else ".", *m.span())
+def _spaces(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span with the blanks and tabs around it."""
+    while start and text[start - 1] in " \t":
+        start -= 1
+    while end < len(text) and text[end] in " \t":
+        end += 1
+    return start, end
+
+
+def _lowered(text: str) -> str:
+    """In lower case, character by character where a whole text would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _addresses(text: str, new: _Rewritten) -> None:
+    text = _lowered(text)
+    if not any(w in text for w in (*DOT, *"[({<")):  # each match has one of them
+        return
+    for m in _BARE.finditer(text):
+        start, at_end = _spaces(text, m.start(), m.start())[0], _BARE_AT.match(text, m.start()).end()
+        if start >= new.done and text[start - 1 : start].isalnum():
+            new.put("@", start, at_end)
+            for p in _ANY_DOT.finditer(text, at_end, m.end()):
+                new.put(".", *p.span())
+
+
+def _frames(text: str, new: _Rewritten) -> None:
+    for m in _FRAME.finditer(_lowered(text)):
+        start, end = _spaces(text, *m.span())
+        new.put("@" if m["at"] else ".", max(start, new.done), end)
+
+
+def _digits(text: str, new: _Rewritten) -> None:
+    text = _lowered(text)
+    if not _SPELLED.search(text):
+        return
+    for m in _RUN.finditer(text):
+        found = [(p[0], p.span()) for p in _PART.finditer(text, *m.span())]
+        parts = [p for p, _ in found]
+        if not _enough(parts, parts[0] in PLUS or text[m.start() - 1 : m.start()] == "+"):
+            continue
+        before = None
+        for p, (start, end) in found:
+            if before is not None and (p.isdigit() or before[0].isdigit()) and before[0] not in PLUS:
+                new.put(" ", before[1], start)
+            elif before is not None:
+                new.put("", before[1], start)
+            new.put(text[start:end] if p.isdigit() else SPELLED.get(p, "+"), start, end)
+            before = p, end
+
+
+def _letters(text: str, new: _Rewritten) -> None:
+    for m in _MIXED.finditer(text):
+        letters = sum(c in LETTERS for c in m[0])
+        if letters and sum(c.isdigit() for c in m[0]) >= 2 * letters:
+            for i, c in enumerate(m[0], m.start()):
+                if c in LETTERS:
+                    new.put(LETTERS[c], i, i + 1)
 
 
 def _hosts(text: str, new: _Rewritten) -> None:
-    for m in _HOST_RULES.finditer(text) if "@" in text else ():
-        for p in _AT_OR_DOT.finditer(text, *m.span()):
+    if "@" not in text:
+        return
+    text = _lowered(text)
+    for m in _HOSTS.finditer(text):
+        for p in _ANY_DOT.finditer(text, *m.span()):
             new.put(".", *p.span())
 
 
 def rewrite(text: str) -> list[_Rewritten]:
     """The text without disguises, step by step: each rule sees what those before have made of it. Empty if it has none."""
     steps = []
-    for rule in (_glyphs, _words, _hosts):
+    for rule in (_glyphs, _addresses, _frames, _digits, _letters, _hosts):
         rule(text, new := _Rewritten(text))
         if (plain := new.finished()) is not None:
             text = plain

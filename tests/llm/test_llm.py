@@ -136,6 +136,57 @@ def test_each_disguise_alone(text):
         assert [around[s:e] for s, _, e in found] == [text] and found[0][1] == (3 if "1234567" in text else 0)
 
 
+def disguised(r):
+    """(text, kind's number) of one identifier in some disguise, in one of four languages."""
+    lang = r.randrange(4)
+    spelled = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"][lang].split()
+    blank = lambda: r.choice([" ", "  ", "\t", "     "])
+    case = lambda w: r.choice([w, w.upper(), w.title()])
+    frame = lambda w: (lambda o, c: f"{r.choice(['', blank()])}{o}{r.choice(['', ' ', '   '])}{w}{r.choice(['', ' '])}{c}{r.choice(['', blank()])}")(*r.choice(["[]", "()", "{}", "<>"]))
+    at, dot = case(r.choice([["at"], ["ät", "klammeraffe", "at"], ["arobase", "arrobase"], ["arroba"]][lang])), case(["dot", "punkt", "point", "punto"][lang])
+    how = r.randrange(5)
+    if how == 0:  # an address in frames, with labels of any length
+        return "joe.b" + frame(r.choice([at, "@"])) + r.choice(["mail", "m" * 70]) + frame(r.choice([dot, "."])) + "org", 0
+    if how == 1:  # in bare words
+        return f"joe{blank()}{at}{blank()}mail{r.choice([f'{blank()}{dot}{blank()}', frame(dot)])}co{blank()}{dot}{blank()}uk", 0
+    if how == 2:  # look-alikes
+        return r.choice([("jоe@mаil.org", 0), ("１０.0.0.7", 1), ("+49 30 １２３４５６７", 3), ("1O.l.0.22", 1), ("+49 3O 1234 56l", 3)])
+    if how == 3:  # a phone number, some of it spelled
+        digits = [r.randrange(10) for _ in range(11)]
+        n = r.choice([11, 9, 5])
+        return r.choice(["+", case(["plus", "plus", "plus", "más"][lang]) + " "]) + " ".join([case(spelled[d]) for d in digits[:n]] + ["".join(map(str, digits[n:]))] * (n < 11)), 3
+    digits = [4, 1, 1, 1] * 4
+    digits[3:] = [1] * 13  # 4111111111111111
+    return " ".join(case(spelled[d]) for d in digits), 2
+
+
+def test_disguises_map_back_to_their_characters():
+    r = random.Random(12)
+    for _ in range(3000):
+        (a, kind_a), (b, kind_b) = disguised(r), disguised(r)
+        text, at = "Ä ok: ", []
+        for piece, kind in ((a, kind_a), (b, kind_b)):
+            at.append((len(text), kind, len(text) + len(piece)))
+            text += piece + r.choice([", und ", "; ¿qué? ", " / ok! "])
+        assert pii.all_spans(text) == at, text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in (" " * 200_000, "1 " * 100_000, "one " * 100_000, "a at " * 60_000, "[at" * 70_000, "o" * 200_000, "1 l " * 60_000 + "x", "mail dot " * 40_000, "x at " + "a." * 100_000, "(" * 200_000, "un 2 " * 60_000 + "_"):
+        began = time.process_time()
+        pii.all_spans(text)
+        assert time.process_time() - began < 8, text[:12]
+
+
+def test_pii_of_odd_rows(spark):
+    df = docs(spark, ["a@b.co", "a@b.co", None, "", "x" * 50_000 + " 10.0.0.1"], [None, None, 5, 5, 6])
+    rows = sorted((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["spans"]) for r in pii.find(df).collect())
+    assert rows == [(0, 1, 0, "email:0:6"), (0, 1, 0, "email:0:6"), (5, 0, 0, ""), (5, 0, 0, ""), (6, 0, 1, "ip:50001:50009")]
+    assert pii.find(df.where("false")).count() == 0
+
+
 def test_what_is_no_disguise():
     for text in ("meet at noon", "two of 30 1234567", "look at mail.org", "room 4 at one", "dot . dot", "(. )", "at one 30"):
         assert pii.all_spans(text) == [], text
