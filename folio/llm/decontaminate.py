@@ -208,4 +208,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text overlaps with no benchmark item, in the columns of docs; rows with a null doc_id are judged too."""
     found = written(_overlapping(docs, benchmark).select(F.col("digest").alias("__digest")).distinct(), "leaks")
-    return docs.withColumn("__digest", F.md5("text")).join(found, "__digest", "left_anti").select(*docs.columns)
+    return docs.join(found, F.md5(docs["text"]) == found["__digest"], "left_anti")

@@ -156,13 +156,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     """The rows of docs, each as often as mix() takes it (0 to max_epochs times), in the columns of docs."""
     _, plan = thresholds(docs.select("doc_id", "text", "source"), weights, max_epochs)
     plan = plan.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    times = F.col("__epochs") + (id_hash(F.col("doc_id")) <= F.col("__cut")).cast("long")
-    return (
-        docs.join(plan, docs["source"].eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))))
-        .where(F.col("__copy") <= times)
-        .select(*[docs[c] for c in docs.columns])
-    )
+    times = (F.col("__epochs") + (id_hash(docs["doc_id"]) <= F.col("__cut")).cast("long")).cast("int")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    found = docs.join(plan, docs["source"].eqNullSafe(F.col("__source")))
+    return found.select(F.explode(F.array_repeat(row, times)).alias("row")).select("row.*")
 
 
 ORACLE = """

@@ -6,12 +6,14 @@ those whose statistics or filters exclude the ids asked for. Documents are dealt
 and written in that order, so that the statistics are narrow; tokens are made after that shuffle,
 while writing, so that only texts are moved.
 
-Tokenizing splits at ASCII white space first and remembers the ids of words: the vocabulary's own
-splitting never joins text across white space and ignores case, so that this changes no id.
+Where a vocabulary's own splitting never joins text across white space and ignores case (BY_WORDS),
+tokenizing splits at ASCII white space first and remembers the ids of words, which changes no id; with
+any other vocabulary whole texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -37,6 +39,30 @@ _MARK = re.compile(rb"[.,](?=[\x20\x09-\x0D]|\Z)(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
+# The parts of a tokenizers file by which texts may be encoded word by word, with the marks and letters above.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+class TextTokenizer:
+    """Ids of whole texts by the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
+        from tokenizers import Tokenizer
+
+        self.inner = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.inner.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() for t in texts]
+
+
 class WordTokenizer:
     """Ids (little-endian unsigned 32-bit) of whole texts, equal to the tokenizers library's own.
 
@@ -107,14 +133,23 @@ class WordTokenizer:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
-_OPEN: dict[tuple[str, int], WordTokenizer] = {}
+_OPEN: dict[tuple[str, int], TextTokenizer | WordTokenizer] = {}
+
+
+def by_words(path: str) -> bool:
+    """Whether WordTokenizer gives the library's own ids for the file: its parts are BY_WORDS, it marks ends of words, and it has special tokens alone."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    special = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts["added_tokens"])
+    suffix = parts["model"].get("end_of_word_suffix") == "</w>" and not parts["model"].get("ignore_merges")
+    return bool(parts["added_tokens"]) and special and suffix and all(parts.get(k) == v for k, v in BY_WORDS.items())
 
 
-def open_tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
+def open_tokenizer(path: str, remembered: int = REMEMBERED) -> TextTokenizer | WordTokenizer:
     """One per Python worker, which Spark uses for many tasks."""
     key = (path, remembered)
     if key not in _OPEN:
-        _OPEN[key] = WordTokenizer(path, remembered)
+        _OPEN[key] = WordTokenizer(path, remembered) if by_words(path) else TextTokenizer(path)
     return _OPEN[key]
 
 

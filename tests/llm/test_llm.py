@@ -101,6 +101,38 @@ def test_central_directory_with_zip64():
         assert file.read_at(n, at) == data
 
 
+def test_zip64_directories(monkeypatch):
+    class Ranges(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+
+    many = io.BytesIO()
+    with zipfile.ZipFile(many, "w") as z:
+        for n in range(66_000):
+            z.writestr(zipfile.ZipInfo(f"m{n}"), b"%d" % n)
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)  # sizes and offsets above go to the extra fields
+    large = io.BytesIO()
+    with zipfile.ZipFile(large, "w") as z:
+        for n in range(5):
+            z.writestr(zipfile.ZipInfo(f"m{n}"), b"%d" % n * (90 + 30 * n))
+    for raw, count, data in ((many, 66_000, lambda n: b"%d" % n), (large, 5, lambda n: b"%d" % n * (90 + 30 * n))):
+        file = Ranges(raw.getvalue())
+        found = warczip.central_directory(file, len(raw.getvalue()))
+        assert len(found) == count
+        for n in (0, 1, count - 1):
+            at, size = warczip.stored_member(file, found[f"m{n}"])
+            assert file.read_at(size, at) == data(n)
+
+
+def test_warc_with_clashing_columns_and_a_long_page(spark):
+    long = "<p>" + "ü" * 3_000_000
+    rows = [(1, "u", long, "d", 1, True, "x"), (2, "u", long, "e", 2, False, "y"), (2, "u", long, "e", 2, False, "y"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to long, revisit boolean, payload string")
+    found = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warczip.archive_and_read(df).collect())
+    assert found == [(0, "response", None, 0), (1, "response", None, 6_000_003), (2, "revisit", 1, 6_000_003), (2, "revisit", 1, 6_000_003)]
+
+
 def base_by_rule(text):
     """The contract's patterns, by the plain engine."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -276,6 +308,50 @@ def test_simhash_links_all(spark):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in rows.items()} == {i + 1: (f"{fps[i]:016x}", group[i] + 1) for i in range(len(texts))}
 
 
+def test_simhash_of_odd_rows(spark):
+    df = docs(spark, ["a b c d", "a b c d", None, "", "x y z " * 20_000], [None, 9, 9, None, 4]).withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2))
+    rows = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.link_components(df).collect())
+    assert rows == [(0, 9), (0, 9), (4, 4), (9, 9), (9, 9)]
+    assert simhash.link_components(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [2, 3, 7, 21])
+def test_ring_keys_bring_near_fingerprints_together(parts):
+    r = random.Random(parts)
+    masks = simhash.ring_keys(simhash.GROUP << (43 - -(-21 // parts)))
+    assert len(masks) == 3 * parts and len(simhash.ring_keys(0)) == 6
+    bits = np.array([[sum(((1 << w) - 1) << low for low, w in [s])] for s in simhash.SEGMENTS], np.uint64)
+    for _ in range(4000):
+        x = r.getrandbits(64)
+        y = x
+        for b in r.sample(range(64), r.randrange(5)):
+            y ^= 1 << b
+        near = (x ^ y).bit_count() <= 2
+        assert not near or any(x & m == y & m for m in masks)
+        found = simhash.alike(np.array([[x]], np.uint64), np.array([[y]], np.uint64), 2, bits)
+        assert len(found[0]) == near
+
+
+def test_recall_of_near_copies(spark):
+    """Isolated pairs and a family at similarities from 0.8 on, by tails, blocks and single words: every link that brute force finds."""
+    r, texts = random.Random(31), []
+    for n in range(150):
+        base = words(r.choice([40, 90, 250]), 7000 + n)
+        size, cut = len(base), 0
+        how = n % 3
+        cut = max(1, int(size * r.uniform(0.02, 0.24)))
+        other = [f"q{n}x{i}" for i in range(cut)]
+        near = base + other if how == 0 else base[: size // 3] + other[: cut // 2] + base[size // 3 + cut // 2 :] if how == 1 else [f"z{n}x{i}" if i % max(7, 5 * size // cut) == 3 else w for i, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(near)]
+    base = words(160, 8000)
+    for n in range(300):
+        at = r.sample(range(160), 3)
+        texts.append(" ".join(f"f{n}x{i}" if i in at else w for i, w in enumerate(base)))
+    kept = sorted(x["doc_id"] for x in simhash.without_copies(docs(spark, texts)).collect())
+    wanted = kept_by_brute_force(texts)
+    assert kept == wanted and len(wanted) < len(texts) - 60
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     base = words(200, 11)
     near = base[:100] + ["changed"] + base[101:]
@@ -450,6 +526,39 @@ def test_tokens(spark):
     assert tokens_orc.tokenized(docs(spark, texts).where("false")).count() == 0
 
 
+def test_other_vocabularies_are_read_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert tokens_orc.by_words(tokens_orc.default_vocabulary())
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not tokens_orc.by_words(path)
+    inner, texts = Tokenizer.from_file(path), ["Two  words\n", None, "", "ÀÉ \t x", "same", "same", "long " * 30_000]
+    ids = [np.array([*inner.encode(t or "", add_special_tokens=False).ids, 7], "<u4") for t in texts]
+    folder = tokens_orc.shared_dir(spark, "tokens")
+    tokens_orc.write_tokens(docs(spark, texts, [1, 2, None, 4, 5, 5, 7]), folder, path, end_id=7)
+    found = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in tokens_orc.token_table(spark, folder).collect())
+    assert found == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in zip([1, 2, 0, 4, 5, 5, 7], ids, strict=True))
+
+
+def test_orc_metadata_prune_documents(spark):
+    folder = tokens_orc.shared_dir(spark, "tokens")
+    df = spark.range(0, 24_000, 2).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    tokens_orc.write_tokens(df, folder)
+
+    def read(condition):
+        found = tokens_orc.read_tokens(spark, folder).where(condition)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        leaf = leaf.plan().collectLeaves().head() if hasattr(leaf, "plan") and "Stage" in leaf.nodeName() else leaf
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    some, scanned = read("doc_id = 9000")
+    assert some == 1 and scanned <= 2 * tokens_orc.ROW_STRIDE
+    assert read("doc_id = 9001")[0] == 0 and read("doc_id = 9001")[1] <= tokens_orc.ROW_STRIDE // 2  # within the range, but not in the Bloom filter
+
+
 def test_top_k_with_ties_and_bad_rows(spark):
     r = random.Random(1)
     rows = [(i, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(120)] + [(500, None), (501, [None, 1.0, 1.0, 1.0]), (502, [float("nan")] * 4)]
@@ -545,3 +654,25 @@ def test_pipeline_runs_and_stages_keep_columns(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and 100 < rows.count() <= 600
     assert rows.agg(F.min("start")).first()[0] == 0
+
+
+def test_each_stage_on_odd_rows(spark, tmp_path):
+    item = words(30, 51)
+    texts = [None, "", "same text here of a few words", "same text here of a few words", " ".join(words(50, 52) + item), "x " * 60_000, *(" ".join(words(60, 60 + n)) for n in range(6))]
+    ids = [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    df = docs(spark, texts, ids).withColumnsRenamed({"h": "__copy", "size": "digest"})
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and stage(spark, df.where("false"), str(tmp_path)).count() == 0, name
+        kept[name] = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    every = sorted((i or 0, t or "") for i, t in zip(ids, texts, strict=True))
+    assert kept["toxicity"] == every
+    assert kept["near_dedup"] == sorted(every[:2] + [x for x in dict.fromkeys(every) if x[0]])  # null ids stay
+    assert kept["decontamination"] == [x for x in every if x[0] != 2]
+    taken = {(r["doc_id"] or 0, r["size"]): r["copies"] for r in mixing.mix(df).collect()}
+    assert kept["mixing"] == sorted(x for x in every for _ in range(taken[x[0], len(x[1].split())]))
+    out = corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path))
+    assert out.count() == len(every) and corpus_pipeline.STAGES[4][1](spark, df.where("false"), str(tmp_path)).count() == 0
