@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables written since passing_tables() began.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,4 +36,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at its end, but for those written by what it gives: the results, which are to depend on no other of them.
+
+    Scopes nest: what an inner one keeps passes with the outer one.
+    """
+    outer, own = _PASSING.get(), []
+    token = _PASSING.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _PASSING.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _PASSING.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(token)
+        for path in own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.config import NavLink, Site
 from folio.operators import archive, filters, listing, lookup, playlist, projections, search, taxonomy, toc
 from folio.plans import site
 from folio.plans.order import positions, with_neighbours
+from folio.plans.storage import passing_tables, written
 from folio.schema import conform
 from folio.sources import parameters
 
@@ -170,3 +172,17 @@ def test_neighbours_of_null_values_stay_null(spark):
     found = {r["n"]: (r["before"], r["after"]) for r in with_neighbours(df, [F.col("n").asc()], {"before": ("title", -1), "after": ("title", 1)}).collect()}
     title = dict(rows)
     assert found == {n: (title[n - 1] if n else "", title[n + 1] if n < 199 else "") for n in range(200)}
+
+
+def test_passing_tables_go_and_results_stay(spark):
+    with passing_tables(spark) as keep:
+        first = written(spark.range(5), "first")
+        with passing_tables(spark) as keep_inner:
+            written(first, "inner")
+            second = keep_inner(first.withColumn("x", F.col("id") * 2), "second")
+        assert second.count() == 5
+        kept = keep(second.where("x > 2"), "kept")
+    assert kept.count() == 3
+    for gone in (first, second):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            gone.count()
