@@ -1,17 +1,17 @@
-"""What the training-data operators share: tables, the shared folder, and Arrow batches."""
+"""What the training-data operators share: tables in the shared folder, and Arrow batches."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.plans.storage import passing_tables, shared_dir, table, written  # noqa: F401
+
 #: ASCII white space, as the contracts' word pattern [^\x20\x09-\x0D]+ has it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch at most.
@@ -25,32 +25,6 @@ _ARROW = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent and the master is local, a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="folio-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in re.findall(r"(\w+) ([\w<>]+)", ddl)])
 

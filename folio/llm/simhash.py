@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, map_arrow, map_batches, written
+from .common import arrow_schema, map_arrow, map_batches, passing_tables, written
 from .suffix_repeats import window_hashes
 
 SEED = 42
@@ -179,13 +179,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = written(edges.select("a", "b"), name)
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("x"), F.col("b").alias("y")).where("x < y").distinct()
-        down = large.select(F.col("y").alias("a"), F.col("x").alias("b"))  # each node with its smaller neighbours
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select("m", F.col("b").alias("y")).where("m < y").union(least.select("m", F.col("a")))
-        new = written(small.toDF("a", "b").distinct(), name)
+        with passing_tables(edges.sparkSession) as keep:
+            both = edges.union(edges.select(F.col("b"), F.col("a")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+            large = both.join(least, "a").where("b > a").select(F.col("m").alias("x"), F.col("b").alias("y")).where("x < y").distinct()
+            down = written(large.select(F.col("y").alias("a"), F.col("x").alias("b")), name)  # each node with its smaller neighbours
+            least = down.groupBy("a").agg(F.min("b").alias("m"))
+            small = down.join(least, "a").select("m", F.col("b").alias("y")).where("m < y").union(least.select("m", F.col("a")))
+            new = keep(small.toDF("a", "b").distinct(), name)
         # done when nobody has two smaller neighbours and no root is itself a leaf
         leaves = new.groupBy("b").agg(F.count("*").alias("n"))
         if leaves.where("n > 1").isEmpty() and new.join(leaves.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
@@ -252,11 +253,12 @@ def link_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     other. Repeated rows stay and share a component. An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    found = components(links(classes.select("fp")))
-    known = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    least = known.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = written(known.join(least, "c").select(F.col("fp").alias("f"), "component_id"), "known")
+    with passing_tables(docs.sparkSession) as keep:
+        classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+        found = components(links(classes.select("fp")))
+        known = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+        least = known.groupBy("c").agg(F.min("least").alias("component_id"))
+        known = keep(known.join(least, "c").select(F.col("fp").alias("f"), "component_id"), "known")
     return fps.join(known, fps["fp"] == F.col("f")).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -425,18 +427,25 @@ def similar_links(docs: DataFrame, found: DataFrame, similarity: float = 0.8, wi
     those within the distance are a family, whose sets of shingles (64-bit hashes) meet in the same way.
     Only a family of many rows that are neither copies nor far apart takes work in the square of its size.
     """
+    with passing_tables(docs.sparkSession) as keep:
+        linked, families = _near_families(docs, found, similarity, width, keep)
+    return linked.union(_linked_in_families(docs, families, similarity, width))
+
+
+def _near_families(docs: DataFrame, found: DataFrame, similarity: float, width: int, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of rows linked by their keys' pivots, and (id, family, c) of the rows that these leave to be compared."""
     distance = allowed_distance(similarity)
     entries = found.select("id", F.explode("keys").alias("key"))
     groups = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "groups")
     slim = written(entries.join(groups, "key"), "slim")
     members = written(slim.join(found.select("id", "fp"), "id"), "members")
-    linked = written(_decided(docs, written(_near_pivots(members, distance), "first"), similarity, width), "linked")
+    linked = keep(_decided(docs, written(_near_pivots(members, distance), "first"), similarity, width), "linked")
     known = written(components(linked, "linked"), "known").toDF("id", "component")
     live = members.join(known, "id", "left").select("key", "id", F.col("fp").alias("data"), F.coalesce("component", "id").alias("c"), F.lit(1.0).alias("weight"))
     near = links_within_groups(written(live, "live"), ["key"], within(distance, np.diag(np.full(WORDS, ~np.uint64(0)))))
     families = written(components(near, "families"), "families").toDF("id", "family")
     families = families.join(known, "id", "left").select("id", "family", F.coalesce("component", "id").alias("c"))
-    return linked.union(_linked_in_families(docs, families, similarity, width))
+    return linked, keep(families, "families")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -465,5 +474,7 @@ def without_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
     one = docs.join(again, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
     once = docs.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)
-    dropped = near_duplicates(once.select(F.col("doc_id").cast("long").alias("id"), "text"), similarity, width)
-    return once.join(written(dropped.select(F.col("id").alias("doc_id")), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    with passing_tables(docs.sparkSession) as keep:
+        dropped = near_duplicates(once.select(F.col("doc_id").cast("long").alias("id"), "text"), similarity, width)
+        dropped = keep(dropped.select(F.col("id").alias("doc_id")), "dropped")
+    return once.join(dropped, "doc_id", "left_anti").select(*docs.columns)
