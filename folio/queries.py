@@ -117,6 +117,13 @@ def archive_members(spark, sf_dir):
     return found.select("year", "n_posts", F.array_join(F.transform("posts", lambda p: p["slug"]), ",").alias("slugs"))
 
 
+@_query(_POSTS + f"""select slug, cast(year(published) as bigint) as year, row_number() over (partition by year(published) order by published desc, slug) as place
+  from posts where {_CHOSEN}""")
+def archive_places(spark, sf_dir):
+    """The members of each year as rows with their places, the form for years of any size."""
+    return archive.placed(_archived(spark, sf_dir).select("slug", "published")).select("slug", "year", "place")
+
+
 @_query("select doc_id from documents where coalesce(nullif(source, (select min(source) from documents)), '') = ''")
 def uncategorized(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
