@@ -33,8 +33,9 @@ def inline_text(text: Column) -> Column:
     """Without the marks of images, links, emphasis and code; line ends stay."""
     out = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     out = F.regexp_replace(out, r"`([^`\n]+)`", "$1")
-    out = F.regexp_replace(out, r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1", "$2")
-    return F.regexp_replace(out, r"(?<![\w*])([*_])(?=\S)(.+?)(?<=\S)\1(?!\w)", "$2")
+    # a run of marks that no text follows opens nothing
+    out = F.regexp_replace(out, r"(?<![*_~])(\*\*|__|~~)(?=[^\s*_~])(.+?)(?<=[^\s*_~])\1(?![*_~])", "$2")
+    return F.regexp_replace(out, r"(?<![\w*])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\1(?![\w*])", "$2")
 
 
 def excerpt(body: Column) -> Column:

@@ -141,7 +141,8 @@ def reading_time(spark, sf_dir):
     return counted.withColumn("minutes", text.reading_minutes(F.col("words")))
 
 
-@_query(None)
+# The documents are plain prose: their first block is their first paragraph.
+@_query(r"""select doc_id, coalesce(trim((list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*(?:\n[ \t]*)+'), lambda b: trim(b) <> ''))[1]), '') as excerpt from documents""")
 def excerpt(spark, sf_dir):
     return projections.with_metrics(table(spark, sf_dir, "documents").withColumnRenamed("text", "body")).select("doc_id", "excerpt")
 
