@@ -25,8 +25,9 @@ from .common import map_batches, written
 SEEDS = ("11010111", "101000100111", "111010010001")
 #: An overlap has so many equal words (the whole item if it is shorter), and this share of its length (4 of 5).
 LEAST_WORDS, LEAST_SHARE = 13, (4, 5)
-#: Bits of the Bloom filter for each benchmark hash, and its least and greatest size as a power of 2 (16 MB).
-FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 27
+#: Bits of the Bloom filter for each benchmark hash, how many it sets for one, and its least and greatest size as a power of 2 (16 MB).
+#: Up to two million hashes it lets one in two million others through.
+FILTER_BITS, FILTER_SLOTS, FILTER_LEAST, FILTER_MOST = 64, 6, 16, 27
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -142,10 +143,11 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter (64-bit words, its size as a power of 2) of seeds (h): two bits a hash. It has at most 2 ** (FILTER_MOST - 6) words."""
+    """A Bloom filter (64-bit words, its size as a power of 2) of seeds (h), by double hashing with a hash's halves. It has at most 2 ** (FILTER_MOST - 6) words."""
     n = seeds.count()
     bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * n).bit_length()))
-    slots = F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)))  # its highest and its lowest bits
+    first, step = F.shiftrightunsigned("h", 32), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(1))
+    slots = F.array(*[(first + step * n).bitwiseAND(F.lit((1 << bits) - 1)) for n in range(FILTER_SLOTS)])
     one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     found = seeds.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
@@ -154,8 +156,8 @@ def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _passing(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    for shift, mask in ((64 - bits, (1 << bits) - 1), (0, (1 << bits) - 1)):
-        slot = (h >> np.uint64(shift)) & np.uint64(mask)
+    for n in range(FILTER_SLOTS):
+        slot = ((h >> np.uint64(32)) + np.uint64(n) * ((h & np.uint64((1 << 32) - 1)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
         h = h[table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
     return h
 
