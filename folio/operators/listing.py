@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from folio.config import ADJACENT_PAGES, PAGE_SIZE
 from folio.functions.urls import page_url
-from folio.plans.order import positions, with_neighbours
+from folio.plans.order import positions, positions_and_neighbours, with_neighbours
+
+#: What a post is told of the newer and the older one.
+_ADJACENT = {"nextSlug": ("slug", -1), "nextTitle": ("title", -1), "prevSlug": ("slug", 1), "prevTitle": ("title", 1)}
 
 
 def newest_first() -> list[Column]:
@@ -25,12 +28,20 @@ def by_name(df: DataFrame, name: str = "name") -> DataFrame:
 
 def adjacent(df: DataFrame) -> DataFrame:
     """df with nextSlug, nextTitle (the newer post) and prevSlug, prevTitle (the older one); '' at the ends."""
-    return with_neighbours(df, newest_first(), {"nextSlug": ("slug", -1), "nextTitle": ("title", -1), "prevSlug": ("slug", 1), "prevTitle": ("title", 1)})
+    return with_neighbours(df, newest_first(), _ADJACENT)
 
 
 def paginated(df: DataFrame, size: int = PAGE_SIZE, base: str = "/") -> DataFrame:
     """df with page, position, last_page, prev_url, next_url (null at the ends) and delay_ms, newest first."""
-    placed = positions(df, *newest_first(), position="position", total="__total")
+    return _paged(positions(df, *newest_first(), position="position", total="__total"), size, base)
+
+
+def adjacent_and_paginated(df: DataFrame, size: int = PAGE_SIZE, base: str = "/") -> DataFrame:
+    """adjacent() and paginated() in one go: the order is made once."""
+    return _paged(positions_and_neighbours(df, newest_first(), _ADJACENT, position="position", total="__total"), size, base)
+
+
+def _paged(placed: DataFrame, size: int, base: str) -> DataFrame:
     page = (F.floor((F.col("position") - 1) / size) + 1).cast("long")
     paged = placed.withColumns({"page": page, "last_page": F.ceil(F.col("__total") / size).cast("long"), "delay_ms": F.pmod(F.col("position") - 1, F.lit(size)) * 50})
     links = {

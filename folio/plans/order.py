@@ -32,27 +32,37 @@ def _offsets(dealt: DataFrame) -> DataFrame:
     return sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__total"))
 
 
-def positions(df: DataFrame, *order: Column, position: str = "position", total: str = "total") -> DataFrame:
-    """df with each row's position (from 1) in the order, and the number of rows. Rows that tie on all of `order` get some order."""
-    dealt = _dealt(df, list(order))
+def _numbered(dealt: DataFrame, position: str, total: str) -> DataFrame:
     found = dealt.join(_offsets(dealt), F.col("__part") == F.col("__p"))
-    return found.select(*df.columns, (F.col("__before") + F.col("__place") + 1).alias(position), F.col("__total").alias(total))
+    return found.select(*dealt.columns, (F.col("__before") + F.col("__place") + 1).alias(position), F.col("__total").alias(total))
 
 
-def with_neighbours(df: DataFrame, order: list[Column], columns: dict[str, tuple[str, int]], default: str = "") -> DataFrame:
-    """df with columns of the row before or after in the order: {new: (column, -1 or 1)}; `default` at the ends; a
-    neighbour's null stays null.
-
-    Within a part by a window over the part. A part's first and last row look across its edge into a table
-    with one row per part.
-    """
-    dealt = _dealt(df, order)
+def _neighboured(dealt: DataFrame, columns: dict[str, tuple[str, int]], default: str) -> DataFrame:
     within, across = Window.partitionBy("__part").orderBy("__place"), Window.orderBy("__p")
     row = F.struct(*sorted({c for c, _ in columns.values()}))  # a row that is there is never null, whatever its values
     ends = dealt.groupBy(F.col("__part").alias("__p")).agg(F.min_by(row, "__place").alias("first"), F.max_by(row, "__place").alias("last"))
     edges = ends.select("__p", F.lag("last", 1).over(across).alias("__over_before"), F.lead("first", 1).over(across).alias("__over_after"))
-    found = dealt.select("*", F.lag(row, 1).over(within).alias("__before"), F.lead(row, 1).over(within).alias("__after")).join(edges, F.col("__part") == F.col("__p"))
-    before, after = F.coalesce("__before", "__over_before"), F.coalesce("__after", "__over_after")
+    found = dealt.select("*", F.lag(row, 1).over(within).alias("__near_before"), F.lead(row, 1).over(within).alias("__near_after")).join(edges, F.col("__part") == F.col("__p"))
+    before, after = F.coalesce("__near_before", "__over_before"), F.coalesce("__near_after", "__over_after")
     near = lambda at: before if at < 0 else after
     filled = [F.when(near(at).isNull(), default).otherwise(near(at)[c]).alias(n) for n, (c, at) in columns.items()]
-    return found.select(*[c for c in df.columns if c not in columns], *filled)
+    return found.select(*[c for c in dealt.columns if c not in columns], *filled)
+
+
+def positions(df: DataFrame, *order: Column, position: str = "position", total: str = "total") -> DataFrame:
+    """df with each row's position (from 1) in the order, and the number of rows. Rows that tie on all of `order` get some order."""
+    return _numbered(_dealt(df, list(order)), position, total).drop("__part", "__place")
+
+
+def with_neighbours(df: DataFrame, order: list[Column], columns: dict[str, tuple[str, int]], default: str = "") -> DataFrame:
+    """df with columns of the row before or after in the order: {new: (column, -1 or 1)}; `default` at the ends; a neighbour's null stays null.
+
+    Within a part by a window over the part. A part's first and last row look across its edge into a table
+    with one row per part.
+    """
+    return _neighboured(_dealt(df, order), columns, default).drop("__part", "__place")
+
+
+def positions_and_neighbours(df: DataFrame, order: list[Column], columns: dict[str, tuple[str, int]], default: str = "", position: str = "position", total: str = "total") -> DataFrame:
+    """with_neighbours() and positions() of one and the same order, dealt and written once."""
+    return _numbered(_neighboured(_dealt(df, order), columns, default), position, total).drop("__part", "__place")

@@ -26,8 +26,7 @@ def home(posts: DataFrame, site: Site = Site(), prod: bool = True, steps: Iterab
     """Cards with page numbers and neighbours, newest first; `steps` run on the posts before."""
     found = applied(filters.published_only(posts, prod), steps)
     shown = projections.with_metrics(found)
-    linked = listing.adjacent(shown.drop("body", "nextSlug", "nextTitle", "prevSlug", "prevTitle"))
-    paged = listing.paginated(linked, site.page_size, site.base)
+    paged = listing.adjacent_and_paginated(shown.drop("body", "nextSlug", "nextTitle", "prevSlug", "prevTitle"), site.page_size, site.base)
     return paged.select(*projections.cards(paged, site.base).columns[:2], "page", "last_page", "position", "nextSlug", "prevSlug", "words", "minutes", "excerpt")
 
 
