@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; stages are written as
 Parquet and read again. The first four return the columns of documents, the last a row per document
-of the token files.
+of the token files. Each stage gives an empty result for an empty table and keeps other columns.
 """
 
 from __future__ import annotations
@@ -14,27 +14,35 @@ from folio.llm.common import table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; labels of the documents at hand are learned from, but for a fifth."""
+    """Documents predicted toxic go; labels of the documents at hand are learned from, but for a fifth.
+
+    Null and empty texts are scored as empty ones, repeated rows alike, rows with a null doc_id too. With
+    labels of one kind only all scores are that kind; without labels everything stays.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of copies and of texts with five-word shingles of similarity 0.8 or more, linked in groups, the least doc_id stays."""
+    """Of copies and of texts with five-word shingles of similarity 0.8 or more, linked in groups, the least doc_id stays.
+
+    Texts without words are copies of each other. Rows with a null doc_id all stay; of rows that repeat a
+    doc_id the one of least text counts.
+    """
     return simhash.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; null and empty texts and items overlap with nothing, rows with a null doc_id are judged too."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: 0 to 3 times. A null source is a source of its own, rows that repeat a doc_id are taken alike."""
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files: doc_id, start, n_tokens, ids_crc32, read from them."""
+    """Token files: doc_id, start, n_tokens, ids_crc32, read from them. Null and empty texts have the end id alone, null ids come first."""
     return tokens_orc.tokenized(docs, remembered=100_000)  # its workers hold what earlier stages left
 
 
