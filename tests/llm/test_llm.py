@@ -572,6 +572,13 @@ def test_top_k_with_ties_and_bad_rows(spark):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
+def test_top_k_with_clashing_columns_and_lengths(spark):
+    rows = [(0, [1.0, 1.0], 1, 2, 3), (1, [0.5, 0.5], 1, 2, 3), (2, [2.0, -1.0], 1, 2, 3), (3, [1.0], 1, 2, 3), (50, [1.0], 1, 2, 3), (100, [], 1, 2, 3), (None, [1.0], 1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, x int, dim int")
+    found = sorted(map(tuple, topk.top_k(df).collect()))
+    assert found == [(0, 1, 1, 2 * 256 * 128), (0, 2, 2, 256 * 256), (50, 1, 3, 256 * 256)] and topk.top_k(df.where("false")).count() == 0
+
+
 def test_top_k_ranks_rows_that_repeat_an_id_as_the_sql_does(spark, tmp_path):
     r = random.Random(2)
     rows = [(i, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(1, 90)] + [(200, [1.0, 1.0, 1.0, 1.0])] * 6 + [(50, [0.5] * 4), (50, [0.5] * 4), (0, [1.0] * 4)]
