@@ -59,9 +59,12 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, int(mask, 2), np.uint64)
     for at in (i for i, c in enumerate(mask) if c == "1"):
-        out = (out ^ (out >> np.uint64(29))) * _ODD + words[at : at + n]
-    out = (out ^ (out >> np.uint64(32))) * _ODD
-    return out ^ (out >> np.uint64(29))
+        out *= _ODD  # words are hashes already, so that their sum by powers is mixed once
+        out += words[at : at + n]
+    out ^= out >> np.uint64(32)
+    out *= _ODD
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def masks_of(item_words: int) -> tuple[str, ...]:
@@ -156,10 +159,16 @@ def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _passing(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Where the hashes are that the filter lets through."""
+    at = np.arange(len(h))
     for n in range(FILTER_SLOTS):
-        slot = ((h >> np.uint64(32)) + np.uint64(n) * ((h & np.uint64((1 << 32) - 1)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
-        h = h[table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
-    return h
+        slot = h >> np.uint64(32)
+        if n:
+            slot += np.uint64(n) * ((h & np.uint64((1 << 32) - 1)) | np.uint64(1))
+        slot &= np.uint64((1 << bits) - 1)
+        kept = np.flatnonzero(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+        at, h = at[kept], h[kept]
+    return at
 
 
 def _overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -173,15 +182,18 @@ def _overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def scan(batch: dict) -> dict:
         out: dict[str, list] = {c: [] for c in ("doc", "doc_id", "digest", "doc_words", "seeds")}
-        for doc, doc_id, digest, text in zip(batch["doc"], batch["doc_id"], batch["digest"], batch["text"], strict=True):
-            words = word_hashes(text)
-            hits = np.concatenate([_passing(seed_hashes(words, m), shared.value, bits) for m in masks])
-            if len(hits):
-                for c, v in zip(out, (doc, doc_id, digest, words.tobytes(), np.unique(hits).view(np.int64)), strict=True):
-                    out[c].append(v)
+        words = [word_hashes(t) for t in batch["text"]]
+        seeds = [np.concatenate([seed_hashes(w, m) for m in masks]) for w in words]
+        together = np.concatenate(seeds)
+        hits = _passing(together, shared.value, bits)
+        ends = np.searchsorted(hits, np.cumsum([len(x) for x in seeds]))
+        for i in np.flatnonzero(np.diff(ends, prepend=0)):
+            own = np.unique(together[hits[ends[i - 1] if i else 0 : ends[i]]])
+            for c, v in zip(out, (batch["doc"][i], batch["doc_id"][i], batch["digest"][i], words[i].tobytes(), own.view(np.int64)), strict=True):
+                out[c].append(v)
         return out
 
-    scanned = written(map_batches(rows.where("text is not null"), scan, "doc long, doc_id long, digest string, doc_words binary, seeds array<long>"), "scanned")
+    scanned = written(map_batches(rows.where("text is not null"), scan, "doc long, doc_id long, digest string, doc_words binary, seeds array<long>", 128), "scanned")
     met = scanned.select("doc", F.explode("seeds").alias("h")).join(seeds, "h").select("doc", "item").distinct()
     both = met.join(scanned.drop("seeds"), "doc").join(items.select("item", "item_id", "item_words"), "item")
 
