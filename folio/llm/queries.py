@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, preference, simhash, suffix_repeats, tokens_orc, topk, toxicity, warczip
+from . import decontaminate, divergence, hard_negatives, licenses, mixing, pii, preference, simhash, suffix_repeats, tokens_orc, topk, toxicity, warczip
 from .common import table
 
 
@@ -51,10 +51,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_warc, op3_pii, op4_suffix_repeats, op5_simhash, op6_decontaminate, op7_preference, op8_tokens, op9_topk, op10_toxicity)
+    found = (op1_mixing, op2_warc, op3_pii, op4_suffix_repeats, op5_simhash, op6_decontaminate, op7_preference, op8_tokens, op9_topk, op10_toxicity, op11_hard_negatives, op12_divergence, op13_licenses)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_warc": warczip.ORACLE, "op7_preference": preference.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_warc": warczip.ORACLE, "op7_preference": preference.ORACLE, "op9_topk": topk.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_divergence": divergence.ORACLE}
