@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import passing_tables, written
+
 #: Words of a hashed window, how far diagonals of a span may lie apart, and the share of a template (and of the span) that counts.
 GRAM, DRIFT, LEAST_SHARE = 3, 5, 0.8
 #: Up to so many places of templates are sent to all executors (some 20 MB); more are joined by a shuffle.
@@ -150,8 +152,9 @@ def spans(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     digest: the text's MD5. Words are counted from 0, end_word is exclusive.
     """
-    found = diagonals(docs, templates(docs.sparkSession) if known is None else known)
-    return base_places(found).unionByName(merged_spans(found))
+    with passing_tables(docs.sparkSession) as keep:
+        found = written(diagonals(docs, templates(docs.sparkSession) if known is None else known), "diagonals")  # texts are read once for all that follows
+        return keep(base_places(found).unionByName(merged_spans(found)), "spans")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
