@@ -17,7 +17,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import passing_tables, written
@@ -64,7 +63,7 @@ NOTICES = [
     ("cc-by-nc", "this work is licensed under a creative commons attribution {noncommercial} 4 0 international license"),
 ]
 
-_TEMPLATE = T.StructType.fromDDL("template int, label string, base boolean, text string, must array<int>")
+_TEMPLATE = "template int, label string, base boolean, text string, must array<int>"
 
 
 def templates(spark: SparkSession, phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:

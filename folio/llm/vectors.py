@@ -62,16 +62,21 @@ def _dealt(rows: DataFrame, id_cols: list[str], block: str, number: Callable[[Co
     return rows.join(counts.select("dim", n.alias("__n")), "dim").withColumn(block, F.pmod(F.xxhash64(*id_cols), F.col("__n")).cast("int")).drop("__n")
 
 
-def packed(rows: DataFrame, numbers: int = BLOCK_NUMBERS) -> DataFrame:
-    """(dim, block, ids, labels, x): rows (vec_id, label long, x) of one length in blocks, as bytes; a written table."""
-    dealt = _dealt(rows, ["vec_id", "x"], "block", lambda n, dim: n * dim / numbers)
+def packed(rows: DataFrame, lists: bool = False, number: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(dim, block, ids, labels, x, lists): rows (vec_id, label long, x) of one length in number(rows, dim) blocks, as bytes; a written table.
+
+    lists: for each dimension the places of the block's rows in ascending order of their value, if asked for.
+    No two rows are equal, so that the hash deals them evenly.
+    """
+    dealt = _dealt(rows, ["vec_id", "x"], "block", number or (lambda n, dim: n * dim / BLOCK_NUMBERS))
 
     def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("vec_id", kind="stable")
         x = np.stack(own["x"].to_list()).reshape(len(own), -1)
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [own["vec_id"].to_numpy("int64").tobytes()], "labels": [own["label"].to_numpy("int64").tobytes()], "x": [x.astype("float64").tobytes()]})
+        order = np.argsort(x, axis=0, kind="stable").astype("int32") if lists else np.zeros(0, "int32")
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [own["vec_id"].to_numpy("int64").tobytes()], "labels": [own["label"].to_numpy("int64").tobytes()], "x": [x.astype("float64").tobytes()], "lists": [order.tobytes()]})
 
-    return written(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, labels binary, x binary"), "blocks")
+    return written(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, labels binary, x binary, lists binary"), "blocks")
 
 
 def unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +85,9 @@ def unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["labels"], "<i8"), np.frombuffer(row["x"], "<f8").reshape(len(ids), -1)
 
 
-def asked(rows: DataFrame, id_col: str, query_block: int = QUERY_BLOCK) -> DataFrame:
+def asked(rows: DataFrame, id_col: str, query_block: int | None = None) -> DataFrame:
     """Rows with an array `x` and the group of queries (dim, ask) that each belongs to."""
-    return _dealt(rows, [id_col, "x"], "ask", lambda n, dim: n / query_block)
+    return _dealt(rows, [id_col, "x"], "ask", lambda n, dim: n / (query_block or QUERY_BLOCK))
 
 
 def meet(blocks: DataFrame, queries: DataFrame, work: Callable[[pd.Series, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
