@@ -5,8 +5,14 @@ its zeros, so that a hit survives substituted words there. SEEDS is a family of
 hits in every overlap that counts, wherever its substitutions are.
 
 Benchmark hashes are a table. Documents keep those of their hashes that a Bloom filter of it lets
-through, and these join it by hash; documents without one are done after one pass and never shuffled.
-Each pair of document and item that shares a hash is then compared along the diagonals of its hits.
+through, with their places, and these join it by hash; documents without one are done after one pass and
+never shuffled. Both places give a hit's diagonal, and a pair is compared along the diagonals of its hits.
+
+A hash that many places of items share (a common phrase) makes no row for each document and item. Its
+places meet in blocks instead, each with the words around it, and a whole block of items is compared
+with one of documents at once; only what overlaps there goes on. That loses nothing: an overlap has a part
+of at most LONGEST words that is an overlap too, and that part bears a hit.
+
 The filter has a fixed greatest size: a benchmark beyond it makes more rows to join, not other results.
 """
 
@@ -15,11 +21,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, passing_tables, written
 
 #: Masks that bear every pattern of substitutions of an overlap of LEAST_WORDS equal words and LEAST_SHARE.
 SEEDS = ("11010111", "101000100111", "111010010001")
@@ -28,6 +35,11 @@ LEAST_WORDS, LEAST_SHARE = 13, (4, 5)
 #: Bits of the Bloom filter for each benchmark hash, how many it sets for one, and its least and greatest size as a power of 2 (16 MB).
 #: Up to two million hashes it lets one in two million others through.
 FILTER_BITS, FILTER_SLOTS, FILTER_LEAST, FILTER_MOST = 64, 6, 16, 27
+#: Words of an overlap that has no shorter one within. One with 26 equal words can be cut into two with 13 each,
+#: and one of these has LEAST_SHARE again; so 25 equal words and 6 others are the most.
+LONGEST = 31
+#: Places of items up to which a hash is joined row by row, and places in a block beyond that.
+FEW, PLACES = 8, 1024
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,14 +109,14 @@ def segments(same: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def overlaps(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(doc_word, item_word, length, matched) of the places where two texts (word hashes) overlap.
+def overlaps(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int, int]]:
+    """(doc_word, item_word, length, matched) of the places where two texts (word hashes) overlap, on these diagonals (place in the document less place in the item).
 
     Of overlaps that share words of the document, on different diagonals, the one with most equal words
     is given, then the first in the document, then in the item.
     """
     found, least = [], min(LEAST_WORDS, len(item))
-    for d in _diagonals(doc, item):
+    for d in diagonals:
         p, q = max(d, 0), max(-d, 0)
         n = min(len(doc) - p, len(item) - q)
         found += [(-m, p + s, q + s, e - s) for s, e, m in segments(doc[p : p + n] == item[q : q + n], least)]
@@ -116,35 +128,93 @@ def overlaps(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int
     return sorted(out)
 
 
-def _diagonals(doc: np.ndarray, item: np.ndarray) -> list[int]:
-    """Differences of the positions in the document and in the item of equal seeds."""
-    out: set[int] = set()
-    for mask in masks_of(len(item)):
-        a, b = seed_hashes(doc, mask), seed_hashes(item, mask)
-        order = np.argsort(b, kind="stable")
-        low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
-        for p in np.flatnonzero(high > low):
-            out.update((p - order[low[p] : high[p]]).tolist())
-    return sorted(out)
+#: Words before and after the start of a hit that an overlap of LONGEST words around it can have.
+BEFORE, AFTER = LONGEST - min(map(len, SEEDS)), LONGEST
+
+
+def around(words: np.ndarray, places: np.ndarray, beyond: int) -> np.ndarray:
+    """The words around each place, a row each; `beyond` stands where the text has none."""
+    padded = np.concatenate([np.full(BEFORE, beyond, np.uint64), words, np.full(AFTER, beyond, np.uint64)])
+    return padded[np.asarray(places, np.int64)[:, None] + np.arange(BEFORE + AFTER)]
+
+
+def promising(doc: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Which rows of `items` overlap with the row `doc` (words around places) by LEAST_WORDS, LEAST_SHARE and LONGEST words or fewer."""
+    same = doc == items
+    at = np.flatnonzero(same.sum(axis=1) >= LEAST_WORDS)
+    counts = np.zeros((len(at), same.shape[1] + 1), np.int16)
+    np.cumsum(same[at], axis=1, out=counts[:, 1:])
+    found, (of, per) = np.zeros(len(at), bool), LEAST_SHARE
+    for length in range(LEAST_WORDS, LONGEST + 1):
+        least = max(LEAST_WORDS, -(-length * of // per))
+        found |= (counts[:, length:] - counts[:, :-length] >= least).any(axis=1)
+    return at[found]
 
 
 # --- tables ----------------------------------------------------------------------------------
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, item_words, seeds, short): each item's word hashes, its distinct seed hashes, and its length if taken whole, else 0."""
+    """(item, item_id, item_words, hs, ps, short): each item's word hashes, its seed hashes with their places, and its length if taken whole, else 0."""
     rows = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as long) item_id", "text").distinct()
 
     def work(batch: dict) -> dict:
         words = [word_hashes(t) for t in batch["text"]]
-        seeds = [np.unique(np.concatenate([seed_hashes(w, m) for m in masks_of(len(w))])).view(np.int64) if len(w) else [] for w in words]
+        seeds = [[seed_hashes(w, m) for m in masks_of(len(w))] for w in words]
+        hs = [np.concatenate(x).view(np.int64) if x else [] for x in seeds]
+        ps = [np.concatenate([np.arange(len(h)) for h in x]) if x else [] for x in seeds]
         short = [len(w) if len(w) < LEAST_WORDS else 0 for w in words]
-        return {"item": batch["item"], "item_id": batch["item_id"], "item_words": [w.tobytes() for w in words], "seeds": seeds, "short": short}
+        return {"item": batch["item"], "item_id": batch["item_id"], "item_words": [w.tobytes() for w in words], "hs": hs, "ps": ps, "short": short}
 
-    ddl = "item long, item_id long, item_words binary, seeds array<long>, short int"
+    ddl = "item long, item_id long, item_words binary, hs array<long>, ps array<int>, short int"
     return written(map_batches(rows.withColumn("item", F.xxhash64("item_id", "text")), work, ddl, 256), "items")
 
 
+def _places(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, h, p): a row for each seed hash of a text."""
+    return df.select(key, *more, F.explode(F.arrays_zip("hs", "ps")).alias("s")).select(key, *more, F.col("s.hs").alias("h"), F.col("s.ps").alias("p"))
+
+
+def _windows(texts: DataFrame, places: DataFrame, key: str, words: str, beyond: int) -> DataFrame:
+    """(h, key, p, window): the words around each of the places (key, h, p) of the texts (key, words)."""
+    own = places.groupBy(key).agg(F.collect_list("h").alias("hs"), F.collect_list("p").alias("ps"))  # a text's places at most
+    rows = own.join(texts.select(key, words), key).select(F.col(key).alias("key"), "hs", "ps", F.col(words).alias("words"))
+
+    def work(batch: dict) -> dict:
+        out: dict[str, list] = {c: [] for c in ("h", "key", "p", "window")}
+        for i, hs, ps, text in zip(*(batch[c] for c in ("key", "hs", "ps", "words")), strict=True):
+            for c, v in zip(out, (hs, [i] * len(hs), ps, [w.tobytes() for w in around(np.frombuffer(text, "<u8"), ps, beyond)]), strict=True):
+                out[c] += v
+        return out
+
+    return map_batches(rows, work, "h long, key long, p int, window binary", 64).withColumnRenamed("key", key)
+
+
+def _met_in_blocks(scanned: DataFrame, hits: DataFrame, items: DataFrame, busy: DataFrame) -> DataFrame:
+    """(doc, item, d) of hits (doc, h, p) with the busy places (item, h, q) whose surroundings overlap: blocks of documents by blocks of items."""
+    counts = hits.groupBy("h").agg(F.count("*").alias("n_docs")).join(busy.groupBy("h").agg(F.count("*").alias("n_items")), "h")
+    blocks = written(counts.select("h", F.ceil(F.col("n_docs") / PLACES).cast("int").alias("a_n"), F.ceil(F.col("n_items") / PLACES).cast("int").alias("b_n")), "busy")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = hits.join(blocks.select("h"), "h", "left_semi")
+    left = _windows(scanned, own, "doc", "doc_words", 0).join(blocks, "h").withColumn("a", F.pmod(F.xxhash64("doc", "p"), F.col("a_n")).cast("int")).withColumn("b", upto("b_n"))
+    right = _windows(items, busy.withColumnRenamed("q", "p"), "item", "item_words", 1).join(blocks, "h").withColumn("b", F.pmod(F.xxhash64("item", "p"), F.col("b_n")).cast("int")).withColumn("a", upto("a_n"))
+
+    def meet(docs: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int]] = []
+        if len(docs) and len(those):
+            table = np.frombuffer(b"".join(those["window"]), "<u8").reshape(len(those), -1)
+            ids, places = those["item"].to_numpy(), those["p"].to_numpy()
+            for window, own in docs.groupby("window", sort=False):  # equal surroundings are compared once
+                at = promising(np.frombuffer(window, "<u8"), table)
+                for doc, p in zip(own["doc"], own["p"], strict=True) if len(at) else ():
+                    out += zip([doc] * len(at), ids[at], p - places[at], strict=True)
+        return pd.DataFrame(out, columns=["doc", "item", "d"]).astype("int64").drop_duplicates()
+
+    keys = ["h", "a", "b"]
+    met = left.select(*keys, "doc", "p", "window").groupBy(*keys).cogroup(right.select(*keys, "item", "p", "window").groupBy(*keys))
+    return met.applyInPandas(meet, "doc long, item long, d long")
+
+
 def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     """A Bloom filter (64-bit words, its size as a power of 2) of seeds (h), by double hashing with a hash's halves. It has at most 2 ** (FILTER_MOST - 6) words."""
     n = seeds.count()
@@ -171,39 +241,54 @@ def _passing(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return at
 
 
-def _overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, digest, item_id, doc_word, item_word, length, matched) of all rows of docs (doc_id, text); digest: the text's MD5."""
-    items = _items(benchmark)
-    seeds = written(items.select("item", F.explode("seeds").alias("h")), "seeds")
-    masks = (*SEEDS, *("1" * r["short"] for r in items.where("short > 0").select("short").distinct().collect()))  # of LEAST_WORDS - 1 lengths at most
+def _scanned(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(doc, doc_id, digest, doc_words, hs, ps) of the documents with a seed hash that the filter of `seeds` lets through: their words' hashes, and those seeds with their places; written."""
     table, bits = _filter(seeds.select("h").distinct())
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text")
 
     def scan(batch: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("doc", "doc_id", "digest", "doc_words", "seeds")}
+        out: dict[str, list] = {c: [] for c in ("doc", "doc_id", "digest", "doc_words", "hs", "ps")}
         words = [word_hashes(t) for t in batch["text"]]
-        seeds = [np.concatenate([seed_hashes(w, m) for m in masks]) for w in words]
-        together = np.concatenate(seeds)
+        seeds = [seed_hashes(w, m) for w in words for m in masks]
+        together, begins = np.concatenate(seeds), np.cumsum([0, *map(len, seeds)])
         hits = _passing(together, shared.value, bits)
-        ends = np.searchsorted(hits, np.cumsum([len(x) for x in seeds]))
-        for i in np.flatnonzero(np.diff(ends, prepend=0)):
-            own = np.unique(together[hits[ends[i - 1] if i else 0 : ends[i]]])
-            for c, v in zip(out, (batch["doc"][i], batch["doc_id"][i], batch["digest"][i], words[i].tobytes(), own.view(np.int64)), strict=True):
+        places = hits - begins[np.searchsorted(begins, hits, "right") - 1]
+        ends = np.searchsorted(hits, begins[:: len(masks)])
+        for i in np.flatnonzero(np.diff(ends)):
+            own = slice(ends[i], ends[i + 1])
+            for c, v in zip(out, (batch["doc"][i], batch["doc_id"][i], batch["digest"][i], words[i].tobytes(), together[hits[own]].view(np.int64), places[own]), strict=True):
                 out[c].append(v)
         return out
 
-    scanned = written(map_batches(rows.where("text is not null"), scan, "doc long, doc_id long, digest string, doc_words binary, seeds array<long>", 128), "scanned")
-    met = scanned.select("doc", F.explode("seeds").alias("h")).join(seeds, "h").select("doc", "item").distinct()
-    both = met.join(scanned.drop("seeds"), "doc").join(items.select("item", "item_id", "item_words"), "item")
+    return written(map_batches(rows.where("text is not null"), scan, "doc long, doc_id long, digest string, doc_words binary, hs array<long>, ps array<int>", 128), "scanned")
+
+
+def _overlapping(docs: DataFrame, benchmark: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """`columns` of (doc_id, digest, item_id, doc_word, item_word, length, matched) of all rows of docs (doc_id, text), without repeats if only the digest (the text's MD5) is asked for; written."""
+    with passing_tables(docs.sparkSession) as keep:
+        items = _items(benchmark)
+        seeds = _places(items, "item", "short").withColumnRenamed("p", "q")
+        many = seeds.groupBy("h").agg((F.count("*") > FEW).alias("many"))
+        seeds = written(seeds.join(many, "h").select("item", "h", "q", (F.col("many") & (F.col("short") == 0)).alias("busy")), "seeds")
+        masks = (*SEEDS, *("1" * r["short"] for r in items.where("short > 0").select("short").distinct().collect()))  # of LEAST_WORDS - 1 lengths at most
+        scanned = _scanned(docs, seeds, masks)
+        hits = _places(scanned, "doc")
+        met = hits.join(seeds.where("not busy"), "h").select("doc", "item", (F.col("p") - F.col("q")).cast("long").alias("d"))
+        busy = seeds.where("busy").select("item", "h", "q")
+        if not busy.isEmpty():
+            met = met.unionByName(_met_in_blocks(scanned, hits, items, busy))
+        pairs = met.groupBy("doc", "item").agg(F.sort_array(F.collect_set("d")).alias("ds"))  # of two texts' places at most
+        both = pairs.join(scanned.drop("hs", "ps"), "doc").join(items.select("item", "item_id", "item_words"), "item")
 
-    def verify(batch: dict) -> dict:
-        found = []
-        for doc_id, digest, item_id, a, b in zip(*(batch[c] for c in ("doc_id", "digest", "item_id", "doc_words", "item_words")), strict=True):
-            found += [(doc_id, digest, item_id, *o) for o in overlaps(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"))]
-        return dict(zip(("doc_id", "digest", "item_id", "doc_word", "item_word", "length", "matched"), map(list, zip(*found, strict=True)) if found else [[]] * 7, strict=True))
+        def verify(batch: dict) -> dict:
+            found = []
+            for doc_id, digest, item_id, a, b, ds in zip(*(batch[c] for c in ("doc_id", "digest", "item_id", "doc_words", "item_words", "ds")), strict=True):
+                found += [(doc_id, digest, item_id, *o) for o in overlaps(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), ds)]
+            return dict(zip(("doc_id", "digest", "item_id", "doc_word", "item_word", "length", "matched"), map(list, zip(*found, strict=True)) if found else [[]] * 7, strict=True))
 
-    return map_batches(both, verify, "doc_id long, digest string, item_id long, doc_word int, item_word int, length int, matched int", 64)
+        found = map_batches(both, verify, "doc_id long, digest string, item_id long, doc_word int, item_word int, length int, matched int", 64).select(*columns)
+        return keep(found.distinct() if columns == ["digest"] else found, name)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -214,12 +299,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for places that touch. Words are runs of \\\\w in lower case. Null and empty texts or items overlap with
     nothing; rows that repeat a doc_id give rows each, items that repeat an item_id with other texts too,
     with the same text once. An empty benchmark or table gives an empty result. Other columns are left out.
-    A hash that many documents and many items have makes a row for each such pair to compare.
     """
-    return _overlapping(docs, benchmark).drop("digest")
+    return _overlapping(docs, benchmark, "overlaps", ["doc_id", "item_id", "doc_word", "item_word", "length", "matched"])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text overlaps with no benchmark item, in the columns of docs; rows with a null doc_id are judged too."""
-    found = written(_overlapping(docs, benchmark).select(F.col("digest").alias("__digest")).distinct(), "leaks")
+    found = _overlapping(docs, benchmark, "leaks", ["digest"]).withColumnRenamed("digest", "__digest")
     return docs.join(found, F.md5(docs["text"]) == found["__digest"], "left_anti")
