@@ -1,32 +1,30 @@
-"""Markdown by expressions: blocks, headings, directives and excerpts of a documented subset.
+"""Markdown by expressions: headings, directives, excerpts and plain text of a documented subset.
 
-Known: ATX and setext headings, fenced code, paragraphs, quotes, lists, tables, raw HTML, `:::` container,
-`::` leaf and `:` text directives. Fenced code is set aside before anything is looked for.
+Known: ATX and setext headings, fenced code and math, paragraphs, quotes, lists, tables, raw HTML, `:::`
+container, `::` leaf and `:` text directives, `> [!NOTE]` quotes. blocks.py says which lines are code and
+which open or close a container; all that is read here is read from those that are neither.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-_FENCE = r"(?ms)^(`{3,}|~{3,})[^\n]*\n(?:.*?\n)??\1[`~]*[ \t]*$"
-_HEADING = r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+from folio.functions.blocks import CONTAINER, LIST_MARK, blocks_of, inside, is_mark, let, lines_of, unix_lines, unquoted, with_blocks
+
+_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\z"
+_UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*\z"
+_RULE = r"^ {0,3}([-*_][ \t]*){3,}\z"
 #: How blocks begin that are not paragraphs.
 _NO_PARAGRAPH = r"^( {4}|\t| {0,3}(#{1,6}(\s|\z)|>|[-*+]\s|\d{1,9}[.)]\s|:::?|\||<|`{3}|~{3}|([-*_][ \t]*){3,}\z))"
-_CONTAINER = r"(?ms)^:{3,}([a-zA-Z][\w-]*)(\[[^\]\n]*\])?(\{[^}\n]*\})?[ \t]*\n(.*?)^:{3,}[ \t]*$"
-_LEAF = r"(?m)^::([a-zA-Z][\w-]*)(\[[^\]\n]*\])?(\{[^}\n]*\})?[ \t]*$"
+_LEAF = r"^ {0,3}::([a-zA-Z][\w-]*)(\[[^\]]*\])?(\{[^}]*\})?[ \t]*\z"
 _INLINE = r"(?<![:\w]):([a-zA-Z][\w-]*)(\[[^\]\n]*\])(\{[^}\n]*\})?"
 #: Kinds of admonitions.
 ADMONITIONS = ("note", "tip", "important", "caution", "warning")
 
 
-def unix_lines(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-
-
-def without_fences(body: Column) -> Column:
-    return F.regexp_replace(unix_lines(body), _FENCE, "")
+#: What may open a block; a text without it has none but paragraphs, lists, headings and the like.
+_OPENS = r"(?m)^[ \t>\d.)*+-]*(?:`{3}|~~~|\$\$|:::|>)"
 
 
 def inline_text(text: Column) -> Column:
@@ -39,14 +37,17 @@ def inline_text(text: Column) -> Column:
 
 
 def excerpt(body: Column) -> Column:
-    """The plain text of the first top-level paragraph; '' without one. Headings, quotes, lists and code before it are passed over."""
-    apart = F.regexp_replace(F.regexp_replace(without_fences(body), _CONTAINER, ""), r"(?m)^( {0,3}#{1,6}(?:[ \t].*)?)$", "\n$1\n")
+    """The plain text of the first top-level paragraph; '' without one. Headings, quotes, lists, code and containers before it are passed over."""
+    within = lambda blocks, i: inside(blocks, i, "fence") | inside(blocks, i, "container")
+    kept = let(lines_of(body), lambda x: let(blocks_of(x), lambda blocks: F.array_join(F.transform(x, lambda line, i: F.when(within(blocks, i), "").otherwise(line)), "\n")))
+    text = F.when(F.coalesce(body.rlike(_OPENS), F.lit(False)), kept).otherwise(unix_lines(body))
+    apart = F.regexp_replace(text, r"(?m)^( {0,3}#{1,6}(?:[ \t].*)?)$", "\n$1\n")
     blocks = F.split(apart, r"\n[ \t]*(?:\n[ \t]*)+")
     plain = F.filter(
         F.transform(blocks, lambda b: F.regexp_replace(b, r"^\n+|\n+\z", "")),
         lambda b: (F.trim(b) != "") & ~b.rlike(_NO_PARAGRAPH) & ~b.rlike(r"\n {0,3}(=+|-+)[ \t]*\z"),
     )
-    return F.coalesce(F.try_element_at(F.transform(plain, lambda b: inline_text(F.trim(b))), F.lit(1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.transform(plain, lambda b: _inline(F.trim(b), math=True, rendered=False)), F.lit(1)), F.lit(""))
 
 
 def slugged(text: Column) -> Column:
@@ -54,24 +55,69 @@ def slugged(text: Column) -> Column:
     return F.replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\p{Pc}\- ]", ""), F.lit(" "), F.lit("-"))
 
 
+def unique_names(names: Column) -> Column:
+    """Each name, or if an earlier one of the array is the same, the name with the least -1, -2, ... that none has."""
+
+    def named(taken: Column, h: Column) -> Column:
+        tried = lambda n: F.concat_ws("-", h["name"], n.cast("string"))
+        # as many as have it before have taken numbers, and names that look like it with a number may have some
+        numbers = F.sequence(F.greatest(F.lit(1), h["before"]), h["before"] + h["alike"] + 1)
+        free = F.transform(F.filter(numbers, lambda n: ~F.array_contains(taken, tried(n))), tried)
+        return F.array_append(taken, F.when(F.array_contains(taken, h["name"]), free[0]).otherwise(h["name"]))
+
+    def counted(name: Column, at: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, F.lit(1), at), lambda x: x == name))
+        alike = F.size(F.filter(names, lambda x: F.startswith(x, F.concat(name, F.lit("-"))) & F.substring(x, F.length(name) + 2, F.length(x)).rlike(r"^\d+\z")))
+        return F.struct(name.alias("name"), before.alias("before"), alike.alias("alike"))
+
+    return F.aggregate(F.transform(names, counted), F.array().cast("array<string>"), named)
+
+
+def _paragraphs(lines: Column, blocks: Column) -> Column:
+    """For each line 1 if it can be a paragraph's, 2 if in a quote, else 0."""
+
+    def kind(line: Column, at: Column) -> Column:
+        text = unquoted(line)
+        other = (F.trim(text) == "") | text.rlike(_NO_PARAGRAPH) | text.rlike(_UNDERLINE) | inside(blocks, at, "fence") | is_mark(blocks, at)
+        return F.when(other, 0).when(line == text, 1).otherwise(2)
+
+    return F.transform(lines, kind)
+
+
+def headings_of(lines: Column, blocks: Column) -> Column:
+    """array<struct<line, depth, text>> of the headings outside code, in order; line: the first of it."""
+
+    def atx(line: Column, at: Column) -> Column:
+        text = unquoted(line)
+        return F.struct(at.alias("line"), F.length(F.regexp_extract(text, _HEADING, 1)).alias("depth"), F.regexp_extract(text, _HEADING, 2).alias("raw"))
+
+    def setext(kinds: Column) -> Column:
+        def heading(line: Column, at: Column) -> Column:
+            own = kinds[at - 1]
+            back = F.array_position(F.transform(F.reverse(F.slice(kinds, F.lit(1), at)), lambda k: k != own), True).cast("int")  # lines of the paragraph and one
+            start = F.when(back == 0, 0).otherwise(at - back + 1)
+            text = F.array_join(F.transform(F.slice(lines, start + 1, at - start), lambda x: F.trim(unquoted(x))), "\n")
+            return F.when((at > 0) & (own > 0) & ((own == 1) == (line == unquoted(line))) & unquoted(line).rlike(_UNDERLINE), F.struct(start.alias("line"), F.when(F.contains(line, F.lit("=")), 1).otherwise(2).alias("depth"), text.alias("raw")))
+
+        return F.filter(F.transform(lines, heading), lambda h: h.isNotNull())
+
+    first = F.filter(F.transform(lines, lambda x, i: F.when(unquoted(x).rlike(_HEADING), atx(x, i))), lambda h: h.isNotNull())
+    first = F.filter(first, lambda h: ~inside(blocks, h["line"], "fence"))
+    second = F.when(F.exists(lines, lambda x: unquoted(x).rlike(_UNDERLINE)), let(_paragraphs(lines, blocks), setext))
+    both = F.concat(first, F.coalesce(second, F.slice(first, 1, 0)))
+    return F.transform(F.array_sort(both), lambda h: F.struct(h["line"].alias("line"), h["depth"].alias("depth"), inline_text(h["raw"]).alias("text")))
+
+
 def headings(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
-    """(doc, pos, depth, slug, text): a row for each ATX heading outside code, pos from 1.
+    """(doc, pos, depth, slug, text, line): a row for each heading outside code, pos from 1, line from 0.
 
-    A slug that an earlier heading of the document has gets -1, -2, ... Null and empty bodies have none.
+    Setext headings are those of a paragraph with a line of = or - below. No two of a document have one
+    slug: see unique_names(). Null and empty bodies have none.
     """
-    text = without_fences(F.col(body))
-    lines = F.regexp_extract_all(text, F.lit(_HEADING), F.lit(0))
-    found = df.select(F.col(doc).alias("doc"), F.posexplode(lines).alias("at", "line"))
-    found = found.select(
-        "doc",
-        (F.col("at") + 1).alias("pos"),
-        F.length(F.regexp_extract("line", _HEADING, 1)).alias("depth"),
-        inline_text(F.regexp_extract("line", _HEADING, 2)).alias("text"),
-    )
-    again = F.row_number().over(Window.partitionBy("doc", "name").orderBy("pos")) - 1
-    found = found.withColumn("name", slugged(F.col("text"))).withColumn("again", again)
-    slug = F.when(F.col("again") == 0, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("again").cast("string")))
-    return found.select("doc", "pos", "depth", slug.alias("slug"), "text")
+    found = with_blocks(df, doc, body).select("doc", headings_of(F.col("lines"), F.col("blocks")).alias("found")).where(F.size("found") > 0)
+    found = found.withColumn("slugs", unique_names(F.transform("found", lambda h: slugged(h["text"]))))
+    rows = found.select("doc", F.posexplode(F.arrays_zip("found", "slugs")).alias("at", "h"))
+    return rows.select("doc", (F.col("at") + 1).alias("pos"), F.col("h.found.depth").alias("depth"), F.col("h.slugs").alias("slug"), F.col("h.found.text").alias("text"), F.col("h.found.line").alias("line"))
 
 
 def attributes(braced: Column) -> Column:
@@ -82,27 +128,126 @@ def attributes(braced: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(split, lambda x: x["key"] == k), -1)["value"]))
 
 
+_CODE_SPAN = r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+#: Fixed value: how a quote that is an admonition begins.
+_ALERT = r"^\[!([a-zA-Z]+)\][ \t]*\z"
+
+
+def _content(lines: Column, block: Column) -> Column:
+    """The lines within a block, of a quoted one without quote marks."""
+    own = F.slice(lines, block["start"] + 2, block["end"] - block["start"] - 1)
+    quoted = lines[block["start"]] != unquoted(lines[block["start"]])
+    return F.array_join(F.when(quoted, F.transform(own, unquoted)).otherwise(own), "\n")
+
+
 def directives(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
-    """(doc, kind, name, label, has_label, attributes, content): a row for each directive; kind is container, leaf or text."""
-    text = without_fences(F.col(body))
-    kinds = (("container", _CONTAINER, text), ("leaf", _LEAF, text), ("text", _INLINE, text))
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("all")) for k, p, t in kinds])
-    rows = df.select(F.col(doc).alias("doc"), F.explode(found).alias("f")).select("doc", "f.kind", F.explode("f.all").alias("raw"))
-    by_kind = lambda n: F.when(F.col("kind") == "container", F.regexp_extract("raw", _CONTAINER, n)).when(F.col("kind") == "leaf", F.regexp_extract("raw", _LEAF, n)).otherwise(F.regexp_extract("raw", _INLINE, n))
-    label = F.regexp_replace(by_kind(2), r"^\[|\]\z", "")
-    content = F.when(F.col("kind") == "container", F.regexp_replace(F.regexp_extract("raw", _CONTAINER, 4), r"\n\z", "")).otherwise("")
-    return rows.select("doc", "kind", by_kind(1).alias("name"), label.alias("label"), (label != "").alias("has_label"), attributes(by_kind(3)).alias("attributes"), content.alias("content"))
+    """(doc, kind, name, label, has_label, attributes, content, line, depth): a row for each directive outside code; kind is container, leaf or text.
+
+    content: a container's lines, those of directives in it included; each of these has a row too. depth: how
+    many blocks a container lies in (0 for other kinds).
+    """
+    texts = with_blocks(df, doc, body)
+    lines, blocks = F.col("lines"), F.col("blocks")
+    row = lambda kind, raw, pattern, content, line, depth: F.struct(
+        F.lit(kind).alias("kind"), *[F.regexp_extract(raw, pattern, n).alias(c) for n, c in enumerate(("name", "label", "braced"), 2 if kind == "container" else 1)],
+        content.alias("content"), line.cast("int").alias("line"), depth.cast("int").alias("depth"))
+    nothing, zero = F.lit(""), F.lit(0)
+    containers = F.transform(F.filter(blocks, lambda b: b["kind"] == "container"), lambda b: row("container", unquoted(lines[b["start"]]), CONTAINER, _content(lines, b), b["start"], b["depth"]))
+    read = F.transform(lines, lambda x, i: F.when(~inside(blocks, i, "fence") & ~is_mark(blocks, i) & F.contains(x, F.lit(":")), unquoted(x)))
+    leaves = F.filter(F.transform(read, lambda x, i: F.when(x.rlike(_LEAF), row("leaf", x, _LEAF, nothing, i, zero))), lambda r: r.isNotNull())
+    inline = F.flatten(F.transform(read, lambda x, i: F.transform(F.regexp_extract_all(F.coalesce(F.regexp_replace(x, _CODE_SPAN, ""), F.lit("")), F.lit(_INLINE), F.lit(0)), lambda t: row("text", t, _INLINE, nothing, i, zero))))
+    rows = texts.select("doc", F.explode(F.concat(containers, leaves, inline)).alias("d")).select("doc", "d.*")
+    label = F.regexp_replace("label", r"^\[|\]\z", "")
+    return rows.select("doc", "kind", "name", label.alias("label"), (label != "").alias("has_label"), attributes(F.col("braced")).alias("attributes"), "content", "line", "depth")
+
+
+def alerts(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
+    """(doc, name, content, line) of the quotes that begin with `[!NOTE]` or another of ADMONITIONS in any case; content is what the quote holds below."""
+    texts = with_blocks(df, doc, body)
+    quotes = F.filter("blocks", lambda b: b["kind"] == "quote")
+    rows = F.transform(quotes, lambda b: F.struct(F.lower(F.regexp_extract(F.trim(unquoted(F.col("lines")[b["start"]])), _ALERT, 1)).alias("name"), _content(F.col("lines"), b).alias("content"), b["start"].alias("line")))
+    return texts.select("doc", F.explode(rows).alias("q")).select("doc", "q.*").where(F.col("name").isin(*ADMONITIONS))
 
 
 def admonitions(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
-    """(doc, type, title, text, valid) of directives named as one of ADMONITIONS: the label or the type in capitals is the title.
+    """(doc, type, title, text, valid) of directives named as one of ADMONITIONS, at any depth, and of alerts(): the label or the type in capitals is the title.
 
     Without a label and content an admonition is invalid, as one that is no container.
     """
-    found = directives(df, doc, body).where(F.col("name").isin(*ADMONITIONS))
+    found = directives(df, doc, body).where(F.col("name").isin(*ADMONITIONS)).select("doc", "name", "label", "has_label", "content")
+    found = found.unionByName(alerts(df, doc, body).select("doc", "name", F.lit("").alias("label"), F.lit(False).alias("has_label"), "content"))
     title = F.when(F.col("has_label"), F.col("label")).otherwise(F.upper("name"))
-    valid = F.col("has_label") | (F.trim("content") != "")
-    return found.select("doc", F.col("name").alias("type"), title.alias("title"), F.trim("content").alias("text"), valid.alias("valid"))
+    text = F.regexp_replace("content", r"^\s+|\s+\z", "")
+    valid = F.col("has_label") | (text != "")
+    return found.select("doc", F.col("name").alias("type"), title.alias("title"), text.alias("text"), valid.alias("valid"))
+
+
+def _inline(text: Column, math: bool, rendered: bool) -> Column:
+    """Inline text without marks. Code spans stay as they are while all else is read; each pattern passes over them."""
+    span = r"((?<!`)(`+)(?!`).+?(?<!`)\2(?!`))|"
+
+    def read(out: Column, pattern: str, to: str = "") -> Column:
+        return F.regexp_replace(out, span + pattern, f"$1{to}")
+
+    out = read(text, r"(?<![\\$])\$\$?(?=[^\s$])([^$]*?[^\s$\\]|)\$\$?(?![\d$])", "$3" if math else "")
+    out = read(out, r"!\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "" if rendered else "$3")
+    out = read(out, r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$3")
+    out = read(out, r"<((?:https?|mailto|ftp):[^>\s]+)>", "$3")
+    if rendered:
+        out = read(out, r"(?:<!--.*?-->|</?[a-zA-Z][^>]*>)")
+    out = read(out, r"(?<![:\w]):[a-zA-Z][\w-]*(?:\[([^\]]*)\])(?:\{[^}]*\})?", "$3")
+    out = read(out, r"(?<![*_~\\])(\*\*|__|~~)(?=[^\s*_~])(.+?)(?<=[^\s*_~])\3(?![*_~])", "$4")
+    out = read(out, r"(?<![\w*\\])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\3(?![\w*])", "$4")
+    out = read(out, r"\\([!-/:-@\[-`{-~])", "$3")
+    return F.regexp_replace(out, _CODE_SPAN, "$2")
+
+
+_REFERENCE = r"^ {0,3}\[[^\]]+\]:\s*\S+"
+_TABLE_RULE = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\z"
+
+
+def plain_lines(lines: Column, blocks: Column, math: bool, rendered: bool) -> Column:
+    """Each line's plain text; '' for lines that only bear marks.
+
+    Code stays as it is, labels of directives stay, addresses of links go. math: whether formulas stay, inline
+    and in `$$` blocks. rendered: as a page shows it, without raw HTML and texts of images.
+    """
+
+    def plain(line: Column, at: Column) -> Column:
+        text, held = unquoted(line), F.filter(blocks, lambda b: (b["kind"] == "fence") & (b["start"] < at) & (at < b["end"]))
+        code = F.when((held[0]["mark"] == "$") & F.lit(not math), "").otherwise(text)
+        label = lambda pattern, n: F.regexp_replace(F.regexp_extract(text, pattern, n), r"^\[|\]\z", "")
+        marks = F.when(text.rlike(CONTAINER), label(CONTAINER, 3)).otherwise("")
+        bare = text.rlike(_UNDERLINE) | text.rlike(_RULE) | text.rlike(_REFERENCE) | text.rlike(_TABLE_RULE) | F.trim(text).rlike(_ALERT)
+        prose = F.regexp_replace(F.regexp_replace(F.when(text.rlike(_HEADING), F.regexp_extract(text, _HEADING, 2)).otherwise(text), rf"(?:{LIST_MARK})+(?:\[[ xX]\][ \t]+)?", ""), r"^[ \t]+|[ \t]+\z", "")
+        prose = F.when(prose.rlike(r"^\|"), F.trim(F.regexp_replace(prose, r"[ \t]*(?<!\\)\|[ \t]*", " "))).otherwise(prose)
+        return F.when(F.size(held) > 0, code).when(is_mark(blocks, at), marks).when(text.rlike(_LEAF), label(_LEAF, 2)).when(bare, "").otherwise(_inline(prose, math, rendered))
+
+    return F.transform(lines, plain)
+
+
+def plain_text(body: Column) -> Column:
+    """A text as a page shows it, for a search: lines without marks, formulas, addresses and raw HTML, code as it is."""
+    return let(lines_of(body), lambda x: let(blocks_of(x), lambda blocks: F.array_join(F.filter(plain_lines(x, blocks, False, True), lambda line: F.trim(line) != ""), "\n")))
+
+
+def flat_text(body: Column) -> Column:
+    """All values of a text put together, as words are counted: formulas, code and texts of images too, no space between blocks, line ends within them."""
+
+    def joined(lines: Column, blocks: Column) -> Column:
+        starts = lambda t: t.rlike(_NO_PARAGRAPH) | t.rlike(_UNDERLINE) | t.rlike(_REFERENCE) | (F.trim(t) == "")
+        ends = lambda t: (F.trim(t) == "") | t.rlike(_HEADING) | t.rlike(_UNDERLINE) | t.rlike(_REFERENCE) | F.trim(t).rlike(_ALERT)
+
+        def piece(line: Column, at: Column) -> Column:
+            in_code = lambda i: F.exists(blocks, lambda b: (b["kind"] == "fence") & (b["start"] < i) & (i < b["end"]))
+            before, text = unquoted(F.when(at > 0, lines[at - 1]).otherwise("")), unquoted(lines[at])
+            edge = is_mark(blocks, at) | is_mark(blocks, at - 1) | starts(text) | ends(before)
+            goes_on = (at > 0) & F.when(in_code(at), in_code(at - 1)).otherwise(~edge)
+            return F.concat(F.when(goes_on, "\n").otherwise(""), line)
+
+        return F.array_join(F.transform(plain_lines(lines, blocks, True, False), piece), "")
+
+    return let(lines_of(body), lambda x: let(blocks_of(x), lambda blocks: joined(x, blocks)))
 
 
 def repository(repo: Column) -> Column:

@@ -88,15 +88,3 @@ def without_emoji_codes(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
-
-def html_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, what is marked as ignored, and tags; white space as one space."""
-    out = F.coalesce(html, F.lit(""))
-    for pattern in (r"(?is)<(script|style)\b[^>]*>.*?</\1>", r"(?is)<(\w+)\b[^>]*\bdata-(?:\w+-)?ignore\b[^>]*>.*?</\1>", r'(?is)<span\b[^>]*class="[^"]*\bkatex[^"]*"[^>]*>.*?</span>'):
-        out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
-
-
-def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.config import NavLink, Site
+from folio.config import Site
 from folio.functions.urls import image_kind, normalized_path, url
 
 # Texts by key in English.
@@ -71,10 +71,17 @@ def missing_assets(df: DataFrame, assets: DataFrame, base_path: str = "", image:
     return with_assets(df, assets, base_path, image).where("asset_missing").drop("asset", "asset_missing")
 
 
+def navigation_of(links: DataFrame, translations: DataFrame, base: str = "/") -> DataFrame:
+    """links (key, name, path, external, lang and others) with name and url: a preset's key gives both, in the dictionary of lang; other links keep theirs."""
+    presets = F.create_map(*[F.lit(x) for kv in PRESETS.items() for x in kv])
+    named = translated(links.withColumn("__preset", F.col("key")), translations, key="__preset", out="__text")
+    path = F.coalesce(F.try_element_at(presets, F.col("key")), F.col("path"))
+    where = F.when(F.coalesce("external", F.lit(False)), path).otherwise(url(path, base))
+    return named.withColumns({"name": F.coalesce(F.when(F.col("key").isNotNull(), F.col("__text")), "name"), "url": where}).drop("__text", "__preset", "path")
+
+
 def navigation(spark: SparkSession, site: Site, translations: DataFrame | None = None) -> DataFrame:
     """(nth, name, url, external) of the site's links; presets are named in its language."""
-    rows = [(n, x if isinstance(x, str) else None, None if isinstance(x, str) else x.name, PRESETS[x] if isinstance(x, str) else x.url, isinstance(x, NavLink) and x.external) for n, x in enumerate(site.nav)]
-    links = spark.createDataFrame(rows, "nth int, key string, own string, path string, external boolean").withColumn("lang", F.lit(site.lang))
-    named = translated(links, translations if translations is not None else english(spark))
-    where = F.when(F.col("external"), F.col("path")).otherwise(url(F.col("path"), site.base))
-    return named.select("nth", F.coalesce("own", "text").alias("name"), where.alias("url"), "external").orderBy("nth")
+    rows = [(n, x, None, None, False) if isinstance(x, str) else (n, None, x.name, x.url, x.external) for n, x in enumerate(site.nav)]
+    links = spark.createDataFrame(rows, "nth int, key string, name string, path string, external boolean").withColumn("lang", F.lit(site.lang))
+    return navigation_of(links, translations if translations is not None else english(spark), site.base).select("nth", "name", "url", "external").orderBy("nth")

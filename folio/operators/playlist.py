@@ -18,6 +18,12 @@ def shuffled_next(playlist: DataFrame, current: int, seed: int) -> DataFrame:
     return playlist.where(F.col("idx") != current).orderBy(F.rand(seed), "idx").limit(1)
 
 
+def another_index(current: Column, size: Column, *draw: Column) -> Column:
+    """For a table of listeners: a place other than the current one, drawn by a hash of `draw`, each of them as likely; null if there is no other."""
+    others = size - 1
+    return F.when(others > 0, F.pmod(current + 1 + F.pmod(F.xxhash64(*draw), F.when(others > 0, others).otherwise(1)), size))
+
+
 def track_titles(playlist: DataFrame) -> DataFrame:
     """playlist with label (title, else Track n) and now_playing (title, else the file's name)."""
     titled = F.nullif(F.col("title"), F.lit(""))

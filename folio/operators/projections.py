@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.config import COLLAPSE_CATEGORIES, COLLAPSE_TAGS
-from folio.functions.markdown import excerpt
+from folio.functions.markdown import excerpt, flat_text
 from folio.functions.text import first_truthy, reading_minutes, word_count
 from folio.functions.urls import post_url
 
@@ -18,8 +18,8 @@ def without_body(df: DataFrame) -> DataFrame:
 
 
 def with_metrics(df: DataFrame) -> DataFrame:
-    """df with words, minutes and excerpt of its body. Null and empty bodies: 0 words, 1 minute, ''."""
-    counted = df.withColumn("words", word_count(F.col("body")))
+    """df with words, minutes and excerpt of its body, read as Markdown. Null and empty bodies: 0 words, 1 minute, ''."""
+    counted = df.withColumn("words", word_count(flat_text(F.col("body"))))
     return counted.withColumns({"minutes": reading_minutes(F.col("words")), "excerpt": excerpt(F.col("body"))})
 
 

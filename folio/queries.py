@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio import site_queries  # noqa: F401 (registers its queries)
 from folio.config import Site
-from folio.functions import dates, text, urls
+from folio.functions import dates, html, text, urls
 from folio.functions.markdown import slugged
 from folio.operators import archive, filters, listing, lookup, playlist, projections, search, taxonomy, toc
 from folio.plans.storage import table
@@ -51,12 +51,13 @@ def page_third(spark, sf_dir):
     return listing.page_slice(order_posts(spark, sf_dir), 3).select("slug", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
-@_query("""with c as (select cur, last, greatest(1, least(cur - 2, last - 4)) as l, least(last, greatest(cur + 2, 5)) as r
-    from range(1, 41) a(last), range(1, 41) b(cur) where cur <= last)
+@_query("""with c as (select cast(ceil(count(*) / 8.0) as bigint) as last from orders), p as (select last, unnest(range(1, last + 1)) as cur from c),
+  b as (select *, greatest(1, least(cur - 2, last - 4)) as l, least(last, greatest(cur + 2, 5)) as r from p)
   select cur, last, array_to_string(list_concat(case when l > 1 then [1] else [] end, case when l = 3 then [2] when l > 3 then [-1] else [] end, range(l, r + 1),
-    case when r < last - 2 then [-1] when r = last - 2 then [last - 1] else [] end, case when r < last then [last] else [] end), ',') as strip from c""")
+    case when r < last - 2 then [-1] when r = last - 2 then [last - 1] else [] end, case when r < last then [last] else [] end), ',') as strip from b""")
 def page_strip(spark, sf_dir):
-    pages = spark.range(1, 41).select(F.col("id").alias("last")).withColumn("cur", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))))
+    """The strip below each page of the list of orders."""
+    pages = listing.paginated(order_posts(spark, sf_dir).select("slug", "published")).select(F.col("page").alias("cur"), F.col("last_page").alias("last")).distinct()
     return pages.select("cur", "last", F.array_join(listing.page_strip(F.col("cur"), F.col("last")).cast("array<string>"), ",").alias("strip"))
 
 
@@ -172,13 +173,23 @@ def search_bm25(spark, sf_dir):
     return search.search(search.build_index(docs), _QUERY).select("doc", "title", "score", "excerpt")
 
 
-@_query(r"""with a as (select page_id, html from pages),
-  t as (select page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) as title,
-    regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis') as body from a)
-  select page_id, title, trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) as text from t""")
+def _decoded_sql(x: str) -> str:
+    """The entities that the pages have."""
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
+
+
+_TITLE_SQL = "regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)"
+_SHOWN_SQL = r"regexp_replace(regexp_replace(body, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+
+
+@_query(rf"""with t as (select page_id, trim({_decoded_sql(_TITLE_SQL)}) as title,
+    regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis') as body from pages)
+  select page_id, title, trim(regexp_replace({_decoded_sql(_SHOWN_SQL)}, '\s+', ' ', 'g')) as text from t""")
 def html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), text.html_text(F.col("html")).alias("text"))
+    return pages.select("page_id", html.html_title(F.col("html")).alias("title"), html.html_text(F.col("html")).alias("text"))
 
 
 @_query("select p_partkey, '/archive/?tag=' || replace(url_encode(p_name), '+', '%20') as url from part")
@@ -264,5 +275,6 @@ def ring_next(spark, sf_dir):
 
 @_query(None)
 def shuffle_pick(spark, sf_dir):
-    tracks = spark.createDataFrame([(f"t{n}", "", f"t{n}.mp3", n) for n in range(9)], parameters.PLAYLIST)
+    """A track of the playlist of all pages other than the fifth."""
+    tracks = table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.lit("").alias("artist"), F.col("url").alias("src"), F.col("page_id").cast("int").alias("idx"))
     return playlist.shuffled_next(tracks, 4, seed=7)

@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.config import NavLink, Site
-from folio.functions import dates, markdown, text, urls
+from folio.config import Site
+from folio.functions import blocks, dates, markdown, text, urls
 from folio.operators import archive, filters, listing, lookup, playlist, projections, taxonomy, toc
 from folio.operators.search import Index, build_index
+from folio.plans import site
+from folio.plans.order import positions
 from folio.plans.storage import shared_dir, table
 from folio.registry import _POSTS, order_posts, query
 from folio.sources import markdown as posts_source
 from folio.sources import parameters, repositories, sinks
+from folio.sources.assets import read_assets
 
 
 def _text(name: str) -> Column:
@@ -106,6 +109,53 @@ def admonitions_of_marked(spark, sf_dir):
     return markdown.admonitions(_marked(spark, sf_dir))
 
 
+_NESTED = (
+    "::::note[Outer ", "{source}", "]\nbefore ", "{doc_id}", "\n:::tip\ninner ", "{lang}", "\n:::\nafter\n::::\n\n> [!WARNING]\n> careful ", "{lang}", "\n> line two\n\n   ```\n:::note\n# no ", "{doc_id}",
+    "\n   ```\n\nSet ", "{source}", "\nin two\n===\n\n# ", "{lang}", "\n\n# ", "{lang}", "\n\n# ", "{lang}", " 1\n\n- ~~~\n  # not ", "{lang}", "\n  ~~~\n\n$$\n# ", "{doc_id}", "\n$$\n\nCosts $x_", "{doc_id}",
+    "$ in [see ", "{lang}", "](http://hidden.example/", "{doc_id}", ") *now*\n\n```\n# open ", "{doc_id}", "\n:::tip\n",
+)
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), _composed(*_NESTED).alias("body"))
+
+
+@query("""select doc_id as doc, a.type, a.title, a.text, a.valid from (select doc_id, unnest([
+  {type: 'note', title: 'Outer ' || source, text: 'before ' || doc_id || chr(10) || ':::tip' || chr(10) || 'inner ' || lang || chr(10) || ':::' || chr(10) || 'after', valid: true},
+  {type: 'tip', title: 'TIP', text: 'inner ' || lang, valid: true}, {type: 'warning', title: 'WARNING', text: 'careful ' || lang || chr(10) || 'line two', valid: true}]) as a from documents)""")
+def admonitions_of_nested(spark, sf_dir):
+    """Containers in containers, quotes as admonitions, and none from indented, listed and open fences."""
+    return markdown.admonitions(_nested(spark, sf_dir))
+
+
+@query("""select doc_id as doc, h.pos, h.depth, h.slug, h.text from (select doc_id, unnest([
+  {pos: 1, depth: 1, slug: 'set-' || lower(source) || 'in-two', text: 'Set ' || source || chr(10) || 'in two'}, {pos: 2, depth: 1, slug: lang, text: lang},
+  {pos: 3, depth: 1, slug: lang || '-1', text: lang}, {pos: 4, depth: 1, slug: lang || '-1-1', text: lang || ' 1'}]) as h from documents)""")
+def headings_of_nested(spark, sf_dir):
+    found = markdown.headings(_nested(spark, sf_dir))
+    return found.select("doc", F.col("pos").cast("int").alias("pos"), F.col("depth").cast("int").alias("depth"), "slug", "text")
+
+
+@query("""select doc_id as slug, 'Outer ' || source || chr(10) || 'before ' || doc_id || chr(10) || 'inner ' || lang || chr(10) || 'after' || chr(10) || 'careful ' || lang || chr(10) || 'line two' || chr(10)
+    || ':::note' || chr(10) || '# no ' || doc_id || chr(10) || 'Set ' || source || chr(10) || 'in two' || chr(10) || lang || chr(10) || lang || chr(10) || lang || ' 1' || chr(10) || '  # not ' || lang || chr(10)
+    || 'Costs  in see ' || lang || ' now' || chr(10) || '# open ' || doc_id || chr(10) || ':::tip' as text,
+  cast(26 as bigint) as words from documents""")
+def plain_text_of_nested(spark, sf_dir):
+    """What a search reads of a text, and the words that are counted of its values put together."""
+    found = _nested(spark, sf_dir)
+    return found.select("slug", markdown.plain_text(F.col("body")).alias("text"), text.word_count(markdown.flat_text(F.col("body"))).alias("words"))
+
+
+@query("""select doc_id as slug, l.line, l.code, l.mark, l.depth from (select doc_id, unnest([
+  {line: 0, code: false, mark: true, depth: 0}, {line: 1, code: false, mark: false, depth: 1}, {line: 2, code: false, mark: true, depth: 1}, {line: 3, code: false, mark: false, depth: 2},
+  {line: 4, code: false, mark: true, depth: 1}, {line: 5, code: false, mark: false, depth: 1}, {line: 6, code: false, mark: true, depth: 0}, {line: 12, code: true, mark: true, depth: 0},
+  {line: 13, code: true, mark: false, depth: 1}, {line: 14, code: true, mark: false, depth: 1}, {line: 15, code: true, mark: true, depth: 0}]) as l from documents)""")
+def lines_of_nested(spark, sf_dir):
+    """The line table of a text's first container, and of its first fence."""
+    found = blocks.line_table(_nested(spark, sf_dir)).where("line < 7 or line between 12 and 15")
+    return found.select(F.col("doc").alias("slug"), F.col("line").cast("int").alias("line"), "code", "mark", F.col("depth").cast("int").alias("depth"))
+
+
 @query("select doc_id as doc, case when doc_id % 3 > 0 then source end as owner, case when doc_id % 3 > 0 then lang end as repo, doc_id % 3 > 0 as valid from documents")
 def repositories_of(spark, sf_dir):
     named = F.when(F.col("doc_id") % 3 > 0, _composed("{source}", "/", "{lang}")).otherwise(_text("source"))
@@ -177,10 +227,17 @@ def categories_collapsed(spark, sf_dir):
     return projections.categories_collapsed(taxonomy.category_counts(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"))))
 
 
-@query("select * from (values (0, 'Home', '/site/', false), (1, 'Archive', '/site/archive/', false), (2, 'About', '/site/about/', false), (3, 'Code', 'https://example.org/x', true), (4, 'Own', '/site/own/', false)) t(nth, name, url, external)")
+@query("""select page_id, case page_id % 5 when 0 then case page_id % 2 when 0 then 'Inicio' else 'Home' end when 1 then 'Archive' when 2 then 'About' else 'Page ' || page_id end as name,
+    case page_id % 5 when 0 then '/site/' when 1 then '/site/archive/' when 2 then '/site/about/' when 3 then 'https://example.org/' || page_id else '/site/own/' || page_id || '/' end as url from pages""")
 def navigation(spark, sf_dir):
-    site = Site(base="/site/", nav=("home", "archive", "about", NavLink("Code", "https://example.org/x", True), NavLink("Own", "/own/")))
-    return lookup.navigation(spark, site)
+    """Each page as a link: presets in two languages, external and own ones."""
+    i = F.col("page_id")
+    texts = lookup.english(spark).unionByName(spark.createDataFrame([("es", "home", "Inicio")], "lang string, key string, text string"))
+    links = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(i % 5 == 0, "home").when(i % 5 == 1, "archive").when(i % 5 == 2, "about").alias("key"), _composed("Page ", "{page_id}").alias("name"), (i % 5 == 3).alias("external"),
+        F.when(i % 5 == 3, _composed("https://example.org/", "{page_id}")).otherwise(_composed("/own/", "{page_id}", "/")).alias("path"), F.when(i % 2 == 0, "ES").otherwise("xx").alias("lang"),
+    )
+    return lookup.navigation_of(links, texts, "/site/").select("page_id", "name", "url")
 
 
 # --- small functions -------------------------------------------------------------------------
@@ -233,20 +290,21 @@ def dropped_files(spark, sf_dir):
     return playlist.with_dropped_files(parameters.playlist(spark, "/player?title=no", default), files)
 
 
-@query("select 'c.mp3' as title, 'x y' as artist, '/a/b/c.mp3' as src, 0 as idx")
+@query("""select page_id, case when page_id % 3 = 0 then 'T ' || page_id when page_id % 4 > 0 then page_id || '.mp3' end as title, case when page_id % 2 = 0 then 'x y' else '' end as artist, case when page_id % 4 > 0 then '/a/b/' || page_id || '.mp3' end as src from pages""")
 def playlist_of_url(spark, sf_dir):
-    return parameters.playlist(spark, "/player?src=%2Fa%2Fb%2Fc.mp3&artist=x+y&src=second")
+    """The tracks that addresses name: with and without title, artist and source, the first of a repeated one."""
+    i = F.col("page_id")
+    address = F.concat(F.lit("/player?x=1"), F.when(i % 4 > 0, _composed("&src=%2Fa%2Fb%2F", "{page_id}", ".mp3&src=second")).otherwise("&src="), F.when(i % 3 == 0, _composed("&title=T+", "{page_id}")).otherwise(""), F.when(i % 2 == 0, "&artist=x%20y").otherwise(""))
+    asked = table(spark, sf_dir, "pages").select("page_id", F.substring_index(address, "?", -1).alias("q"))
+    return asked.select("page_id", *[c.alias(n) for n, c in parameters.track_parameters(F.col("q")).items()])
 
 
-@query("select current, cast(1 as bigint) as picks, true as another from range(0, 9) t(current)")
+@query("select conv_id, turn, turn % 9 as current, true as another, true as inside from conversations")
 def shuffle_properties(spark, sf_dir):
-    """For each place of a playlist: one pick, and it is another track."""
-    tracks = spark.createDataFrame([(f"t{n}", "", f"t{n}.mp3", n) for n in range(9)], parameters.PLAYLIST)
-    picks = [playlist.shuffled_next(tracks, n, seed=n).select(F.lit(n).cast("long").alias("current"), (F.col("idx") != n).alias("another")) for n in range(9)]
-    together = picks[0]
-    for p in picks[1:]:
-        together = together.union(p)
-    return together.groupBy("current").agg(F.count("*").alias("picks"), F.bool_and("another").alias("another"))
+    """For each turn as a listener of nine tracks: another track, and one of the nine."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 9).alias("current"))
+    drawn = turns.withColumn("idx", playlist.another_index(F.col("current"), F.lit(9), F.col("conv_id"), F.col("turn")))
+    return drawn.select("conv_id", "turn", "current", (F.col("idx") != F.col("current")).alias("another"), F.col("idx").between(0, 8).alias("inside"))
 
 
 # --- sinks, read back ------------------------------------------------------------------------
@@ -255,49 +313,97 @@ def shuffle_properties(spark, sf_dir):
 def _documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("slug"), _composed("{source}", " <&> ", "{doc_id}").alias("title"), F.timestamp_seconds(F.col("doc_id") * 86400).alias("published"),
-        F.col("lang").alias("description"), F.substring("text", 1, 40).alias("body"),
+        F.col("lang").alias("description"), F.col("text").alias("body"),
     )
 
 
-@query("""select source || ' <&> ' || doc_id as title, 'https://example.org/posts/' || doc_id || '/' as link, lang as description, strftime(timestamp '1970-01-01' + to_days(cast(doc_id as integer)), '%a, %d %b %Y %H:%M:%S GMT') as pub_date, row_number() over (order by doc_id desc) as place from documents""")
+_VALID_SQL = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{7F}-\\x{9F}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]', '', 'g')"
+
+
+@query(f"""select source || ' <&> ' || doc_id as title, 'https://example.org/posts/' || doc_id || '/' as link, lang as description, strftime(timestamp '1970-01-01' + to_days(cast(doc_id as integer)), '%a, %d %b %Y %H:%M:%S GMT') as pub_date,
+  replace(replace({_VALID_SQL}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as content, row_number() over (order by doc_id desc) as place from documents""")
 def rss_document(spark, sf_dir):
-    """The feed as a file, read back; the order of its items is the order of its lines."""
+    """The feed in files of 300 items, read back whole; the order of its items is the order of files and of items in them."""
     path = shared_dir(spark, "rss")
-    sinks.write_rss(_documents(spark, sf_dir).withColumn("body", F.regexp_replace("body", r"[\r\n]", " ")), path, Site(title="S"))
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.startswith("value", F.lit("<item>")))
-    xml = F.from_xml(F.regexp_replace("value", "content:encoded", "content"), "title string, link string, description string, pubDate string")
-    found = lines.select("at", xml.alias("x"))
-    return found.select("x.title", "x.link", "x.description", F.col("x.pubDate").alias("pub_date"), F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+    sinks.write_rss(_documents(spark, sf_dir), path, Site(title="S"), most=300)
+    items = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").schema("title string, link string, description string, pubDate string, `content:encoded` string").load(path)
+    read = items.select("title", "link", "description", F.col("pubDate").alias("pub_date"), F.coalesce("`content:encoded`", F.lit("")).alias("content"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return positions(read, F.col("file"), F.col("at"), position="place").drop("file", "at", "total")
 
 
-@query("select doc_id as slug, source || ' <&> ' || doc_id as title from documents")
+@query("select doc_id as slug, source || ' <&> ' || doc_id as title, lang as description, timestamp '1970-01-01' + to_days(cast(doc_id as integer)) as published, text as body from documents")
 def written_posts(spark, sf_dir):
     path = shared_dir(spark, "pages")
     sinks.write_posts(_documents(spark, sf_dir), path)
-    return spark.read.parquet(path).select(F.col("slug").cast("long").alias("slug"), "title")
+    return spark.read.parquet(path).select(F.col("slug").cast("long").alias("slug"), "title", "description", F.col("published").cast("timestamp_ntz").alias("published"), "body")
 
 
-@query("select cast(doc_id as varchar) as slug, cast((row_number() over (order by doc_id desc) - 1) // 8 + 1 as bigint) as page from documents")
+@query("""with n as (select *, row_number() over (order by doc_id desc) as position, cast(ceil(count(*) over () / 8.0) as bigint) as last_page from documents)
+  select cast(doc_id as varchar) as slug, source || ' <&> ' || doc_id as title, lang as description, timestamp '1970-01-01' + to_days(cast(doc_id as integer)) as published, position, cast((position - 1) // 8 + 1 as bigint) as page, last_page from n""")
 def written_list_pages(spark, sf_dir):
     path = shared_dir(spark, "list")
     sinks.write_list_pages(_documents(spark, sf_dir), path)
-    return spark.read.parquet(path).select("slug", "page")
+    return spark.read.parquet(path).select("slug", "title", "description", F.col("published").cast("timestamp_ntz").alias("published"), "position", "page", "last_page")
+
+
+@query(_POSTS + "select slug, published, cast(n as bigint) as position from (select *, row_number() over (order by published desc, slug) as n, count(*) over () as total from posts) where (n - 1) // 8 = (total - 1) // 8 // 2")
+def page_deep(spark, sf_dir):
+    """The page in the middle of the list of all orders, from the written list."""
+    path = shared_dir(spark, "list")
+    posts = order_posts(spark, sf_dir)
+    sinks.write_list_pages(posts, path)
+    middle = (posts.count() - 1) // 8 // 2 + 1
+    return sinks.list_page(spark, path, middle).select("slug", F.col("published").cast("timestamp_ntz").alias("published"), "position")
 
 
 @query(r"""with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) as token from documents)
-  select token, doc_id as doc, count(*) as tf from t where token >= 'el' and token < 'em' group by 1, 2""")
+  select token, doc_id as doc, count(*) as tf from t group by 1, 2""")
 def written_index(spark, sf_dir):
+    """All postings of the written index."""
     path = shared_dir(spark, "index")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
     sinks.write_index(build_index(docs), path)
-    return Index.read(spark, path).postings.where("token >= 'el' and token < 'em'").select("token", "doc", F.col("tf").cast("long").alias("tf"))
+    return Index.read(spark, path).postings.select("token", "doc", F.col("tf").cast("long").alias("tf"))
 
 
-@query("select unnest(['User-agent: *', 'Disallow: /private/', '', 'Sitemap: https://example.org/sitemap-index.xml']) as value")
+@query("""with r as (select distinct 'https://' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) as origin, case when page_id % 7 = 0 then '/' || page_id || '/' end as path from pages),
+  o as (select origin, count(path) as n from r group by 1)
+  select origin, 0 as nth, 'User-agent: *' as value from o union all select origin, 1, 'Disallow:' from o where n = 0 union all select origin, 1, 'Disallow: ' || path from r where path is not null
+  union all select origin, 2, '' from o union all select origin, 3, 'Sitemap: ' || origin || '/sitemap-index.xml' from o""")
 def robots_file(spark, sf_dir):
-    path = shared_dir(spark, "robots")
-    sinks.write_robots(spark, path, Site(disallow=("/private/",)))
-    return spark.read.text(path)
+    """A robots file for each host of the pages; every seventh page is one to leave alone."""
+    rules = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).alias("origin"), F.when(F.col("page_id") % 7 == 0, _composed("/", "{page_id}", "/")).alias("path"))
+    return sinks.robots_of(rules)
+
+
+@query("select 'post ' || n_nationkey || '.md' as path, cast(115 + length(cast(n_nationkey as varchar)) as bigint) as length from nation")
+def assets_of_folder(spark, sf_dir):
+    """The files of a folder with their sizes: a post for each nation."""
+    folder = shared_dir(spark, "assets")
+    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows at every size
+        sinks.new_post(spark, folder, f"post {r['n_nationkey']}", day="2025-02-03")
+    return read_assets(spark, folder, "*.md")
+
+
+@query(_POSTS + """, p as (select slug, title || '!' as title, published from posts where draft is distinct from true and category <> '5-LOW'), n as (select *, row_number() over (order by published desc, slug) as position, count(*) over () as total from p)
+  select title, slug, cast((position - 1) // 8 + 1 as bigint) as page, cast(ceil(total / 8.0) as bigint) as last_page, position, cast(4 as bigint) as words from n""")
+def home_with_steps(spark, sf_dir):
+    """Steps of a site's own before the list is made, each on what the one before gave."""
+    steps = [lambda d: d.where(F.col("category") != "5-LOW"), lambda d: d.withColumn("title", F.concat("title", F.lit("!"))), lambda d: d.withColumn("body", F.concat(F.lit("Body of **"), "title", F.lit("**")))]
+    posts = order_posts(spark, sf_dir).withColumns({"body": F.lit(""), **{c: F.lit("").alias(c) for c in ("nextSlug", "nextTitle", "prevSlug", "prevTitle", "description", "image")}, "updated": F.lit(None).cast("timestamp")})
+    return site.home(posts, steps=steps).select("title", "slug", "page", "last_page", "position", "words")
+
+
+_TAG_SQL = r"regexp_replace(x, '<(/?(?:html|head|body|title|meta)\b[^>]*|!DOCTYPE[^>]*)>', '', 'gi')"
+
+
+@query(rf"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>', '', 'gs'), '<style\b.*?</style>', '', 'gs'), '<!--.*?-->', '', 'gs') as x from pages),
+  t as (select page_id, replace(regexp_replace(regexp_replace({_TAG_SQL}, '<(div|p|article|nav|footer|ul|li|h1|b)\s[^>]*>', '<\1>', 'g'), '<br\s*/?>', '<br />', 'g'), chr(0), '') as x from a)
+  select page_id, regexp_replace(regexp_replace(x, '&(am|amp|qu|quo|quot|m|mi|mid|midd|middo|middot|c|co|cop|copy)?($|[^a-z;])', '&amp;\1\2', 'g'), '<([^<>]*)$', '&lt;\1') as content from t""")
+def rss_of_pages(spark, sf_dir):
+    """A feed's content of raw pages: allowed tags and attributes alone."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("title"), F.lit(None).cast("timestamp").alias("published"), F.lit("").alias("description"), F.col("html").alias("body"))
+    return sinks.rss_items(pages, rendered=True).select(F.regexp_extract("link", r"(\d+)/\z", 1).cast("long").alias("page_id"), "content")
 
 
 @query(_POSTS + """, n as (select count(*) as n from posts), u as (select 'https://example.org/posts/' || slug || '/' as loc from posts
@@ -308,6 +414,6 @@ def sitemap_files(spark, sf_dir):
     """Files of 1,000 addresses at most, read back, and how many files their index names."""
     path = shared_dir(spark, "sitemap")
     sinks.write_sitemap(order_posts(spark, sf_dir), path, Site(), most=1000)
-    n = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(f"{path}/index").count()
+    n = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(f"{path}/sitemap-index.xml").count()
     found = spark.read.format("xml").option("rowTag", "url").schema("loc string, file long").load(f"{path}/files")
     return found.select("loc", F.col("file").cast("long").alias("file"), F.lit(n).cast("long").alias("files"))

@@ -33,6 +33,13 @@ def archive_parameters(query: Column) -> dict[str, Column]:
 PLAYLIST = "title string, artist string, src string, idx int"
 
 
+def track_parameters(query: Column) -> dict[str, Column]:
+    """The track that a query names, as columns for a table of requests: src (null without one), title (else the file's name) and artist (else '')."""
+    first = lambda key: F.try_element_at(query_values(query, key), F.lit(1))
+    src = F.nullif(first("src"), F.lit(""))
+    return {"title": F.coalesce(F.nullif(first("title"), F.lit("")), basename(src)), "artist": F.coalesce(first("artist"), F.lit("")), "src": src}
+
+
 def playlist(spark: SparkSession, url: str, default: list[tuple[str, str, str]] = ()) -> DataFrame:
     """The track that a URL names by src (title and artist optional), else the default (title, artist, src)."""
     first: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.config import Site
 from folio.functions.dates import iso_date, rfc822, today
+from folio.functions.html import sanitized
 from folio.functions.text import first_truthy, language_tag, markdown_name, valid_xml
 from folio.functions.urls import page_url, post_url, url
 from folio.operators.listing import newest_first, paginated, sorted_posts
@@ -15,13 +16,19 @@ from folio.plans.order import positions
 
 #: Fixed value: addresses that one sitemap file may have.
 SITEMAP_URLS = 50_000
+#: Items that a file of a feed has at most, unless the caller says otherwise.
+FEED_ITEMS = 10_000
 
 
-def rss_items(posts: DataFrame, site: Site = Site()) -> DataFrame:
-    """(title, pubDate, description, link, content) of all posts, newest first; content is the source text without what XML does not allow."""
+def rss_items(posts: DataFrame, site: Site = Site(), rendered: bool = False) -> DataFrame:
+    """(title, pubDate, description, link, content) of all posts, newest first; content is the source text without what XML does not allow.
+
+    rendered: bodies are HTML; of these the content has allowed tags and attributes only.
+    """
+    content = valid_xml(F.coalesce("body", F.lit("")))
     return sorted_posts(posts).select(
         "title", rfc822(F.col("published")).alias("pubDate"), F.coalesce("description", F.lit("")).alias("description"),
-        post_url(F.col("slug"), site.base).alias("link"), valid_xml(F.coalesce("body", F.lit(""))).alias("content"),
+        post_url(F.col("slug"), site.base).alias("link"), (sanitized(content) if rendered else content).alias("content"),
     )
 
 
@@ -36,11 +43,12 @@ def _element(name: str, text: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), _escaped(text), F.lit(f"</{name}>"))
 
 
-def write_rss(posts: DataFrame, path: str, site: Site = Site(), files: int = 1) -> None:
+def write_rss(posts: DataFrame, path: str, site: Site = Site(), most: int = FEED_ITEMS) -> None:
     """An RSS 2.0 document in the folder `path`: the channel's title, link, description and language, and an item for each post, newest first.
 
-    files: part files that it is cut into; put together in order of their names they are the document.
+    most: items of a part file, about; put together in order of their names the files are the document.
     """
+    files = max(1, -(-posts.count() // most))
     item = F.concat(F.lit("<item>"), *[_element(c, F.col(c)) for c in ("title", "link")], F.lit('<guid isPermaLink="true">'), _escaped(F.col("link")), F.lit("</guid>"),
                     *[_element(c, F.col(c)) for c in ("description", "pubDate")], _element("content:encoded", F.col("content")), F.lit("</item>"))
     rows = posts.select("slug", "published", "title", "description", "body")
@@ -82,15 +90,38 @@ def sitemap(posts: DataFrame, site: Site = Site()) -> DataFrame:
     return own.unionByName(pages).unionByName(fixed).select(F.concat(F.lit(site.origin.rstrip("/")), "url").alias("url"))
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system that a path is in, and a function that makes paths for it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+
 def write_sitemap(posts: DataFrame, path: str, site: Site = Site(), most: int = SITEMAP_URLS) -> None:
-    """Files of `most` addresses or fewer below path/files, and an index of them in path/index."""
+    """Files of `most` addresses or fewer below path/files, and an index of them, path/sitemap-index.xml."""
+    spark = posts.sparkSession
     placed = positions(sitemap(posts, site), F.col("url"))
     numbered = placed.select(F.col("url").alias("loc"), F.floor((F.col("position") - 1) / most).alias("file"))
     numbered.repartition("file").write.partitionBy("file").format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("errorifexists").save(f"{path}/files")
-    found = posts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/files")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/files")
     name = F.regexp_extract(F.col("path"), r"(files/file=\d+/[^/]+)\z", 1)
     loc = F.concat(F.lit(site.origin.rstrip("/")), url(F.concat(F.lit("/sitemap/"), name), site.base))
-    found.select(loc.alias("loc")).write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("errorifexists").save(f"{path}/index")
+    index = found.select(loc.alias("loc")).coalesce(1)  # a row for `most` addresses
+    index.write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("errorifexists").save(f"{path}/index")
+    store, make = _store(spark, path)
+    (part,) = [x.getPath() for x in store.listStatus(make(f"{path}/index")) if x.getPath().getName().startswith("part-")]
+    store.rename(part, make(f"{path}/sitemap-index.xml"))
+    store.delete(make(f"{path}/index"), True)
+
+
+def robots_of(rules: DataFrame) -> DataFrame:
+    """(origin, nth, value): the lines of the robots file of each origin, by nth and then value; rules (origin, path), path null for an origin without any."""
+    own = rules.where("path is not null").select("origin", F.lit(1).alias("nth"), F.concat(F.lit("Disallow: "), "path").alias("value")).distinct()
+    origins = rules.groupBy("origin").agg(F.count("path").alias("n"))
+    fixed = F.array(
+        F.struct(F.lit(0).alias("nth"), F.lit("User-agent: *").alias("value")), F.struct(F.when(F.col("n") == 0, 1).alias("nth"), F.lit("Disallow:").alias("value")),
+        F.struct(F.lit(2).alias("nth"), F.lit("").alias("value")), F.struct(F.lit(3).alias("nth"), F.concat(F.lit("Sitemap: "), F.regexp_replace("origin", "/+\\z", ""), F.lit("/sitemap-index.xml")).alias("value")),
+    )
+    return origins.select("origin", F.explode(fixed).alias("l")).select("origin", "l.nth", "l.value").where("nth is not null").unionByName(own)
 
 
 def robots(spark: SparkSession, site: Site = Site()) -> DataFrame:
@@ -118,6 +149,11 @@ def write_list_pages(posts: DataFrame, path: str, site: Site = Site()) -> None:
     pages.repartitionByRange("page", "position").sortWithinPartitions("page", "position").write.mode("errorifexists").parquet(path)
 
 
+def list_page(spark: SparkSession, path: str, page: int) -> DataFrame:
+    """A page of what write_list_pages() wrote, in order, however deep it lies: files and row groups of other pages are skipped."""
+    return spark.read.parquet(path).where(F.col("page") == page).orderBy("position")
+
+
 def write_index(index: Index, path: str) -> None:
     index.write(path)
 
@@ -130,8 +166,8 @@ def new_post(spark: SparkSession, folder: str, name: str, day: str | None = None
     values = {"title": '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"', "published": known["day"], "tags": "[]", "draft": "false"}
     text = "\n".join(["---", *(f"{k}: {values.get(k, chr(39) * 2)}" for k in fields), "---", ""])
     path = f"{folder.rstrip('/')}/{known['file']}"
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store, make = _store(spark, path)
+    file = make(path)
     if store.exists(file):
         raise FileExistsError(path)
     out = store.create(file, False)

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folio.functions import dates, text, urls
+from folio.functions import dates, html, text, urls
 from folio.functions.markdown import repository
 
 
@@ -60,7 +60,7 @@ def test_text(spark):
     assert one(spark, text.without_emoji_codes(v), v=":star: hi :a_1:") == " hi "
     assert tuple(one(spark, repository(v), v="a/b/c")) == ("a", "b", True) and tuple(one(spark, repository(v), v="a")) == (None, None, False)
     page = '<title> T </title><script>no</script><p>a<b>b</b> <span class="katex">x</span> <i data-ignore>skip</i>c</p>'
-    assert one(spark, text.html_text(v), v=page) == "T a b c" and one(spark, text.html_title(v), v=page) == "T"
+    assert one(spark, html.html_text(v), v=page) == "T a b c" and one(spark, html.html_title(v), v=page) == "T"
     assert one(spark, text.page_title(v, "S", "sub"), v="") == "S - sub" and one(spark, text.page_title(v, "S", "sub"), v="t") == "t - S"
 
 
