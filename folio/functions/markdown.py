@@ -109,7 +109,12 @@ def headings_of(lines: Column, blocks: Column) -> Column:
 
 
 def headings(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
-    """(doc, pos, depth, slug, text, line): a row for each heading outside code, pos from 1, line from 0.
+    """(doc, pos, depth, slug, text): a row for each heading outside code, pos from 1; see placed_headings()."""
+    return placed_headings(df, doc, body).drop("line")
+
+
+def placed_headings(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
+    """(doc, pos, depth, slug, text, line): a row for each heading outside code, pos from 1, line (its first) from 0.
 
     Setext headings are those of a paragraph with a line of = or - below. No two of a document have one
     slug: see unique_names(). Null and empty bodies have none.
