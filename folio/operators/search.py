@@ -1,7 +1,13 @@
 """Full-text search: an inverted index as tables, and ranked results by BM25.
 
 The index has a row per token and document, in order of tokens, so that a query reads only the row
-groups of its words. A title's words weigh as much as TITLE_WEIGHT of the body's.
+groups of its words; a word that is still being typed is a range of tokens. Postings carry the places of
+their words, which give each hit the heading that it stands under. A title's words weigh as much as
+TITLE_WEIGHT of the body's and have no place.
+
+A packed index has a row per token and range of document numbers instead, with gaps between numbers in
+place of the numbers themselves, and for each row the greatest part of a score that is in it. The best of
+a query are found from these without scoring the rest.
 """
 
 from __future__ import annotations
@@ -9,19 +15,25 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.config import EXCERPT_WORDS, TITLE_WEIGHT
 from folio.functions.text import tokens
+from folio.plans.order import positions
+from folio.plans.storage import passing_tables, written
 
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
+#: Documents of a range of a packed index.
+RANGE = 4096
+
+_HEADINGS = "array<struct<anchor:string,text:string,depth:int,location:int>>"
 
 
 @dataclass
 class Index:
-    """postings (token, doc, tf) and docs (doc, url, title, content, length)."""
+    """postings (token, doc, tf, places) and docs (doc, url, title, content, length, headings)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -36,16 +48,23 @@ class Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
 
 
+def content_words(content: Column) -> Column:
+    """The words whose numbers, from 0, are places: runs without white space."""
+    return F.filter(F.split(content, r"\s+"), lambda w: w != "")
+
+
 def build_index(pages: DataFrame) -> Index:
-    """Of pages (doc, url, title, content). Null texts are empty; documents without words are found by none."""
+    """Of pages (doc, url, title, content and, if there are any, headings: anchor, text, depth, location). Null texts are empty; documents without words are found by none.
+
+    location: the number of content words before a heading.
+    """
     empty = F.lit("")
-    texts = pages.select("doc", "url", F.coalesce("title", empty).alias("title"), F.coalesce("content", empty).alias("content"))
-    fields = F.array(
-        F.struct(tokens(F.col("title")).alias("words"), F.lit(TITLE_WEIGHT).alias("weight")),
-        F.struct(tokens(F.col("content")).alias("words"), F.lit(1).alias("weight")),
-    )
-    words = texts.select("doc", F.explode(fields).alias("f")).select("doc", "f.weight", F.explode("f.words").alias("token"))
-    postings = words.groupBy("token", "doc").agg(F.sum("weight").alias("tf"))
+    own = F.col("headings").cast(_HEADINGS) if "headings" in pages.columns else F.lit(None)
+    texts = pages.select("doc", "url", F.coalesce("title", empty).alias("title"), F.coalesce("content", empty).alias("content"), F.coalesce(own, F.array().cast(_HEADINGS)).alias("headings"))
+    body = F.transform(content_words(F.col("content")), lambda w, i: F.struct(i.alias("place"), F.lit(1).alias("weight"), tokens(w).alias("tokens")))
+    title = F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(TITLE_WEIGHT).alias("weight"), tokens(F.col("title")).alias("tokens")))
+    words = texts.select("doc", F.explode(F.concat(title, body)).alias("w")).select("doc", "w.place", "w.weight", F.explode("w.tokens").alias("token"))
+    postings = words.groupBy("token", "doc").agg(F.sum("weight").alias("tf"), F.sort_array(F.collect_set("place")).alias("places"))
     length = TITLE_WEIGHT * F.size(tokens(F.col("title"))) + F.size(tokens(F.col("content")))
     return Index(postings, texts.withColumn("length", length.cast("long")))
 
@@ -54,32 +73,184 @@ def query_tokens(query: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
-def search(index: Index, query: str, limit: int | None = None) -> DataFrame:
+def typed_tokens(query: str) -> tuple[list[str], str | None]:
+    """The whole words of a query and, if it ends within a word, the beginning that this word has."""
+    found = re.findall(r"[^\W_]+", query.lower())
+    open_ = found.pop() if found and re.search(r"[^\W_]\Z", query) else None
+    return sorted(set(found)), open_
+
+
+def _wanted(postings: DataFrame, query: str, typed: bool) -> DataFrame:
+    """postings of the query's words with `term`: the word, or for a beginning it and a star."""
+    whole, start = typed_tokens(query) if typed else (query_tokens(query), None)
+    found = postings.where(F.col("token").isin(*whole) if whole else F.lit(False)).withColumn("term", F.col("token"))
+    if start:
+        found = found.unionByName(postings.where(F.startswith("token", F.lit(start))).withColumn("term", F.lit(f"{start}*")))
+    return found
+
+
+def _is_hit(query: str, typed: bool):
+    """Whether a content word has a token of the query."""
+    whole, start = typed_tokens(query) if typed else (query_tokens(query), None)
+    known = F.array(*[F.lit(t) for t in whole] or [F.lit("")])
+    begins = lambda w: F.exists(tokens(w), lambda t: F.startswith(t, F.lit(start)))
+    return lambda w: F.arrays_overlap(tokens(w), known) | begins(w) if start else F.arrays_overlap(tokens(w), known)
+
+
+def _part(tf: Column, length: Column, mean: Column) -> Column:
+    """What a term gives a document's score before its own weight."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(F.lit(1) + (n - df + 0.5) / (df + 0.5))
+
+
+def _scored(index: Index, query: str, typed: bool) -> DataFrame:
+    """(doc, score) of the documents with one of the query's words."""
+    lengths = index.docs.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    n, mean = (lengths.select(c).scalar() for c in ("n", "mean"))
+    hits = _wanted(index.postings, query, typed).groupBy("term", "doc").agg(F.sum("tf").alias("tf"))
+    per_term = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
+    joined = hits.join(F.broadcast(per_term), "term").join(index.docs.select("doc", "length"), "doc")
+    part = _idf(n, F.col("df")) * _part(F.col("tf"), F.col("length"), mean)
+    return joined.groupBy("doc").agg(F.sum(part).alias("score"))
+
+
+def _order() -> list[Column]:
+    return [F.desc(F.round("score", 9)), F.col("doc").asc()]
+
+
+def search(index: Index, query: str, limit: int | None = None, typed: bool = False) -> DataFrame:
     """(doc, url, title, score, excerpt), best first, ties by doc; an empty query finds nothing. A document needs one of the words.
 
     Only postings of the query's words are read, summed per document, and joined with the documents. The
-    two numbers of the whole collection are scalar subqueries.
+    two numbers of the whole collection are scalar subqueries. typed: a query that ends within a word finds
+    all words that begin so; together they count as one.
     """
-    wanted = query_tokens(query)
-    lengths = index.docs.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = index.postings.where(F.col("token").isin(*wanted) if wanted else F.lit(False))
-    per_token = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each word of the query
-    n, mean = (lengths.select(c).scalar() for c in ("n", "mean"))
-    joined = hits.join(F.broadcast(per_token), "token").join(index.docs.select("doc", "length"), "doc")
-    idf = F.log(F.lit(1) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    best = [F.desc(F.round("score", 9)), F.col("doc")]
-    scored = joined.groupBy("doc").agg(F.sum(part).alias("score"))
-    ranked = scored if limit is None else scored.orderBy(*best).limit(limit)
-    shown = ranked.join(index.docs.drop("length"), "doc").orderBy(*best)  # texts come last, for what is shown
-    return shown.select("doc", "url", "title", F.round("score", 6).alias("score"), marked_excerpt(F.col("content"), wanted).alias("excerpt"))
-
-
-def marked_excerpt(content, wanted: list[str], length: int = EXCERPT_WORDS):
-    """`length` words around the first hit (from a third of that before it), hits in <mark>. `content` is a column."""
-    words = F.filter(F.split(content, r"\s+"), lambda w: w != "")
-    is_hit = lambda w: F.arrays_overlap(tokens(w), F.array(*[F.lit(t) for t in wanted] or [F.lit("")]))
+    scored = _scored(index, query, typed)
+    ranked = scored if limit is None else scored.orderBy(*_order()).limit(limit)
+    shown = ranked.join(index.docs.drop("length", "headings"), "doc").orderBy(*_order())  # texts come last, for what is shown
+    return shown.select("doc", "url", "title", F.round("score", 6).alias("score"), marked_excerpt(F.col("content"), _is_hit(query, typed)).alias("excerpt"))
+
+
+def marked_excerpt(content: Column, is_hit, length: int = EXCERPT_WORDS) -> Column:
+    """`length` words around the first hit (from a third of that before it), hits in <mark>."""
+    words = content_words(content)
     first = F.array_position(F.transform(words, is_hit), F.lit(True))
-    start = F.greatest(F.lit(1), first.cast("int") - length // 3)
+    return _marked(words, F.greatest(F.lit(1), first.cast("int") - length // 3), is_hit, length)
+
+
+def _marked(words: Column, start: Column, is_hit, length: int) -> Column:
     shown = F.transform(F.slice(words, start, F.lit(length)), lambda w: F.when(is_hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
     return F.array_join(shown, " ")
+
+
+def sub_results(index: Index, query: str, limit: int | None = None, typed: bool = False, length: int = EXCERPT_WORDS) -> DataFrame:
+    """(doc, url, title, score, anchor, heading, depth, locations, excerpt): a row for each heading of a found document under which words of the query stand.
+
+    url has the heading's anchor. locations: the places of hits in the content, ascending; what stands before
+    the first heading has a row with anchor ''. The excerpt is around the first of them. A document that
+    has its hits in the title alone has a row without locations and the excerpt of its beginning. score is the
+    whole document's; rows are ordered by it, then by document and place. limit: of documents.
+    """
+    scored = _scored(index, query, typed)
+    ranked = scored if limit is None else scored.orderBy(*_order()).limit(limit)
+    places = _wanted(index.postings, query, typed).join(ranked, "doc", "left_semi").select("doc", F.explode("places").alias("place"))
+    ends = F.expr("transform(headings, (h, i) -> struct(h.anchor as anchor, h.text as heading, h.depth as depth, h.location as first, coalesce(get(headings, i + 1).location, 2147483647) as last))")
+    before = F.array(F.struct(F.lit("").alias("anchor"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.coalesce(F.get("headings", F.lit(0))["location"], F.lit(2147483647)).alias("last")))
+    parts = index.docs.join(ranked, "doc", "left_semi").select("doc", F.explode(F.concat(before, ends)).alias("p")).select("doc", "p.*")
+    under = places.join(parts, "doc").where("first <= place and place < last").groupBy("doc", "anchor", "heading", "depth", "first").agg(F.sort_array(F.collect_set("place")).alias("locations"))
+    found = ranked.join(under, "doc", "left").join(index.docs.drop("length", "headings"), "doc").withColumn("anchor", F.coalesce("anchor", F.lit("")))
+    start = F.greatest(F.lit(1), F.coalesce(F.get("locations", F.lit(0)), F.lit(0)) + 1 - length // 3)
+    shown = found.orderBy(*_order(), F.coalesce("first", F.lit(0)))
+    return shown.select(
+        "doc", F.concat("url", F.when(F.col("anchor") != "", F.concat(F.lit("#"), "anchor")).otherwise("")).alias("url"), "title", F.round("score", 6).alias("score"), "anchor", "heading",
+        F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("locations", F.array().cast("array<int>")).alias("locations"), _marked(content_words(F.col("content")), start, _is_hit(query, typed), length).alias("excerpt"),
+    )
+
+
+# --- packed ----------------------------------------------------------------------------------
+
+
+@dataclass
+class PackedIndex:
+    """blocks (token, range, n, best, gaps, tfs) in order of tokens, and docs as Index has them with `number`, by it.
+
+    A block has the documents of a token whose numbers lie in one range of RANGE: the first number within the
+    range and then gaps, with their tf. best: the greatest part of a score before the term's weight.
+    """
+
+    blocks: DataFrame
+    docs: DataFrame
+
+    def write(self, path: str) -> None:
+        self.blocks.repartitionByRange("token", "range").sortWithinPartitions("token", "range").write.mode("errorifexists").parquet(f"{path}/blocks")
+        self.docs.repartitionByRange("number").sortWithinPartitions("number").write.mode("errorifexists").parquet(f"{path}/docs")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> PackedIndex:
+        return PackedIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/docs"))
+
+
+def packed(index: Index, size: int = RANGE) -> PackedIndex:
+    """The index with numbered documents, in blocks; its docs are a written table."""
+    docs = written(positions(index.docs, F.col("doc"), position="number").withColumn("number", F.col("number") - 1).drop("total"), "numbered")
+    mean = docs.where("length > 0").agg(F.avg("length").alias("m")).select("m").scalar()
+    rows = index.postings.select("token", "doc", "tf").join(docs.select("doc", "number", "length"), "doc")
+    rows = rows.select("token", F.floor(F.col("number") / size).alias("range"), F.struct((F.col("number") % size).cast("int").alias("at"), F.col("tf").cast("int").alias("tf")).alias("e"), _part(F.col("tf"), F.col("length"), mean).alias("part"))
+    found = rows.groupBy("token", "range").agg(F.count("*").cast("int").alias("n"), F.max("part").alias("best"), F.sort_array(F.collect_list("e")).alias("es"))  # `size` entries at most
+    gaps = F.transform("es", lambda e, i: F.when(i == 0, e["at"]).otherwise(e["at"] - F.get("es", i - 1)["at"]))
+    blocks = found.select("token", "range", "n", "best", gaps.alias("gaps"), F.col("es")["tf"].alias("tfs"))
+    return PackedIndex(blocks, docs.withColumn("size", F.lit(size)))
+
+
+def unpacked(blocks: DataFrame, size: int = RANGE) -> DataFrame:
+    """(token, number, tf) of blocks."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    numbers = F.aggregate("gaps", start, lambda s, g: F.struct((s["at"] + g).alias("at"), F.array_append(s["out"], s["at"] + g).alias("out")), lambda s: s["out"])
+    rows = blocks.select("token", "range", F.explode(F.arrays_zip(numbers.alias("at"), F.col("tfs").alias("tf"))).alias("e"))
+    return rows.select("token", (F.col("range") * size + F.col("e.at")).alias("number"), F.col("e.tf").alias("tf"))
+
+
+def best_of(index: PackedIndex, query: str, k: int, typed: bool = False, size: int = RANGE, first: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The k best of search() as (doc, url, title, score), and a row of how many ranges and blocks the query has and how many of them were read.
+
+    For each range of documents the best parts of the query's terms add up to a bound of all scores in it.
+    The `first` * k ranges of highest bounds are scored; the k-th score found there rules out every range
+    whose bound is lower, and only the others are scored besides. Both results are written tables.
+    """
+    spark = index.blocks.sparkSession
+    with passing_tables(spark) as keep:
+        wanted = _wanted(index.blocks, query, typed)
+        lengths = index.docs.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+        n, mean = (lengths.select(c).scalar() for c in ("n", "mean"))
+        # of a beginning's tokens a document can have several; it counts once for the term
+        if typed and typed_tokens(query)[1]:
+            rows = unpacked(wanted.where("endswith(term, '*')"), size).select("number").distinct()
+            df = wanted.where("not endswith(term, '*')").groupBy("term").agg(F.sum("n").alias("df")).unionByName(rows.agg(F.count("*").alias("df")).select(F.lit(f"{typed_tokens(query)[1]}*").alias("term"), "df").where("df > 0"))
+        else:
+            df = wanted.groupBy("term").agg(F.sum("n").alias("df"))
+        idf = written(df.select("term", _idf(n, F.col("df")).alias("idf")), "terms")
+        # a part grows with tf and is concave in it: tokens of one term together have at most the sum of their parts
+        bounds = wanted.select("term", "range", "best").join(F.broadcast(idf), "term").groupBy("range").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"), F.count("*").alias("blocks"))
+        bounds = written(bounds, "bounds")
+
+        def scores(ranges: DataFrame) -> DataFrame:
+            chosen = wanted.join(ranges.select("range"), "range", "left_semi")
+            rows = chosen.select("term", F.col("range"), "gaps", "tfs").withColumnRenamed("term", "token")
+            parts = unpacked(rows, size).withColumnRenamed("token", "term").groupBy("term", "number").agg(F.sum("tf").alias("tf")).join(F.broadcast(idf), "term").join(index.docs.select("number", "doc", "length"), "number")
+            return parts.groupBy("number", "doc").agg(F.sum(F.col("idf") * _part(F.col("tf"), F.col("length"), mean)).alias("score")).orderBy(*_order()).limit(k)
+
+        start = written(bounds.orderBy(F.desc("bound"), "range").limit(first * k), "start")
+        found = written(scores(start), "found")
+        kth = found.agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+        rest = bounds.join(start, "range", "left_anti")
+        if kth["n"] == k:
+            rest = rest.where(F.col("bound") >= F.lit(kth["s"] - 1e-8))  # what rounding may make equal is read too
+        rest = written(rest, "rest")
+        both = found.unionByName(scores(rest)) if not rest.isEmpty() else found
+        best = both.orderBy(*_order()).limit(k).join(index.docs.select("number", "url", "title"), "number")
+        sums = lambda df, what: df.agg(F.count("*").alias(f"ranges{what}"), F.coalesce(F.sum("blocks"), F.lit(0)).alias(f"blocks{what}"))
+        read = sums(bounds, "").join(sums(start.unionByName(rest), "_read"))
+        return keep(best.select("doc", "url", "title", F.round("score", 6).alias("score")), "best"), keep(read, "read")

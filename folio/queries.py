@@ -13,7 +13,7 @@ from folio.config import Site
 from folio.functions import dates, html, text, urls
 from folio.functions.markdown import slugged
 from folio.operators import archive, filters, listing, lookup, playlist, projections, search, taxonomy, toc
-from folio.plans.storage import table
+from folio.plans.storage import shared_dir, table
 from folio.registry import _POSTS, oracle_sql, order_posts, queries  # noqa: F401
 from folio.registry import query as _query
 from folio.sources import parameters, sinks
@@ -169,8 +169,70 @@ _HIT = f"list_has_any({_TOKENS('w')}, ['elle', 'reen', 'onst', 'src1'])"
   select doc, source as title, score, array_to_string(list_transform(words[greatest(1, coalesce(first_hit, 0) - 6):greatest(1, coalesce(first_hit, 0) - 6) + 19],
     lambda w: case when {_HIT} then '<mark>' || w || '</mark>' else w end), ' ') as excerpt from scored join h using (doc)""")
 def search_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("").alias("url"), F.col("source").alias("title"), F.col("text").alias("content"))
-    return search.search(search.build_index(docs), _QUERY).select("doc", "title", "score", "excerpt")
+    return search.search(_written_index(spark, sf_dir), _QUERY).select("doc", "title", "score", "excerpt")
+
+
+def _documents_to_search(spark, sf_dir) -> DataFrame:
+    """Documents with a heading before every fortieth word from the fortieth on."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("/d/").alias("url"), F.col("source").alias("title"), F.col("text").alias("content"))
+    n = F.size(search.content_words(F.coalesce("content", F.lit(""))))
+    places = F.when(n > 40, F.sequence(F.lit(40), n - 1, F.lit(40))).otherwise(F.array().cast("array<int>"))
+    heading = lambda p: F.struct(F.concat(F.lit("p"), p.cast("string")).alias("anchor"), F.concat(F.lit("From "), p.cast("string")).alias("text"), F.lit(2).alias("depth"), p.alias("location"))
+    return docs.withColumn("headings", F.transform(places, heading))
+
+
+def _written_index(spark, sf_dir) -> search.Index:
+    """The index, written once and read back: texts are read once, and a query reads the parts of its words."""
+    path = shared_dir(spark, "index")
+    search.build_index(_documents_to_search(spark, sf_dir)).write(path)
+    return search.Index.read(spark, path)
+
+
+_TF_SQL = f"""raw as (select doc_id, unnest({_TOKENS('text')}) as token, 1 as weight from documents union all select doc_id, unnest({_TOKENS('source')}), 10 from documents),
+  t as (select doc_id, token, sum(weight) as tf from raw group by 1, 2), d as (select doc_id, sum(weight) as length from raw group by doc_id), s as (select count(*) as n, avg(length) as mean from d)"""
+_BM25_SQL = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean)))"
+
+
+@_query(f"""with {_TF_SQL}, p as (select doc_id, 'src1' as term, tf from t where token = 'src1' union all select doc_id, 'ell*', sum(tf) from t where token like 'ell%' group by 1),
+  f as (select term, count(*) as df from p group by term)
+  select p.doc_id as doc, round({_BM25_SQL}, 6) as score from p join f using (term) join d using (doc_id), s group by 1""")
+def search_typed(spark, sf_dir):
+    """A query whose last word is still being typed."""
+    return search.search(_written_index(spark, sf_dir), "src1 ell", typed=True).select("doc", "score")
+
+
+@_query(f"""with {_TF_SQL}, p as (select * from t where token in ('elle', 'reen', 'onst', 'src1')), f as (select token, count(*) as df from p group by token),
+  scored as (select p.doc_id as doc, round({_BM25_SQL}, 6) as score from p join f using (token) join d using (doc_id), s group by 1),
+  w as (select doc_id as doc, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as words from documents),
+  h as (select doc, source, words, unnest(list_filter(range(0, len(words)), lambda i: list_has_any(regexp_extract_all(lower(words[i + 1]), '[\p{{L}}\p{{N}}]+'), ['elle', 'reen', 'onst', 'src1']))) as place from w),
+  g as (select doc, any_value(words) as words, place // 40 as part, list(cast(place as integer) order by place) as locations from h group by doc, place // 40)
+  select scored.doc, '/d/' || case when coalesce(part, 0) = 0 then '' else '#p' || part * 40 end as url, w.source as title, score, case when part > 0 then 'From ' || part * 40 end as heading, coalesce(array_to_string(locations, ','), '') as locations,
+    array_to_string(list_transform(w.words[greatest(1, coalesce(locations[1], 0) - 5):greatest(1, coalesce(locations[1], 0) - 5) + 19], lambda w: case when {_HIT} then '<mark>' || w || '</mark>' else w end), ' ') as excerpt
+  from scored join w using (doc) left join g using (doc)""")
+def search_sub_results(spark, sf_dir):
+    """Each found document's headings with hits below, their places and an excerpt each."""
+    found = search.sub_results(_written_index(spark, sf_dir), _QUERY)
+    return found.select("doc", "url", "title", "score", "heading", F.array_join(F.col("locations").cast("array<string>"), ",").alias("locations"), "excerpt")
+
+
+@_query(f"""with {_TF_SQL}, p as (select * from t where token in ('elle', 'reen', 'onst', 'src1')), f as (select token, count(*) as df from p group by token),
+  scored as (select p.doc_id as doc, {_BM25_SQL} as score from p join f using (token) join d using (doc_id), s group by 1)
+  select doc, source as title, round(score, 6) as score from scored join documents on doc = doc_id order by round(scored.score, 9) desc, doc limit 10""")
+def search_best(spark, sf_dir):
+    """The ten best by a packed index, whose other ranges of documents are passed over."""
+    path = shared_dir(spark, "packed")
+    search.packed(_written_index(spark, sf_dir), size=64).write(path)
+    best, _ = search.best_of(search.PackedIndex.read(spark, path), _QUERY, 10, size=64)
+    return best.select("doc", "title", "score")
+
+
+@_query(f"with {_TF_SQL} select token, doc_id as doc, cast(tf as bigint) as tf from t")
+def packed_index(spark, sf_dir):
+    """All postings, from the packed index as it is written."""
+    path = shared_dir(spark, "packed")
+    search.packed(_written_index(spark, sf_dir), size=256).write(path)
+    index = search.PackedIndex.read(spark, path)
+    return search.unpacked(index.blocks, 256).join(index.docs.select("number", "doc"), "number").select("token", "doc", F.col("tf").cast("long").alias("tf"))
 
 
 def _decoded_sql(x: str) -> str:
