@@ -53,6 +53,19 @@ def front_matter(spark, sf_dir):
     return found.select("id", "slug", "title", F.col("published").cast("timestamp_ntz").alias("published"), "draft", "tags", "category", "description", "body")
 
 
+@query("""select 'p' || doc_id as slug, 'It: ' || source as title, 'a ' || lang || ' b' || chr(10) || 'c' || chr(10) || '  d' || chr(10) || chr(10) || 'e' || case doc_id % 3 when 0 then chr(10) when 1 then '' else chr(10) || chr(10) end as description,
+  'x' || chr(10) || ' y: ' || doc_id || chr(10) as image, 'one two' as lang from documents""")
+def block_scalars(spark, sf_dir):
+    """Folded and literal scalars with every way to end, an indentation that is given, and quoted ones over two lines."""
+    end = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "-").otherwise("+")
+    value = F.concat(
+        F.lit("---\ntitle: |-\n  It: "), _text("source"), F.lit("\npublished: 2025-01-01\ndescription: >"), end, _composed("  # folded\n  a ", "{lang}", "\n  b\n\n  c\n    d\n\n  e\n\n"),
+        _composed("image: |1\n x\n  y: ", "{doc_id}", "\nlang: \"one\n  two\"\n---\nbody"),
+    )
+    found = posts_source.parsed(table(spark, sf_dir, "documents").select(_composed("p", "{doc_id}", ".md").alias("name"), value.alias("value")))
+    return found.select("slug", "title", "description", "image", "lang")
+
+
 @query("select 'post ' || n_nationkey || '.md' as id, 'post-' || n_nationkey as slug, 'post ' || n_nationkey as title, timestamp '2025-02-03 00:00:00' as published, false as draft from nation")
 def new_posts_read_back(spark, sf_dir):
     """A file for each nation, by the scaffolder, and the collection read from the folder."""

@@ -1,7 +1,9 @@
 """Posts from Markdown files with front matter.
 
-Front matter is read by expressions, field by field, in the subset of YAML that posts use: plain and
-quoted scalars, `[a, b]` and block lists, null, comments after a space. Unknown keys are left out.
+Front matter is read by expressions, field by field, in the subset of YAML that posts use: plain, quoted
+and block (`|`, `>`) scalars, `[a, b]` and block lists, null, comments after a space. Unknown keys are left
+out. A known key whose value is something else (anchors, aliases, tags, maps, nested lists) makes a post
+invalid: see problem().
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.dates import coerced
-from folio.functions.markdown import unix_lines
+from folio.functions.blocks import let, unix_lines
 from folio.schema import TEXTS, conform, rejected, strict
 
 _FRONT = r"(?s)\A﻿?---[ \t]*\n(.*?\n)?---[ \t]*(?:\n|\z)"
@@ -23,10 +25,49 @@ def _raw(front: Column, key: str) -> Column:
     return F.when(front.rlike(pattern), F.regexp_replace(F.regexp_extract(front, pattern, 1), r"^\s+|\s+\z", ""))
 
 
+def block_scalar(front: Column, key: str) -> Column:
+    """The text of `key: |` or `key: >` (with - or + and an indentation, if given); null for other values.
+
+    An ordered fold over the lines: of a folded scalar a line end between two lines becomes a space, unless
+    one of them is indented further; empty lines stay, but for one between two lines of text.
+    """
+    pattern = rf"(?m)^{key}:[ \t]*([|>])([-+]?)(\d?)([-+]?)[ \t]*(?:#.*)?$((?:\n(?:[ \t]+.*|[ \t]*(?=\n|\z)))*)"
+    part = lambda n: F.regexp_extract(front, pattern, n)
+    empty = lambda line: F.trim(line) == ""
+
+    def read(lines: Column) -> Column:
+        first = F.coalesce(F.get(F.filter(lines, lambda x: ~empty(x)), F.lit(0)), F.lit(""))
+        indent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.length(first) - F.length(F.ltrim(first)))
+        own = F.transform(lines, lambda x: F.when(empty(x), F.lit("")).otherwise(F.substring(x, indent + 1, F.length(x))))
+        state = lambda out, gap, kind: F.struct(out.alias("out"), gap.alias("gap"), kind.alias("kind"))
+
+        def step(s: Column, x: Column) -> Column:
+            kind = F.when(x.rlike(r"^[ \t]"), "more").otherwise("text")
+            folds = (part(1) == ">") & (s["kind"] == "text") & (kind == "text")
+            between = F.when(s["kind"] == "", F.repeat(F.lit("\n"), s["gap"])).when(folds & (s["gap"] == 0), " ").when(folds, F.repeat(F.lit("\n"), s["gap"])).otherwise(F.repeat(F.lit("\n"), s["gap"] + 1))
+            return F.when(x == "", state(s["out"], s["gap"] + 1, s["kind"])).otherwise(state(F.concat(s["out"], between, x), F.lit(0), kind))
+
+        def end(s: Column) -> Column:
+            chomp = F.concat(part(2), part(4))
+            return F.when(chomp == "-", s["out"]).when(chomp == "+", F.concat(s["out"], F.repeat(F.lit("\n"), s["gap"] + F.when(s["kind"] == "", 0).otherwise(1)))).when(s["out"] == "", "").otherwise(F.concat(s["out"], F.lit("\n")))
+
+        return F.aggregate(own, state(F.lit(""), F.lit(0), F.lit("")), step, end)
+
+    return F.when(part(1) != "", let(F.slice(F.split(part(5), "\n"), 2, 1 << 30), read))
+
+
+def problem(front: Column, keys: tuple[str, ...]) -> Column:
+    """Which of the keys has a value beyond what is read here; null if none has."""
+    beyond = rf"^(?:[&*!%@`{{?]|\[[^\n]*[\[{{]|-[ \t]+(?:[&*!{{\[]|-[ \t])|[\"'](?!.*[\"'][ \t]*(?:#.*)?\z))"
+    found = F.coalesce(*[F.when(_raw(front, k).rlike("(?s)" + beyond), F.lit(k)) for k in keys])
+    return F.when(found.isNotNull(), F.concat(F.lit("front matter: the form of "), found, F.lit(" is not read")))
+
+
 def scalar(raw: Column) -> Column:
     """A YAML scalar as text; null for null, ~ and nothing."""
-    double = F.regexp_replace(F.regexp_replace(F.regexp_extract(raw, r'(?s)^"((?:[^"\\]|\\.)*)"', 1), r"\\n", "\n"), r'\\(["\\/])', "$1")
-    single = F.replace(F.regexp_extract(raw, r"(?s)^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
+    folded = lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]*\n[ \t]*\n[ \t]*", "\n"), r"(?<!\n)[ \t]*\n(?!\n)[ \t]*(?=\S)", " ")
+    double = F.regexp_replace(F.regexp_replace(folded(F.regexp_extract(raw, r'(?s)^"((?:[^"\\]|\\.)*)"', 1)), r"\\n", "\n"), r'\\(["\\/])', "$1")
+    single = F.replace(folded(F.regexp_extract(raw, r"(?s)^'((?:[^']|'')*)'", 1)), F.lit("''"), F.lit("'"))
     plain = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(^|[ \t])#.*$", ""), r"\s*\n\s*", " "))
     return F.when(F.startswith(raw, F.lit('"')), double).when(F.startswith(raw, F.lit("'")), single).when(F.lower(plain).isin("", "~", "null"), F.lit(None)).otherwise(plain)
 
@@ -46,17 +87,24 @@ def slug_of(name: Column) -> Column:
     return F.regexp_replace(plain, r"/index\z", "")
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """(id, slug, body and the schema's fields) of files (name, value); invalid dates are null. Works on streams too."""
+def _read(files: DataFrame) -> DataFrame:
+    """The fields of files (name, value) and `problem`."""
     text = files.select("name", unix_lines(F.col("value")).alias("t"))
     text = text.select("name", F.coalesce(F.regexp_extract("t", _FRONT, 1), F.lit("")).alias("front"), F.regexp_replace("t", _FRONT, "").alias("body"))
     front = F.col("front")
-    fields = {c: scalar(_raw(front, c)) for c in ("title", "category", *TEXTS)}
+    value = lambda c: F.when(_raw(front, c).rlike("^[|>]"), block_scalar(front, c)).otherwise(scalar(_raw(front, c)))
+    fields = {c: value(c) for c in ("title", "category", *TEXTS)}
     fields |= {c: coerced(scalar(_raw(front, c))) for c in ("published", "updated")}
     fields["category"] = F.when(_raw(front, "category").isNull(), F.lit("")).otherwise(fields["category"])
     fields["draft"] = F.lower(scalar(_raw(front, "draft"))).eqNullSafe("true")
     fields["tags"] = items(_raw(front, "tags"))
-    return conform(text.select(F.col("name").alias("id"), slug_of(F.col("name")).alias("slug"), "body", *[v.alias(k) for k, v in fields.items()]))
+    known = (*fields,)
+    return text.select(F.col("name").alias("id"), slug_of(F.col("name")).alias("slug"), "body", *[v.alias(k) for k, v in fields.items()], problem(front, known).alias("problem"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(id, slug, body and the schema's fields) of files (name, value); invalid dates are null. Works on streams too."""
+    return conform(_read(files))
 
 
 def relative_name(root: str) -> Column:
@@ -73,15 +121,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posts(spark: SparkSession, path: str, invalid: str = "fail") -> DataFrame:
-    """A collection of posts from a folder. invalid: `fail` stops the query at a post without title or date, `drop` leaves it out, `keep` gives nulls."""
-    posts = parsed(read_files(spark, path))
+    """A collection of posts from a folder. invalid: `fail` stops the query at a post without title or date or with a problem(), `drop` leaves it out, `keep` gives nulls and what could be read."""
+    read = _read(read_files(spark, path))
     if invalid == "fail":
-        return strict(posts)
-    return posts.where("title is not null and published is not null") if invalid == "drop" else posts
+        told = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("problem", F.lit(" in "), "id"))).otherwise(F.col("title"))
+        return strict(conform(read.withColumn("title", told)))
+    return conform(read.where("problem is null")).where("title is not null and published is not null") if invalid == "drop" else conform(read)
 
 
 def rejected_posts(spark: SparkSession, path: str) -> DataFrame:
-    return rejected(parsed(read_files(spark, path)))
+    read = _read(read_files(spark, path))
+    odd = conform(read.where("problem is not null")).withColumn("error", F.lit("front matter beyond the subset that is read"))
+    return rejected(conform(read.where("problem is null"))).unionByName(odd)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -63,3 +63,26 @@ def test_excerpt_cases(spark, body, wanted):
 
 def test_assets(spark, folder):
     assert sorted(r[0] for r in read_assets(spark, folder, "*.md").select("path").collect()) == ["First Post/First Post.md", "guide/index.md", "plain.md"]
+
+
+@pytest.mark.parametrize("value, wanted", [
+    ("|\n  a\n   b\n\n  c\n", "a\n b\n\nc\n"), ("|-\n  a\n\n", "a"), ("|+\n  a\n\n", "a\n\n"), (">\n  a\n  b\n\n\n  c\n", "a b\n\nc\n"), (">-\n\n  a\n    x\n    y\n  b\n", "\na\n  x\n  y\nb"),
+    ("|2-\n    a\n  b\n", "  a\nb"), ("> # why\n\ta\n\tb\n", "a b\n"), ("|\n", ""), ("'it''s\n  two'", "it's two"), ('"a\n\n  b"', "a\nb"), ("a\n  b", "a b"),
+])
+def test_scalars_over_lines(spark, value, wanted):
+    from folio.sources.markdown import parsed
+
+    files = spark.createDataFrame([("x.md", f"---\ntitle: T\ndescription: {value}\nlang: en\npublished: 2025-01-01\n---\nbody")], "name string, value string")
+    found = parsed(files).first()
+    assert (found["description"], found["lang"], found["title"], found["body"]) == (wanted, "en", "T", "body")
+
+
+def test_front_matter_beyond_the_subset_is_rejected(spark, tmp_path):
+    odd = ["&a x", "*a", "!!str x", "{a: b}", "[a, [b]]", "[{a: b}]", '"open', "\n  - - a", "\n  - {a: b}"]
+    fine = ["x & y", "'&a'", "[a, 'b]']", "a *b*", "\n  - '[x]'"]
+    for n, value in enumerate(odd + fine):
+        (tmp_path / f"{n}.md").write_text(f"---\ntitle: T\npublished: 2025-01-01\ntags: {value}\nother: {{a: b}}\n---\n")
+    assert {r["id"] for r in rejected_posts(spark, str(tmp_path)).collect()} == {f"{n}.md" for n in range(len(odd))}
+    assert read_posts(spark, str(tmp_path), invalid="drop").count() == len(fine) and read_posts(spark, str(tmp_path), invalid="keep").count() == len(odd + fine)
+    with pytest.raises(Exception, match="the form of tags is not read in"):
+        read_posts(spark, str(tmp_path)).collect()
