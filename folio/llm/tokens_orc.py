@@ -31,7 +31,10 @@ from .common import arrow_schema, map_arrow, shared_dir
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1_000, 16 << 20, 0.01
 #: Words remembered in either generation by a Python worker, and those that one library call encodes.
-REMEMBERED, TOGETHER = 400_000, 128
+REMEMBERED, TOGETHER = 400_000, 512
+
+#: Columns of the files.
+TABLE = "doc_id long, part int, nth long, start long, n long, ids array<int>"
 
 # A full stop or comma between a letter or digit and white space is a piece of its own in any case.
 _MARK = re.compile(rb"[.,](?=[\x20\x09-\x0D]|\Z)(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
@@ -96,36 +99,36 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > self.remembered:
             self.known, self.older = {}, self.known
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        plain, rest = [], []
+        for w in words:
+            (plain if _LETTERS.fullmatch(w) else rest).append(w)
         for lo in range(0, len(plain), TOGETHER):
             some = plain[lo : lo + TOGETHER]
             ids = self._ids(b" ".join(some).decode())
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            self._keep(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
-        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+            self._keep(some, ids, np.concatenate([[0], ends[:-1]]), ends)
         for lo in range(0, len(rest), TOGETHER):
             some = rest[lo : lo + TOGETHER]
             ids = self._ids(self.parting_text.join(w.decode() for w in some))
-            ends = np.flatnonzero(ids == self.parting).tolist()
+            ends = np.flatnonzero(ids == self.parting)
             if len(ends) == len(some) - 1:
-                self._keep(some, ids, [0, *(e + 1 for e in ends)], [*ends, len(ids)])
+                self._keep(some, ids, np.concatenate([[0], ends + 1]), np.append(ends, len(ids)))
             else:  # a special token among the words
                 self.known |= {w: self._ids(w.decode()).tobytes() for w in some}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
-        raw = ids.tobytes()
-        self.known |= {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts, ends, strict=True)}
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        spans = map(slice, (4 * starts).tolist(), (4 * ends).tolist())
+        self.known.update(zip(words, map(ids.tobytes().__getitem__, spans), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        words = {w for ws in split for w in ws}
-        known = self.known
-        missing = [w for w in words if w not in known]
+        words, known = set().union(*split), self.known
+        missing = words.difference(known)
         again = {w: x for w in missing if (x := self.older.get(w)) is not None}
-        new = [w for w in missing if w not in again]
+        new = list(missing.difference(again))
         if len(known) + len(missing) > self.remembered:
             again |= {w: known[w] for w in words if w in known}
         self._learn(new)
@@ -160,29 +163,28 @@ def default_vocabulary() -> str:
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
-    """Writes docs (doc_id, text) as ORC: doc_id, part, nth, start, ids.
+    """Writes docs (doc_id, text) as ORC: doc_id, part, nth, start, n, ids (n of them).
 
-    part: the task's number, ascending with doc_id; nth and start: documents and ids before it in the
+    vocabulary: a file that each executor can open; the default is looked up there. part: the task's number, ascending with doc_id; nth and start: documents and ids before it in the
     part. Equal doc_ids are in order of their texts' hashes; null ids come first.
     """
-    path = vocabulary or default_vocabulary()
     order = [F.col("doc_id").asc_nulls_first(), F.col("x")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
-    ddl = "doc_id long, part int, nth long, start long, ids array<int>"
+    ddl = TABLE
     schema = arrow_schema(ddl)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, nth, start = open_tokenizer(path, remembered), TaskContext.get().partitionId(), 0, 0
+        tokenizer, part, nth, start = open_tokenizer(vocabulary or default_vocabulary(), remembered), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 512):
+                piece = batch.slice(lo, 512)
                 raw = [r + end for r in tokenizer.encode(piece.column(1).to_pylist())]
                 sizes = np.array([len(r) // 4 for r in raw], np.int64)
                 before = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.full(len(raw), part), pa.int32()), pa.array(np.arange(nth, nth + len(raw)), pa.int64()), pa.array(start + before[:-1], pa.int64()), ids],
+                    [piece.column(0), pa.array(np.full(len(raw), part), pa.int32()), pa.array(np.arange(nth, nth + len(raw)), pa.int64()), pa.array(start + before[:-1], pa.int64()), pa.array(sizes), ids],
                     schema=schema,
                 )
                 nth, start = nth + len(raw), start + int(before[-1])
@@ -200,7 +202,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """The files' rows; a filter on doc_id prunes files, stripes and row groups by their metadata."""
-    return spark.read.schema("doc_id long, part int, nth long, start long, ids array<int>").orc(folder)
+    return spark.read.schema(TABLE).orc(folder)
 
 
 def token_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,7 +222,7 @@ def token_table(spark: SparkSession, folder: str) -> DataFrame:
             )
 
     rows = map_arrow(read_tokens(spark, folder).select("doc_id", "part", "start", "ids"), digest, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
-    sizes = read_tokens(spark, folder).groupBy("part").agg(F.max(F.col("start") + F.size("ids")).alias("size"))
+    sizes = read_tokens(spark, folder).groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     return rows.join(offsets, F.col("part") == F.col("p")).select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
