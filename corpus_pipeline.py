@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import decontaminate, mixing, simhash, tokens_orc, toxicity
-from folio.llm.common import table, written
+from folio.llm.common import passing_tables, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the token files; the tables of the stages before are deleted."""
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = written(docs, name)
+    with passing_tables(spark):  # the last stage has written its files when it returns, and its rows are read from these alone
+        for n, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if n < len(STAGES) - 1:
+                docs = written(docs, name)
     return docs

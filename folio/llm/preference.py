@@ -52,7 +52,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     are left out. Equal conversations give two empty completions. One conversation must fit into a row.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sides = turns.where(F.col("conv_id").isNotNull()).join(pairs, "conv_id")
+    sides = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text").join(pairs.select("pair_id", "conv_id", "chosen"), "conv_id")
     side = lambda chosen: F.sort_array(F.collect_set(F.when(F.col("chosen") == chosen, turn)))
     which = lambda chosen: F.min(F.when(F.col("chosen") == chosen, F.col("conv_id")))
     both = sides.groupBy("pair_id").agg(which(True).alias("chosen_id"), which(False).alias("rejected_id"), side(True).alias("a"), side(False).alias("b"))
@@ -106,10 +106,38 @@ def echo_pairs(turns: DataFrame) -> DataFrame:
     return _formatted(both.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), "a", "b"))
 
 
+def shared_beginnings(turns: DataFrame) -> DataFrame:
+    """(pair_id, conv_id, chosen): each conversation that begins as another does (rejected), with the least other one that shares its longest such beginning (chosen); pair_id is its own id.
+
+    Every conversation has a chained hash for each number of first turns; hashes are joined with those that
+    more than one conversation has. Of a group of any size only its two least ids are kept, so that it makes a
+    row for each member and number of turns. A table without shared beginnings has no pairs.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = turns.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_set(turn)).alias("a"))
+    step = lambda hs, t: F.array_append(hs, F.xxhash64(F.coalesce(F.try_element_at(hs, F.lit(-1)), F.lit(0).cast("long")), t["role"], t["text"]))
+    begins = own.select("conv_id", F.posexplode(F.aggregate("a", F.array().cast("array<long>"), step)).alias("n", "h"))
+    least = begins.groupBy("n", "h").agg(F.min("conv_id").alias("first"), F.max("conv_id").alias("last"))
+    shared = least.where("first < last").select("n", "h", "first")
+    second = begins.join(shared, ["n", "h"]).where("conv_id > first").groupBy("n", "h").agg(F.min("conv_id").alias("second"))
+    met = begins.join(shared.join(second, ["n", "h"]), ["n", "h"]).withColumn("other", F.when(F.col("conv_id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    best = met.groupBy("conv_id").agg(F.max_by("other", "n").alias("other"))
+    side = F.explode(F.array(F.struct(F.col("other").alias("conv_id"), F.lit(True).alias("chosen")), F.struct(F.col("conv_id"), F.lit(False).alias("chosen"))))
+    return best.select(F.col("conv_id").alias("pair_id"), side.alias("s")).select("pair_id", "s.conv_id", "s.chosen")
+
+
+def shared_pairs(turns: DataFrame) -> DataFrame:
+    """format_pairs() of shared_beginnings()."""
+    return format_pairs(turns.withColumn("conv_id", F.col("conv_id").cast("long")), shared_beginnings(turns))
+
+
 def table_pairs(turns: DataFrame) -> DataFrame:
-    """neighbour_pairs() and echo_pairs() of one table, told apart by `kind`: prompts of no turns for the most part, and of several."""
-    neighbours, echoes = (f(turns).withColumn("kind", F.lit(k)) for f, k in ((neighbour_pairs, "neighbour"), (echo_pairs, "echo")))
-    return neighbours.unionByName(echoes)
+    """neighbour_pairs(), shared_pairs() and echo_pairs() of one table, told apart by `kind`: prompts of no turns for the most part, those that the table itself has, and made ones of several."""
+    kinds = {"neighbour": neighbour_pairs, "shared": shared_pairs, "echo": echo_pairs}
+    first, *others = (f(turns).withColumn("kind", F.lit(k)) for k, f in kinds.items())
+    for more in others:
+        first = first.unionByName(more)
+    return first
 
 
 ORACLE = """
@@ -117,6 +145,7 @@ with t as (
   select distinct conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
   from conversations where conv_id is not null),
 n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from t),
+begins as (select conv_id, pos, list({'r': role, 't': text}) over (partition by conv_id order by pos) as b from n),
 ids as (select pair_id, max(case when side = 0 then conv_id end) as chosen_id, max(case when side = 1 then conv_id end) as rejected_id
         from n group by pair_id having count(distinct side) = 2),
 cmp as (select a.pair_id, a.pos, (b.pos is not null and a.role = b.role and a.text = b.text) as same
@@ -135,6 +164,17 @@ select 'neighbour' as kind, ids.pair_id, ids.chosen_id, ids.rejected_id, cast(a.
        a.completion as chosen, a.mask as chosen_mask, b.completion as rejected, b.mask as rejected_mask
 from ids join s a on ids.pair_id = a.pair_id and a.side = 0 join s b on ids.pair_id = b.pair_id and b.side = 1
 union all
+select 'shared', pair_id, chosen_id, pair_id, cast(prompt_turns as integer), prompt, any_value(completion) filter (where side = 0), any_value(mask) filter (where side = 0), any_value(completion) filter (where side = 1), any_value(mask) filter (where side = 1)
+from (select pair_id, chosen_id, prompt_turns, side, coalesce(string_agg(body, '' order by pos) filter (where pos <= prompt_turns), '') as prompt, coalesce(string_agg(body, '' order by pos) filter (where pos > prompt_turns), '') as completion,
+        coalesce(string_agg(cast(off + length(role) + 5 as bigint) || ':' || cast(off + length(body) as bigint), ',' order by pos) filter (where pos > prompt_turns and role = 'assistant'), '') as mask
+      from (select w.*, n.pos, n.role, body, coalesce(sum(length(body)) over (partition by w.pair_id, w.side, n.pos > prompt_turns order by n.pos rows between unbounded preceding and 1 preceding), 0) as off
+            from (select pair_id, chosen_id, prompt_turns, r.side, case r.side when 0 then chosen_id else pair_id end as conv_id
+                  from (select a.conv_id as pair_id, arg_max(b.least, a.pos) as chosen_id, max(a.pos) as prompt_turns
+                        from begins a join (select x.conv_id, x.pos, min(y.conv_id) as least from begins x join begins y on x.pos = y.pos and x.b = y.b and x.conv_id <> y.conv_id group by 1, 2) b
+                          on a.conv_id = b.conv_id and a.pos = b.pos group by 1), range(2) r(side)) w
+            join (select conv_id, pos, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as body from n) n on n.conv_id = w.conv_id) group by pair_id, chosen_id, prompt_turns, side)
+group by pair_id, chosen_id, prompt_turns, prompt
+union all
 select 'echo', conv_id, conv_id, conv_id, cast(prompt_turns as integer),
        coalesce(string_agg(body, '' order by pos) filter (where pos <= prompt_turns), ''),
        coalesce(string_agg(body, '' order by pos) filter (where pos > prompt_turns), ''),
