@@ -50,60 +50,84 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, QUOTE_MARKS, "")
 
 
+#: Lines that open or end something but quotes; fences so far in that they may be code of a list.
+_CANDIDATE = r"^[ \t>]*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+)*(?:`{3}|~~~|\$\$|:::)"
+_FAR_FENCE = r"^[> ]*(?: {4}|\t)[ \t]*(?:`{3}|~~~|\$\$)"
+
+
 def _marks(lines: Column) -> Column:
-    """The lines that can open or close a block, with what the fold asks of them, in order."""
+    """The lines that can open or close a block, with what the fold asks of them, in order. Those that begin or end a list are asked for only where a fence stands so far in that it matters."""
+    before = lambda at: F.when(at > 0, lines[at - 1]).otherwise("")
 
-    def mark(line: Column, at: Column) -> Column:
-        before = F.when(at > 0, lines[at - 1]).otherwise("")
+    def mark(found: Column) -> Column:
+        line, at, quoted = found["line"], found["at"], found["quoted"]
 
         def read(text: Column) -> Column:
-            fence, colons = F.regexp_extract(text, _FENCE, 3), F.regexp_extract(text, _COLONS, 1)
-            listed = text.rlike(LIST_MARK)
-            kind = (
-                F.when(fence != "", "fence").when((colons != "") & (F.regexp_extract(text, _COLONS, 2) != ""), "container").when(colons != "", "colons").when(listed, "list")
-                .when(text.rlike(r"^[^\s>]") & (F.trim(before) == ""), "plain")
-            )
-            quoted = line.rlike(QUOTED)
-            return F.struct(
-                at.alias("at"), quoted.alias("quoted"), (quoted != before.rlike(QUOTED)).alias("turn"), kind.alias("kind"), F.substring(fence, 1, 1).alias("mark"),
-                F.length(F.when(fence != "", fence).otherwise(colons)).alias("n"), ((F.trim(F.regexp_extract(text, _FENCE, 4)) == "") & (F.regexp_extract(text, _FENCE, 2) == "")).alias("bare"),
-                (listed | (F.length(F.replace(F.regexp_extract(text, _FENCE, 1), F.lit("\t"), F.lit("    "))) < 4)).alias("near"),
-            )
+            def of(x: Column) -> Column:
+                fence, colons = x["fence"], x["colons"]
+                kind = F.when(fence != "", "fence").when((colons != "") & (F.regexp_extract(text, _COLONS, 2) != ""), "container").when(colons != "", "colons").when(x["listed"], "list").when(text.rlike(r"^[^\s>]") & (F.trim(before(at)) == ""), "plain")
+                is_fence = fence != ""
+                return F.struct(
+                    at.alias("at"), quoted.alias("quoted"), kind.alias("kind"), F.substring(fence, 1, 1).alias("mark"), F.length(F.when(is_fence, fence).otherwise(colons)).alias("n"),
+                    (is_fence & (F.trim(F.regexp_extract(text, _FENCE, 4)) == "") & (F.regexp_extract(text, _FENCE, 2) == "")).alias("bare"),
+                    (x["listed"] | (is_fence & (F.length(F.replace(F.regexp_extract(text, _FENCE, 1), F.lit("\t"), F.lit("    "))) < 4))).alias("near"),
+                )
+
+            return let(F.struct(F.regexp_extract(text, _FENCE, 3).alias("fence"), F.regexp_extract(text, _COLONS, 1).alias("colons"), text.rlike(LIST_MARK).alias("listed")), of)
 
         return let(unquoted(line), read)
 
-    found = F.transform(lines, mark)
-    return F.filter(found, lambda m: m["kind"].isNotNull() | m["turn"])
+    def asked(lists: Column) -> Column:
+        def first(line: Column, at: Column) -> Column:
+            quoted = line.rlike(QUOTED)
+            turn = quoted != before(at).rlike(QUOTED)
+            in_lists = lists & ((F.trim(before(at)) == "") | unquoted(line).rlike(LIST_MARK))
+            return F.when(line.rlike(_CANDIDATE) | turn | in_lists, F.struct(at.alias("at"), line.alias("line"), quoted.alias("quoted")))
+
+        return F.transform(F.filter(F.transform(lines, first), lambda f: f.isNotNull()), mark)
+
+    return let(F.exists(lines, lambda x: x.rlike(_FAR_FENCE)), asked)
 
 
 def _step(s: Column, m: Column) -> Column:
-    stack, is_kind = s["stack"], lambda k: m["kind"].eqNullSafe(k)
-    quote_at = F.array_position(F.transform(stack, lambda e: e["kind"]), "quote").cast("int")
-
-    def after_quote(size: Column) -> Column:
-        rest = F.slice(stack, F.lit(1), size)
-        inside = F.when(m["quoted"], quote_at).otherwise(0)
-        closing = F.array_position(F.transform(rest, lambda e, i: (e["kind"] == "container") & (e["n"] <= m["n"]) & (i >= inside)), True).cast("int")
-        top = F.try_element_at(rest, F.greatest(size, F.lit(1)))
-        in_fence = top["kind"].eqNullSafe("fence")
-        ends_fence = in_fence & is_kind("fence") & (top["mark"] == m["mark"]) & (top["n"] <= m["n"]) & m["bare"]
-        left = F.when(is_kind("colons") & (closing > 0), closing - 1).when(ends_fence, size - 1).otherwise(size)
-
-        def pushed(left: Column) -> Column:
-            free = ~in_fence & (left == size)
-            quote = F.when(free & m["quoted"] & (quote_at == 0), F.struct(F.lit("quote").alias("kind"), F.lit("").alias("mark"), F.lit(0).alias("n")))
-            block = F.when(free & (is_kind("container") | (is_kind("fence") & (m["near"] | s["listed"]))), F.struct(m["kind"].alias("kind"), m["mark"].alias("mark"), m["n"].alias("n")))
-            more = F.filter(F.array(quote.cast(_OPEN), block.cast(_OPEN)), lambda e: e.isNotNull())
-            kept = F.slice(rest, F.lit(1), left)
-            gone = F.when(left < F.size(stack), F.array(F.struct(m["at"].alias("at"), left.alias("size"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("mark"), (left < size).alias("own"))))
-            opened = F.transform(more, lambda e, i: F.struct(m["at"].alias("at"), (left + i).alias("size"), e["kind"].alias("kind"), e["mark"].alias("mark"), F.lit(False).alias("own")))
-            events = F.concat(s["events"], F.coalesce(gone.cast(f"array<{_EVENT}>"), F.array().cast(f"array<{_EVENT}>")), opened.cast(f"array<{_EVENT}>"))
-            listed = F.when(is_kind("list"), True).when(is_kind("plain"), False).otherwise(s["listed"])
-            return F.struct(F.concat(kept, more).alias("stack"), listed.alias("listed"), events.alias("events"))
-
-        return let(left, pushed)
-
-    return let(F.when((quote_at > 0) & ~m["quoted"], quote_at - 1).otherwise(F.size(stack)), after_quote)
+    """The state after a line. What several parts need is bound once: sizes after the quote and after what the line ends, and whether a fence is open."""
+    is_kind = lambda k: m["kind"].eqNullSafe(k)
+
+    def with_quote(quote_at: Column) -> Column:
+        size = F.when((quote_at > 0) & ~m["quoted"], quote_at - 1).otherwise(F.size(s["stack"]))
+
+        def after_quote(rest: Column) -> Column:
+            inside, size = F.when(m["quoted"], quote_at).otherwise(0), F.size(rest)
+            closing = F.array_position(F.transform(rest, lambda e, i: (e["kind"] == "container") & (e["n"] <= m["n"]) & (i >= inside)), True).cast("int")
+
+            def with_top(top: Column) -> Column:
+                in_fence = top["kind"].eqNullSafe("fence")
+                ends_fence = in_fence & is_kind("fence") & (top["mark"] == m["mark"]) & (top["n"] <= m["n"]) & m["bare"]
+                left = F.when(is_kind("colons"), let(closing, lambda c: F.when(c > 0, c - 1).otherwise(size))).when(ends_fence, size - 1).otherwise(size)
+                return let(F.struct(left.alias("left"), size.alias("size"), in_fence.alias("in_fence")), pushed)
+
+            def pushed(x: Column) -> Column:
+                left, free = x["left"], ~x["in_fence"] & (x["left"] == x["size"])
+                quote = F.when(m["quoted"] & (quote_at == 0), F.struct(F.lit("quote").alias("kind"), F.lit("").alias("mark"), F.lit(0).alias("n")))
+                block = F.when(is_kind("container") | (is_kind("fence") & (m["near"] | s["listed"])), F.struct(m["kind"].alias("kind"), m["mark"].alias("mark"), m["n"].alias("n")))
+                none = F.array().cast(f"array<{_OPEN}>")
+                more = F.when(free, F.filter(F.array(quote.cast(_OPEN), block.cast(_OPEN)), lambda e: e.isNotNull())).otherwise(none)
+                listed = F.when(is_kind("list"), True).when(is_kind("plain"), False).otherwise(s["listed"])
+
+                def state(more: Column) -> Column:
+                    gone = F.when(left < F.size(s["stack"]), F.array(F.struct(m["at"].alias("at"), left.alias("size"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("mark"), (left < x["size"]).alias("own"))).cast(f"array<{_EVENT}>")).otherwise(F.array().cast(f"array<{_EVENT}>"))
+                    opened = F.transform(more, lambda e, i: F.struct(m["at"].alias("at"), (left + i).alias("size"), e["kind"].alias("kind"), e["mark"].alias("mark"), F.lit(False).alias("own")))
+                    same = (left == F.size(s["stack"])) & (F.size(more) == 0)
+                    events = F.when(same, s["events"]).otherwise(F.concat(s["events"], gone, opened.cast(f"array<{_EVENT}>")))
+                    return F.struct(F.when(same, s["stack"]).otherwise(F.concat(F.slice(rest, F.lit(1), left), more)).alias("stack"), listed.alias("listed"), events.alias("events"))
+
+                return let(more, state)
+
+            return let(F.try_element_at(rest, F.greatest(size, F.lit(1))), with_top)
+
+        return let(F.slice(s["stack"], F.lit(1), size), after_quote)
+
+    return let(F.array_position(F.transform(s["stack"], lambda e: e["kind"]), "quote").cast("int"), with_quote)
 
 
 def blocks_of(lines: Column) -> Column:

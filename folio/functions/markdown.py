@@ -47,7 +47,7 @@ def excerpt(body: Column) -> Column:
         F.transform(blocks, lambda b: F.regexp_replace(b, r"^\n+|\n+\z", "")),
         lambda b: (F.trim(b) != "") & ~b.rlike(_NO_PARAGRAPH) & ~b.rlike(r"\n {0,3}(=+|-+)[ \t]*\z"),
     )
-    return F.coalesce(F.try_element_at(F.transform(plain, lambda b: _inline(F.trim(b), math=True, rendered=False)), F.lit(1)), F.lit(""))
+    return F.coalesce(_inline(F.trim(F.try_element_at(plain, F.lit(1))), math=True, rendered=False), F.lit(""))
 
 
 def slugged(text: Column) -> Column:
@@ -119,7 +119,7 @@ def placed_headings(df: DataFrame, doc: str = "slug", body: str = "body") -> Dat
     Setext headings are those of a paragraph with a line of = or - below. No two of a document have one
     slug: see unique_names(). Null and empty bodies have none.
     """
-    found = with_blocks(df, doc, body).select("doc", headings_of(F.col("lines"), F.col("blocks")).alias("found")).where(F.size("found") > 0)
+    found = with_blocks(df, doc, body).select("doc", headings_of(F.col("lines"), F.col("blocks")).alias("found"))  # a filter here would have all that is below computed for it once more
     found = found.withColumn("slugs", unique_names(F.transform("found", lambda h: slugged(h["text"]))))
     rows = found.select("doc", F.posexplode(F.arrays_zip("found", "slugs")).alias("at", "h"))
     return rows.select("doc", (F.col("at") + 1).alias("pos"), F.col("h.found.depth").alias("depth"), F.col("h.slugs").alias("slug"), F.col("h.found.text").alias("text"), F.col("h.found.line").alias("line"))
@@ -188,23 +188,35 @@ def admonitions(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFra
 
 
 def _inline(text: Column, math: bool, rendered: bool) -> Column:
-    """Inline text without marks. Code spans stay as they are while all else is read; each pattern passes over them."""
+    """Inline text without marks. Code spans stay as they are while all else is read: each pattern passes over them. A pattern is only tried where its sign is."""
     span = r"((?<!`)(`+)(?!`).+?(?<!`)\2(?!`))|"
 
-    def read(out: Column, pattern: str, to: str = "") -> Column:
-        return F.regexp_replace(out, span + pattern, f"$1{to}")
-
-    out = read(text, r"(?<![\\$])\$\$?(?=[^\s$])([^$]*?[^\s$\\]|)\$\$?(?![\d$])", "$3" if math else "")
-    out = read(out, r"!\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "" if rendered else "$3")
-    out = read(out, r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$3")
-    out = read(out, r"<((?:https?|mailto|ftp):[^>\s]+)>", "$3")
-    if rendered:
-        out = read(out, r"(?:<!--.*?-->|</?[a-zA-Z][^>]*>)")
-    out = read(out, r"(?<![:\w]):[a-zA-Z][\w-]*(?:\[([^\]]*)\])(?:\{[^}]*\})?", "$3")
-    out = read(out, r"(?<![*_~\\])(\*\*|__|~~)(?=[^\s*_~])(.+?)(?<=[^\s*_~])\3(?![*_~])", "$4")
-    out = read(out, r"(?<![\w*\\])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\3(?![\w*])", "$4")
-    out = read(out, r"\\([!-/:-@\[-`{-~])", "$3")
-    return F.regexp_replace(out, _CODE_SPAN, "$2")
+    def each(out: Column) -> Column:
+        steps = [(r"$", r"(?<![\\$])\$\$?(?=[^\s$])([^$]*?[^\s$\\]|)\$\$?(?![\d$])", "$3" if math else ""), ("[", r"!\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "" if rendered else "$3"),
+                 ("[", r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$3"), ("<", r"<((?:https?|mailto|ftp):[^>\s]+)>", "$3")]
+        steps += [("<", r"(?:<!--.*?-->|</?[a-zA-Z][^>]*>)", "")] if rendered else []
+        steps += [
+            ("[", r"(?<![:\w]):[a-zA-Z][\w-]*(?:\[([^\]]*)\])(?:\{[^}]*\})?", "$3"), ("*_~", r"(?<![*_~\\])(\*\*|__|~~)(?=[^\s*_~])(.+?)(?<=[^\s*_~])\3(?![*_~])", "$4"),
+            ("*_", r"(?<![\w*\\])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\3(?![\w*])", "$4"), ("\\", r"\\([!-/:-@\[-`{-~])", "$3"),
+        ]
+        return chained(out, steps)
+
+    def chained(out: Column, steps: list[tuple[str, str, str]]) -> Column:
+        if not steps:
+            return F.regexp_replace(out, _CODE_SPAN, "$2")
+        (signs, pattern, to), *rest = steps
+
+        def one(x: Column) -> Column:
+            there = F.contains(x, F.lit(signs[0]))
+            for sign in signs[1:]:
+                there = there | F.contains(x, F.lit(sign))
+            without = F.regexp_replace(x, pattern.replace(r"\3", r"\1"), to.replace("$3", "$1").replace("$4", "$2"))
+            return F.when(there, F.when(F.contains(x, F.lit("`")), F.regexp_replace(x, span + pattern, f"$1{to}")).otherwise(without)).otherwise(x)
+
+        return let(out, lambda x: chained(one(x), rest))
+
+    # most text has none of the signs
+    return let(text, lambda x: F.when(x.rlike(r"[\[<$*_~`\\]"), each(x)).otherwise(x))
 
 
 _REFERENCE = r"^ {0,3}\[[^\]]+\]:\s*\S+"

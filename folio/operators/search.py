@@ -33,24 +33,29 @@ _HEADINGS = "array<struct<anchor:string,text:string,depth:int,location:int>>"
 
 @dataclass
 class Index:
-    """postings (token, doc, tf, places) and docs (doc, url, title, content, length, headings)."""
+    """postings (token, doc, tf), docs (doc, url, title, content, length, headings) and places (token, doc, place): where the content has each token."""
 
     postings: DataFrame
     docs: DataFrame
+    places: DataFrame
 
-    def write(self, path: str) -> None:
-        ordered = self.postings.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc")
-        ordered.write.mode("errorifexists").parquet(f"{path}/postings")
+    def write(self, path: str, places: bool = True) -> None:
+        """places: whether to write them; without, the index read back has none to find headings by."""
+        parts = {"postings": (self.postings, ("token", "doc")), **({"places": (self.places, ("token", "doc", "place"))} if places else {})}
+        for name, (df, order) in parts.items():
+            df.repartitionByRange("token", "doc").sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{path}/{name}")
         self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    def read(spark: SparkSession, path: str, places: bool = True) -> Index:
+        docs = spark.read.parquet(f"{path}/docs")
+        none = docs.select(F.lit("").alias("token"), "doc", F.lit(0).alias("place")).where("false")
+        return Index(spark.read.parquet(f"{path}/postings"), docs, spark.read.parquet(f"{path}/places") if places else none)
 
 
 def content_words(content: Column) -> Column:
     """The words whose numbers, from 0, are places: runs without white space."""
-    return F.filter(F.split(content, r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(content, F.lit(r"\S+"), F.lit(0))
 
 
 def build_index(pages: DataFrame) -> Index:
@@ -61,12 +66,13 @@ def build_index(pages: DataFrame) -> Index:
     empty = F.lit("")
     own = F.col("headings").cast(_HEADINGS) if "headings" in pages.columns else F.lit(None)
     texts = pages.select("doc", "url", F.coalesce("title", empty).alias("title"), F.coalesce("content", empty).alias("content"), F.coalesce(own, F.array().cast(_HEADINGS)).alias("headings"))
-    body = F.transform(content_words(F.col("content")), lambda w, i: F.struct(i.alias("place"), F.lit(1).alias("weight"), tokens(w).alias("tokens")))
-    title = F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(TITLE_WEIGHT).alias("weight"), tokens(F.col("title")).alias("tokens")))
-    words = texts.select("doc", F.explode(F.concat(title, body)).alias("w")).select("doc", "w.place", "w.weight", F.explode("w.tokens").alias("token"))
-    postings = words.groupBy("token", "doc").agg(F.sum("weight").alias("tf"), F.sort_array(F.collect_set("place")).alias("places"))
+    title = texts.select("doc", F.lit(TITLE_WEIGHT).alias("weight"), F.explode(tokens(F.col("title"))).alias("token"))
+    body = texts.select("doc", F.lit(1).alias("weight"), F.explode(tokens(F.col("content"))).alias("token"))
+    postings = title.unionByName(body).groupBy("token", "doc").agg(F.sum("weight").alias("tf"))
+    words = texts.select("doc", F.posexplode(content_words(F.col("content"))).alias("place", "word"))
+    places = words.select("doc", "place", F.explode(tokens(F.col("word"))).alias("token")).select("token", "doc", "place")
     length = TITLE_WEIGHT * F.size(tokens(F.col("title"))) + F.size(tokens(F.col("content")))
-    return Index(postings, texts.withColumn("length", length.cast("long")))
+    return Index(postings, texts.withColumn("length", length.cast("long")), places)
 
 
 def query_tokens(query: str) -> list[str]:
@@ -156,7 +162,7 @@ def sub_results(index: Index, query: str, limit: int | None = None, typed: bool
     """
     scored = _scored(index, query, typed)
     ranked = scored if limit is None else scored.orderBy(*_order()).limit(limit)
-    places = _wanted(index.postings, query, typed).join(ranked, "doc", "left_semi").select("doc", F.explode("places").alias("place"))
+    places = _wanted(index.places, query, typed).join(ranked, "doc", "left_semi").select("doc", "place").distinct()
     ends = F.expr("transform(headings, (h, i) -> struct(h.anchor as anchor, h.text as heading, h.depth as depth, h.location as first, coalesce(get(headings, i + 1).location, 2147483647) as last))")
     before = F.array(F.struct(F.lit("").alias("anchor"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.coalesce(F.get("headings", F.lit(0))["location"], F.lit(2147483647)).alias("last")))
     parts = index.docs.join(ranked, "doc", "left_semi").select("doc", F.explode(F.concat(before, ends)).alias("p")).select("doc", "p.*")

@@ -181,11 +181,11 @@ def _documents_to_search(spark, sf_dir) -> DataFrame:
     return docs.withColumn("headings", F.transform(places, heading))
 
 
-def _written_index(spark, sf_dir) -> search.Index:
-    """The index, written once and read back: texts are read once, and a query reads the parts of its words."""
+def _written_index(spark, sf_dir, places: bool = False) -> search.Index:
+    """The index, written once and read back: a query reads the parts of its words."""
     path = shared_dir(spark, "index")
-    search.build_index(_documents_to_search(spark, sf_dir)).write(path)
-    return search.Index.read(spark, path)
+    search.build_index(_documents_to_search(spark, sf_dir)).write(path, places)
+    return search.Index.read(spark, path, places)
 
 
 _TF_SQL = f"""raw as (select doc_id, unnest({_TOKENS('text')}) as token, 1 as weight from documents union all select doc_id, unnest({_TOKENS('source')}), 10 from documents),
@@ -211,7 +211,7 @@ def search_typed(spark, sf_dir):
   from scored join w using (doc) left join g using (doc)""")
 def search_sub_results(spark, sf_dir):
     """Each found document's headings with hits below, their places and an excerpt each."""
-    found = search.sub_results(_written_index(spark, sf_dir), _QUERY)
+    found = search.sub_results(_written_index(spark, sf_dir, places=True), _QUERY)
     return found.select("doc", "url", "title", "score", "heading", F.array_join(F.col("locations").cast("array<string>"), ",").alias("locations"), "excerpt")
 
 
