@@ -43,6 +43,8 @@ from .common import WORD, arrow_schema, map_arrow, map_batches, passing_tables,
 LEAST, SEED_WORDS = 50, 10
 SLIDE = 21
 CORE = LEAST - SLIDE + 1
+#: Rows of a batch that a worker gives back at most.
+GIVEN = 65_536
 #: Odd bases of the two hashes.
 _BASE, _BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -203,8 +205,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
     def extend(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                rows = batch.slice(lo, 128).to_pydict()
+            for lo in range(0, batch.num_rows, 16):
+                rows = batch.slice(lo, 16).to_pydict()
                 ids, hashes, others, starts = [], [], [], []
                 for i, t, at in zip(rows["doc_id"], rows["text"], rows["at"], strict=True):
                     words = word_hashes(t)
@@ -215,7 +217,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
                     others.append(window_hashes(word_hashes(t, 1), LEAST, _BASE_2)[s])
                     starts.append(s)
                 cols = (np.concatenate(ids), np.concatenate(hashes).view(np.int64), np.concatenate(others).view(np.int64), np.concatenate(starts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                for at in range(0, len(cols[0]), GIVEN):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + GIVEN], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     longer = map_arrow(docs.join(places, "doc_id").select("doc_id", "text", "at"), extend, ddl)
     proven = in_other_documents(written(longer, "extended")).join(same.select("doc_id"), "doc_id", "left_anti")
