@@ -98,7 +98,7 @@ def _automata(name: str, terms: dict[str, tuple[list[str], list[int]]]) -> dict[
 def _occurrences(docs: DataFrame, shard: DataFrame) -> DataFrame:
     """(lang, source, id, n): partial sums of the occurrences of a shard's terms."""
     spark, name, ddl = docs.sparkSession, uuid.uuid4().hex, "lang string, source string, id long, n long"
-    terms = {lang: (own["term"].tolist(), own["id"].tolist()) for lang, own in shard.toPandas().groupby("lang")}  # SHARD rows at most
+    terms = {lang: (own["term"].tolist(), own["id"].tolist()) for lang, own in shard.toArrow().to_pandas().groupby("lang")}  # SHARD rows at most
     shared = spark.sparkContext.broadcast(terms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
