@@ -339,9 +339,11 @@ def rss_document(spark, sf_dir):
     """The feed in files of 300 items, read back whole; the order of its items is the order of files and of items in them."""
     path = shared_dir(spark, "rss")
     sinks.write_rss(_documents(spark, sf_dir), path, Site(title="S"), most=300)
-    items = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").schema("title string, link string, description string, pubDate string, `content:encoded` string").load(path)
-    read = items.select("title", "link", "description", F.col("pubDate").alias("pub_date"), F.coalesce("`content:encoded`", F.lit("")).alias("content"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return positions(read, F.col("file"), F.col("at"), position="place").drop("file", "at", "total")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit("(?s)<item>.*?</item>"), F.lit(0))).alias("at", "item"))
+    xml = F.from_xml(F.regexp_replace("item", "(</?)content:encoded>", "$1content>"), "title string, link string, description string, pubDate string, content string", {"ignoreSurroundingSpaces": "false"})
+    read = files.select("file", "at", xml.alias("x"))
+    placed = positions(read, F.col("file"), F.col("at"), position="place")
+    return placed.select("x.title", "x.link", "x.description", F.col("x.pubDate").alias("pub_date"), F.coalesce("x.content", F.lit("")).alias("content"), "place")
 
 
 @query("select doc_id as slug, source || ' <&> ' || doc_id as title, lang as description, timestamp '1970-01-01' + to_days(cast(doc_id as integer)) as published, text as body from documents")
