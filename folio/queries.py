@@ -201,7 +201,7 @@ def search_typed(spark, sf_dir):
     return search.search(_written_index(spark, sf_dir), "src1 ell", typed=True).select("doc", "score")
 
 
-@_query(f"""with {_TF_SQL}, p as (select * from t where token in ('elle', 'reen', 'onst', 'src1')), f as (select token, count(*) as df from p group by token),
+@_query(rf"""with {_TF_SQL}, p as (select * from t where token in ('elle', 'reen', 'onst', 'src1')), f as (select token, count(*) as df from p group by token),
   scored as (select p.doc_id as doc, round({_BM25_SQL}, 6) as score from p join f using (token) join d using (doc_id), s group by 1),
   w as (select doc_id as doc, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as words from documents),
   h as (select doc, source, words, unnest(list_filter(range(0, len(words)), lambda i: list_has_any(regexp_extract_all(lower(words[i + 1]), '[\p{{L}}\p{{N}}]+'), ['elle', 'reen', 'onst', 'src1']))) as place from w),
