@@ -68,10 +68,11 @@ def page_title(title: Column, site: str, subtitle: str) -> Column:
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(f" - {site}"))).otherwise(f"{site} - {subtitle}")
 
 
-def compact_number(n: Column) -> Column:
-    """999, 1.2K, 3M, 4.5B: one decimal at most, half away from zero."""
+def compact_number(n: Column, largest: str = "T") -> Column:
+    """999, 1.2K, 3M, 4.5B: one decimal at most, half away from zero. largest: the unit that all larger numbers are given in too."""
     out = F.when(F.abs(n) < 1000, F.round(n, 1))
-    steps = ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T"))
+    units = ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T"))
+    steps = units[: 1 + [name for _, name in units].index(largest)]
     clean = lambda x: F.when(x.isNotNull(), F.regexp_replace(F.format_string("%.1f", x), r"\.0\z", ""))
     text = clean(out.cast("double"))
     for k, (unit, name) in enumerate(steps):
