@@ -31,6 +31,8 @@ ALLOWED = (
 ).split()
 ALLOWED_ATTRIBUTES = {"a": ("href", "name", "target"), "img": ("src", "srcset", "alt", "title", "width", "height", "loading")}
 SCHEMES = "http https ftp mailto tel".split()
+#: What makes an entity of an `&` before it.
+ENTITY = r"(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);"
 
 #: What a search leaves out: what is marked so, formulas, and the search's own panel.
 IGNORED = r"(?is)^<(?:\w[^>]*\sdata-(?:\w+-)?ignore(?=[\s=/>])|span\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\bkatex(?:-display)?\b|\w[^>]*\s(?:class|id)\s*=\s*(?:[\"'][^\"'>]*)?(?<![\w-])search-panel(?![\w-]))"
@@ -105,11 +107,12 @@ def html_title(html: Column) -> Column:
     return F.trim(decoded(title))
 
 
-def sanitized(html: Column, allowed: list[str] | None = None) -> Column:
+def sanitized(html: Column, allowed: list[str] | None = None, whole: str = ENTITY) -> Column:
     """HTML with the allowed tags and attributes only, addresses of known schemes or none.
 
     Other tags go and their text stays, but not what scripts, styles, comments and HIDDEN elements hold. Tags
     are not balanced. Signs that could begin a tag are written as entities; entities stay. Null is ''.
+    whole: a pattern, or look-ahead, of what stands after an `&` that stays.
     """
     names = ALLOWED if allowed is None else allowed
 
@@ -133,7 +136,7 @@ def sanitized(html: Column, allowed: list[str] | None = None) -> Column:
         return F.when(~name.isin(*names), "").when(F.startswith(token, F.lit("</")), closed).otherwise(opened)
 
     def text(token: Column) -> Column:
-        return F.replace(F.replace(F.regexp_replace(token, r"&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.replace(F.replace(F.regexp_replace(token, f"&(?!{whole})", "&amp;"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     def written(found: Column) -> Column:
         kept = lambda spans: F.transform(found, lambda t, i: F.when(~_outside(spans, i), "").when(_is_text(t), text(t)).when(t.rlike(r"(?i)^<(?:[!?]|(?:script|style)\b)"), "").otherwise(tag(t)))

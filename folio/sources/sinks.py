@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.config import Site
 from folio.functions.dates import iso_date, rfc822, today
-from folio.functions.html import sanitized
+from folio.functions.html import ENTITY, sanitized
 from folio.functions.text import first_truthy, language_tag, markdown_name, valid_xml
 from folio.functions.urls import page_url, post_url, url
 from folio.operators.listing import newest_first, paginated, sorted_posts
@@ -20,15 +20,15 @@ SITEMAP_URLS = 50_000
 FEED_ITEMS = 10_000
 
 
-def rss_items(posts: DataFrame, site: Site = Site(), rendered: bool = False) -> DataFrame:
+def rss_items(posts: DataFrame, site: Site = Site(), rendered: bool = False, whole: str = ENTITY) -> DataFrame:
     """(title, pubDate, description, link, content) of all posts, newest first; content is the source text without what XML does not allow.
 
-    rendered: bodies are HTML; of these the content has allowed tags and attributes only.
+    rendered: bodies are HTML; of these the content has allowed tags and attributes only. whole: see sanitized().
     """
     content = valid_xml(F.coalesce("body", F.lit("")))
     return sorted_posts(posts).select(
         "title", rfc822(F.col("published")).alias("pubDate"), F.coalesce("description", F.lit("")).alias("description"),
-        post_url(F.col("slug"), site.base).alias("link"), (sanitized(content) if rendered else content).alias("content"),
+        post_url(F.col("slug"), site.base).alias("link"), (sanitized(content, whole=whole) if rendered else content).alias("content"),
     )
 
 

@@ -1,6 +1,7 @@
 """Queries against their SQL on made tables: values that the small given tables do not have."""
 
 import duckdb
+import pytest
 
 from folio import queries as content
 from tests.test_queries import plain
@@ -23,3 +24,9 @@ def agrees(spark, folder, name, **tables):
 def test_part_keys_beyond_a_million(spark, tmp_path):
     part = spark.createDataFrame([(k, "Brand#1") for k in (0, 999, 1000, 1049, 1050, 999_949, 999_950, 1_000_000, 1_200_050, 2_345_678_901)], "p_partkey long, p_brand string")
     assert agrees(spark, tmp_path, "names_and_numbers", part=part)
+
+
+@pytest.mark.parametrize("text", ["The&a", "q &q", "x&am", "&amp", "&mid", "&", "&&amp;&", "&b c", "&A", "&copy;", "a &quo"])
+def test_entities_cut_off(spark, tmp_path, text):
+    pages = spark.createDataFrame([(1, "https://example.org/1", f"<html><head><title>{text}</title></head><body><h1>{text}</h1><p>{text}</p></body></html>")], "page_id long, url string, html string")
+    assert agrees(spark, tmp_path, "rss_of_pages", pages=pages)
