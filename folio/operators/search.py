@@ -1,7 +1,7 @@
 """Full-text search: an inverted index as tables, and ranked results by BM25.
 
-The index has a row per token and document, in order of tokens, so that a query reads only the row
-groups of its words; a word that is still being typed is a range of tokens. Postings carry the places of
+The index has a row per token and document, in each file in order of tokens, so that a query reads only the
+pages of its words; a word that is still being typed is a range of tokens. Postings carry the places of
 their words, which give each hit the heading that it stands under. A title's words weigh as much as
 TITLE_WEIGHT of the body's and have no place.
 
@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.config import EXCERPT_WORDS, TITLE_WEIGHT
+from folio.functions.blocks import let
 from folio.functions.text import tokens
 from folio.plans.order import positions
 from folio.plans.storage import passing_tables, written
@@ -27,24 +29,37 @@ from folio.plans.storage import passing_tables, written
 K1, B = 1.2, 0.75
 #: Documents of a range of a packed index.
 RANGE = 4096
+#: Bits that a token's count in a document takes.
+_TF_BITS = 32
 
 _HEADINGS = "array<struct<anchor:string,text:string,depth:int,location:int>>"
 
 
 @dataclass
 class Index:
-    """postings (token, doc, tf), docs (doc, url, title, content, length, headings) and places (token, doc, place): where the content has each token."""
+    """postings (token, doc, tf), docs (doc, url, title, content, length, headings) and places (token, doc, place): where the content has each token.
+
+    docs has the texts, which postings and places follow from; these are what is written of them.
+    """
 
     postings: DataFrame
     docs: DataFrame
     places: DataFrame
 
     def write(self, path: str, places: bool = True) -> None:
-        """places: whether to write them; without, the index read back has none to find headings by."""
-        parts = {"postings": (self.postings, ("token", "doc")), **({"places": (self.places, ("token", "doc", "place"))} if places else {})}
-        for name, (df, order) in parts.items():
-            df.repartitionByRange("token", "doc").sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{path}/{name}")
+        """places: whether to write them; without, the index read back has none to find headings by.
+
+        Documents come first. Their words are counted within each one's row, so that postings move once, and
+        are dealt by a hash, which no sampling of all texts precedes.
+        """
         self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+        docs = self.docs.sparkSession.read.parquet(f"{path}/docs")
+        rows = _entries(docs).repartition("token", "doc")
+        if not docs.groupBy("doc").count().where("count > 1").isEmpty():
+            rows = rows.groupBy("token", "doc").agg(F.sum("tf").alias("tf"))
+        parts = {"postings": (rows, ("token", "doc")), **({"places": (_places(docs).repartition("token", "doc"), ("token", "doc", "place"))} if places else {})}
+        for name, (df, order) in parts.items():
+            df.sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str, places: bool = True) -> Index:
@@ -58,6 +73,26 @@ def content_words(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(r"\S+"), F.lit(0))
 
 
+def _entries(docs: DataFrame) -> DataFrame:
+    """(token, tf and what of doc, number and length there is) of documents with title and content, each row's from itself.
+
+    Sorted, a row's tokens stand beside those that are alike; a title's are there as often as they weigh.
+    """
+
+    def counted(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda t, i: F.when((i == 0) | (F.get(x, i - 1) != t), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(x, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(x)) - i).cast("long").alias("tf"))))
+
+    found = F.concat(F.flatten(F.array_repeat(tokens(F.col("title")), TITLE_WEIGHT)), tokens(F.col("content")))
+    others = [c for c in docs.columns if c in ("doc", "number", "length")]
+    return docs.select(*others, F.explode(let(F.sort_array(found), counted)).alias("e")).select("e.token", *others, "e.tf")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    words = docs.select("doc", F.posexplode(content_words(F.col("content"))).alias("place", "word"))
+    return words.select(F.explode(tokens(F.col("word"))).alias("token"), "doc", "place")
+
+
 def build_index(pages: DataFrame) -> Index:
     """Of pages (doc, url, title, content and, if there are any, headings: anchor, text, depth, location). Null texts are empty; documents without words are found by none.
 
@@ -66,13 +101,9 @@ def build_index(pages: DataFrame) -> Index:
     empty = F.lit("")
     own = F.col("headings").cast(_HEADINGS) if "headings" in pages.columns else F.lit(None)
     texts = pages.select("doc", "url", F.coalesce("title", empty).alias("title"), F.coalesce("content", empty).alias("content"), F.coalesce(own, F.array().cast(_HEADINGS)).alias("headings"))
-    title = texts.select("doc", F.lit(TITLE_WEIGHT).alias("weight"), F.explode(tokens(F.col("title"))).alias("token"))
-    body = texts.select("doc", F.lit(1).alias("weight"), F.explode(tokens(F.col("content"))).alias("token"))
-    postings = title.unionByName(body).groupBy("token", "doc").agg(F.sum("weight").alias("tf"))
-    words = texts.select("doc", F.posexplode(content_words(F.col("content"))).alias("place", "word"))
-    places = words.select("doc", "place", F.explode(tokens(F.col("word"))).alias("token")).select("token", "doc", "place")
+    postings = _entries(texts).groupBy("token", "doc").agg(F.sum("tf").alias("tf"))
     length = TITLE_WEIGHT * F.size(tokens(F.col("title"))) + F.size(tokens(F.col("content")))
-    return Index(postings, texts.withColumn("length", length.cast("long")), places)
+    return Index(postings, texts.withColumn("length", length.cast("long")), _places(texts))
 
 
 def query_tokens(query: str) -> list[str]:
@@ -96,11 +127,17 @@ def _wanted(postings: DataFrame, query: str, typed: bool) -> DataFrame:
 
 
 def _is_hit(query: str, typed: bool):
-    """Whether a content word has a token of the query."""
+    """Whether a content word has a token of the query. Most words do not even contain one, which is told without taking them apart."""
     whole, start = typed_tokens(query) if typed else (query_tokens(query), None)
     known = F.array(*[F.lit(t) for t in whole] or [F.lit("")])
     begins = lambda w: F.exists(tokens(w), lambda t: F.startswith(t, F.lit(start)))
-    return lambda w: F.arrays_overlap(tokens(w), known) | begins(w) if start else F.arrays_overlap(tokens(w), known)
+    exact = lambda w: F.arrays_overlap(tokens(w), known) | begins(w) if start else F.arrays_overlap(tokens(w), known)
+
+    def hit(w: Column) -> Column:
+        there = let(F.lower(w), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(t)) for t in [*whole, *([start] if start else [])]] or [F.lit(False)]))
+        return F.when(there, exact(w)).otherwise(False)
+
+    return hit
 
 
 def _part(tf: Column, length: Column, mean: Column) -> Column:
@@ -142,9 +179,12 @@ def search(index: Index, query: str, limit: int | None = None, typed: bool = Fal
 
 def marked_excerpt(content: Column, is_hit, length: int = EXCERPT_WORDS) -> Column:
     """`length` words around the first hit (from a third of that before it), hits in <mark>."""
-    words = content_words(content)
-    first = F.array_position(F.transform(words, is_hit), F.lit(True))
-    return _marked(words, F.greatest(F.lit(1), first.cast("int") - length // 3), is_hit, length)
+
+    def around(words: Column) -> Column:
+        first = F.array_position(F.transform(words, is_hit), F.lit(True))
+        return let(F.greatest(F.lit(1), first.cast("int") - length // 3), lambda start: _marked(words, start, is_hit, length))
+
+    return let(content_words(content), around)
 
 
 def _marked(words: Column, start: Column, is_hit, length: int) -> Column:
@@ -181,7 +221,7 @@ def sub_results(index: Index, query: str, limit: int | None = None, typed: bool
 
 @dataclass
 class PackedIndex:
-    """blocks (token, range, n, best, gaps, tfs) in order of tokens, and docs as Index has them with `number`, by it.
+    """blocks (token, range, n, best, gaps, tfs), written in order of tokens in each file, and docs as Index has them with `number`, by it.
 
     A block has the documents of a token whose numbers lie in one range of RANGE: the first number within the
     range and then gaps, with their tf. best: the greatest part of a score before the term's weight.
@@ -191,8 +231,8 @@ class PackedIndex:
     docs: DataFrame
 
     def write(self, path: str) -> None:
-        self.blocks.repartitionByRange("token", "range").sortWithinPartitions("token", "range").write.mode("errorifexists").parquet(f"{path}/blocks")
-        self.docs.repartitionByRange("number").sortWithinPartitions("number").write.mode("errorifexists").parquet(f"{path}/docs")
+        self.blocks.sortWithinPartitions("token", "range").write.mode("errorifexists").parquet(f"{path}/blocks")
+        self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> PackedIndex:
@@ -200,22 +240,34 @@ class PackedIndex:
 
 
 def packed(index: Index, size: int = RANGE) -> PackedIndex:
-    """The index with numbered documents, in blocks; its docs are a written table."""
-    docs = written(positions(index.docs, F.col("doc"), position="number").withColumn("number", F.col("number") - 1).drop("total"), "numbered")
+    """The index with numbered documents, in blocks; its docs are of a written table in order of numbers, so that most of a block is put together where its documents lie."""
+    docs = positions(index.docs, F.col("doc"), position="number").withColumn("number", F.col("number") - 1).drop("total")
     mean = docs.where("length > 0").agg(F.avg("length").alias("m")).select("m").scalar()
-    rows = index.postings.select("token", "doc", "tf").join(docs.select("doc", "number", "length"), "doc")
-    rows = rows.select("token", F.floor(F.col("number") / size).alias("range"), F.struct((F.col("number") % size).cast("int").alias("at"), F.col("tf").cast("int").alias("tf")).alias("e"), _part(F.col("tf"), F.col("length"), mean).alias("part"))
+    at = F.shiftleft(F.col("number") % size, _TF_BITS) + F.col("tf")  # place and count as one number
+    rows = _entries(docs.select("number", "length", "title", "content")).select("token", F.floor(F.col("number") / size).alias("range"), at.alias("e"), _part(F.col("tf"), F.col("length"), mean).alias("part"))
     found = rows.groupBy("token", "range").agg(F.count("*").cast("int").alias("n"), F.max("part").alias("best"), F.sort_array(F.collect_list("e")).alias("es"))  # `size` entries at most
-    gaps = F.transform("es", lambda e, i: F.when(i == 0, e["at"]).otherwise(e["at"] - F.get("es", i - 1)["at"]))
-    blocks = found.select("token", "range", "n", "best", gaps.alias("gaps"), F.col("es")["tf"].alias("tfs"))
+    place = lambda e: F.shiftright(e, _TF_BITS).cast("int")
+    gaps = F.transform("es", lambda e, i: F.when(i == 0, place(e)).otherwise(place(e) - place(F.get("es", i - 1))))
+    blocks = found.select("token", "range", "n", "best", gaps.alias("gaps"), F.transform("es", lambda e: e.bitwiseAND(F.lit((1 << _TF_BITS) - 1)).cast("int")).alias("tfs"))
     return PackedIndex(blocks, docs.withColumn("size", F.lit(size)))
 
 
+def _numbers(gaps: Column) -> Column:
+    """The places within a range."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(gaps, start, lambda s, g: F.struct((s["at"] + g).alias("at"), F.array_append(s["out"], s["at"] + g).alias("out")), lambda s: s["out"])
+
+
+def unpacked_postings(index: PackedIndex, size: int = RANGE) -> DataFrame:
+    """(token, doc, tf) of all blocks: they meet the documents of their ranges as they are, before they are taken apart."""
+    own = index.docs.groupBy(F.floor(F.col("number") / size).alias("range")).agg(F.sort_array(F.collect_list(F.struct("number", "doc")))["doc"].alias("docs"))  # `size` at most, without a gap
+    rows = index.blocks.select("token", "range", "gaps", "tfs").join(own, "range").select("token", F.explode(F.arrays_zip(F.transform(_numbers(F.col("gaps")), lambda at: F.get("docs", at)).alias("doc"), F.col("tfs").alias("tf"))).alias("e"))
+    return rows.select("token", "e.doc", "e.tf")
+
+
 def unpacked(blocks: DataFrame, size: int = RANGE) -> DataFrame:
     """(token, number, tf) of blocks."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    numbers = F.aggregate("gaps", start, lambda s, g: F.struct((s["at"] + g).alias("at"), F.array_append(s["out"], s["at"] + g).alias("out")), lambda s: s["out"])
-    rows = blocks.select("token", "range", F.explode(F.arrays_zip(numbers.alias("at"), F.col("tfs").alias("tf"))).alias("e"))
+    rows = blocks.select("token", "range", F.explode(F.arrays_zip(_numbers(F.col("gaps")).alias("at"), F.col("tfs").alias("tf"))).alias("e"))
     return rows.select("token", (F.col("range") * size + F.col("e.at")).alias("number"), F.col("e.tf").alias("tf"))
 
 

@@ -33,7 +33,7 @@ def _offsets(dealt: DataFrame) -> DataFrame:
 
 
 def _numbered(dealt: DataFrame, position: str, total: str) -> DataFrame:
-    found = dealt.join(_offsets(dealt), F.col("__part") == F.col("__p"))
+    found = dealt.join(F.broadcast(_offsets(dealt)), F.col("__part") == F.col("__p"))
     return found.select(*dealt.columns, (F.col("__before") + F.col("__place") + 1).alias(position), F.col("__total").alias(total))
 
 

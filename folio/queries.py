@@ -230,9 +230,8 @@ def search_best(spark, sf_dir):
 def packed_index(spark, sf_dir):
     """All postings, from the packed index as it is written."""
     path = shared_dir(spark, "packed")
-    search.packed(_written_index(spark, sf_dir), size=256).write(path)
-    index = search.PackedIndex.read(spark, path)
-    return search.unpacked(index.blocks, 256).join(index.docs.select("number", "doc"), "number").select("token", "doc", F.col("tf").cast("long").alias("tf"))
+    search.packed(search.build_index(_documents_to_search(spark, sf_dir)), size=256).write(path)
+    return search.unpacked_postings(search.PackedIndex.read(spark, path), 256).select("token", "doc", F.col("tf").cast("long").alias("tf"))
 
 
 def _decoded_sql(x: str) -> str:

@@ -128,3 +128,20 @@ def test_links_tracks_and_other_tracks_as_tables(spark):
     counts = {(r["now"], r["idx"]): r["count"] for r in drawn.groupBy("now", "idx").count().collect()}
     assert set(counts) == {(a, b) for a in range(4) for b in range(4) if a != b} and min(counts.values()) > 400
     assert spark.range(1).select(playlist.another_index(F.lit(0), F.lit(1), F.col("id"))).first()[0] is None
+
+
+def test_a_packed_index_moves_postings_once(spark, tmp_path):
+    rows, df = pages(spark, n=60)
+    index = search.build_index(df)
+    packed = search.packed(index, size=8)
+    plan = packed.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(token") == 1 and "Exchange rangepartitioning" not in plan
+    packed.write(str(tmp_path / "packed"))
+    kept = search.unpacked_postings(search.PackedIndex.read(spark, str(tmp_path / "packed")), 8)
+    assert sorted(map(tuple, kept.select("token", "doc", F.col("tf").cast("long")).collect())) == sorted(map(tuple, index.postings.select("token", "doc", "tf").collect()))
+
+
+def test_a_document_given_twice_has_its_words_added_up(spark, tmp_path):
+    df = spark.createDataFrame([("a", "", "T", "sea sea"), ("a", "", None, "sea b"), ("b", "", "", "")], "doc string, url string, title string, content string")
+    search.build_index(df).write(str(tmp_path / "index"))
+    assert sorted(map(tuple, search.Index.read(spark, str(tmp_path / "index")).postings.select("token", "doc", "tf").collect())) == [("b", "a", 1), ("sea", "a", 3), ("t", "a", 10)]
