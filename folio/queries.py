@@ -221,7 +221,7 @@ def search_sub_results(spark, sf_dir):
 def search_best(spark, sf_dir):
     """The ten best by a packed index, whose other ranges of documents are passed over."""
     path = shared_dir(spark, "packed")
-    search.packed(_written_index(spark, sf_dir), size=64).write(path)
+    search.packed(search.build_index(_documents_to_search(spark, sf_dir)), size=64).write(path)
     best, _ = search.best_of(search.PackedIndex.read(spark, path), _QUERY, 10, size=64)
     return best.select("doc", "title", "score")
 
