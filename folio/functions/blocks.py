@@ -34,8 +34,8 @@ _EVENT = "struct<at:int,size:int,kind:string,mark:string,own:boolean>"
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value), with value computed once."""
-    return F.transform(F.array(value), of)[0]
+    """of(value), with value computed once. By element_at: a [0] would ask the type of all that of() made, which walks through it, for each value."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def unix_lines(text: Column) -> Column:
@@ -47,7 +47,7 @@ def lines_of(body: Column) -> Column:
 
 
 def unquoted(line: Column) -> Column:
-    return F.regexp_replace(line, QUOTE_MARKS, "")
+    return F.when(F.contains(line, F.lit(">")), F.regexp_replace(line, QUOTE_MARKS, "")).otherwise(line)
 
 
 #: Lines that open or end something but quotes; fences so far in that they may be code of a list.
@@ -147,11 +147,15 @@ def blocks_of(lines: Column) -> Column:
     return let(events, ranges)
 
 
+def blocks_if_any(lines: Column) -> Column:
+    """blocks_of(); most texts have no line that opens anything."""
+    return F.when(F.exists(lines, lambda x: x.rlike(rf"{QUOTED}|^[ \t>\d.)*+-]*(?:`{{3}}|~~~|\$\$|:::)")), blocks_of(lines)).otherwise(F.array().cast(BLOCKS))
+
+
 def with_blocks(df: DataFrame, doc: str, body: str) -> DataFrame:
     """(doc, lines, blocks) of df's texts; null texts have one empty line."""
     lines = df.select(F.col(doc).alias("doc"), lines_of(F.col(body)).alias("lines"))
-    # most texts have no line that opens anything
-    return lines.withColumn("blocks", F.when(F.exists("lines", lambda x: x.rlike(rf"{QUOTED}|^[ \t>\d.)*+-]*(?:`{{3}}|~~~|\$\$|:::)")), blocks_of(F.col("lines"))).otherwise(F.array().cast(BLOCKS)))
+    return lines.withColumn("blocks", blocks_if_any(F.col("lines")))
 
 
 def inside(blocks: Column, at: Column, kind: str) -> Column:
@@ -164,6 +168,25 @@ def is_mark(blocks: Column, at: Column) -> Column:
     return F.exists(blocks, lambda b: (b["kind"] != "quote") & ((b["start"] == at) | (b["own"] & (at == b["end"]))))
 
 
+def code_of(lines: Column, blocks: Column) -> Column:
+    """For each line the mark of the fence that it is within, '' outside. Fences do not lie in each other, so that the lines between and within them follow in order."""
+
+    def ranges(fences: Column) -> Column:
+        def until(b: Column, i: Column) -> Column:
+            before = F.when(i > 0, fences[i - 1]["end"]).otherwise(0)
+            return F.concat(F.array_repeat(F.lit(""), b["start"] + 1 - before), F.array_repeat(b["mark"], b["end"] - b["start"] - 1))
+
+        after = F.when(F.size(fences) > 0, F.size(lines) - fences[F.size(fences) - 1]["end"]).otherwise(F.size(lines))
+        return F.concat(F.flatten(F.transform(fences, until)), F.array_repeat(F.lit(""), after))
+
+    return let(F.filter(blocks, lambda b: b["kind"] == "fence"), ranges)
+
+
+def marks_of(blocks: Column) -> Column:
+    """The lines that is_mark() is true of."""
+    return F.flatten(F.transform(F.filter(blocks, lambda b: b["kind"] != "quote"), lambda b: F.when(b["own"], F.array(b["start"], b["end"])).otherwise(F.array(b["start"]))))
+
+
 def line_table(df: DataFrame, doc: str = "slug", body: str = "body") -> DataFrame:
     """(doc, line, text, code, mark, depth): a row for each line, from 0; text is without quote marks. code: within a fence; mark: opens or ends a fence or container; depth: blocks around it."""
     found = with_blocks(df, doc, body).select("doc", "blocks", F.posexplode("lines").alias("line", "text"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.blocks import CONTAINER, LIST_MARK, blocks_of, inside, is_mark, let, lines_of, unix_lines, unquoted, with_blocks
+from folio.functions.blocks import CONTAINER, LIST_MARK, blocks_if_any, blocks_of, code_of, inside, is_mark, let, lines_of, marks_of, unix_lines, unquoted, with_blocks
 
 _HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\z"
 _UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*\z"
@@ -203,7 +203,7 @@ def _inline(text: Column, math: bool, rendered: bool) -> Column:
 
     def chained(out: Column, steps: list[tuple[str, str, str]]) -> Column:
         if not steps:
-            return F.regexp_replace(out, _CODE_SPAN, "$2")
+            return F.when(F.contains(out, F.lit("`")), F.regexp_replace(out, _CODE_SPAN, "$2")).otherwise(out)
         (signs, pattern, to), *rest = steps
 
         def one(x: Column) -> Column:
@@ -223,6 +223,10 @@ _REFERENCE = r"^ {0,3}\[[^\]]+\]:\s*\S+"
 _TABLE_RULE = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\z"
 
 
+#: How lines begin that may be more than text: blank ones, code by its indent, and those with a first sign of any of the patterns above.
+_SIGNED = r"^(?: {4}|\t|[ \t]*(?:[#>*+0-9:|<`~_=\[-]|\z))"
+
+
 def plain_lines(lines: Column, blocks: Column, math: bool, rendered: bool) -> Column:
     """Each line's plain text; '' for lines that only bear marks.
 
@@ -230,41 +234,67 @@ def plain_lines(lines: Column, blocks: Column, math: bool, rendered: bool) -> Co
     and in `$$` blocks. rendered: as a page shows it, without raw HTML and texts of images.
     """
 
-    def plain(line: Column, at: Column) -> Column:
-        text, held = unquoted(line), F.filter(blocks, lambda b: (b["kind"] == "fence") & (b["start"] < at) & (at < b["end"]))
-        code = F.when((held[0]["mark"] == "$") & F.lit(not math), "").otherwise(text)
-        label = lambda pattern, n: F.regexp_replace(F.regexp_extract(text, pattern, n), r"^\[|\]\z", "")
-        marks = F.when(text.rlike(CONTAINER), label(CONTAINER, 3)).otherwise("")
+    def label(text: Column, pattern: str, n: int) -> Column:
+        return F.regexp_replace(F.regexp_extract(text, pattern, n), r"^\[|\]\z", "")
+
+    def signed(text: Column) -> Column:
         bare = text.rlike(_UNDERLINE) | text.rlike(_RULE) | text.rlike(_REFERENCE) | text.rlike(_TABLE_RULE) | F.trim(text).rlike(_ALERT)
-        prose = F.regexp_replace(F.regexp_replace(F.when(text.rlike(_HEADING), F.regexp_extract(text, _HEADING, 2)).otherwise(text), rf"(?:{LIST_MARK})+(?:\[[ xX]\][ \t]+)?", ""), r"^[ \t]+|[ \t]+\z", "")
-        prose = F.when(prose.rlike(r"^\|"), F.trim(F.regexp_replace(prose, r"[ \t]*(?<!\\)\|[ \t]*", " "))).otherwise(prose)
-        return F.when(F.size(held) > 0, code).when(is_mark(blocks, at), marks).when(text.rlike(_LEAF), label(_LEAF, 2)).when(bare, "").otherwise(_inline(prose, math, rendered))
+        prose = F.trim(F.regexp_replace(F.when(text.rlike(_HEADING), F.regexp_extract(text, _HEADING, 2)).otherwise(text), rf"(?:{LIST_MARK})+(?:\[[ xX]\][ \t]+)?", ""), F.lit(" \t"))
+        cells = let(prose, lambda x: F.when(F.startswith(x, F.lit("|")), F.trim(F.regexp_replace(x, r"[ \t]*(?<!\\)\|[ \t]*", " "))).otherwise(x))
+        return F.when(bare, "").otherwise(cells)
 
-    return F.transform(lines, plain)
+    def read(codes: Column, marks: Column) -> Column:
+        def plain(line: Column, at: Column) -> Column:
+            def of(text: Column) -> Column:
+                code = text if math else F.when(codes[at] == "$", "").otherwise(text)
+                marked = F.when(text.rlike(CONTAINER), label(text, CONTAINER, 3)).otherwise("")
+                leaf = F.contains(text, F.lit("::")) & text.rlike(_LEAF)
+                prose = F.when(text.rlike(_SIGNED), signed(text)).otherwise(F.trim(text, F.lit(" \t")))
+                return F.when(codes[at] != "", code).when(F.array_contains(marks, at), marked).when(leaf, label(text, _LEAF, 2)).otherwise(_inline(prose, math, rendered))
 
+            return let(unquoted(line), of)
 
-def plain_text(body: Column) -> Column:
+        return F.transform(lines, plain)
+
+    return let(code_of(lines, blocks), lambda codes: let(marks_of(blocks), lambda marks: read(codes, marks)))
+
+
+def plain_of(lines: Column, blocks: Column) -> Column:
     """A text as a page shows it, for a search: lines without marks, formulas, addresses and raw HTML, code as it is."""
-    return let(lines_of(body), lambda x: let(blocks_of(x), lambda blocks: F.array_join(F.filter(plain_lines(x, blocks, False, True), lambda line: F.trim(line) != ""), "\n")))
+    return F.array_join(F.filter(plain_lines(lines, blocks, False, True), lambda line: F.trim(line) != ""), "\n")
 
 
-def flat_text(body: Column) -> Column:
+def flat_of(lines: Column, blocks: Column) -> Column:
     """All values of a text put together, as words are counted: formulas, code and texts of images too, no space between blocks, line ends within them."""
 
-    def joined(lines: Column, blocks: Column) -> Column:
-        starts = lambda t: t.rlike(_NO_PARAGRAPH) | t.rlike(_UNDERLINE) | t.rlike(_REFERENCE) | (F.trim(t) == "")
-        ends = lambda t: (F.trim(t) == "") | t.rlike(_HEADING) | t.rlike(_UNDERLINE) | t.rlike(_REFERENCE) | F.trim(t).rlike(_ALERT)
+    def edges(line: Column) -> Column:
+        def of(text: Column) -> Column:
+            either = (F.trim(text) == "") | text.rlike(_UNDERLINE) | text.rlike(_REFERENCE)
+            starts, ends = either | text.rlike(_NO_PARAGRAPH), either | text.rlike(_HEADING) | F.trim(text).rlike(_ALERT)
+            none = F.struct(F.lit(False).alias("starts"), F.lit(False).alias("ends"))
+            return F.when(text.rlike(_SIGNED), F.struct(starts.alias("starts"), ends.alias("ends"))).otherwise(none)
 
+        return let(unquoted(line), of)
+
+    def joined(edges: Column, codes: Column, marks: Column) -> Column:
         def piece(line: Column, at: Column) -> Column:
-            in_code = lambda i: F.exists(blocks, lambda b: (b["kind"] == "fence") & (b["start"] < i) & (i < b["end"]))
-            before, text = unquoted(F.when(at > 0, lines[at - 1]).otherwise("")), unquoted(lines[at])
-            edge = is_mark(blocks, at) | is_mark(blocks, at - 1) | starts(text) | ends(before)
-            goes_on = (at > 0) & F.when(in_code(at), in_code(at - 1)).otherwise(~edge)
-            return F.concat(F.when(goes_on, "\n").otherwise(""), line)
+            edge = F.array_contains(marks, at) | F.array_contains(marks, at - 1) | edges[at]["starts"] | edges[at - 1]["ends"]
+            goes_on = F.when(at == 0, False).when(codes[at] != "", codes[at - 1] != "").otherwise(~edge)
+            return F.when(goes_on, F.concat(F.lit("\n"), line)).otherwise(line)
 
         return F.array_join(F.transform(plain_lines(lines, blocks, True, False), piece), "")
 
-    return let(lines_of(body), lambda x: let(blocks_of(x), lambda blocks: joined(x, blocks)))
+    return let(F.transform(lines, edges), lambda e: let(code_of(lines, blocks), lambda codes: let(marks_of(blocks), lambda marks: joined(e, codes, marks))))
+
+
+def plain_text(body: Column) -> Column:
+    """plain_of() a body."""
+    return let(lines_of(body), lambda x: let(blocks_if_any(x), lambda blocks: plain_of(x, blocks)))
+
+
+def flat_text(body: Column) -> Column:
+    """flat_of() a body."""
+    return let(lines_of(body), lambda x: let(blocks_if_any(x), lambda blocks: flat_of(x, blocks)))
 
 
 def repository(repo: Column) -> Column:

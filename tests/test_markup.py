@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from folio import site_queries
 from folio.functions import blocks, html, markdown
 
 
@@ -148,6 +150,39 @@ def test_plain_and_flat_text(spark):
     assert (plain[1], plain[2], flat[1], flat[2], flat[3]) == ("", "", "", "", "plain words only\non two linesand more")
 
 
+def test_plain_and_flat_text_of_fences_next_to_each_other(spark):
+    bodies = ["> ```\n> a *x*\n```\nb *y*\n\nc\n```\nd *z*", ":::note\n$$\nf *1*\n$$\n~~~\ng *2*\n~~~\n\t# *h*\n:::\n::leaf[*L*]", "> # q *r*\n> ===\n >\n>- s *t*\n    u *v*"]
+    found = blocks.with_blocks(texts(spark, *bodies), "slug", "body")
+    read = {r["doc"]: (r["p"], r["f"]) for r in found.select("doc", markdown.plain_of(F.col("lines"), F.col("blocks")).alias("p"), markdown.flat_of(F.col("lines"), F.col("blocks")).alias("f")).collect()}
+    assert read == {
+        0: ("a *x*\nb *y*\nc\nd z", "a *x*b *y*\n\ncd z"), 1: ("g *2*\n# h\n*L*", "f *1*g *2*# h*L*"), 2: ("q r\ns t\nu v", "q rs tu v"),
+    }
+
+
+def test_blocks_are_read_once_for_plain_text_and_words(spark):
+    plan = site_queries.plain_text_of_nested(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_nested_texts_are_dealt_to_many_tasks(spark):
+    rows = site_queries.plain_text_of_nested(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(rows) > 8 and max(r["count"] for r in rows) < 200 and sum(r["count"] for r in rows) == 1000
+
+
+def test_let_takes_no_longer_for_parts_that_are_not_computed(spark):
+    def seconds(parts):
+        of = lambda x: F.when(x != "", x).otherwise(F.concat(*[F.regexp_replace(x, "a", str(n)) for n in range(parts)]))
+        found = spark.range(0, 100_000, 1, 1).select(F.transform(F.array(F.col("id").cast("string")), lambda line: blocks.let(line, of)).alias("x"))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(600) < 4 * seconds(1) + 0.5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; <!--x--> U</title><style>p > a {}</style><script>var t = "</p>" > 3</script></head><body>
 <!-- c > d --><nav>Menu</nav><div data-site-ignore><div>in <div>deeper</div></div>tail</div><p title="a > b">One &lt;two&gt; &#233;&#x1F600; &copy; &unknown; 3 < 4</p>
 <div class="big search-panel"><p>panel<div>x</div></div><span class="katex"><span>k</span>l</span> <img data-ignore src=x>after <span class="katexish">kept</span>
