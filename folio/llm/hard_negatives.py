@@ -13,6 +13,9 @@ anchors times rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,20 +44,32 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(~score, kind="stable")
 
 
+def _listed(columns: str, found: list[tuple[tuple[int, ...], tuple[np.ndarray, ...]]]) -> pd.DataFrame:
+    """A table of longs from parts: values that hold for a part's rows, then arrays with one value for each of them."""
+    names = columns.split()
+    if not found:
+        return pd.DataFrame(columns=names).astype("int64")
+    shared, own = zip(*found, strict=True)
+    shared = np.repeat(np.array(shared, "int64"), [len(arrays[0]) for arrays in own], axis=0)
+    return pd.DataFrame(dict(zip(names, [*shared.T, *map(np.concatenate, zip(*own, strict=True))], strict=True)))
+
+
 def positives(blocks: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor_id, positive_id, positive_score): the k best other rows with the anchor's label."""
     ddl = "anchor_id long, positive_id long, positive_score long"
 
     def work(block: pd.Series | None, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out = []
         if len(asked):
             ids, labels, x = vectors.unpacked(block)
-            found = vectors.scores(x, _matrix(asked))
-            for n, (a, label) in enumerate(zip(asked["anchor_id"], asked["label"], strict=True)):
-                own = np.flatnonzero((labels == label) & (ids != a))
-                best = own[_best(ids[own], found[own, n], k)]
-                out += zip([a] * len(best), ids[best].tolist(), found[best, n].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["anchor_id", "positive_id", "positive_score"]).astype("int64")
+            asked, last = asked.sort_values("label"), None
+            for a, label, score in zip(asked["anchor_id"], asked["label"], vectors.each_scores(_matrix(asked), x), strict=True):
+                if label != last:
+                    same, last = np.flatnonzero(labels == label), label
+                own = same[ids[same] != a]
+                best = own[_best(ids[own], score[own], k)]
+                out.append(((a,), (ids[best], score[best])))
+        return _listed("anchor_id positive_id positive_score", out)
 
     found = vectors.meet(blocks, anchors, work, ddl)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
@@ -75,7 +90,14 @@ def _windows(found: DataFrame, low: int, high: int, k: int) -> DataFrame:
     return ends.withColumns({"base": F.lit(0).cast("long"), "shift": F.greatest(F.lit(0), bits - DIGIT).cast("int"), "need": F.lit(k).cast("long"), "open": F.lit(True)})
 
 
-def _digits(blocks: DataFrame, windows: DataFrame) -> DataFrame:
+def _met(anchors: DataFrame, windows: DataFrame) -> DataFrame:
+    """What meets the blocks: of each anchor that has windows a row with its vector, and its windows without one."""
+    longs = ("positive_id", "positive_score", "lo", "hi", "base", "need", "upto")
+    own = anchors.join(windows, "anchor_id", "left_semi").withColumns({c: F.lit(0).cast("long") for c in longs} | {"shift": F.lit(0), "window": F.lit(False)})
+    return own.unionByName(windows.withColumns({"x": F.array().cast("array<double>"), "window": F.lit(True)}).select(own.columns))
+
+
+def _digits(blocks: DataFrame, anchors: DataFrame, windows: DataFrame) -> DataFrame:
     """(anchor_id, positive_id, digit, n): how many rows of other labels have each digit; from a block no digit beyond that in which it alone has `need` rows."""
     ddl = "anchor_id long, positive_id long, digit long, n long"
 
@@ -83,25 +105,30 @@ def _digits(blocks: DataFrame, windows: DataFrame) -> DataFrame:
         out = []
         for w, _, _, offsets in _offsets(block, asked):
             inside = offsets[(offsets >= w.base) & (offsets - w.base <= min((1 << (w.shift + DIGIT)) - 1, vectors.MOST))]
-            digit, n = np.unique((inside - w.base) >> w.shift, return_counts=True)
-            upto = int(np.searchsorted(np.cumsum(n), w.need)) + 1
-            out += zip([w.anchor_id] * upto, [w.positive_id] * upto, digit[:upto].tolist(), n[:upto].tolist(), strict=False)
-        return pd.DataFrame(out, columns=["anchor_id", "positive_id", "digit", "n"]).astype("int64")
+            digit = (inside - w.base) >> w.shift
+            if len(digit) > w.need:
+                digit = digit[digit <= np.partition(digit, w.need - 1)[w.need - 1]]
+            out.append(((w.anchor_id, w.positive_id), np.unique(digit, return_counts=True)))
+        return _listed("anchor_id positive_id digit n", out)
 
-    return vectors.meet(blocks, windows, work, ddl).groupBy(*_WINDOW, "digit").agg(F.sum("n").alias("n"))
+    return vectors.meet(blocks, _met(anchors, windows), work, ddl).groupBy(*_WINDOW, "digit").agg(F.sum("n").alias("n"))
 
 
-def _offsets(block: pd.Series | None, asked: pd.DataFrame):
+def _offsets(block: pd.Series | None, asked: pd.DataFrame) -> Iterator[tuple]:
     """For each window the ids and scores of the block's rows of other labels within it, and their distances from its upper end."""
     if not len(asked):
         return
     ids, labels, x = vectors.unpacked(block)
-    anchors = asked.drop_duplicates("anchor_id")
-    found, place = vectors.scores(x, _matrix(anchors)), {a: n for n, a in enumerate(anchors["anchor_id"])}
-    for w in asked.drop(columns="x").itertuples(index=False):
-        score = found[:, place[w.anchor_id]]
-        at = np.flatnonzero((labels != w.label) & (score >= w.lo) & (score <= w.hi))
-        yield w, ids[at], score[at], w.hi - score[at]
+    asked, last = asked.sort_values(["label", "anchor_id"]), None
+    windows = asked[asked["window"]].drop(columns="x").itertuples(index=False)
+    found = vectors.each_scores(_matrix(asked[~asked["window"]]), x)
+    for ((label, _), own), score in zip(groupby(windows, key=lambda w: (w.label, w.anchor_id)), found, strict=True):
+        if label != last:
+            others, last = np.flatnonzero(labels != label), label
+        score = score[others]
+        for w in own:
+            at = np.flatnonzero((score >= w.lo) & (score <= w.hi))
+            yield w, ids[others[at]], score[at], w.hi - score[at]
 
 
 def _narrowed(windows: DataFrame, digits: DataFrame) -> DataFrame:
@@ -122,19 +149,19 @@ def _narrowed(windows: DataFrame, digits: DataFrame) -> DataFrame:
     )
 
 
-def _gathered(blocks: DataFrame, windows: DataFrame, k: int) -> DataFrame:
+def _gathered(blocks: DataFrame, anchors: DataFrame, windows: DataFrame, k: int) -> DataFrame:
     """Of each block and window the rows up to the k-th row's bucket, the k best if they are more."""
-    ddl = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
+    ddl = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
     def work(block: pd.Series | None, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, int, int]] = []
+        out = []
         for w, ids, score, offsets in _offsets(block, asked):
             own = np.flatnonzero(offsets <= w.upto)
             best = own[_best(ids[own], score[own], k)]
-            out += [(w.anchor_id, w.positive_id, i, w.positive_score, s) for i, s in zip(ids[best].tolist(), score[best].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"]).astype("int64")
+            out.append(((w.anchor_id, w.positive_id, w.positive_score), (ids[best], score[best])))
+        return _listed("anchor_id positive_id positive_score negative_id negative_score", out)
 
-    return vectors.meet(blocks, windows, work, ddl)
+    return vectors.meet(blocks, _met(anchors, windows), work, ddl)
 
 
 def mine(rows: DataFrame, anchor_every: int = 100, n_positives: int = 5, n_negatives: int = 10, tenths: tuple[int, int] = (3, 9)) -> DataFrame:
@@ -153,17 +180,17 @@ def mine(rows: DataFrame, anchor_every: int = 100, n_positives: int = 5, n_negat
         blocks = vectors.packed(known)
         anchors = known.where(F.pmod("vec_id", F.lit(anchor_every)) == 0).withColumnRenamed("vec_id", "anchor_id")
         anchors = written(vectors.asked(anchors, "anchor_id"), "anchors")
-        windows = _windows(positives(blocks, anchors, n_positives).join(anchors, "anchor_id"), *tenths, n_negatives)
+        windows = _windows(positives(blocks, anchors, n_positives).join(anchors.drop("x"), "anchor_id"), *tenths, n_negatives)
         windows = open_ = written(windows.withColumn("upto", F.lit(0).cast("long")), "windows")
         closed: list[DataFrame] = []
         while not open_.isEmpty():
-            windows = written(_narrowed(open_, _digits(blocks, open_)), "windows")
+            windows = written(_narrowed(open_, _digits(blocks, anchors, open_)), "windows")
             closed.append(windows.where("not open"))
             open_ = windows.where("open")
         ready = closed[0] if closed else windows.where("not open")
         for more in closed[1:]:
             ready = ready.unionByName(more)
-        found = keep(_gathered(blocks, ready, n_negatives), "negatives")
+        found = keep(_gathered(blocks, anchors, ready, n_negatives), "negatives")
     order = Window.partitionBy(*_WINDOW).orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= n_negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

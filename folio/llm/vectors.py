@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,12 @@ from .common import written
 EXACT = 1 << 53
 #: Scores are longs; one beyond them is given, ranked and compared as the nearest long.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: Numbers in a packed block of vectors at most, on average (2 MB), and rows in a block of queries.
-BLOCK_NUMBERS, QUERY_BLOCK = 1 << 18, 1024
+#: Numbers in a packed block of vectors at most, on average (2 MB in a task), and rows in a block of queries.
+BLOCK_NUMBERS, QUERY_BLOCK = 1 << 18, 4096
+#: Scores made at once (4 MB).
+SCORES = 1 << 19
+#: Blocks in a file. Parquet's pages and the batches it is read in count rows, not bytes: the blocks of a file are in memory at once.
+FILE_BLOCKS = 4
 
 
 def scaled(vectors: DataFrame, *others: str) -> DataFrame:
@@ -54,12 +58,22 @@ def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return out
 
 
+def each_scores(queries: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query its scores with all rows, made for some queries at once."""
+    step = max(1, SCORES // max(1, len(rows)))
+    for at in range(0, len(queries), step):
+        yield from scores(queries[at : at + step], rows)
+
+
 def _dealt(rows: DataFrame, id_cols: list[str], block: str, number: Callable[[Column, Column], Column]) -> DataFrame:
-    """rows with `dim` and `block`: those of one length are dealt by hash into number(rows, dim) blocks."""
+    """rows with `dim` and `block`: those of one length are dealt by hash into number(rows, dim) blocks.
+
+    Lengths are few: joined otherwise, all rows of one length would go to one task.
+    """
     rows = rows.withColumn("dim", F.size("x"))
     counts = rows.groupBy("dim").agg(F.count("*").alias("__rows"))
     n = F.greatest(F.lit(1), F.ceil(number(F.col("__rows"), F.greatest("dim", F.lit(1))))).cast("int")
-    return rows.join(counts.select("dim", n.alias("__n")), "dim").withColumn(block, F.pmod(F.xxhash64(*id_cols), F.col("__n")).cast("int")).drop("__n")
+    return rows.join(F.broadcast(counts.select("dim", n.alias("__n"))), "dim").withColumn(block, F.pmod(F.xxhash64(*id_cols), F.col("__n")).cast("int")).drop("__n")
 
 
 def packed(rows: DataFrame, lists: bool = False, number: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -74,15 +88,25 @@ def packed(rows: DataFrame, lists: bool = False, number: Callable[[Column, Colum
         own = own.sort_values("vec_id", kind="stable")
         x = np.stack(own["x"].to_list()).reshape(len(own), -1)
         order = np.argsort(x, axis=0, kind="stable").astype("int32") if lists else np.zeros(0, "int32")
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [own["vec_id"].to_numpy("int64").tobytes()], "labels": [own["label"].to_numpy("int64").tobytes()], "x": [x.astype("float64").tobytes()], "lists": [order.tobytes()]})
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [own["vec_id"].to_numpy("int64").tobytes()], "labels": [own["label"].to_numpy("int64").tobytes()], "x": [_narrow(x).tobytes()], "lists": [order.tobytes()]})
+
+    return written(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, labels binary, x binary, lists binary"), "blocks", FILE_BLOCKS)
+
 
-    return written(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, labels binary, x binary, lists binary"), "blocks")
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x, whole numbers, in the fewest bytes that hold each of them."""
+    least, most = x.min(initial=0), x.max(initial=0)
+    for kind in ("<i1", "<i2", "<i4"):
+        if np.iinfo(kind).min <= least and most <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x.astype("<f8")
 
 
 def unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids (ascending), labels and the matrix of a block."""
     ids = np.frombuffer(row["ids"], "<i8")
-    return ids, np.frombuffer(row["labels"], "<i8"), np.frombuffer(row["x"], "<f8").reshape(len(ids), -1)
+    kind = {1: "<i1", 2: "<i2", 4: "<i4"}.get(len(row["x"]) // max(1, len(ids) * row["dim"]), "<f8")
+    return ids, np.frombuffer(row["labels"], "<i8"), np.frombuffer(row["x"], kind).astype("float64").reshape(len(ids), -1)
 
 
 def asked(rows: DataFrame, id_col: str, query_block: int | None = None) -> DataFrame:
@@ -98,8 +122,8 @@ def meet(blocks: DataFrame, queries: DataFrame, work: Callable[[pd.Series, pd.Da
     n_blocks = blocks.groupBy("dim").agg((F.max("block") + 1).alias("__blocks"))
     n_asks = queries.groupBy("dim").agg((F.max("ask") + 1).alias("__asks"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = blocks.join(n_asks, "dim").withColumn("ask", upto("__asks")).drop("__asks")
-    right = queries.join(n_blocks, "dim").withColumn("block", upto("__blocks")).drop("__blocks")
+    left = blocks.join(F.broadcast(n_asks), "dim").withColumn("ask", upto("__asks")).drop("__asks")
+    right = queries.join(F.broadcast(n_blocks), "dim").withColumn("block", upto("__blocks")).drop("__blocks")
 
     def run(key: tuple, own: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         if own.empty or those.empty:

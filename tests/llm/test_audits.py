@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import divergence, hard_negatives, licenses, topk, vectors
 from folio.llm import queries as llm
@@ -71,6 +72,41 @@ def test_hard_negatives_of_large_components(spark, large):
     assert mined(spark, rows, anchor_every=10) == brute_negatives(rows, every=10)
 
 
+def test_blocks_are_packed_in_several_tasks_and_lie_few_to_a_file(spark, monkeypatch):
+    """What an executor holds at once must not grow with the table: not all rows of one length in one task, nor all blocks in one batch of a file."""
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 40)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame([(i, x, label, "r", 3) for i, x, label in vector_rows(400, 4, 7)], VECTORS)
+        blocks = vectors.packed(vectors.scaled(df, "label"))
+        files = {r[0]: r[1] for r in blocks.groupBy(F.input_file_name()).count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(files.values()) > 30 and max(files.values()) <= 4
+    assert len({re.search(r"/part-(\d+)", f)[1] for f in files}) > 1
+    assert all(len(r["x"]) == len(r["ids"]) // 8 * 4 * 2 for r in blocks.collect())  # two bytes hold floor(256 * x) of these
+
+
+def test_blocks_hold_their_numbers_in_as_few_bytes_as_they_need():
+    for most, size in ((127.0, 1), (-129.0, 2), (40_000.0, 4), (2.0**31, 8), (-(2.0**70), 8), (1e300, 8)):
+        x = np.array([[0.0, 1.0], [most, -3.0]])
+        data = vectors._narrow(x).tobytes()
+        own = {"dim": 2, "ids": np.array([3, 5]).tobytes(), "labels": np.array([0, 1]).tobytes(), "x": data}
+        assert len(data) == 4 * size and vectors.unpacked(own)[2].tolist() == x.tolist()
+
+
+def test_a_vector_meets_the_blocks_once_whatever_its_windows(spark):
+    anchors = spark.createDataFrame([(100, 1, [1.0, 2.0], 2, 0), (200, 2, [3.0, 4.0], 2, 0), (300, 2, [5.0, 6.0], 2, 1)], "anchor_id long, label long, x array<double>, dim int, ask int")
+    wide = "anchor_id long, positive_id long, positive_score long, label long, dim int, ask int, lo long, hi long, base long, shift int, need long, upto long, open boolean"
+    windows = spark.createDataFrame([(a, p, 9, 1, 2, 0, 3, 8, 0, 0, 10, 0, True) for a in (100, 200) for p in range(5)], wide)
+    met = hard_negatives._met(anchors, windows).collect()
+    assert sorted(r["anchor_id"] for r in met if r["x"]) == [100, 200] and sum(r["window"] for r in met) == 10 == len(met) - 2
+
+
 def test_scores_are_exact_and_clamped():
     rows, queries = np.array([[3.0, -2.0], [2.0**40, 1.0], [-(2.0**70), 5.0]]), np.array([[7.0, 1.0], [2.0**30, 3.0], [2.0**60, 0.0]])
     wanted = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), vectors.LEAST), vectors.MOST) for y in queries] for x in rows]
