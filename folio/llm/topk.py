@@ -52,7 +52,7 @@ class SortedLists:
                     least = np.partition(score, len(new) - k)[len(new) - k]
                     new, score = new[score >= least], score[score >= least]
                 best = sorted([*best, *((int(s), int(self.ids[i]), int(self.counts[i])) for s, i in zip(score, new, strict=True))], key=lambda x: (-x[0], x[1]))[:k]
-            kth = [best[-1][0]] * (len(best) == k) + [floor] * (floor is not None)
+            kth = [s for s, _, _ in best[k - 1 : k]] + [floor] * (floor is not None)
             if kth and dims:
                 last = self.rows[np.where(up, self.lists[to - 1], self.lists[n - to]), np.arange(dims)]
                 if vectors.clamped(sum(int(v) * int(q) for v, q in zip(last[used], query[used], strict=True))) < max(kth):  # an unseen row that ties might have a smaller id

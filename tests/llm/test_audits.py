@@ -113,6 +113,12 @@ def test_scores_are_exact_and_clamped():
     assert vectors.scores(rows, queries).tolist() == wanted
 
 
+def test_a_query_alone_in_its_block_finds_nothing():
+    for dims in (0, 2):
+        alone = topk.SortedLists(np.array([100]), np.array([1]), np.ones((1, dims)), np.zeros((1, dims), "int32"))
+        assert alone.top(np.ones(dims), 100, 5) == ([], 0)
+
+
 @pytest.mark.parametrize("large", [1e9, 1e30, 1e300])
 def test_top_k_of_large_components(spark, large):
     rows = [(i, x) for i, x, _ in vector_rows(80, 3, 5)] + [(i, [large * (1 + i % 3), -large, 1.0]) for i in range(100, 104)] + [(150, [-large, large, 0.5]), (200, [0.25, large, 0.0])]
