@@ -110,8 +110,8 @@ def unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def asked(rows: DataFrame, id_col: str, query_block: int | None = None) -> DataFrame:
-    """Rows with an array `x` and the group of queries (dim, ask) that each belongs to."""
-    return _dealt(rows, [id_col, "x"], "ask", lambda n, dim: n / (query_block or QUERY_BLOCK))
+    """Rows with an array `x` and the group of queries (dim, ask) that each belongs to: of query_block rows, or of QUERY_BLOCK and fewer where these have more than BLOCK_NUMBERS numbers."""
+    return _dealt(rows, [id_col, "x"], "ask", lambda n, dim: n / query_block if query_block else F.greatest(n / QUERY_BLOCK, n * dim / BLOCK_NUMBERS))
 
 
 def meet(blocks: DataFrame, queries: DataFrame, work: Callable[[pd.Series, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:

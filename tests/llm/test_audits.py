@@ -99,6 +99,13 @@ def test_blocks_hold_their_numbers_in_as_few_bytes_as_they_need():
         assert len(data) == 4 * size and vectors.unpacked(own)[2].tolist() == x.tolist()
 
 
+def test_groups_of_long_queries_have_fewer(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 400)
+    asked = vectors.asked(spark.createDataFrame([(i, [float(i)] * (40 if i % 2 else 2)) for i in range(200)], "anchor_id long, x array<double>"), "anchor_id")
+    groups = {r["dim"]: r["asks"] for r in asked.groupBy("dim").agg((F.max("ask") + 1).alias("asks")).collect()}
+    assert groups == {2: 1, 40: 10}
+
+
 def test_a_vector_meets_the_blocks_once_whatever_its_windows(spark):
     anchors = spark.createDataFrame([(100, 1, [1.0, 2.0], 2, 0), (200, 2, [3.0, 4.0], 2, 0), (300, 2, [5.0, 6.0], 2, 1)], "anchor_id long, label long, x array<double>, dim int, ask int")
     wide = "anchor_id long, positive_id long, positive_score long, label long, dim int, ask int, lo long, hi long, base long, shift int, need long, upto long, open boolean"
